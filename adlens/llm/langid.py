@@ -78,19 +78,19 @@ def train(texts: list[str], langs: list[str], *, orders: tuple[int, ...] = (2, 3
         return LangModel((), np.zeros((buckets, 0)), np.zeros(0), 1.0, 0.0, orders)
     rng = np.random.default_rng(seed)
     y = np.array([labels.index(x) for x in langs])
-    found = features(pa.array(texts, pa.large_string()), orders, buckets)
+    bags = []
+    for text in texts:  # one at a time: a text's n-grams take many times its size
+        ids, counts = np.unique(np.concatenate([g for g, _ in features(pa.array([text], pa.large_string()), orders, buckets)]), return_counts=True)
+        bags.append((ids.astype(np.int32), (counts / max(1, counts.sum())).astype(np.float32)))
     emb, out, bias = rng.normal(0, 0.1, (buckets, dim)), rng.normal(0, 0.1, (dim, len(labels))), np.zeros(len(labels))
     order = rng.permutation(len(y))
     held, seen = order[: len(y) // 5], order[len(y) // 5 :]
-    bags = [np.concatenate([g[e[i] : e[i + 1]] for g, e in found]) for i in range(len(y))]
     for epoch in range(epochs):
         lr = rate * (1 - epoch / epochs)
         for i in rng.permutation(seen):
-            bag = bags[i]
-            if not len(bag):
+            ids, w = bags[i]
+            if not len(ids):
                 continue
-            ids, counts = np.unique(bag, return_counts=True)
-            w = counts / len(bag)
             x = w @ emb[ids]
             z = x @ out + bias
             p = np.exp(z - z.max())
@@ -101,7 +101,7 @@ def train(texts: list[str], langs: list[str], *, orders: tuple[int, ...] = (2, 3
             bias -= lr * 0.01 * p
             emb[ids] -= lr * 10 * w[:, None] * back[None, :]
     table = emb @ out
-    z = _mean(table, [(np.concatenate([bags[i] for i in held]) if len(held) else np.zeros(0, np.int64), np.concatenate([[0], np.cumsum([len(bags[i]) for i in held])]).astype(np.int64))], len(held)) + bias
+    z = np.array([bags[i][1] @ table[bags[i][0]] for i in held]).reshape(len(held), len(labels)) + bias
     best_t, threshold = 1.0, 0.0
     if len(held):
         losses = {t: -np.mean(np.log(np.maximum(_softmax(z / t)[np.arange(len(held)), y[held]], 1e-12))) for t in (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0)}

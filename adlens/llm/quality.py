@@ -70,9 +70,10 @@ def train(texts: list[str], labels: list[int], *, buckets: int = 1 << 18, epochs
     if len(set(labels)) < 2:
         share = (sum(labels) + 0.5) / (len(labels) + 1)
         return QualityModel(np.zeros(buckets), float(np.log(share / (1 - share))))
-    feature, value, at = rows(pa.array(texts, pa.large_string()), buckets)
-    bags = [_merged(feature[at[i] : at[i + 1]], value[at[i] : at[i + 1]]) for i in range(len(texts))]
-    bags = [(np.append(i, buckets), np.append(v, 1.0)) for i, v in bags]
+    bags = []
+    for text in texts:  # one at a time: a text's raw features are many times its size
+        ids, x = _merged(*rows(pa.array([text], pa.large_string()), buckets)[:2])
+        bags.append((np.append(ids, buckets).astype(np.int32), np.append(x, 1.0).astype(np.float32)))
     z, n = np.zeros(buckets + 1), np.zeros(buckets + 1)
     y = np.asarray(labels, float)
     rare = np.where(y == (y.mean() < 0.5), 0.5 / min(y.mean(), 1 - y.mean()), 0.5 / max(y.mean(), 1 - y.mean()))
