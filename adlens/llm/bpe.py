@@ -11,9 +11,10 @@ reads. Nothing is shuffled.
 """
 from __future__ import annotations
 
+import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,8 @@ from ._bytes import flat, parts, prefix, slices
 
 WINDOW, DIVISOR = 16, 512
 #: Bounds of a worker's caches: distinct stretches, their tokens, and the bytes of cached chunks.
-MOST_WORDS, MOST_TOKENS, MOST_CHUNK_BYTES = 400_000, 4_000_000, 24 << 20
+MOST_WORDS, MOST_TOKENS, MOST_CHUNK_BYTES = 500_000, 5_000_000, 16 << 20
+PART_BYTES = 1 << 20
 LINE = 40
 _SPLIT = re.compile(r"[ \n\r\t]+")
 _SPACE = frozenset(b" \n\r\t")
@@ -187,44 +189,60 @@ def _encoder(spec: str) -> ChunkEncoder:
     return _encoders[key]
 
 
-def encode(docs: DataFrame, tokenizer_json: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, ids array<int>. A null or empty text has no ids; whole texts are read, however long.
+def _decoder(spec: str) -> Callable[[list[int]], str]:
+    """The library's decode with special tokens kept: where the tokenizer names no decoder, its tokens joined by a space."""
+    if json.loads(spec).get("decoder") is None:
+        encoder = _encoder(spec)
+        if not hasattr(encoder, "table"):
+            encoder.table = [encoder.tokenizer.id_to_token(i) or "" for i in range(encoder.tokenizer.get_vocab_size(True))]
+        return lambda ids: " ".join(map(encoder.table.__getitem__, ids))
+    tokenizer = _encoder(spec).tokenizer
+    return lambda ids: tokenizer.decode(ids, skip_special_tokens=False)
 
-    ``tokenizer_json`` is the content of a ``tokenizers`` file whose tokens don't cross white space.
+
+def _decoded(column: pa.ListArray, decoder: Callable[[list[int]], str]) -> pa.Array:
+    offsets, values = column.offsets.to_pylist(), column.values
+    return pa.array(
+        [
+            decoder(values.slice(offsets[i], offsets[i + 1] - offsets[i]).to_numpy(zero_copy_only=False).tolist()) if valid else None
+            for i, valid in enumerate(column.is_valid().to_pylist())
+        ],
+        pa.string(),
+    )
+
+
+def encode(docs: DataFrame, tokenizer_json: str, *, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """One row per input row: id, ids array<int>, and with ``decoded`` the string that ``decode`` makes of them.
+
+    A null or empty text has no ids; whole texts are read, however long. ``tokenizer_json`` is the content of a ``tokenizers``
+    file whose tokens don't cross white space.
     """
     spec = docs.sparkSession.sparkContext.broadcast(tokenizer_json)  # a file of fixed size
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(spec.value)
+        decoder = _decoder(spec.value) if decoded else None
         for big in batches:
-            for batch in parts(big, "text", 4 << 20):
-                yield pa.RecordBatch.from_arrays([batch.column("id"), encoder.encode(batch.column("text"))], ["id", "ids"])
+            for batch in parts(big, "text", PART_BYTES):
+                ids = encoder.encode(batch.column("text"))
+                more = [_decoded(ids, decoder)] if decoder else []
+                yield pa.RecordBatch.from_arrays([batch.column("id"), ids, *more], ["id", "ids", *["decoded"] * len(more)])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    schema = f"id {kind}, ids array<int>" + ", decoded string" * decoded
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, tokenizer_json: str, *, ids_col: str = "ids") -> DataFrame:
-    """``encoded`` with the column ``decoded``: the library's decode with special tokens kept. Null ids give null.
-
-    Where the tokenizer names no decoder that is its tokens joined by a space, taken from a table; with one, the library decodes.
-    """
+    """``encoded`` with the column ``decoded``: the library's decode with special tokens kept. Null ids give null."""
     spec = encoded.sparkSession.sparkContext.broadcast(tokenizer_json)
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(spec.value).tokenizer
-        plain = encoder.decoder is None
-        table = [encoder.id_to_token(i) for i in range(encoder.get_vocab_size(True))] if plain else []
+        decoder = _decoder(spec.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                column = part.column(ids_col)
-                offsets, flat_ids = column.offsets.to_pylist(), column.values
-                out = []
-                for i, valid in enumerate(column.is_valid().to_pylist()):
-                    ids = flat_ids.slice(offsets[i], offsets[i + 1] - offsets[i]).to_numpy(zero_copy_only=False).tolist() if valid else []
-                    out.append(None if not valid else " ".join(map(table.__getitem__, ids)) if plain else encoder.decode(ids, skip_special_tokens=False))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], [*part.schema.names, "decoded"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([*part.columns, _decoded(part.column(ids_col), decoder)], [*part.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, schema)
