@@ -5,8 +5,6 @@ has the class of the character that it is part of.
 """
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
@@ -63,19 +61,20 @@ def words(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tuple[np
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
-@lru_cache(maxsize=8)
-def _powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    base = _BASE[seed]
-    both = []
-    for b in (base, pow(base, -1, 2**64)):
-        p = np.full(n, b, _U)
-        p[0] = 1
-        both.append(np.multiply.accumulate(p))
-    return both[0], both[1]
+_held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _room(n: int) -> int:
-    return 1 << max(16, int(n).bit_length())
+def _powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``n`` powers of the seed's base and of its inverse; the longest that were asked for are kept."""
+    if seed not in _held or len(_held[seed][0]) < n:
+        room = 1 << max(16, (n - 1).bit_length())
+        both = []
+        for b in (_BASE[seed], pow(_BASE[seed], -1, 2**64)):
+            p = np.full(room, b, _U)
+            p[0] = 1
+            both.append(np.multiply.accumulate(p, out=p))
+        _held[seed] = both[0], both[1]
+    return _held[seed]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -91,7 +90,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 def prefix(values: np.ndarray, seed: int = 1) -> np.ndarray:
     """Prefix sums from which ``slices`` hashes any slice; ``values`` are uint64."""
     n = len(values)
-    up, _ = _powers(seed, _room(n))
+    up, _ = _powers(seed, n + 1)
     out = np.zeros(n + 1, _U)
     np.cumsum(values * up[:n], out=out[1:])
     return out
@@ -99,7 +98,7 @@ def prefix(values: np.ndarray, seed: int = 1) -> np.ndarray:
 
 def slices(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
     """Polynomial hash mod 2 ** 64 of each slice, mixed; equal slices have equal hashes wherever they are."""
-    _, down = _powers(seed, _room(len(sums) - 1))
+    _, down = _powers(seed, len(sums))
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 

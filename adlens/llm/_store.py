@@ -32,4 +32,4 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def size_of(spark: SparkSession, df: DataFrame) -> int:
     """Bytes that the optimizer knows the relation to have; files are measured, not guessed."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, exact_dedup, langid, quality, url_filter
+from . import bpe, decontam, exact_dedup, langid, quality, substring_dedup, suffix_dedup, url_filter
 
 #: Fixed rules: verdict, host, path.
 URL_RULES = (
@@ -38,9 +38,7 @@ def tokenizer_json() -> str:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec = tokenizer_json()
-    ids = bpe.encode(_table(spark, sf_dir, "documents"), spec)
-    return bpe.decode(ids, spec).select(
+    return bpe.encode(_table(spark, sf_dir, "documents"), tokenizer_json(), decoded=True).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
@@ -74,6 +72,16 @@ def contaminated():
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), width=50)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.dedup_batch(_table(spark, sf_dir, "documents"), width=50)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def quality_model(docs: DataFrame, labels: DataFrame) -> quality.QualityModel:
     return quality.train(*quality.labelled_sample(docs, labels.where(remainder(4) != 2), per_label=PER_LABEL))
 
@@ -95,7 +103,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_exact_dedup": op4_exact_dedup,
         "op5_url_filter": op5_url_filter,
         "op6_decontam": op6_decontam,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op9_quality": op9_quality,
+        "op10_substring_dedup": op10_substring_dedup,
         "pipeline": corpus_pipeline.run,
     }
 
