@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, exact_dedup, langid, quality, substring_dedup, suffix_dedup, url_filter
+from . import bpe, decontam, exact_dedup, langid, ngram_join, quality, substring_dedup, suffix_dedup, url_filter
 
 #: Fixed rules: verdict, host, path.
 URL_RULES = (
@@ -77,6 +77,10 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(_table(spark, sf_dir, "documents"), n=5, percent=80)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.dedup_batch(_table(spark, sf_dir, "documents"), width=50)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -104,6 +108,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_url_filter": op5_url_filter,
         "op6_decontam": op6_decontam,
         "op7_suffix_dedup": op7_suffix_dedup,
+        "op8_ngram_join": op8_ngram_join,
         "op9_quality": op9_quality,
         "op10_substring_dedup": op10_substring_dedup,
         "pipeline": corpus_pipeline.run,

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlens.llm import bpe, decontam, exact_dedup, quality
+from adlens.llm import bpe, decontam, exact_dedup, ngram_join, quality
 from adlens.llm._store import stored
 from adlens.llm.queries import contaminated, quality_model, tokenizer_json
 
@@ -29,6 +29,12 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _keep(docs, exact_dedup.exact_dedup(docs).where("kept").select("doc_id"))
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of similar documents the one with the least id stays."""
+    found = ngram_join.ngram_components(docs)
+    return _keep(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
+
+
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _keep(docs, found.where(~contaminated()).select("doc_id"))
@@ -42,6 +48,7 @@ def tokenize_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("quality classifier", quality_stage),
     ("exact dedup", exact_stage),
+    ("n-gram Jaccard join", near_stage),
     ("benchmark decontamination", decontaminate_stage),
     ("BPE encoding and decoding", tokenize_stage),
 ]
