@@ -31,7 +31,7 @@ from ._store import size_of, stored
 _U = np.uint64
 LAST = np.iinfo(np.int64).max
 PACKED = "place int, what int, blob binary"
-PART_BYTES, BIN_BYTES = 4 << 20, 8 << 20
+PART_BYTES, BIN_BYTES = 2 << 20, 2 << 20
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -109,7 +109,7 @@ class Plan:
         if not 0 < k <= width:
             raise ValueError("k must be from 1 to width")
         self.symbols, self.width, self.k = symbols, width, k
-        self.places = int(min(1 << 16, max(64, size_of(docs.sparkSession, docs.select(text_col)) // BIN_BYTES)))
+        self.places = int(max(64, size_of(docs.sparkSession, docs.select(text_col)) // BIN_BYTES))
         text = F.coalesce(F.col(text_col), F.lit(""))
         # A null id comes after all others. Rows are known by a hash of id and text, so repeated ids with different texts stay apart.
         rank = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
@@ -207,7 +207,7 @@ def packed_docs(plan: Plan) -> DataFrame:
             for batch in parts(big, "text", PART_BYTES):
                 held.append(batch)
                 size += batch.nbytes
-                if size >= 6 * PART_BYTES:
+                if size >= 12 * PART_BYTES:
                     yield from flush(held)
                     held, size = [], 0
         if held:

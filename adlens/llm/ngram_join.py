@@ -195,23 +195,34 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (owner, ANCHOR, blob of n-grams' differences, tags, which, place in the set)."""
+
+        def flush(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+            h, tag, where = (np.concatenate(x) for x in zip(*held, strict=True))
+            place, blobs = [], []
+            for p, i in R._split(plan.owner(h), (h,)):
+                kept, which = np.unique(tag[i], return_inverse=True)
+                place.append(p)
+                blobs.append(R.pack(np.diff(h[i], prepend=_U(0)), kept, which.astype(np.uint16 if len(kept) < 1 << 16 else np.uint32), where[i]))
+            return R._rows(place, R.ANCHOR, blobs)
+
+        held: list[list[np.ndarray]] = []
+        size = 0
         for big in batches:
-            for batch in R.parts(big, "text", 2 * R.PART_BYTES):
+            for batch in R.parts(big, "text", R.PART_BYTES):
                 h, at = shingles(*R.flat(batch.column("text")))
-                tag, size = batch.column("tag").to_numpy(), np.diff(at)
+                tag, n_docs = batch.column("tag").to_numpy(), batch.num_rows
                 # Of equal sets in a batch one is counted.
-                keep = np.zeros(len(size), bool)
+                keep = np.zeros(n_docs, bool)
                 keep[np.unique(_signature(h, at), return_index=True)[1]] = True
                 doc = owner(at)
-                where = np.arange(len(h)) - at[doc]
                 use = keep[doc]
-                h, doc, where = h[use], doc[use], where[use]
-                place, blobs = [], []
-                for p, i in R._split(plan.owner(h), (h,)):
-                    kept, which = np.unique(doc[i], return_inverse=True)
-                    place.append(p)
-                    blobs.append(R.pack(np.diff(h[i], prepend=_U(0)), tag[kept], which.astype(np.uint16 if len(kept) < 1 << 16 else np.uint32), where[i].astype(np.uint32)))
-                yield R._rows(place, R.ANCHOR, blobs)
+                held.append([h[use], tag[doc[use]], (np.arange(len(h)) - at[doc])[use].astype(np.uint32)])
+                size += int(use.sum())
+                if size >= 1 << 20:
+                    yield flush(held)
+                    held, size = [], 0
+        if size:
+            yield flush(held)
 
     def frequencies(table: pa.Table) -> pa.Table:
         """Rows (bin, VERDICT, blob of tags, which, place, frequency) of n-grams that more than one document has."""
