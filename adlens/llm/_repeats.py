@@ -10,8 +10,8 @@ offsets, so windows need to be compared only with those of the same anchor hash,
 3. ``contexts`` of the latter go to the same owners, where a resolver decides window by window.
 4. Verdicts return to the documents' bins, where the covered symbols are marked.
 
-Records travel as compressed blobs, one for each task and owner or bin, so that a frequent anchor costs a few bytes a record. Both
-comparisons use 128 bits. Bins and owners grow in number with the input, so what one of them holds does not; an anchor that
+Records travel as compressed blobs, one for each task and owner or bin, so that a frequent anchor costs a few bytes a record. Contexts
+are compared by 96 bits, and those of step 3 window by window. Bins and owners grow in number with the input, so what one of them holds does not; an anchor that
 a large share of all documents has is combined in each task before it is sent: of equal contexts only the two least
 documents decide, the other records come back to their own task's documents by the same blob.
 """
@@ -30,18 +30,22 @@ from ._store import size_of, stored
 
 _U = np.uint64
 LAST = np.iinfo(np.int64).max
+#: Records carry 48 bits of either hash: a pair is taken as equal by 96.
+KEPT_ANCHOR, KEPT_CONTEXT = _U(0xFFFFFFFFFFFF0000), _U(0x0000FFFFFFFFFFFF)
 PACKED = "place int, what int, blob binary"
-PART_BYTES, BIN_BYTES = 2 << 20, 2 << 20
+PART_BYTES, BIN_BYTES = 1 << 19, 2 << 20
+#: Records, and bytes of texts, that a task gathers before it packs them.
+HELD_RECORDS, HELD_BYTES = 1 << 18, 8 << 20
 
 
-def pack(*arrays: np.ndarray) -> bytes:
+def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays as one compressed blob; bytes of equal significance lie together."""
     out = []
     for a in arrays:
         a = np.ascontiguousarray(a)
         raw = a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() if len(a) else b""
         out += [a.dtype.char.encode(), len(a).to_bytes(8, "little"), raw]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
+    return zstandard.ZstdCompressor(level=level).compress(b"".join(out))
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
@@ -113,7 +117,10 @@ class Plan:
         text = F.coalesce(F.col(text_col), F.lit(""))
         # A null id comes after all others. Rows are known by a hash of id and text, so repeated ids with different texts stay apart.
         rank = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
-        self.base = docs.select(rank.alias("rank"), text.alias("text")).select("rank", F.xxhash64("rank", "text").alias("tag"), "text")
+        # The tag leads with the id, so that sorted tags of neighbours compress.
+        low = F.lit((1 << 32) - 1)
+        tag = F.shiftleft(F.col("rank").bitwiseAND(F.lit((1 << 31) - 1)), 32).bitwiseOR(F.xxhash64("rank", "text").bitwiseAND(low))
+        self.base = docs.select(rank.alias("rank"), text.alias("text")).select("rank", tag.alias("tag"), "text")
 
     def __getstate__(self):  # what the executors need
         return {k: v for k, v in self.__dict__.items() if k != "base"}
@@ -172,13 +179,14 @@ def packed_anchors(plan: Plan, with_windows: bool = False) -> DataFrame:
                 data, offsets = flat(batch.column("text"))
                 sym, at = symbols(data, offsets)
                 sums, a, place, first, last = anchors(sym, at, width, k)
+                a, c = a & KEPT_ANCHOR, context_hash(sums, place, first, last, width) & KEPT_CONTEXT
                 doc = np.searchsorted(at, place, "right") - 1
                 rank, tag = batch.column("rank").to_numpy(), batch.column("tag").to_numpy()
-                held.append([a, context_hash(sums, place, first, last, width), rank[doc], tag[doc], first - at[doc], place - first, last - first + 1])
+                held.append([a, c, rank[doc], tag[doc], (first - at[doc]).astype(np.uint32), (place - first).astype(np.uint16), (last - first + 1).astype(np.uint16)])
                 if with_windows:
                     hashes.append(window_hashes(sums, first, last, width)[0])
                 size += len(a)
-                if size >= 1 << 20:
+                if size >= HELD_RECORDS:
                     yield from flush(held, hashes)
                     held, hashes, size = [], [], 0
         if size:
@@ -198,7 +206,7 @@ def packed_docs(plan: Plan) -> DataFrame:
         for p, i in _split(plan.bin(tag)):
             texts = np.concatenate([data[offsets[j] : offsets[j + 1]] for j in i.tolist()])
             place.append(p)
-            blobs.append(pack(rank[i], tag[i], (offsets[i + 1] - offsets[i]), texts))
+            blobs.append(pack(rank[i], tag[i], (offsets[i + 1] - offsets[i]), texts, level=3))
         yield _rows(place, DOCS, blobs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +215,7 @@ def packed_docs(plan: Plan) -> DataFrame:
             for batch in parts(big, "text", PART_BYTES):
                 held.append(batch)
                 size += batch.nbytes
-                if size >= 12 * PART_BYTES:
+                if size >= HELD_BYTES:
                     yield from flush(held)
                     held, size = [], 0
         if held:

@@ -218,7 +218,7 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 use = keep[doc]
                 held.append([h[use], tag[doc[use]], (np.arange(len(h)) - at[doc])[use].astype(np.uint32)])
                 size += int(use.sum())
-                if size >= 1 << 20:
+                if size >= 2 * R.HELD_RECORDS:
                     yield flush(held)
                     held, size = [], 0
         if size:
