@@ -33,7 +33,7 @@ LAST = np.iinfo(np.int64).max
 #: Records carry 48 bits of either hash: a pair is taken as equal by 96.
 KEPT_ANCHOR, KEPT_CONTEXT = _U(0xFFFFFFFFFFFF0000), _U(0x0000FFFFFFFFFFFF)
 PACKED = "place int, what int, blob binary"
-PART_BYTES, BIN_BYTES = 1 << 19, 2 << 20
+PART_BYTES, BIN_BYTES, OWNER_BYTES = 1 << 19, 2 << 20, 6 << 20
 #: Records, and bytes of texts, that a task gathers before it packs them.
 HELD_RECORDS, HELD_BYTES = 1 << 18, 8 << 20
 
@@ -113,7 +113,8 @@ class Plan:
         if not 0 < k <= width:
             raise ValueError("k must be from 1 to width")
         self.symbols, self.width, self.k = symbols, width, k
-        self.places = int(max(64, size_of(docs.sparkSession, docs.select(text_col)) // BIN_BYTES))
+        size = size_of(docs.sparkSession, docs.select(text_col))
+        self.bins, self.owners = int(max(64, size // BIN_BYTES)), int(max(64, size // OWNER_BYTES))
         text = F.coalesce(F.col(text_col), F.lit(""))
         # A null id comes after all others. Rows are known by a hash of id and text, so repeated ids with different texts stay apart.
         rank = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
@@ -126,16 +127,20 @@ class Plan:
         return {k: v for k, v in self.__dict__.items() if k != "base"}
 
     def owner(self, a: np.ndarray) -> np.ndarray:
-        return ((a >> _U(32)) * _U(self.places) >> _U(32)).astype(np.int64)
+        return ((a >> _U(32)) * _U(self.owners) >> _U(32)).astype(np.int64)
 
     def bin(self, tag: np.ndarray) -> np.ndarray:
-        return ((mix(tag.view(_U)) >> _U(32)) * _U(self.places) >> _U(32)).astype(np.int64)
+        return ((mix(tag.view(_U)) >> _U(32)) * _U(self.bins) >> _U(32)).astype(np.int64)
 
 
 def _rows(place: list[int], what: int, blobs: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), pa.array([what] * len(place), pa.int32()), pa.array(blobs, pa.binary())], ["place", "what", "blob"])
 
 
+def _rows_table(place: list[int], what: int, blobs: list[bytes]) -> pa.Table:
+    return pa.Table.from_batches([_rows(place, what, blobs)])
+
+
 def _split(where: np.ndarray, order_by: tuple[np.ndarray, ...] = ()) -> Iterator[tuple[int, np.ndarray]]:
     """Rows of each place, ordered by ``order_by`` within it."""
     if not len(where):

@@ -1,6 +1,7 @@
 """N-gram Jaccard join on a prefix tree, and the components of its links.
 
-1. Every document's set of word n-grams is ordered by document frequency, rarest first, with ties by hash. Two sets can only be as
+0. Two fifths of all n-grams, by hash, are counted. A document of which too few of these are in a second document has no partner.
+1. The set of word n-grams of each one left is ordered by document frequency, rarest first, with ties by hash. Two sets can only be as
    similar as asked if they share an n-gram of their prefixes, so a document whose prefix holds n-grams of its own alone has
    no partner.
 2. Documents that share a prefix n-gram, neighbours by size in its list, are joined into candidate groups: as many edges as list
@@ -29,6 +30,8 @@ from ._store import stored
 
 _U = np.uint64
 CLASS, POSTING, SET = 10, 11, 12
+#: N-grams whose hash is below this, two fifths of all, decide which documents can have a partner.
+SAMPLE = _U(2**64 * 2 // 5)
 
 
 class Shingles:
@@ -193,36 +196,92 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = rows.where("n > 0").groupBy("sig", "n").agg(F.min(F.struct("rank", "tag")).alias("least"))
     reps = stored(classes.select(F.col("least.tag").alias("tag"), "sig", "n"), "classes")
 
+    def flushed(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        h, tag, *more = (np.concatenate(x) for x in zip(*held, strict=True))
+        place, blobs = [], []
+        for p, i in R._split(plan.owner(h), (h,)):
+            kept, which = np.unique(tag[i], return_inverse=True)
+            place.append(p)
+            blobs.append(R.pack(np.diff(h[i], prepend=_U(0)), kept, which.astype(np.uint16 if len(kept) < 1 << 16 else np.uint32), *(x[i] for x in more)))
+        return R._rows(place, R.ANCHOR, blobs)
+
+    def gathered(found: Iterator[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for arrays in found:
+            held.append(arrays)
+            if sum(len(x[0]) for x in held) >= 2 * R.HELD_RECORDS:
+                yield flushed(held)
+                held = []
+        if any(len(x[0]) for x in held):
+            yield flushed(held)
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (owner, ANCHOR, blob of n-grams' differences, tags, which) of the n-grams whose hash is in the sample."""
+
+        def found() -> Iterator[list[np.ndarray]]:
+            for big in batches:
+                for batch in R.parts(big, "text", R.PART_BYTES):
+                    h, at = shingles(*R.flat(batch.column("text")))
+                    tag = batch.column("tag").to_numpy()
+                    keep = np.zeros(batch.num_rows, bool)  # of equal sets in a batch one is counted
+                    keep[np.unique(_signature(h, at), return_index=True)[1]] = True
+                    doc = owner(at)
+                    use = keep[doc] & (h < SAMPLE)
+                    yield [h[use] & R.KEPT_ANCHOR, tag[doc[use]]]
+
+        return gathered(found())
+
+    def shared_counts(table: pa.Table) -> pa.Table:
+        """Rows (bin, VERDICT, blob of tags and their numbers of sampled n-grams that more than one document has)."""
+        found = R._by_what(table, R.ANCHOR)
+        h = np.concatenate([np.zeros(0, _U), *(np.cumsum(x[0], dtype=_U) for x in found)])
+        tag = np.concatenate([np.zeros(0, np.int64), *(x[1][x[2]] for x in found)])
+        order = np.argsort(h, kind="stable")
+        h, tag = h[order], tag[order]
+        same = h[1:] == h[:-1]
+        many = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(h) else np.zeros(0, bool)
+        tags, count = np.unique(tag[many], return_counts=True)
+        place, blobs = [], []
+        for p, i in R._split(plan.bin(tags)):
+            place.append(p)
+            blobs.append(R.pack(tags[i], count[i].astype(np.uint32)))
+        return pa.table([pa.array(place, pa.int32()), pa.array([R.VERDICT] * len(place), pa.int32()), pa.array(blobs, pa.binary())], names=["place", "what", "blob"])
+
+    def survivors(table: pa.Table) -> pa.Table:
+        """One packed row of the bin's class representatives that may have a partner.
+
+        A partner lacks at most size - ceil(size * percent / 100) of a set's n-grams, so of the sampled ones all but so many are
+        in a second document.
+        """
+        here = R.Bin(table, plan)
+        found = R._by_what(table, R.VERDICT)
+        tag = np.concatenate([np.zeros(0, np.int64), *(x[0] for x in found)])
+        count = np.concatenate([np.zeros(0, np.uint32), *(x[1] for x in found)])
+        shared = np.zeros(len(here.tag), np.int64)
+        record, doc = here.rows(tag)
+        np.add.at(shared, doc, count[record])
+        size = np.diff(here.at)
+        in_sample = np.bincount(owner(here.at), here.symbols < SAMPLE, len(size)).astype(np.int64) if len(size) else size
+        reps = np.concatenate([np.zeros(0, np.int64), *(x[0] for x in R._by_what(table, CLASS))])
+        first = np.zeros(len(size), bool)
+        first[np.unique(here.tag, return_index=True)[1]] = True
+        keep = np.flatnonzero(first & np.isin(here.tag, reps) & (size > 0) & (shared >= in_sample - (prefix_length(size, percent) - 1)))
+        texts = [here.data[here.offsets[d] : here.offsets[d + 1]] for d in keep.tolist()]
+        blob = R.pack(here.rank[keep], here.tag[keep], np.diff(here.offsets)[keep], np.concatenate([np.zeros(0, np.uint8), *texts]), level=3)
+        return R._rows_table([int(table.column("place")[0].as_py())] if len(keep) else [], R.DOCS, [blob] if len(keep) else [])
+
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (owner, ANCHOR, blob of n-grams' differences, tags, which, place in the set)."""
+        """Rows (owner, ANCHOR, blob of n-grams' differences, tags, which, place in the set) of packed documents."""
 
-        def flush(held: list[list[np.ndarray]]) -> pa.RecordBatch:
-            h, tag, where = (np.concatenate(x) for x in zip(*held, strict=True))
-            place, blobs = [], []
-            for p, i in R._split(plan.owner(h), (h,)):
-                kept, which = np.unique(tag[i], return_inverse=True)
-                place.append(p)
-                blobs.append(R.pack(np.diff(h[i], prepend=_U(0)), kept, which.astype(np.uint16 if len(kept) < 1 << 16 else np.uint32), where[i]))
-            return R._rows(place, R.ANCHOR, blobs)
+        def found() -> Iterator[list[np.ndarray]]:
+            for batch in batches:
+                for blob in batch.column("blob").to_pylist():
+                    _, tag, sizes, data = R.unpack(blob)
+                    h, at = shingles(data, np.concatenate([[0], np.cumsum(sizes)]))
+                    doc = owner(at)
+                    yield [h & R.KEPT_ANCHOR, tag[doc], (np.arange(len(h)) - at[doc]).astype(np.uint32)]
 
-        held: list[list[np.ndarray]] = []
-        size = 0
-        for big in batches:
-            for batch in R.parts(big, "text", R.PART_BYTES):
-                h, at = shingles(*R.flat(batch.column("text")))
-                tag, n_docs = batch.column("tag").to_numpy(), batch.num_rows
-                # Of equal sets in a batch one is counted.
-                keep = np.zeros(n_docs, bool)
-                keep[np.unique(_signature(h, at), return_index=True)[1]] = True
-                doc = owner(at)
-                use = keep[doc]
-                held.append([h[use], tag[doc[use]], (np.arange(len(h)) - at[doc])[use].astype(np.uint32)])
-                size += int(use.sum())
-                if size >= 2 * R.HELD_RECORDS:
-                    yield flush(held)
-                    held, size = [], 0
-        if size:
-            yield flush(held)
+        return gathered(found())
 
     def frequencies(table: pa.Table) -> pa.Table:
         """Rows (bin, VERDICT, blob of tags, which, place, frequency) of n-grams that more than one document has."""
@@ -257,7 +316,6 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     def order_sets(table: pa.Table) -> pa.Table:
         """Rows POSTING (owner: n-gram, size, tag) and SET (tag: n-grams in order, frequencies) of documents that may have partners."""
         here = R.Bin(table, plan)
-        reps = np.unique(np.concatenate([np.zeros(0, np.int64), *(x[0] for x in R._by_what(table, CLASS))]))
         found = R._by_what(table, R.VERDICT)
         tag = np.concatenate([np.zeros(0, np.int64), *(x[0][x[1]] for x in found)])
         where = np.concatenate([np.zeros(0, np.int64), *(x[2] for x in found)]).astype(np.int64)
@@ -265,12 +323,11 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         df = np.ones(len(here.symbols), np.int64)
         record, doc = here.rows(tag)
         df[here.at[doc] + where[record]] = count[record]
-        known, one = np.unique(here.tag, return_index=True)
         size = np.diff(here.at)
         shared = np.concatenate([[0], np.cumsum(df > 1)])
         out = {"place": [], "what": [], "tag": [], "blob": []}
         posts: list[list[np.ndarray]] = []
-        for d in one[np.isin(known, reps)].tolist():
+        for d in range(len(size)):
             a, b = int(here.at[d]), int(here.at[d + 1])
             alone = size[d] - int(shared[b] - shared[a])
             p = int(prefix_length(size[d], percent))
@@ -304,7 +361,9 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         pairs = np.unique(np.stack([t[:-1][ok], t[1:][ok]]), axis=1)
         return pa.table([pa.array(pairs[0]), pa.array(pairs[1])], names=["src", "dst"])
 
-    freq = R.packed_docs(plan).unionAll(plan.base.mapInArrow(tokens, R.PACKED).groupBy("place").applyInArrow(frequencies, R.PACKED)).unionAll(reps.select("tag").mapInArrow(chosen, R.PACKED))
+    counted = plan.base.mapInArrow(sampled, R.PACKED).groupBy("place").applyInArrow(shared_counts, R.PACKED)
+    left = stored(R.packed_docs(plan).unionAll(counted).unionAll(reps.select("tag").mapInArrow(chosen, R.PACKED)).groupBy("place").applyInArrow(survivors, R.PACKED), "survivors")
+    freq = left.unionAll(left.mapInArrow(tokens, R.PACKED).groupBy("place").applyInArrow(frequencies, R.PACKED))
     ordered = stored(freq.groupBy("place").applyInArrow(order_sets, "place int, what int, tag long, blob binary"), "ordered")
     edges = ordered.where(F.col("what") == POSTING).select("place", "blob").groupBy("place").applyInArrow(neighbours, "src long, dst long")
     groups = stored(components(edges), "groups")
@@ -318,7 +377,7 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     other = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
     spread = member.withColumn("mine", mine).withColumn("other", other)
     spread = spread.select("tag", "blob", "label", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "members")
-    tasks = spread.withColumn("task", F.pmod(F.xxhash64("label", "i", "j"), F.lit(4 * plan.places))).select("task", "label", "i", "j", "tag", "blob")
+    tasks = spread.withColumn("task", F.pmod(F.xxhash64("label", "i", "j"), F.lit(4 * plan.bins))).select("task", "label", "i", "j", "tag", "blob")
 
     def join(table: pa.Table) -> pa.Table:
         label, i, j, tag = (table.column(c).to_numpy() for c in ("label", "i", "j", "tag"))
