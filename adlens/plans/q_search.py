@@ -20,11 +20,11 @@ def _page(where: str, order: str, limit: int, offset: int, extra: str = "") -> s
 
 
 def _show(df, *extra):
-    return df.select("rank", "id", "title", F.col("price").cast("double").alias("price"), "listed_at", *extra)
+    return df.select(F.col("rank").cast("long").alias("rank"), "id", "title", F.col("price").cast("double").alias("price"), "listed_at", *extra)
 
 
-def _search(q: ListingQuery, *extra):
-    return lambda spark, d: _show(S.search(listing(spark, d), q), *extra)
+def _search(q: ListingQuery, *extra: str):
+    return lambda spark, d: _show(S.search(listing(spark, d), q), *map(F.expr, extra))
 
 
 _ACTIVE = "is_active"
@@ -54,7 +54,7 @@ LAT, LON, KM = 30.05, 31.24, 250.0
 _BOX = bounding_box(LAT, LON, KM)
 _DIST = f"(2 * 6371.0088 * asin(sqrt(pow(sin(radians(CAST(latitude AS DOUBLE) - {LAT}) / 2), 2) + cos(radians({LAT})) * cos(radians(CAST(latitude AS DOUBLE))) * pow(sin(radians(CAST(longitude AS DOUBLE) - {LON}) / 2), 2))))"
 _GEO = ListingQuery(latitude=LAT, longitude=LON, radius_km=KM, sort="distance", limit=40)
-query("search_radius", _page(f"{_ACTIVE} AND {_DIST} <= {KM}", f"{_DIST} ASC, id", 40, 0, f", round({_DIST}, 6) AS distance_km"))(_search(_GEO, F.round("distance_km", 6).alias("distance_km")))
+query("search_radius", _page(f"{_ACTIVE} AND {_DIST} <= {KM}", f"{_DIST} ASC, id", 40, 0, f", round({_DIST}, 6) AS distance_km"))(_search(_GEO, "round(distance_km, 6) AS distance_km"))
 
 
 @query("search_radius_total", f"{_V} SELECT count(*) AS total, count(*) > 40 AS has_more FROM listing WHERE {_ACTIVE} AND {_DIST} <= {KM}")
@@ -101,4 +101,4 @@ def documents_rotation(spark, d):
 
     order = S.rotation(None, "graph_version")
     top = _docs(spark, d).orderBy(*order).limit(100)
-    return top.select(F.row_number().over(Window.orderBy(*order)).alias("rank"), "id")
+    return top.select(F.row_number().over(Window.orderBy(*order)).cast("long").alias("rank"), "id")
