@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import flat, mix, parts, prefix, slices
-from ._store import size_of, stored
+from ._store import bounded_batches, size_of, stored
 
 _U = np.uint64
 LAST = np.iinfo(np.int64).max
@@ -113,6 +113,7 @@ class Plan:
         if not 0 < k <= width:
             raise ValueError("k must be from 1 to width")
         self.symbols, self.width, self.k = symbols, width, k
+        bounded_batches(docs.sparkSession)
         size = size_of(docs.sparkSession, docs.select(text_col))
         self.bins, self.owners = int(max(64, size // BIN_BYTES)), int(max(64, size // OWNER_BYTES))
         text = F.coalesce(F.col(text_col), F.lit(""))

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._bytes import flat, parts, prefix, slices
+from ._store import bounded_batches
 
 WINDOW, DIVISOR = 16, 512
 #: Bounds of a worker's caches: distinct stretches, their tokens, and the bytes of cached chunks.
@@ -217,6 +218,7 @@ def encode(docs: DataFrame, tokenizer_json: str, *, id_col: str = "doc_id", text
     A null or empty text has no ids; whole texts are read, however long. ``tokenizer_json`` is the content of a ``tokenizers``
     file whose tokens don't cross white space.
     """
+    bounded_batches(docs.sparkSession)
     spec = docs.sparkSession.sparkContext.broadcast(tokenizer_json)  # a file of fixed size
     kind = docs.schema[id_col].dataType.simpleString()
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import ALNUM, flat, owner, parts, prefix, slices, word_hashes, words
+from ._store import bounded_batches
 
 SHARD_BYTES = 4 << 20
 
@@ -200,6 +201,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     window. A null item id is written as an empty string; items that repeat an id count as one.
     """
     spark = docs.sparkSession
+    bounded_batches(docs.sparkSession)
     tests = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("name"), F.col(item_text_col).alias("words")).where("words is not null")
     total = tests.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import LOWER, flat, mix, parts
+from ._store import bounded_batches
 
 _LETTER = regex.compile(r"\p{L}")
 
@@ -120,6 +121,7 @@ def predict(docs: DataFrame, model: LangModel, *, id_col: str = "doc_id", text_c
     ``und`` with score 0 for a null text, one without a letter, or an empty model. ``rejected`` says that the score is below
     the calibrated threshold; ``lang_pred`` still has the best guess. Whole texts are read, however long.
     """
+    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # buckets x labels numbers, whatever the input
 
     def run(batches):

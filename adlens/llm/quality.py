@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import NOT_SPACE, flat, mix, owner, parts, word_hashes, words
+from ._store import bounded_batches
 
 
 @dataclass(frozen=True)
@@ -105,6 +106,7 @@ def scores(texts: pa.Array, model: QualityModel) -> np.ndarray:
 
 def score(docs: DataFrame, model: QualityModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, score. Null and empty texts get the model's bias. Whole texts are read."""
+    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights, whatever the input
 
     def run(batches):
