@@ -5,6 +5,8 @@ has the class of the character that it is part of.
 """
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
@@ -12,6 +14,18 @@ import pyarrow.compute
 _U = np.uint64
 
 
+def _lean_heap() -> None:
+    """Have glibc map arrays of a megabyte and more, so that freeing them gives the memory back at once."""
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):
+        trim_threshold, mmap_threshold = -1, -3
+        libc.mallopt(mmap_threshold, 1 << 20)
+        libc.mallopt(trim_threshold, 1 << 20)
+
+
+_lean_heap()
+
+
 def _fixed_random(seed: int, n: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).integers(0, 2**64, n, dtype=_U)
 

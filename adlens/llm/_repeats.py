@@ -33,7 +33,7 @@ LAST = np.iinfo(np.int64).max
 #: Records carry 48 bits of either hash: a pair is taken as equal by 96.
 KEPT_ANCHOR, KEPT_CONTEXT = _U(0xFFFFFFFFFFFF0000), _U(0x0000FFFFFFFFFFFF)
 PACKED = "place int, what int, blob binary"
-PART_BYTES, BIN_BYTES, OWNER_BYTES = 1 << 19, 2 << 20, 6 << 20
+PART_BYTES, BIN_BYTES, OWNER_BYTES = 1 << 19, 1 << 20, 6 << 20
 #: Records, and bytes of texts, that a task gathers before it packs them.
 HELD_RECORDS, HELD_BYTES = 1 << 18, 8 << 20
 
@@ -305,6 +305,18 @@ def judge(plan: Plan, packed: DataFrame) -> DataFrame:
     return packed.groupBy("place").applyInArrow(run, PACKED)
 
 
+def in_slices(symbols: Symbols, data: np.ndarray, offsets: np.ndarray, most: int = PART_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """``symbols`` of documents a few at a time: what it needs on the way is many times their size."""
+    found, counts, at = [np.zeros(0, _U)], [np.zeros(1, np.int64)], 0
+    while at < len(offsets) - 1:
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+        got, edge = symbols(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at])
+        found.append(got)
+        counts.append(np.diff(edge))
+        at = end
+    return np.concatenate(found), np.cumsum(np.concatenate(counts))
+
+
 class Bin:
     """The documents of one bin, as flat bytes, and what was found of them."""
 
@@ -314,7 +326,7 @@ class Bin:
         self.rank, self.tag = cat(0, np.int64), cat(1, np.int64)
         self.data = cat(3, np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum(cat(2, np.int64))])
-        self.symbols, self.at = plan.symbols(self.data, self.offsets)
+        self.symbols, self.at = in_slices(plan.symbols, self.data, self.offsets)
         self.order = np.argsort(self.tag, kind="stable")
         self.tags = self.tag[self.order]
 

@@ -37,10 +37,10 @@ def size_of(spark: SparkSession, df: DataFrame) -> int:
 
 
 def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
-    """Hand texts to Python workers in Arrow batches of at most ``most`` bytes or one row; the default is 64 MB on either side."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(name, "67108864b")
-    unit = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
-    size = int(now) if now.lstrip("-").isdigit() else int(now.rstrip("bB")[:-1]) * unit[now.rstrip("bB")[-1].lower()] if not now.rstrip("bB").isdigit() else int(now.rstrip("bB"))
-    if size <= 0 or size > most:
+    """Hand texts to Python workers in Arrow batches of at most ``most`` bytes or one row, in place of Spark's 64 MB.
+
+    A session that names another bound keeps it.
+    """
+    name, default = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+    if spark.conf.get(name, default) == default:
         spark.conf.set(name, f"{most}b")
