@@ -4,8 +4,9 @@ Two lines within ``edits`` edits agree in at least one of ``edits`` + 1 segments
 segment number, segment); each line probes the lengths that it may match with the substrings that can align with each segment
 (both the left and the right side must be able to spend their edits). A match is verified by the banded edit distance.
 
-Keys that many lines share don't pair their lines. Such lines are joined again by what is left of them without the segment, under
-the same key: that rest must be within the same number of edits, so it has an equal segment too. ``depth`` such steps are made.
+Lines are cut as UTF-32, where a character's place is known without reading what is before it. An edit changes the counts of two
+characters at most by one, so lines whose counts in ``CLASSES`` classes of characters differ by more than twice the edits can't match:
+keys that more than ``most`` lines share pair only those that pass this test.
 
 Spark's ``levenshtein`` with a threshold fills a band of the distance table; it has no bit-parallel form.
 """
@@ -17,82 +18,82 @@ from pyspark.sql import functions as F
 from ._graph import components
 from ._store import stored
 
+CLASSES = 16
+#: Ids up to this many are broadcast to find their lines; beyond it lines and ids are shuffled.
+MOST_BROADCAST = 400_000
 
-def _start(length: Column, i: int, parts: int) -> Column:
-    """0-based start of segment ``i`` of an even partition; the longer segments come last."""
-    base, rest = F.floor(length / parts), length % parts
-    return base * i + F.greatest(F.lit(0), F.lit(i) - (F.lit(parts) - rest))
 
+def _entries(edits: int, probing: bool) -> list[Column]:
+    """Keys of a line's segments, or of the substrings with which it probes; null where one doesn't fit.
 
-def _size(length: Column, i: int, parts: int) -> Column:
-    return F.floor(length / parts) + (F.lit(i) >= F.lit(parts) - length % parts).cast("long")
-
+    Segment ``i`` of a length is its even part, the longer segments last. Needs columns n (characters) and u (UTF-32 bytes).
+    """
+    parts, out = edits + 1, []
+    for shorter in range(edits + 1 if probing else 1):
+        m = F.col("n") - shorter
+        base, rest = F.expr(f"(n - {shorter}) div {parts}"), F.expr(f"(n - {shorter}) % {parts}")
+        for i in range(parts):
+            start = base * i + F.greatest(F.lit(0), F.lit(i - parts) + rest)
+            size = base + (F.lit(i - parts) + rest >= 0).cast("long")
+            low, high = (max(-i, shorter - (edits - i)), min(i, shorter + (edits - i))) if probing else (0, 0)
+            for shift in range(low, high + 1):
+                at = start + shift
+                piece = F.substring("u", (4 * at + 1).cast("int"), (4 * size).cast("int"))
+                out.append(F.when((m >= parts) & (at >= 0) & (at + size <= F.col("n")), F.xxhash64(m, F.lit(i), piece)))
+    return out
 
-def _entry(key: list[Column], at: Column, size: Column) -> Column:
-    """Key of a segment and where it lies; the substring is taken where the array is built."""
-    piece = F.col("s").substr((at + 1).cast("int"), size.cast("int"))
-    return F.struct(F.xxhash64(F.col("g"), *key, piece).alias("key"), at.cast("int").alias("at"), size.cast("int").alias("size"))
 
+def _keys(lines: DataFrame, edits: int, probing: bool, name: str) -> DataFrame:
+    wide = lines.select("id", F.char_length("s").cast("long").alias("n"), F.encode("s", "UTF-32").alias("u"))
+    return wide.select(F.col("id").alias(name), F.explode(F.array_distinct(F.array_compact(F.array(*_entries(edits, probing))))).alias("key"))
 
-def _index(lines: DataFrame, edits: int) -> DataFrame:
-    parts, n = edits + 1, F.char_length("s").cast("long")
-    entries = [_entry([n, F.lit(i)], _start(n, i, parts), _size(n, i, parts)) for i in range(parts)]
-    return lines.where(n >= parts).select("id", F.explode(F.array(*entries)).alias("e")).select("id", "e.*")
 
+def _counts(s: Column) -> Column:
+    """Characters of each class, a class being the hash of a character."""
+    chars = F.transform(F.split(s, ""), lambda c: F.pmod(F.hash(c), F.lit(CLASSES)))
+    return F.transform(F.sequence(F.lit(0), F.lit(CLASSES - 1)), lambda k: F.size(F.filter(chars, lambda c: c == k)))
 
-def _probes(lines: DataFrame, edits: int) -> DataFrame:
-    parts, n = edits + 1, F.char_length("s").cast("long")
-    entries = []
-    for shorter in range(edits + 1):
-        m = n - shorter
-        for i in range(parts):
-            low, high = max(-i, shorter - (edits - i)), min(i, shorter + (edits - i))
-            for shift in range(low, high + 1):
-                at, size = _start(m, i, parts) + shift, _size(m, i, parts)
-                entries.append(F.when((m >= parts) & (at >= 0) & (at + size <= n), _entry([m, F.lit(i)], at, size)))
-    return lines.select("id", F.explode(F.array(*entries)).alias("e")).where("e is not null").select("id", "e.*")
 
+def _apart(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
 
-def _rest(side: DataFrame, lines: DataFrame) -> DataFrame:
-    """(g, id, s): the line without its segment, under the segment's key. What lay left and right stays apart."""
-    cut = F.concat(F.col("s").substr(F.lit(1), F.col("at")), F.lit("\n"), F.col("s").substr(F.col("at") + F.col("size") + 1, F.char_length("s")))
-    return side.join(lines.select("id", "s"), "id").select(F.col("key").alias("g"), "id", cut.alias("s")).distinct()
 
+def _with_lines(ids: DataFrame, name: str, lines: DataFrame, few: bool) -> DataFrame:
+    """``ids`` with the text of the line that column ``name`` has, as ``name``_s."""
+    text = lines.select(F.col("id").alias(name), F.col("s").alias(f"{name}_s"))
+    if few:  # the side that is broadcast has at most MOST_BROADCAST ids
+        text = text.join(F.broadcast(ids.select(name).distinct()), name, "left_semi")
+    return ids.join(text, name)
 
-def candidates(index_lines: DataFrame, probe_lines: DataFrame, edits: int, *, most: int, depth: int) -> DataFrame:
-    """Pairs (a, b) of ids that may be within ``edits`` edits; each side has (g, id, s), and only equal ``g`` meet.
 
-    A key with at most ``most`` index entries pairs its lines; others go on with their rests, and at the last depth with
-    all of theirs.
-    """
-    index, probes = stored(_index(index_lines, edits), "segments"), _probes(probe_lines, edits)
-    if depth == 0:
-        return index.select("key", F.col("id").alias("a")).join(probes.select("key", F.col("id").alias("b")), "key").where("a <> b").select("a", "b").distinct()
+def candidates(lines: DataFrame, edits: int, *, most: int) -> DataFrame:
+    """Pairs (a, b), a the indexed id, of lines that may be within ``edits`` edits."""
+    index, probes = _keys(lines, edits, False, "a"), _keys(lines, edits, True, "b")
     busy = stored(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("key"), "busy")
-    calm = index.join(busy, "key", "left_anti") if busy.take(1) else index
-    pairs = calm.select("key", F.col("id").alias("a")).join(probes.select("key", F.col("id").alias("b")), "key").where("a <> b").select("a", "b").distinct()
     if not busy.take(1):
-        return pairs
-    further = candidates(_rest(index.join(busy, "key", "left_semi"), index_lines_by_id(index_lines)), _rest(probes.join(busy, "key", "left_semi"), index_lines_by_id(probe_lines)), edits, most=most, depth=depth - 1)
-    return pairs.unionAll(further)
-
-
-def index_lines_by_id(lines: DataFrame) -> DataFrame:
-    return lines.select("id", "s")
-
-
-def line_classes(lines: DataFrame, *, edits: int, min_chars: int, most: int, depth: int) -> DataFrame:
+        return index.join(probes, "key").where("a <> b").select("a", "b").distinct()
+    calm = index.join(busy, "key", "left_anti").join(probes, "key").where("a <> b").select("a", "b")
+    left, right = stored(index.join(busy, "key", "left_semi"), "busy-index"), stored(probes.join(busy, "key", "left_semi"), "busy-probes")
+    ids = stored(left.select(F.col("a").alias("id")).unionAll(right.select(F.col("b").alias("id"))).distinct(), "busy-ids")
+    few = ids.count() <= MOST_BROADCAST
+    counted = stored(_with_lines(ids, "id", lines, few).select("id", _counts(F.col("id_s")).alias("c")), "busy-counts")
+    side = lambda rows, k: rows.join(counted.select(F.col("id").alias(k), F.col("c").alias(f"{k}_c")), k)
+    x, y = side(left, "a"), side(right, "b")
+    met = x.join(y, (x["key"] == y["key"]) & (x["a"] != y["b"]) & (_apart("a_c", "b_c") <= 2 * edits)).select("a", "b")
+    return calm.unionAll(met).distinct()
+
+
+def line_classes(lines: DataFrame, *, edits: int, min_chars: int, most: int) -> DataFrame:
     """(id, label) of the lines that have a similar other; ``lines`` has distinct (id, s)."""
-    whole = lines.where(F.char_length("s") >= min_chars).select(F.lit(0).cast("long").alias("g"), "id", "s")
-    pairs = candidates(whole, whole, edits, most=most, depth=depth)
-    unique = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left = whole.select(F.col("id").alias("a"), F.col("s").alias("left"))
-    right = whole.select(F.col("id").alias("b"), F.col("s").alias("right"))
-    near = unique.join(left, "a").join(right, "b").where(F.levenshtein("left", "right", edits) >= 0)
+    whole = lines.where(F.char_length("s") >= min_chars).select("id", "s")
+    pairs = candidates(whole, edits, most=most)
+    unique = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
+    few = 2 * unique.count() <= MOST_BROADCAST
+    near = _with_lines(_with_lines(unique, "a", whole, few), "b", whole, few).where(F.levenshtein("a_s", "b_s", edits) >= 0)
     return components(near.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("node", "id")
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, min_chars: int = 24, most: int = 64, depth: int = 1) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, min_chars: int = 24, most: int = 8) -> DataFrame:
     """One row per input row: id, n_lines long, n_removed long, kept string.
 
     Lines are what lies between newlines. Two lines are linked if they are equal, or if both have at least ``min_chars`` characters
@@ -105,18 +106,18 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     last = (1 << 63) - 1
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("rank"), text.alias("text")).withColumn("tag", F.xxhash64("rank", "text"))
-    each = base.select("rank", "tag", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).where(F.trim(F.regexp_replace("line", r"\s", " ")) != "")
+    each = base.select("rank", "tag", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).where(F.col("line").rlike(r"\S"))
     lines = stored(
         each.groupBy("line").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n"))
         .select(F.monotonically_increasing_id().alias("id"), F.col("line").alias("s"), F.unhex(F.md5("line")).alias("h"), "first", "n"),
         "lines",
     )
-    classes = stored(line_classes(lines.select("id", "s"), edits=edits, min_chars=min_chars, most=most, depth=depth), "line-classes")
+    classes = stored(line_classes(lines.select("id", "s"), edits=edits, min_chars=min_chars, most=most), "line-classes")
     known = lines.select("id", "h", "first", "n").join(classes, "id", "left")
     known = known.withColumn("class", F.coalesce("label", "id"))
     size = known.where("label is not null").groupBy("class").agg(F.min("first").alias("class_first"))
     again = known.join(size, "class", "left").where("label is not null or n > 1").select("h", "class", F.coalesce("class_first", "first").alias("first"))
-    seen = each.select("rank", "tag", "pos", F.unhex(F.md5("line")).alias("h")).join(again, "h").select("rank", "tag", "pos", "class", "first")
+    seen = stored(each.select("rank", "tag", "pos", F.unhex(F.md5("line")).alias("h")).join(again, "h").select("rank", "tag", "pos", "class", "first"), "seen")
     own = seen.where("rank = first").groupBy("tag", "class").agg(F.min("pos").alias("keep"))
     # In the first document all lines of the class but the first go; in others all go.
     gone = seen.where("rank > first").select("tag", "pos").unionAll(
