@@ -185,7 +185,8 @@ def packed_anchors(plan: Plan, with_windows: bool = False) -> DataFrame:
                 data, offsets = flat(batch.column("text"))
                 sym, at = symbols(data, offsets)
                 sums, a, place, first, last = anchors(sym, at, width, k)
-                a, c = a & KEPT_ANCHOR, context_hash(sums, place, first, last, width) & KEPT_CONTEXT
+                # An anchor is the least of many hashes; mixed again, anchors are spread evenly over owners.
+                a, c = mix(a) & KEPT_ANCHOR, context_hash(sums, place, first, last, width) & KEPT_CONTEXT
                 doc = np.searchsorted(at, place, "right") - 1
                 rank, tag = batch.column("rank").to_numpy(), batch.column("tag").to_numpy()
                 held.append([a, c, rank[doc], tag[doc], (first - at[doc]).astype(np.uint32), (place - first).astype(np.uint16), (last - first + 1).astype(np.uint16)])

@@ -227,7 +227,7 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                     keep[np.unique(_signature(h, at), return_index=True)[1]] = True
                     doc = owner(at)
                     use = keep[doc] & (h < SAMPLE)
-                    yield [h[use] & R.KEPT_ANCHOR, tag[doc[use]]]
+                    yield [mix(h[use]) & R.KEPT_ANCHOR, tag[doc[use]]]  # mixed: the sample is a range of hashes
 
         return gathered(found())
 
