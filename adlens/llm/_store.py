@@ -31,11 +31,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def size_of(spark: SparkSession, df: DataFrame) -> int:
-    """Bytes that the optimizer knows the relation to have; files are measured, not guessed."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     """Hand texts to Python workers in Arrow batches of at most ``most`` bytes or one row, in place of Spark's 64 MB.
 

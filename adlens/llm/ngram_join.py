@@ -223,8 +223,10 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 for batch in R.parts(big, "text", R.PART_BYTES):
                     h, at = shingles(*R.flat(batch.column("text")))
                     tag = batch.column("tag").to_numpy()
-                    keep = np.zeros(batch.num_rows, bool)  # of equal sets in a batch one is counted
-                    keep[np.unique(_signature(h, at), return_index=True)[1]] = True
+                    # Of equal sets in a batch the one of the least document is counted: no other can represent them.
+                    by_rank = np.lexsort((tag, batch.column("rank").to_numpy()))
+                    keep = np.zeros(batch.num_rows, bool)
+                    keep[by_rank[np.unique(_signature(h, at)[by_rank], return_index=True)[1]]] = True
                     doc = owner(at)
                     use = keep[doc] & (h < SAMPLE)
                     yield [mix(h[use]) & R.KEPT_ANCHOR, tag[doc[use]]]  # mixed: the sample is a range of hashes
