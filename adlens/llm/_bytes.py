@@ -15,12 +15,12 @@ _U = np.uint64
 
 
 def _lean_heap() -> None:
-    """Have glibc map arrays of a megabyte and more, so that freeing them gives the memory back at once."""
+    """Have glibc map arrays of 8 MB and more, so that freeing them gives the memory back at once, and trim its heap."""
     libc = ctypes.CDLL(None)
     if hasattr(libc, "mallopt"):
         trim_threshold, mmap_threshold = -1, -3
-        libc.mallopt(mmap_threshold, 1 << 20)
-        libc.mallopt(trim_threshold, 1 << 20)
+        libc.mallopt(mmap_threshold, 8 << 20)
+        libc.mallopt(trim_threshold, 32 << 20)
 
 
 _lean_heap()

@@ -143,11 +143,12 @@ def _rows_table(place: list[int], what: int, blobs: list[bytes]) -> pa.Table:
     return pa.Table.from_batches([_rows(place, what, blobs)])
 
 
-def _split(where: np.ndarray, order_by: tuple[np.ndarray, ...] = ()) -> Iterator[tuple[int, np.ndarray]]:
-    """Rows of each place, ordered by ``order_by`` within it."""
+def _split(where: np.ndarray, order_by: tuple[np.ndarray, ...] = (), order: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of each place, ordered by ``order_by`` within it; ``order`` where the rows' order by place is known."""
     if not len(where):
         return
-    order = np.lexsort((*order_by, where)) if order_by else np.argsort(where, kind="stable")
+    if order is None:
+        order = np.lexsort((*order_by, where)) if order_by else np.argsort(where, kind="stable")
     sorted_ = where[order]
     edge = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
     for a, b in zip(edge, np.append(edge[1:], len(order)), strict=True):
@@ -166,7 +167,7 @@ def packed_anchors(plan: Plan, with_windows: bool = False) -> DataFrame:
         at = np.concatenate([[0], np.cumsum(w.astype(np.int64))])
         flat_hashes = np.concatenate(hashes) if with_windows else None
         place, blobs = [], []
-        for p, i in _split(plan.owner(a), (a,)):
+        for p, i in _split(plan.owner(a), order=np.argsort(a)):  # owners are ranges of hashes
             more = [flat_hashes[np.concatenate([np.arange(at[j], at[j + 1]) for j in i.tolist()])]] if with_windows else []
             tags, which = np.unique(t[i], return_inverse=True)
             ranks = np.empty(len(tags), np.int64)
@@ -239,7 +240,10 @@ def _by_what(table: pa.Table, what: int) -> list[list[np.ndarray]]:
 
 def _first_of(keys: tuple[np.ndarray, ...], value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Group number of each row by ``keys``, and the least value of each group."""
-    order = np.lexsort(keys[::-1])
+    h = keys[0]
+    for k in keys[1:]:
+        h = mix(h * _U(0x9E3779B97F4A7C15) + k.astype(_U))
+    order = np.argsort(h)
     new = np.ones(len(order), bool)
     new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0) if len(order) else new[1:]
     group = np.empty(len(order), np.int64)

@@ -199,7 +199,7 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     def flushed(held: list[list[np.ndarray]]) -> pa.RecordBatch:
         h, tag, *more = (np.concatenate(x) for x in zip(*held, strict=True))
         place, blobs = [], []
-        for p, i in R._split(plan.owner(h), (h,)):
+        for p, i in R._split(plan.owner(h), order=np.argsort(h)):
             kept, which = np.unique(tag[i], return_inverse=True)
             place.append(p)
             blobs.append(R.pack(np.diff(h[i], prepend=_U(0)), kept, which.astype(np.uint16 if len(kept) < 1 << 16 else np.uint32), *(x[i] for x in more)))

@@ -22,40 +22,53 @@ def byte_symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return _BYTE[1][data], offsets
 
 
+PACKED = 7
+
+
 def suffix_order(text: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in order, and which rows begin a block that agrees in ``width`` values.
+    """Suffixes in order, and which rows begin a block that agrees in ``width`` values; ``width`` is at least ``PACKED``.
 
-    ``text`` has values of at least 0 and ends in a 0; zeros differ from each other and are ordered by position. The order is by
-    prefix doubling on packed ranks, as far as the longest stretch between zeros reaches.
+    ``text`` has values from 0 to 256 and ends in a 0; zeros differ from each other and are ordered by position. The first seven
+    values are packed into one number, then prefixes double, as far as the longest stretch between zeros reaches.
     """
     n = len(text)
-    zero = np.flatnonzero(text == 0)
-    rank = text.astype(np.int64) + len(zero)
-    rank[zero] = np.arange(len(zero))
-    longest = int(np.diff(zero, prepend=-1).max())
-    length = 1
-    ranks = {1: rank}
-    while length < max(width, longest):
-        after = np.zeros(n, np.int64)
-        after[: max(0, n - length)] = rank[length:] + 1
-        key = rank * (max(int(rank.max()), int(after.max())) + 2) + after
-        order = np.argsort(key)
+    where = np.arange(n)
+    key, live = np.zeros(n, np.int64), np.ones(n, bool)
+    for i in range(PACKED):
+        value = np.zeros(n, np.int64)
+        value[: max(0, n - i)] = text[i:]
+        value[~live] = 0
+        live &= value > 0
+        key = key * 257 + value
+    order = np.lexsort((where, key)) if not live.all() else np.argsort(key)
+    longest = int(np.diff(np.flatnonzero(text == 0), prepend=-1).max())
+    length, ranks = PACKED, {}
+    while True:
         new = np.ones(n, bool)
-        new[1:] = key[order][1:] != key[order][:-1]
+        sorted_ = key[order]
+        new[1:] = sorted_[1:] != sorted_[:-1]
+        if length == PACKED:
+            new |= ~live[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(new) - 1
-        length *= 2
         ranks[length] = rank
-    order = np.argsort(rank, kind="stable")
-    # Blocks of ``width``: two overlapping powers of two.
+        if length >= max(width, longest):
+            break
+        after = np.zeros(n, np.int64)
+        after[: max(0, n - length)] = rank[length:] + 1
+        key = rank * (n + 2) + after
+        order = np.argsort(key)
+        length *= 2
+    # Blocks of ``width``: two overlapping prefixes.
     half = max(p for p in ranks if p <= width)
-    shift = width - half
-    second = np.full(n, -1, np.int64)
-    second[: n - shift] = ranks[half][shift:] if shift else ranks[half]
-    one, two = ranks[half][order], second[order]
-    at_width = np.ones(n, bool)
-    at_width[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-    return order, at_width
+    one, new = ranks[half][order], np.ones(n, bool)
+    new[1:] = one[1:] != one[:-1]
+    for shift in {*range(half, width - half, half), width - half} - {0}:
+        second = np.full(n, -1, np.int64)
+        second[: n - shift] = ranks[half][shift:]
+        two = second[order]
+        new[1:] |= two[1:] != two[:-1]
+    return order, new
 
 
 class RunLengthIndex:
@@ -85,20 +98,20 @@ class RunLengthIndex:
         self.before = base - self.first[self.heads]
         self.blocks = np.flatnonzero(new)
         self.least = np.minimum.reduceat(rank_of[order], self.blocks)
-        #: Rows of the contexts' ends, in text order.
-        self.ends = np.empty(int((text == 0).sum()), np.int64)
-        zero = np.flatnonzero(text[order] == 0)
-        self.ends[np.argsort(np.argsort(order[zero]))] = 0
-        self.ends = zero[np.argsort(order[zero], kind="stable")]
+        #: Rows of the contexts' ends, in text order: zeros come first, ordered by position.
+        self.ends = np.arange(int((text == 0).sum()))
+        #: Run and block of each row, spread out for streaming.
+        self.run_of = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        self.block_of = (np.cumsum(new) - 1).astype(np.int32)
 
     def step(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """LF: the symbol before each row's suffix, and the row of the suffix that begins with it."""
-        run = np.searchsorted(self.starts, row, "right") - 1
+        run = self.run_of[row]
         head = self.heads[run]
         return head, self.first[head] + self.before[run] + row - self.starts[run]
 
     def least_rank(self, row: np.ndarray) -> np.ndarray:
-        return self.least[np.searchsorted(self.blocks, row, "right") - 1]
+        return self.least[self.block_of[row]]
 
 
 def _resolver(width: int):
