@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, exact_dedup, langid, line_dedup, ngram_join, quality, substring_dedup, suffix_dedup, url_filter
+from . import bpe, decontam, exact_dedup, langid, line_dedup, ngram_join, oracles, quality, substring_dedup, suffix_dedup, url_filter
 
 #: Fixed rules: verdict, host, path.
 URL_RULES = (
@@ -122,9 +122,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
+    """SQL can't express the tokenizer, the classifiers, or bounded edits and byte windows in reasonable time; tests cover those."""
     return {
-        "op4_exact_dedup": """
-            SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept,
-                   sha256(coalesce(text, '')) AS text_sha256
-            FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+        "op4_exact_dedup": oracles.EXACT,
+        "op5_url_filter": oracles.url_filter(URL_RULES),
+        "op6_decontam": oracles.CONTAMINATION,
+        "op8_ngram_join": oracles.COMPONENTS,
+        "op10_substring_dedup": oracles.SUBSTRING,
     }
