@@ -114,10 +114,8 @@ def gap_top(spark, d):
 def gap_record(spark, d):
     part = table(spark, d, "part")
     brand = F.col("p_brand")
-    status = F.when(F.length(brand) == 7, "RESOLVED").when(brand < "Brand#2", "FAILED").otherwise("ASKED")
     known = part.select(brand.alias("fingerprint")).distinct().select("fingerprint", F.when(F.length("fingerprint") == 7, "RESOLVED").when(F.col("fingerprint") < "Brand#2", "FAILED").otherwise("ASKED").alias("status"), F.lit(1).cast("long").alias("occurrences"), F.lit(7).alias("failed_occurrences"), F.array(F.lit("old")).alias("samples"))
     found = part.where("p_partkey % 3 = 0").groupBy(brand.alias("fingerprint")).agg(F.count(F.lit(1)).alias("occurrences"), F.slice(F.array_sort(F.collect_set("p_name")), 1, 8).alias("samples"))
-    del status
     return A.record_gaps(known, found).select("fingerprint", "status", "occurrences")
 
 
