@@ -12,7 +12,7 @@ Spark's ``levenshtein`` with a threshold fills a band of the distance table; it
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._graph import components
@@ -43,9 +43,18 @@ def _entries(edits: int, probing: bool) -> list[Column]:
     return out
 
 
-def _keys(lines: DataFrame, edits: int, probing: bool, name: str) -> DataFrame:
+def _met(lines: DataFrame, edits: int) -> DataFrame:
+    """Rows (key, id, probe, n) of the keys at which a line's segment meets another line's probe; n: lines indexed there.
+
+    Segments and probes are made in one pass and shuffled once. A line always probes its own segments, so a key needs two probes.
+    """
     wide = lines.select("id", F.char_length("s").cast("long").alias("n"), F.encode("s", "UTF-32").alias("u"))
-    return wide.select(F.col("id").alias(name), F.explode(F.array_distinct(F.array_compact(F.array(*_entries(edits, probing))))).alias("key"))
+    entry = lambda keys, probe: F.transform(F.array_distinct(F.array_compact(F.array(*keys))), lambda k: F.struct(k.alias("key"), F.lit(probe).alias("probe")))
+    both = F.concat(entry(_entries(edits, False), False), entry(_entries(edits, True), True))
+    rows = wide.select("id", F.explode(both).alias("e")).select("e.key", "id", "e.probe")
+    here = Window.partitionBy("key")
+    rows = rows.withColumn("n", F.sum((~F.col("probe")).cast("int")).over(here)).withColumn("probes", F.sum(F.col("probe").cast("int")).over(here))
+    return rows.where("n > 0 and probes > 1").select("key", "id", "probe", "n")
 
 
 def _counts(s: Column) -> Column:
@@ -68,19 +77,20 @@ def _with_lines(ids: DataFrame, name: str, lines: DataFrame, few: bool) -> DataF
 
 def candidates(lines: DataFrame, edits: int, *, most: int) -> DataFrame:
     """Pairs (a, b), a the indexed id, of lines that may be within ``edits`` edits."""
-    index, probes = _keys(lines, edits, False, "a"), _keys(lines, edits, True, "b")
-    busy = stored(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("key"), "busy")
+    met = stored(_met(lines, edits), "met")
+    index = lambda rows: rows.where("not probe").select("key", F.col("id").alias("a"))
+    probes = lambda rows: rows.where("probe").select("key", F.col("id").alias("b"))
+    calm, busy = met.where(F.col("n") <= most), met.where(F.col("n") > most)
+    pairs = index(calm).join(probes(calm), "key").where("a <> b").select("a", "b")
     if not busy.take(1):
-        return index.join(probes, "key").where("a <> b").select("a", "b").distinct()
-    calm = index.join(busy, "key", "left_anti").join(probes, "key").where("a <> b").select("a", "b")
-    left, right = stored(index.join(busy, "key", "left_semi"), "busy-index"), stored(probes.join(busy, "key", "left_semi"), "busy-probes")
-    ids = stored(left.select(F.col("a").alias("id")).unionAll(right.select(F.col("b").alias("id"))).distinct(), "busy-ids")
+        return pairs.distinct()
+    ids = stored(busy.select("id").distinct(), "busy-ids")
     few = ids.count() <= MOST_BROADCAST
     counted = stored(_with_lines(ids, "id", lines, few).select("id", _counts(F.col("id_s")).alias("c")), "busy-counts")
     side = lambda rows, k: rows.join(counted.select(F.col("id").alias(k), F.col("c").alias(f"{k}_c")), k)
-    x, y = side(left, "a"), side(right, "b")
-    met = x.join(y, (x["key"] == y["key"]) & (x["a"] != y["b"]) & (_apart("a_c", "b_c") <= 2 * edits)).select("a", "b")
-    return calm.unionAll(met).distinct()
+    x, y = side(index(busy), "a"), side(probes(busy), "b")
+    near = x.join(y, (x["key"] == y["key"]) & (x["a"] != y["b"]) & (_apart("a_c", "b_c") <= 2 * edits)).select("a", "b")
+    return pairs.unionAll(near).distinct()
 
 
 def line_classes(lines: DataFrame, *, edits: int, min_chars: int, most: int) -> DataFrame:
