@@ -23,7 +23,7 @@ def fold(spark: SparkSession, stream: DataFrame, target: str, checkpoint: str):
         fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/history-{(batch_id + 1) % 2}")
         known = fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs) and batch_id > 0
         rows = upsert(spark.read.parquet(f"{target}/history-{(batch_id + 1) % 2}"), batch) if known else history(batch)
-        rows.withColumn("_batch", F.lit(batch_id)).drop("_batch").write.mode("overwrite").parquet(at)
+        rows.write.mode("overwrite").parquet(at)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
