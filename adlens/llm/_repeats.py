@@ -384,7 +384,7 @@ def exchange(plan: Plan, contexts: Callable[[Bin, tuple[np.ndarray, ...]], list[
         return pa.table([pa.array(place, pa.int32()), pa.array([VERDICT] * len(place), pa.int32()), pa.array(blobs, pa.binary())], names=["place", "what", "blob"])
 
     by_bin = first.where(F.col("what") == VERDICT)
-    asked = packed_docs(plan).unionAll(by_bin).groupBy("place").applyInArrow(ask, PACKED)
+    asked = stored(packed_docs(plan).unionAll(by_bin).groupBy("place").applyInArrow(ask, PACKED), "contexts")
     second = asked.unionAll(first.where(F.col("what") == CONTEXT)).groupBy("place").applyInArrow(answer, PACKED)
     return packed_docs(plan), by_bin.unionAll(second)
 
