@@ -114,24 +114,20 @@ class RunLengthIndex:
         return self.least[self.block_of[row]]
 
 
+#: Bytes of contexts in one index. Contexts of different anchors never meet, so an owner's are indexed in parts.
+INDEX_BYTES = 1 << 19
+
+
 def _resolver(width: int):
-    def resolve(blobs: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        """Blobs of anchor (once a byte), byte, and per context: rank, tag, start, size."""
-        if not blobs:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint32)
-        byte, rank, tag, start, size = (np.concatenate([x[i] for x in blobs]) for i in range(1, 6))
-        # A context's first byte carries its numbers; size is 0 elsewhere.
-        head = np.flatnonzero(size)
-        rank, tag, start, size = rank[head], tag[head], start[head].astype(np.int64), size[head].astype(np.int64)
+    def one(byte: np.ndarray, rank: np.ndarray, tag: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tag and start of the strings of these contexts that an earlier document has."""
         m = len(size)
-        begin = np.cumsum(size) - size + np.arange(m)
         text = np.zeros(len(byte) + m, np.int64)
         text[np.arange(len(byte)) + np.repeat(np.arange(m), size)] = byte.astype(np.int64) + 1
         index = RunLengthIndex(text, np.repeat(rank, size + 1), width)
         row = index.ends.copy()
-        live = np.arange(m)
-        done = np.zeros(m, np.int64)
-        tags, starts = [], []
+        live, done = np.arange(m), np.zeros(m, np.int64)
+        tags, starts = [tag[:0]], [start[:0]]
         while len(live):
             _, row = index.step(row)
             done[live] += 1
@@ -142,7 +138,35 @@ def _resolver(width: int):
             starts.append(start[live[hit]] + size[live[hit]] - done[live[hit]])
             more = done[live] < size[live]
             live, row = live[more], row[more]
-        return np.concatenate(tags), np.concatenate(starts).astype(np.uint32)
+        return np.concatenate(tags), np.concatenate(starts)
+
+    def resolve(blobs: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Blobs of anchor (once a byte), byte, and per context: rank, tag, start, size."""
+        if not blobs:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        byte = np.concatenate([x[1] for x in blobs])
+        # A context's first byte carries its numbers; size is 0 elsewhere.
+        heads = [np.flatnonzero(x[5]) for x in blobs]
+        anchor, rank, tag, start, size = (np.concatenate([x[i][h] for x, h in zip(blobs, heads, strict=True)]) for i in (0, 2, 3, 4, 5))
+        blobs.clear()
+        start, size = start.astype(np.int64), size.astype(np.int64)
+        begin = np.cumsum(size) - size
+        order = np.argsort(anchor, kind="stable")
+        upto = np.cumsum(size[order])
+        edge = np.flatnonzero(np.diff(anchor[order], prepend=anchor[order[:1]] ^ _U(1 << 63)))
+        found, at = [], 0
+        while at < len(order):  # whole anchors, at least one
+            want = np.searchsorted(upto, (upto[at - 1] if at else 0) + INDEX_BYTES, "right")
+            later = edge[edge > at]
+            fits = later[later <= want]
+            end = int(fits[-1]) if len(fits) else int(later[0]) if len(later) else len(order)
+            end = len(order) if want >= len(order) else end
+            i = order[at:end]
+            total = int(size[i].sum())
+            own = np.cumsum(size[i]) - size[i]
+            found.append(one(byte[np.arange(total) + np.repeat(begin[i] - own, size[i])], rank[i], tag[i], start[i], size[i]))
+            at = end
+        return np.concatenate([t for t, _ in found]), np.concatenate([s for _, s in found]).astype(np.uint32)
 
     return resolve
 
