@@ -93,12 +93,44 @@ def kruskal(rows: DataFrame, value: str, group: str, keys: Sequence[str] = ()) -
     return total.select(*(k for k in keys if k != "_k"), F.col("n").cast("long").alias("n"), "groups", h.alias("h"), F.try_divide(h, n - 1).alias("epsilon2"))
 
 
+def _range_of(value: Column, cuts: Sequence, first: int = 0) -> Column:
+    """Number of the cuts below a value, by halving."""
+    if not cuts:
+        return F.lit(first)
+    m = len(cuts) // 2
+    return F.when(value <= cuts[m], _range_of(value, cuts[:m], first)).otherwise(_range_of(value, cuts[m + 1 :], first + m + 1))
+
+
+def ranges(rows: DataFrame, value: str) -> Column:
+    """Range of a value, of about as many as shuffles have partitions, with like numbers of rows. The same for equal values."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if parts < 2:
+        return F.lit(0)
+    cuts = rows.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], max(10_000, 20 * parts))).first()[0]  # parts - 1 values
+    return _range_of(F.col(value), sorted(set(cuts or [])))
+
+
 def holm(rows: DataFrame, p: str, order: Sequence[str]) -> DataFrame:
-    """``p_holm``: step-down correction over all rows (one a hypothesis)."""
-    w = Window.orderBy(p, *order)
-    m = rows.agg(F.count(p).alias("_m"))
-    stepped = rows.where(F.col(p).isNotNull()).crossJoin(F.broadcast(m)).withColumn("_s", F.least(F.lit(1.0), F.col(p) * (F.col("_m") - F.row_number().over(w) + 1)))  # m is one row
-    return stepped.withColumn("p_holm", F.max("_s").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_m", "_s")
+    """``p_holm``: step-down correction over all rows (one a hypothesis).
+
+    Equal p get the same: the first of them has the largest step. So distinct p are ranked, in ranges of p; what goes from range to
+    range (counts, largest steps) passes the driver, a number a range.
+    """
+    rows = rows.where(F.col(p).isNotNull())
+    counts = rows.groupBy(p).agg(F.count(F.lit(1)).alias("_t")).withColumn("_b", ranges(rows, p))
+    totals = dict(counts.groupBy("_b").agg(F.sum("_t")).collect())
+    m, offset, seen = sum(totals.values()), {}, 0
+    for b in sorted(totals):
+        offset[b], seen = seen, seen + totals[b]
+    of = lambda found: F.element_at(F.create_map(*(F.lit(x) for kv in found.items() for x in kv)), F.col("_b")) if found else F.lit(0)
+    w = Window.partitionBy("_b").orderBy(p)
+    before = of(offset) + F.coalesce(F.sum("_t").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    steps = counts.withColumn("_s", F.least(F.lit(1.0), F.col(p) * (m - before)))
+    highs, high, so_far = dict(steps.groupBy("_b").agg(F.max("_s")).collect()), {}, 0.0
+    for b in sorted(highs):
+        high[b], so_far = so_far, max(so_far, highs[b])
+    held = F.greatest(of(high), F.max("_s").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return rows.join(steps.select(p, held.alias("p_holm")), p)
 
 
 def verdict(p: Column, effect: Column) -> Column:

@@ -95,6 +95,12 @@ def holm_correction(spark, d):
     return S.holm(rows, "p", ["id"]).select("id", "p", "p_holm")
 
 
+@query("holm_correction_all", "WITH p AS (SELECT p_partkey AS id, (p_partkey * 37 % 1000) / 20000.0 AS p FROM part), s AS (SELECT *, least(1.0, p * ((SELECT count(*) FROM p) - row_number() OVER (ORDER BY p, id) + 1)) AS s FROM p) SELECT id, CAST(p AS DOUBLE) AS p, CAST(max(s) OVER (ORDER BY p, id ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS p_holm FROM s")
+def holm_correction_all(spark, d):
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), ((F.col("p_partkey") * 37 % 1000) / 20000).alias("p"))
+    return S.holm(rows, "p", ["id"]).select("id", "p", "p_holm")
+
+
 @query("verdicts", "SELECT CASE WHEN l_discount >= 0.05 THEN 'no difference' WHEN l_tax < 0.06 THEN 'small' WHEN l_tax < 0.14 THEN 'medium' ELSE 'large' END AS verdict, count(*) AS n FROM lineitem GROUP BY 1")
 def verdicts(spark, d):
     return table(spark, d, "lineitem").groupBy(S.verdict(F.col("l_discount"), F.col("l_tax")).alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
@@ -110,15 +116,24 @@ def coverage_heat(spark, d):
     return S.heat(base(spark, d).where("y = 1997"), "brand", F.concat(F.lit("Q"), F.col("q").cast("string")), ["Q1", "Q2", "Q3", "Q4"])
 
 
-@query("period_steps", "WITH m AS (SELECT DISTINCT l_suppkey AS k, date_trunc('month', l_shipdate)::TIMESTAMP AS month FROM lineitem WHERE l_suppkey < 20) SELECT k, month, lag(month) OVER (PARTITION BY k ORDER BY month) AS before, coalesce(lag(month) OVER (PARTITION BY k ORDER BY month) < month - INTERVAL 1 MONTH, false) AS gap FROM m")
-def period_steps(spark, d):
+def _steps(rows):
     from pyspark.sql import Window
 
-    m = table(spark, d, "lineitem").where("l_suppkey < 20").select(F.col("l_suppkey").alias("k"), M.bucket(F.col("l_shipdate"), "month").alias("month")).distinct()
+    m = rows.select(F.col("l_suppkey").alias("k"), M.bucket(F.col("l_shipdate"), "month").alias("month")).distinct()
     before = F.lag("month").over(Window.partitionBy("k").orderBy("month"))
     return m.select("k", "month", before.alias("before"), F.coalesce(before < F.col("month") - F.expr("INTERVAL 1 MONTH"), F.lit(False)).alias("gap"))
 
 
+@query("period_steps", "WITH m AS (SELECT DISTINCT l_suppkey AS k, date_trunc('month', l_shipdate)::TIMESTAMP AS month FROM lineitem WHERE l_suppkey < 20) SELECT k, month, lag(month) OVER (PARTITION BY k ORDER BY month) AS before, coalesce(lag(month) OVER (PARTITION BY k ORDER BY month) < month - INTERVAL 1 MONTH, false) AS gap FROM m")
+def period_steps(spark, d):
+    return _steps(table(spark, d, "lineitem").where("l_suppkey < 20"))
+
+
+@query("period_steps_all", "WITH m AS (SELECT DISTINCT l_suppkey AS k, date_trunc('month', l_shipdate)::TIMESTAMP AS month FROM lineitem) SELECT k, month, lag(month) OVER (PARTITION BY k ORDER BY month) AS before, coalesce(lag(month) OVER (PARTITION BY k ORDER BY month) < month - INTERVAL 1 MONTH, false) AS gap FROM m")
+def period_steps_all(spark, d):
+    return _steps(table(spark, d, "lineitem"))
+
+
 @query("place_classes", "SELECT CASE WHEN contains(p_name, 'ring') THEN 'rehab' WHEN contains(p_name, 'widget') THEN 'madinaty' WHEN contains(p_name, 'small') THEN 'mostakbal' ELSE coalesce(CASE WHEN p_size > 20 THEN p_brand END, 'other') END AS place, CASE WHEN p_size BETWEEN 5 AND 40 THEN 'in range' END AS area, count(*) AS n FROM part GROUP BY ALL")
 def place_classes(spark, d):
     name = F.col("p_name")
