@@ -97,6 +97,12 @@ def documents_mixed(spark, d):
     return A.shared_documents(rows, F.regexp_extract("source_key", r"#(\d)", 1))
 
 
+@query("documents_mixed_all", f"WITH {OBSERVATION_SQL}, {LISTING_SQL} SELECT document_id, count(DISTINCT regexp_extract(source_key, '#(\\d)', 1)) AS groups FROM observation JOIN listing ON listing.id = listing_id GROUP BY 1 HAVING groups > 1")
+def documents_mixed_all(spark, d):
+    rows = observation(spark, d).join(listing(spark, d).select(F.col("id").alias("listing_id"), "source_key"), "listing_id")
+    return A.shared_documents(rows, F.regexp_extract("source_key", r"#(\d)", 1))
+
+
 @query("llm_ledger", "SELECT event_type AS task, count(*) AS calls, count(*) FILTER (value > 10) AS valid, CAST(sum(coalesce(CASE WHEN user_id % 3 <> 0 THEN user_id END, 0)) AS BIGINT) AS tokens_in, CAST(sum(event_id) AS BIGINT) AS tokens_out FROM events GROUP BY 1")
 def llm_ledger(spark, d):
     calls = table(spark, d, "events").select(F.col("event_type").alias("task"), (F.col("value") > 10).alias("valid"), F.when(F.col("user_id") % 3 != 0, F.col("user_id")).alias("tokens_in"), F.col("event_id").alias("tokens_out"))

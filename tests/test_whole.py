@@ -26,3 +26,9 @@ def test_whole_tables(spark):
     assert q["holm_correction_all"](spark, SF).count() == spark.read.parquet(f"{SF}/part.parquet").count()
     keys = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_suppkey").distinct().count()
     assert q["period_steps_all"](spark, SF).select("k").distinct().count() == keys
+
+
+def test_documents_mixed_judges_every_document(spark):
+    status = spark.read.parquet(f"{SF}/orders.parquet").select(F.col("o_orderkey").alias("document_id"), "o_orderstatus")
+    found = registry.QUERIES["documents_mixed_all"](spark, SF).join(status, "document_id")
+    assert {r[0] for r in found.select("o_orderstatus").distinct().collect()} == {"F", "O", "P"}
