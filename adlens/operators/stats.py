@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 from math import erfc, exp, log, sqrt
 
 import numpy as np
@@ -186,38 +187,100 @@ def crosstab(rows: DataFrame, a: Column, b: Column) -> dict[str, float]:
     return {"n11": n11, "n10": n10, "n01": n01, "n00": n00, "chi2": chi2, "odds_ratio": ratio, "low": exp(log(ratio) - 1.96 * se), "high": exp(log(ratio) + 1.96 * se)}
 
 
-def bootstrap_median(rows: DataFrame, value: str, keys: Sequence[str], *, draws: int = 2000, seed: int = 7, least: int = 1, bins: int = 4096) -> DataFrame:
-    """n, median and its 95 % bounds of each group, by a seeded bootstrap.
+@lru_cache(maxsize=256)
+def _median_ranks(n: int, seed: int, draws: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks (from 0, of n sorted values) of the two middle values of each resample of n values; the same twice where n is odd.
 
-    A group goes to the task as counts of at most ``bins`` equal-count bins of its values (all values where it has fewer), so
-    its size doesn't matter; draws are multinomial over the bins.
+    A resample's ranks are n uniform numbers, scaled and cut down, so its k-th is one of a beta distribution; the next above is the
+    least of the n - k that are left.
     """
-    w = Window.partitionBy(*keys).orderBy(value)
-    binned = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"), F.ntile(bins).over(w).alias("_b"))
-    small = binned.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"), F.median("_v").alias("_m"))
-    schema = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys) + ", n long, median double, low double, high double"
+    rng = np.random.default_rng(seed & ((1 << 64) - 1))
+    k = (n + 1) // 2
+    u = rng.beta(k, n - k + 1, draws)
+    v = u if n % 2 else u + (1 - u) * rng.beta(1, n - k, draws)
+    return tuple(np.minimum((x * n).astype(np.int64), n - 1) for x in (u, v))
+
+
+def median_draws(rows: DataFrame, value: str, keys: Sequence[str], *, draws: int = 2000, seed: int = 7, least: int = 1) -> DataFrame:
+    """n, the exact median and the medians of ``draws`` seeded resamples (``draws``, an array) of each group of ``least`` values.
+
+    The resampled medians' ranks are drawn from n alone, and the values at these ranks looked up among the group's sorted values. Those
+    are ranked in ranges of the value; only the values between the least and the largest rank drawn, some sqrt(n), meet in a task.
+    Groups and seeds draw independently.
+    """
+    values = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    counts = values.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_t"))
+    counts = counts.withColumn("_b", ranges(counts, "_v"))
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+
+    def offsets(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_b")
+        n = int(part["_c"].sum())
+        if n < least:
+            part = part[:0]
+        after = part["_c"].cumsum()
+        one, two = _median_ranks(n, int(part["_seed"].iloc[0]), draws) if len(part) else (np.zeros(1), np.zeros(1))
+        low, high = min(one.min(), (n - 1) // 2), max(two.max(), n // 2)
+        out = part.assign(_o=after - part["_c"], n=n, _low=low, _high=high)
+        return out[(after > low) & (out["_o"] <= high)][[*keys, "_b", "_o", "n", "_low", "_high", "_seed"]]
+
+    totals = counts.groupBy(*keys, "_b").agg(F.sum("_t").alias("_c")).withColumn("_seed", F.xxhash64(*keys, F.lit(seed)))
+    where = totals.groupBy(*keys).applyInPandas(offsets, f"{kinds}, _b int, _o long, n long, _low long, _high long, _seed long")
+    same = F.col("c._b") == F.col("o._b")
+    for k in keys:
+        same = same & F.col(f"c.{k}").eqNullSafe(F.col(f"o.{k}"))
+    near = counts.alias("c").join(where.alias("o"), same).select(*(F.col(f"c.{k}").alias(k) for k in keys), "_v", "_t", "c._b", "_o", "n", "_low", "_high", "_seed")
+    before = F.sum("_t").over(Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1))
+    near = near.withColumn("_o", F.col("_o") + F.coalesce(before, F.lit(0))).where((F.col("_o") <= F.col("_high")) & (F.col("_o") + F.col("_t") > F.col("_low")))
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("_m")
-        v, n = part["_m"].to_numpy(), part["_n"].to_numpy()
-        total = int(n.sum())
-        rng = np.random.default_rng([seed, total])
-        at = lambda counts: v[np.minimum(np.searchsorted(np.cumsum(counts), (counts.sum() + 1) // 2), len(v) - 1)]
-        sample = np.array([at(rng.multinomial(total, n / total)) for _ in range(draws)])
-        low, high = np.quantile(sample, [0.025, 0.975])
-        return pd.DataFrame([[*key, total, float(at(n)), float(low), float(high)]])
+        part = part.sort_values("_o")
+        v, o, n = part["_v"].to_numpy(), part["_o"].to_numpy(), int(part["n"].iloc[0])
+        at = lambda ranks: v[np.searchsorted(o, ranks, "right") - 1]
+        one, two = _median_ranks(n, int(part["_seed"].iloc[0]), draws)
+        middle = float(at((n - 1) // 2) + at(n // 2)) / 2
+        return pd.DataFrame([[*key, n, middle, ((at(one) + at(two)) / 2).tolist()]], columns=[*keys, "n", "median", "draws"])
+
+    return near.select(*keys, "_v", "_o", "n", "_seed").groupBy(*keys).applyInPandas(run, f"{kinds}, n long, median double, draws array<double>")
+
+
+def quantile(values: Column, q: float) -> Column:
+    """Quantile of an array by linear interpolation."""
+    at = (F.size(values) - 1) * F.lit(q)
+    low = F.floor(at).cast("int")
+    a, b = (F.get(F.array_sort(values), i) for i in (low, F.ceil(at).cast("int")))
+    return a + (b - a) * (at - low)
+
+
+def bootstrap_median(rows: DataFrame, value: str, keys: Sequence[str], **options) -> DataFrame:
+    """n, median and its 95 % bounds of each group, by a seeded bootstrap."""
+    d = F.col("draws")
+    return median_draws(rows, value, keys, **options).select(*keys, "n", "median", quantile(d, 0.025).alias("low"), quantile(d, 0.975).alias("high"))
+
 
-    out = small.groupBy(*keys).applyInPandas(run, schema)
-    return out.where(F.col("n") >= least)
+def ratio_draws(a: DataFrame, b: DataFrame, value: str, keys: Sequence[str], *, seed: int = 7, **options) -> DataFrame:
+    """Ratio of two medians, and its ``draws`` from independent resamples of both sides."""
+    one = median_draws(a, value, keys, seed=seed, **options).select(*keys, F.col("median").alias("_ma"), F.col("draws").alias("_da"))
+    two = median_draws(b, value, keys, seed=seed + 1, **options).select(*keys, F.col("median").alias("_mb"), F.col("draws").alias("_db"))
+    return one.join(two, list(keys)).select(*keys, F.try_divide("_ma", "_mb").alias("ratio"), F.zip_with("_da", "_db", lambda x, y: F.try_divide(x, y)).alias("draws"))
 
 
 def ratio_bounds(a: DataFrame, b: DataFrame, value: str, keys: Sequence[str], **options) -> DataFrame:
-    """Ratio of two medians with bounds from both bootstraps, as independent log-normal errors."""
-    one = bootstrap_median(a, value, keys, **options).select(*keys, F.col("median").alias("ma"), F.log(F.col("high") / F.col("low")).alias("wa"))
-    two = bootstrap_median(b, value, keys, **options).select(*keys, F.col("median").alias("mb"), F.log(F.col("high") / F.col("low")).alias("wb"))
-    half = F.sqrt(F.col("wa") * F.col("wa") + F.col("wb") * F.col("wb")) / 2
-    ratio = F.col("ma") / F.col("mb")
-    return one.join(two, list(keys)).select(*keys, ratio.alias("ratio"), (ratio * F.exp(-half)).alias("low"), (ratio * F.exp(half)).alias("high"))
+    """Ratio of two medians with its 95 % bounds from independent resamples of both."""
+    d = F.col("draws")
+    return ratio_draws(a, b, value, keys, **options).select(*keys, "ratio", quantile(d, 0.025).alias("low"), quantile(d, 0.975).alias("high"))
+
+
+def yield_difference(rent: DataFrame, sale: DataFrame, value: str, keys: Sequence[str], place: str, one: str, two: str, **options) -> DataFrame:
+    """Yield (12 * rent / sale) of place ``one`` less that of ``two`` by keys: median of the draws, its 95 % bounds, two-sided bootstrap p."""
+    both = [x.where(F.col(place).isin(one, two)) for x in (rent, sale)]
+    draws = ratio_draws(*both, value, [*keys, place], **options)
+    side = lambda p, name: draws.where(F.col(place) == p).select(*keys, F.col("draws").alias(name))
+    d = F.col("d")
+    share = lambda hit: F.size(F.filter(d, hit)) / F.size(d)
+    p = F.least(F.lit(1.0), 2 * F.least(share(lambda x: x <= 0), share(lambda x: x >= 0)))
+    found = side(one, "_1").join(side(two, "_2"), list(keys)).select(*keys, F.zip_with("_1", "_2", lambda x, y: 12 * (x - y)).alias("d"))
+    return found.select(*keys, quantile(d, 0.5).alias("difference"), quantile(d, 0.025).alias("low"), quantile(d, 0.975).alias("high"), p.alias("p"))
 
 
 def gram(rows: DataFrame, x: Sequence[str], y: str, weight: Column | None = None) -> tuple[np.ndarray, np.ndarray, int]:

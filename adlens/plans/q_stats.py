@@ -150,13 +150,19 @@ def crosstab_odds(spark, d):
 
 @query("bootstrap_medians")
 def bootstrap_medians(spark, d):
-    return S.bootstrap_median(base(spark, d), "v", ["kind"], draws=500)
+    return S.bootstrap_median(base(spark, d), "v", ["kind"])
 
 
 @query("yield_bounds")
 def yield_bounds(spark, d):
     b = base(spark, d)
-    return S.ratio_bounds(b.where("flag = 'A'"), b.where("flag = 'N'"), "v", ["kind"], draws=300)
+    return S.ratio_bounds(b.where("flag = 'A'"), b.where("flag = 'N'"), "v", ["kind"])
+
+
+@query("yield_difference")
+def yield_difference(spark, d):
+    b = base(spark, d)
+    return S.yield_difference(b.where("flag = 'A'"), b.where("flag = 'N'"), "v", ["y"], "brand", "Brand#1", "Brand#11")
 
 
 def _frame(spark, out: pd.DataFrame):

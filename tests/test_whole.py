@@ -32,3 +32,34 @@ def test_documents_mixed_judges_every_document(spark):
     status = spark.read.parquet(f"{SF}/orders.parquet").select(F.col("o_orderkey").alias("document_id"), "o_orderstatus")
     found = registry.QUERIES["documents_mixed_all"](spark, SF).join(status, "document_id")
     assert {r[0] for r in found.select("o_orderstatus").distinct().collect()} == {"F", "O", "P"}
+
+
+def test_bootstrap_is_exact_in_large_groups(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    groups = {"a": rng.integers(0, 10**6, 20001) / 8, "b": rng.integers(0, 10**6, 9000) / 8, "c": np.array([3.0, 5.0]), "d": np.array([4.0]), None: np.array([1.0, 1.0, 9.0])}
+    rows = spark.createDataFrame([(k, float(x)) for k, v in groups.items() for x in v], "g string, v double")
+    out = {r.g: r for r in S.median_draws(rows, "v", ["g"]).collect()}
+    assert {k: (r.n, r.median, len(r.draws)) for k, r in out.items()} == {k: (len(v), float(np.median(v)), 2000) for k, v in groups.items()}
+    for k, v in groups.items():
+        sample = np.median(v[rng.integers(0, len(v), (1000, len(v)))], axis=1) if len(v) < 100 else None
+        if sample is not None:
+            assert abs(np.mean(out[k].draws) - sample.mean()) < 0.5
+    a = np.array(out["a"].draws)
+    assert np.isin(a, groups["a"]).all()
+    # The median of n uniform values on a width of 125,000 has an error of width / (2 * sqrt(n)).
+    assert abs(a.std() / (125_000 / (2 * np.sqrt(20001))) - 1) < 0.15
+    bounds = {r.g: r for r in S.bootstrap_median(rows, "v", ["g"]).collect()}
+    assert np.allclose([bounds["b"].low, bounds["b"].high], np.quantile(out["b"].draws, [0.025, 0.975]))
+
+
+def test_ratio_and_difference_draw_both_sides(spark):
+    rows = spark.createDataFrame([(y, g, float(i * i % 101 + 100 + 60 * (g == "t"))) for y in (1, 2) for g in "st" for i in range(301)], "y int, g string, v double")
+    same = S.ratio_draws(rows, rows, "v", ["y", "g"]).collect()
+    assert len(same) == 4 and all(r.ratio == 1 and len(set(r.draws)) > 1 for r in same)
+    far = rows.withColumn("v", F.when(F.col("g") == "t", F.col("v") * 2).otherwise(F.col("v")))
+    for r in S.yield_difference(far, rows, "v", ["y"], "g", "t", "s").collect():
+        assert r.low > 0 and r.p == 0 and r.low <= r.difference <= r.high
+    for r in S.yield_difference(rows, rows, "v", ["y"], "g", "t", "s").collect():
+        assert r.low < 0 < r.high and r.p > 0.05
