@@ -191,4 +191,4 @@ def quantile_regression(spark, d):
 
 @query("boosted_trees")
 def boosted_trees(spark, d):
-    return _frame(spark, S.boosted(base(spark, d).where("y = 1999"), ["qty", "disc"], "v", folds=2, iterations=4))
+    return _frame(spark, S.boosted(base(spark, d), ["qty", "disc"], "v"))

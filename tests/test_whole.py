@@ -63,3 +63,36 @@ def test_ratio_and_difference_draw_both_sides(spark):
         assert r.low > 0 and r.p == 0 and r.low <= r.difference <= r.high
     for r in S.yield_difference(rows, rows, "v", ["y"], "g", "t", "s").collect():
         assert r.low < 0 < r.high and r.p > 0.05
+
+
+def test_paired_t():
+    t, p = S.paired_t([0.9, 0.8, 0.85, 0.95, 0.7], [0.8, 0.75, 0.8, 0.8, 0.72])
+    assert abs(t - 0.066 / (0.00403 / 5) ** 0.5) < 1e-9 and 0.05 < p < 0.1  # 2.776 and 2.132 are the bounds of 4 degrees of freedom
+    for df, bound in ((1, 12.706), (2, 4.303), (3, 3.182), (4, 2.776), (7, 2.365), (10, 2.228)):
+        assert abs(S.student_p(bound, df) - 0.05) < 1e-4
+    assert S.student_p(0.0, 5) == 1.0
+
+
+def test_shuffled_is_a_permutation(spark):
+    rows = spark.createDataFrame([(float(i), float(i % 7), i) for i in range(3000)], "a double, b double, id long")
+    out = S.shuffled(rows, "a", ["a", "b", "id"], 3)
+    assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.id, r.a) for r in out.collect())
+    assert [i for i, _ in got] == list(range(3000)) and sorted(a for _, a in got) == [float(i) for i in range(3000)]
+    assert sum(i == a for i, a in got) < 30
+
+
+def test_boosted_looks_at_all_years(spark, monkeypatch):
+    from adlens.plans import q_stats
+
+    seen = {}
+    monkeypatch.setattr(S, "boosted", lambda rows, x, y, **options: seen.update(n=rows.count(), options=options) or S.pd.DataFrame({"fold": [0]}))
+    q_stats.boosted_trees(spark, SF)
+    assert seen == {"n": spark.read.parquet(f"{SF}/lineitem.parquet").count(), "options": {}}
+
+
+def test_boosted_tests_the_last_feature(spark):
+    rows = spark.createDataFrame([(float(i % 10), float(i * 7 % 11), float(i % 10 + 3 * (i * 7 % 11)) + i % 3 * 0.1) for i in range(600)], "a double, b double, v double")
+    out = S.boosted(rows, ["a", "b"], "v", folds=3, iterations=2)
+    assert len(out) == 3 and (out.r2 > out.r2_less).all() and (out.importance_b > 0).all()
+    assert out.t.iloc[0] > 0 and 0 <= out.p.iloc[0] < 0.05
