@@ -4,7 +4,7 @@ Every stage but the last returns the columns of ``documents``; the last returns
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from adlens.llm import bpe, decontam, exact_dedup, ngram_join, quality
@@ -15,29 +15,57 @@ from adlens.llm.queries import contaminated, quality_model, tokenizer_json
 LEAST_QUALITY = 0.5
 
 
-def _keep(docs: DataFrame, verdict: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id ``verdict`` (unique ids) has. A null id is matched too."""
-    return docs.join(verdict.select(F.col("doc_id").alias("_kept")), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+#: What a stage knows a row by: its id and its text's sha256 (a null text counts as empty). A null id differs from all others.
+_KEY = "_row_key"
+
+
+def _key(sha: Column) -> Column:
+    return F.concat_ws("-", F.col("doc_id").cast("string"), sha)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(_KEY, _key(F.sha2(F.coalesce("text", F.lit("")), 256)))
+
+
+def _keep(keyed: DataFrame, verdict: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` whose key ``verdict`` has."""
+    return keyed.join(verdict.select(_KEY).distinct(), _KEY, "left_semi").drop(_KEY)
+
+
+def _keep_one(keyed: DataFrame, verdict: DataFrame) -> DataFrame:
+    """Of the rows of each key that ``verdict`` has, one: number 1 among the key's repeats, which tasks tell before the shuffle."""
+    number = F.row_number().over(Window.partitionBy(_KEY).orderBy("doc_id"))
+    return keyed.withColumn("_n", number).where("_n = 1").join(verdict.select(_KEY).distinct(), _KEY).drop(_KEY, "_n")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _keep(docs, quality.score(docs, model).where(F.col("score") >= LEAST_QUALITY).select("doc_id").distinct())
+    keyed = _keyed(docs)
+    return _keep(keyed, quality.score(keyed, model, id_col=_KEY).where(F.col("score") >= LEAST_QUALITY))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keep(docs, exact_dedup.exact_dedup(docs).where("kept").select("doc_id"))
+    """Of equal texts one row stays, of the largest id."""
+    return _keep_one(_keyed(docs), exact_dedup.exact_dedup(docs).where("kept").withColumn(_KEY, _key(F.col("text_sha256"))))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar documents the one with the least id stays."""
-    found = ngram_join.ngram_components(docs)
-    return _keep(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
+    """Of each component of similar documents one row stays, of the least id; a null id comes last.
+
+    The join knows documents by 62 bits of a hash of the key, so that components of rows that repeat an id, or have none, stay apart.
+    """
+    keyed = _keyed(docs)
+    hashed = keyed.withColumn("_row", F.shiftrightunsigned(F.xxhash64(_KEY), 2))
+    found = ngram_join.ngram_components(hashed, id_col="_row").select("_row", "component_id").distinct()
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", _KEY)
+    least = found.join(hashed.select("_row", "doc_id", _KEY).distinct(), "_row").groupBy("component_id").agg(F.min_by(_KEY, order).alias(_KEY))
+    return _keep_one(keyed, least)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _keep(docs, found.where(~contaminated()).select("doc_id"))
+    keyed = _keyed(docs)
+    found = decontam.contamination(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=_KEY)
+    return _keep(keyed, found.where(~contaminated()))
 
 
 def tokenize_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
