@@ -1,6 +1,6 @@
 """A training corpus from ``documents``: each stage calls one operator of ``adlens.llm`` and works on what its predecessor kept.
 
-Every stage but the last returns the columns of ``documents``; the last returns the ids of the kept documents' tokens.
+Every stage but the last returns the columns of ``documents``; the last returns the kept documents' token ids and the sha256 of what these decode to.
 """
 from __future__ import annotations
 
@@ -70,7 +70,7 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def tokenize_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     spec = tokenizer_json()
-    return bpe.encode(docs, spec).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    return bpe.encode(docs, spec, decoded=True).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

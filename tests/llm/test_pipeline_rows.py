@@ -47,3 +47,17 @@ def test_near_keeps_one_row_of_each_component(spark):
     by = Counter("a" if t in (a, a2) else "b" if t in (b, b2) else "c" if t in (c, c2) else "d" if t in (d, d2) else "" for _, t in out)
     assert by == {"a": 1, "b": 1, "c": 1, "d": 1, "": 2}
     assert (5, c) in out and (8, d) in out
+
+
+def test_last_stage_decodes(spark):
+    import hashlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    out = P.tokenize_stage(spark, docs, SF).collect()
+    assert len(out) == 40
+    for r in out:
+        assert r.decoded_sha256 == hashlib.sha256(library.decode(r.ids, skip_special_tokens=False).encode()).hexdigest()
