@@ -10,19 +10,21 @@ offsets, so windows need to be compared only with those of the same anchor hash,
 3. ``contexts`` of the latter go to the same owners, where a resolver decides window by window.
 4. Verdicts return to the documents' bins, where the covered symbols are marked.
 
-Records travel as compressed blobs, one for each task and owner or bin, so that a frequent anchor costs a few bytes a record. Contexts
-are compared by 96 bits, and those of step 3 window by window. Bins and owners grow in number with the input, so what one of them holds does not; an anchor that
-a large share of all documents has is combined in each task before it is sent: of equal contexts only the two least
-documents decide, the other records come back to their own task's documents by the same blob.
+Records travel as compressed blobs, one for each task and owner or bin. A document is known by its rank (all 64 bits of its id) and a
+64-bit hash of id and text, once a blob; records point to it. Contexts are compared by 96 bits, and those of step 3 window by
+window. Bins and owners grow in number with the input, so what one of them holds does not. Of equal contexts in a task only the
+least documents' are judged by the owner: the others repeat already, and are dealt evenly over the owners (DONE) on their way to
+their bins, so a passage that a large share of all documents has costs its owner one record a task.
 """
 from __future__ import annotations
 
+import copy
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import flat, mix, parts, prefix, slices
@@ -96,14 +98,12 @@ def context_hash(sums: np.ndarray, place: np.ndarray, first: np.ndarray, last: n
     return mix(slices(sums, first, last + width) ^ (place - first).astype(_U))
 
 
-def window_hashes(sums: np.ndarray, first: np.ndarray, last: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the windows from ``first`` to ``last`` of each anchor, one after the other, and how many each has."""
-    count = last - first + 1
-    start = np.arange(count.sum()) + np.repeat(first - (np.cumsum(count) - count), count)
-    return slices(sums, start, start + width), count
+Symbols = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
-Symbols = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+def tagged(rank: Column, text: Column) -> Column:
+    """The tag of a row. Tags place rows in bins and tell rows of one rank apart; rows of different ranks may share one."""
+    return F.xxhash64(rank, text)
 
 
 class Plan:
@@ -115,15 +115,22 @@ class Plan:
         self.symbols, self.width, self.k = symbols, width, k
         bounded_batches(docs.sparkSession)
         # Measured: the optimizer's guess is far off behind a join, and boundless for rows that no file holds.
-        size = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
-        self.bins, self.owners = int(max(64, size // BIN_BYTES)), int(max(64, size // OWNER_BYTES))
+        self.size = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+        self.bins, self.owners = int(max(64, self.size // BIN_BYTES)), int(max(64, self.size // OWNER_BYTES))
         text = F.coalesce(F.col(text_col), F.lit(""))
-        # A null id comes after all others. Rows are known by a hash of id and text, so repeated ids with different texts stay apart.
+        # A null id comes after all others. Rows are known by rank and tag together, so repeated ids with different texts stay apart.
         rank = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
-        # The tag leads with the id, so that sorted tags of neighbours compress.
-        low = F.lit((1 << 32) - 1)
-        tag = F.shiftleft(F.col("rank").bitwiseAND(F.lit((1 << 31) - 1)), 32).bitwiseOR(F.xxhash64("rank", "text").bitwiseAND(low))
-        self.base = docs.select(rank.alias("rank"), text.alias("text")).select("rank", tag.alias("tag"), "text")
+        self.base = docs.select(rank.alias("rank"), text.alias("text")).select("rank", tagged(F.col("rank"), F.col("text")).alias("tag"), "text")
+
+    def between(self, low: int | None, high: int | None) -> Plan:
+        """The same exchange for the rows of ranks from ``low`` to below ``high``."""
+        part = copy.copy(self)
+        part.base = self.base
+        if low is not None:
+            part.base = part.base.where(F.col("rank") >= low)
+        if high is not None:
+            part.base = part.base.where(F.col("rank") < high)
+        return part
 
     def __getstate__(self):  # what the executors need
         return {k: v for k, v in self.__dict__.items() if k != "base"}
@@ -155,33 +162,66 @@ def _split(where: np.ndarray, order_by: tuple[np.ndarray, ...] = (), order: np.n
         yield int(sorted_[a]), order[a:b]
 
 
-ANCHOR, DOCS, VERDICT, CONTEXT, RUN = range(5)
+ANCHOR, DOCS, VERDICT, CONTEXT, RUN, DONE = range(6)
 
 
-def packed_anchors(plan: Plan, with_windows: bool = False) -> DataFrame:
-    """Rows (owner, ANCHOR, blob of anchor, context, rank, tag, first window, offset of the anchor, windows[, window hashes])."""
-    symbols, width, k = plan.symbols, plan.width, plan.k
+def narrow(which: np.ndarray, n: int) -> np.ndarray:
+    """Numbers below ``n`` in as few bytes as hold them."""
+    return which.astype(np.uint8 if n <= 1 << 8 else np.uint16 if n <= 1 << 16 else np.uint32)
+
+
+def documents(rank: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For records of (rank, tag): a number of each record's document, and one record of each document."""
+    order = np.lexsort((tag, rank))
+    new = np.ones(len(order), bool)
+    new[1:] = (rank[order][1:] != rank[order][:-1]) | (tag[order][1:] != tag[order][:-1])
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return which, order[new]
+
+
+def listed(doc: np.ndarray, rank: np.ndarray, tag: np.ndarray) -> list[np.ndarray]:
+    """Rank differences and tags of the documents that ``doc`` names by number, and the place of each record's among these."""
+    used, which = np.unique(doc, return_inverse=True)
+    return [np.diff(rank[used], prepend=np.int64(0)), tag[used], narrow(which, len(used))]
+
+
+def unlisted(found: list[list[np.ndarray]], at: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of blobs with ``listed`` arrays from place ``at`` on: each record's document number, and the documents' ranks and tags."""
+    rank = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(x[at]) for x in found)])
+    tag = np.concatenate([np.zeros(0, np.int64), *(x[at + 1] for x in found)])
+    base = np.cumsum([0, *(len(x[at]) for x in found)])
+    doc = np.concatenate([np.zeros(0, np.int64), *(b + x[at + 2].astype(np.int64) for b, x in zip(base, found))])
+    return doc, rank, tag
+
 
-    def flush(held: list[list[np.ndarray]], hashes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        a, c, r, t, f, o, w = (np.concatenate(x) for x in zip(*held, strict=True))
-        at = np.concatenate([[0], np.cumsum(w.astype(np.int64))])
-        flat_hashes = np.concatenate(hashes) if with_windows else None
+def packed_anchors(plan: Plan) -> DataFrame:
+    """Rows (owner, ANCHOR, blob of anchor, context, documents, first window, offset of the anchor, windows).
+
+    Rows DONE (any owner: documents, first window, windows) have the contexts that an earlier document of the same task has.
+    """
+    symbols, width, k = plan.symbols, plan.width, plan.k
+    small = np.uint8 if width < 256 else np.uint32
+
+    def flush(held: list[list[np.ndarray]], ids: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        a, c, d, f, o, w = (np.concatenate(x) for x in zip(*held, strict=True))
+        rank, tag = (np.concatenate(x) for x in zip(*ids, strict=True))
+        group, least = _first_of((a, c), rank[d])
+        again = rank[d] > least[group]
+        order = np.argsort(a)  # owners are ranges of hashes
+        order, done = order[~again[order]], np.flatnonzero(again)
+        if len(done):
+            yield _rows([int(a[done[0]] % _U(plan.owners))], DONE, [pack(*listed(d[done], rank, tag), f[done].astype(np.uint32), w[done].astype(small))])
         place, blobs = [], []
-        for p, i in _split(plan.owner(a), order=np.argsort(a)):  # owners are ranges of hashes
-            more = [flat_hashes[np.concatenate([np.arange(at[j], at[j + 1]) for j in i.tolist()])]] if with_windows else []
-            tags, which = np.unique(t[i], return_inverse=True)
-            ranks = np.empty(len(tags), np.int64)
-            ranks[which] = r[i]
-            which = which.astype(np.uint16) if len(tags) < 1 << 16 else which.astype(np.uint32)
-            step = np.diff(a[i], prepend=_U(0))
+        for p, i in _split(plan.owner(a), order=order):
             place.append(p)
-            blobs.append(pack(step, c[i], tags, ranks, which, f[i].astype(np.uint32), o[i].astype(np.uint8 if width < 256 else np.uint32), w[i].astype(np.uint8 if width < 256 else np.uint32), *more))
+            blobs.append(pack(np.diff(a[i], prepend=_U(0)), c[i], *listed(d[i], rank, tag), f[i].astype(np.uint32), o[i].astype(small), w[i].astype(small)))
         yield _rows(place, ANCHOR, blobs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
-        hashes: list[np.ndarray] = []
-        size = 0
+        ids: list[list[np.ndarray]] = []
+        size = docs = 0
         for big in batches:
             for batch in parts(big, "text", PART_BYTES):
                 data, offsets = flat(batch.column("text"))
@@ -190,16 +230,14 @@ def packed_anchors(plan: Plan, with_windows: bool = False) -> DataFrame:
                 # An anchor is the least of many hashes; mixed again, anchors are spread evenly over owners.
                 a, c = mix(a) & KEPT_ANCHOR, context_hash(sums, place, first, last, width) & KEPT_CONTEXT
                 doc = np.searchsorted(at, place, "right") - 1
-                rank, tag = batch.column("rank").to_numpy(), batch.column("tag").to_numpy()
-                held.append([a, c, rank[doc], tag[doc], (first - at[doc]).astype(np.uint32), (place - first).astype(np.uint16), (last - first + 1).astype(np.uint16)])
-                if with_windows:
-                    hashes.append(window_hashes(sums, first, last, width)[0])
-                size += len(a)
+                held.append([a, c, docs + doc, (first - at[doc]).astype(np.uint32), (place - first).astype(np.uint16), (last - first + 1).astype(np.uint16)])
+                ids.append([batch.column("rank").to_numpy(), batch.column("tag").to_numpy()])
+                size, docs = size + len(a), docs + batch.num_rows
                 if size >= HELD_RECORDS:
-                    yield from flush(held, hashes)
-                    held, hashes, size = [], [], 0
+                    yield from flush(held, ids)
+                    held, ids, size, docs = [], [], 0, 0
         if size:
-            yield from flush(held, hashes)
+            yield from flush(held, ids)
 
     return plan.base.mapInArrow(run, PACKED)
 
@@ -253,17 +291,15 @@ def _first_of(keys: tuple[np.ndarray, ...], value: np.ndarray) -> tuple[np.ndarr
 
 
 def judge(plan: Plan, packed: DataFrame) -> DataFrame:
-    """Rows (bin, VERDICT, blob of tag, first window, windows, kind, offset, anchor); kind 0: all repeat, 1: take part in step 3.
-
-    Rows of kind RUN are an index's; those of their anchors that take part come out as CONTEXT rows for the owner itself.
-    """
+    """Rows (bin, VERDICT, blob of documents, first window, windows, kind, offset, anchor); kind 0: all repeat, 1: take part in step 3."""
 
     def run(table: pa.Table) -> pa.Table:
-        found, history = _by_what(table, ANCHOR), _by_what(table, RUN)
-        a = np.concatenate([np.zeros(0, _U), *(np.cumsum(x[0], dtype=_U) for x in found), *(x[0] for x in history)])
-        c = np.concatenate([np.zeros(0, _U), *(x[1] for x in found), *(x[1] for x in history)])
-        rank = np.concatenate([np.zeros(0, np.int64), *(x[3][x[4]] for x in found), *(x[2] for x in history)])
-        n = sum(len(x[1]) for x in found)
+        found, done = _by_what(table, ANCHOR), _by_what(table, DONE)
+        a = np.concatenate([np.zeros(0, _U), *(np.cumsum(x[0], dtype=_U) for x in found)])
+        c = np.concatenate([np.zeros(0, _U), *(x[1] for x in found)])
+        doc, ranks, tags = unlisted([x[2:5] for x in found] + [x[:3] for x in done])
+        n, total = len(a), len(doc)
+        rank = ranks[doc[:n]]
         by_context, first_context = _first_of((a, c), rank)
         by_anchor, first_anchor = _first_of((a,), rank)
         contexts = np.zeros(len(first_anchor), np.int64)
@@ -271,42 +307,21 @@ def judge(plan: Plan, packed: DataFrame) -> DataFrame:
         np.add.at(contexts, by_anchor[one], 1)
         last_anchor = np.full(len(first_anchor), np.iinfo(np.int64).min)
         np.maximum.at(last_anchor, by_anchor, rank)
-        # An index's documents come before any of the batch, whatever their ids.
-        old = np.arange(len(a)) >= n
-        has_old = np.zeros(len(first_context), bool)
-        has_old[by_context[old]] = True
-        old_anchor = np.zeros(len(first_anchor), bool)
-        old_anchor[by_anchor[old]] = True
-        repeats = ((first_context[by_context] < rank) | has_old[by_context]) & ~old
-        mixed = (contexts[by_anchor] > 1) & ((last_anchor[by_anchor] > first_anchor[by_anchor]) | old_anchor[by_anchor])
-        part = mixed & ~repeats & ~old  # every row of the first document that has the context
-        tag = np.concatenate([np.zeros(0, np.int64), *(x[2][x[4]] for x in found)])
-        first = np.concatenate([np.zeros(0, np.uint32), *(x[5] for x in found)])
-        offset = np.concatenate([np.zeros(0, np.uint32), *(x[6] for x in found)]).astype(np.uint32)
-        count = np.concatenate([np.zeros(0, np.uint32), *(x[7] for x in found)]).astype(np.uint32)
-        chosen = np.flatnonzero((repeats | part)[:n])
-        place, blobs, kinds = [], [], []
-        for p, i in _split(plan.bin(tag[chosen]), (first[chosen], tag[chosen])):
+        repeats = first_context[by_context] < rank
+        mixed = (contexts[by_anchor] > 1) & (last_anchor[by_anchor] > first_anchor[by_anchor])
+        part = np.zeros(total, bool)
+        part[:n] = mixed & ~repeats  # every row of the first document that has the context
+        first = np.concatenate([np.zeros(0, np.uint32), *(x[5] for x in found), *(x[3] for x in done)])
+        count = np.concatenate([np.zeros(0, np.uint32), *(x[7] for x in found), *(x[4] for x in done)]).astype(np.uint32)
+        offset = np.concatenate([np.zeros(0, np.uint32), *(x[6] for x in found)]).astype(np.uint16)
+        chosen = np.concatenate([np.flatnonzero(repeats | part[:n]), np.arange(n, total)])
+        place, blobs = [], []
+        for p, i in _split(plan.bin(tags[doc[chosen]]), (first[chosen], doc[chosen])):
             i = chosen[i]
             asked = part[i]
-            tags, which = np.unique(tag[i], return_inverse=True)
             place.append(p)
-            kinds.append(VERDICT)
-            blobs.append(pack(tags, which.astype(np.uint32), first[i], count[i].astype(np.uint16), asked.astype(np.uint8), offset[i][asked].astype(np.uint16), a[i][asked]))
-        held = np.flatnonzero(mixed & old)
-        if len(held):
-            offs = np.concatenate([x[3] for x in history])
-            counts = np.concatenate([x[4] for x in history]).astype(np.int64)
-            hashes = np.concatenate([x[5] for x in history])
-            at = np.concatenate([[0], np.cumsum(counts)])
-            h = held - n
-            index = np.concatenate([np.arange(at[j], at[j + 1]) for j in h.tolist()])
-            rel = np.arange(len(index)) - np.repeat(np.cumsum(counts[h]) - counts[h], counts[h]) - np.repeat(offs[h].astype(np.int64), counts[h])
-            m = len(index)
-            place.append(int(table.column("place")[0].as_py()))
-            kinds.append(CONTEXT)
-            blobs.append(pack(np.repeat(a[held], counts[h]), rel.astype(np.int16), hashes[index], np.full(m, np.iinfo(np.int64).min), np.zeros(m, np.int64), np.zeros(m, np.uint32)))
-        return pa.table([pa.array(place, pa.int32()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], names=["place", "what", "blob"])
+            blobs.append(pack(*listed(doc[i], ranks, tags), first[i], count[i], asked.astype(np.uint8), offset[i[asked]], a[i[asked]]))
+        return _rows_table(place, VERDICT, blobs)
 
     return packed.groupBy("place").applyInArrow(run, PACKED)
 
@@ -336,37 +351,54 @@ class Bin:
         self.order = np.argsort(self.tag, kind="stable")
         self.tags = self.tag[self.order]
 
-    def rows(self, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For records with ``tag``: pairs of record and document (repeated rows: each of them)."""
+    def rows(self, rank: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For records with ``rank`` and ``tag``: pairs of record and document (repeated rows: each of them)."""
         lo, hi = np.searchsorted(self.tags, tag), np.searchsorted(self.tags, tag, "right")
         count = hi - lo
         record = np.repeat(np.arange(len(tag)), count)
-        return record, self.order[np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
+        doc = self.order[np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
+        same = self.rank[doc] == rank[record]
+        return record[same], doc[same]
 
 
 def verdicts(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """tag, first window, windows, whether it takes part; then offset and anchor of those that do."""
+    """Document numbers, their ranks and tags, first window, windows, whether it takes part; then offset and anchor of those that do."""
     found = _by_what(table, VERDICT)
     cat = lambda xs, kind: np.concatenate([np.zeros(0, kind), *xs])
     return (
-        cat((x[0][x[1]] for x in found), np.int64), cat((x[2] for x in found), np.uint32).astype(np.int64), cat((x[3] for x in found), np.uint16).astype(np.int64),
-        cat((x[4] for x in found), np.uint8).astype(bool), cat((x[5] for x in found), np.uint16).astype(np.int64), cat((x[6] for x in found), _U),
+        *unlisted(found), cat((x[3] for x in found), np.uint32).astype(np.int64), cat((x[4] for x in found), np.uint32).astype(np.int64),
+        cat((x[5] for x in found), np.uint8).astype(bool), cat((x[6] for x in found), np.uint16).astype(np.int64), cat((x[7] for x in found), _U),
     )
 
 
-def exchange(plan: Plan, contexts: Callable[[Bin, tuple[np.ndarray, ...]], list[np.ndarray]], resolve: Callable[[list[list[np.ndarray]]], tuple[np.ndarray, np.ndarray]], history: DataFrame | None = None, first_pass: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def answers(plan: Plan, doc: np.ndarray, ranks: np.ndarray, tags: np.ndarray, start: np.ndarray) -> pa.Table:
+    """Rows (bin, VERDICT, blob) that say that the windows at ``start`` of these documents (by number) repeat."""
+    order = np.lexsort((start, doc))
+    doc, start = doc[order], start[order].astype(np.int64)
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)
+    begin = np.flatnonzero(new)
+    doc, start, count = doc[begin], start[begin].astype(np.uint32), np.diff(np.append(begin, len(order))).astype(np.uint32)
+    place, blobs = [], []
+    for p, i in _split(plan.bin(tags[doc])):
+        place.append(p)
+        blobs.append(pack(*listed(doc[i], ranks, tags), start[i], count[i], np.zeros(len(i), np.uint8), np.zeros(0, np.uint16), np.zeros(0, _U)))
+    return _rows_table(place, VERDICT, blobs)
+
+
+def exchange(plan: Plan, contexts: Callable[[Bin, tuple[np.ndarray, ...]], list[np.ndarray]], resolve: Callable[[list[list[np.ndarray]]], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[DataFrame, DataFrame]:
     """Packed documents and all verdicts, both by bin.
 
     ``contexts`` makes the arrays that an owner gets of the anchors that take part (anchor first, then anything);
-    ``resolve`` gives tag and position of the windows that repeat.
+    ``resolve`` gives rank, tag and position of the windows that repeat.
     """
-    packed = packed_anchors(plan) if first_pass is None else first_pass
-    first = stored(judge(plan, packed if history is None else packed.unionAll(history)), "repeats")
+    first = stored(judge(plan, packed_anchors(plan)), "repeats")
 
     def ask(table: pa.Table) -> pa.Table:
         here = Bin(table, plan)
-        tag, start, count, asked, offset, a = verdicts(table)
-        arrays = contexts(here, (tag[asked], start[asked], count[asked], offset, a))
+        doc, rank, tag, start, count, asked, offset, a = verdicts(table)
+        asking = doc[asked]
+        arrays = contexts(here, (rank[asking], tag[asking], start[asked], count[asked], offset, a))
         place, blobs = [], []
         for p, i in _split(plan.owner(arrays[0])):
             place.append(p)
@@ -374,26 +406,19 @@ def exchange(plan: Plan, contexts: Callable[[Bin, tuple[np.ndarray, ...]], list[
         return pa.table([pa.array(place, pa.int32()), pa.array([CONTEXT] * len(place), pa.int32()), pa.array(blobs, pa.binary())], names=["place", "what", "blob"])
 
     def answer(table: pa.Table) -> pa.Table:
-        tag, start = resolve(_by_what(table, CONTEXT))
-        place, blobs = [], []
-        none, n16 = np.zeros(0, _U), np.zeros(0, np.uint16)
-        for p, i in _split(plan.bin(tag), (start, tag)):
-            tags, which = np.unique(tag[i], return_inverse=True)
-            place.append(p)
-            blobs.append(pack(tags, which.astype(np.uint32), start[i].astype(np.uint32), np.ones(len(i), np.uint16), np.zeros(len(i), np.uint8), n16, none))
-        return pa.table([pa.array(place, pa.int32()), pa.array([VERDICT] * len(place), pa.int32()), pa.array(blobs, pa.binary())], names=["place", "what", "blob"])
+        rank, tag, start = resolve(_by_what(table, CONTEXT))
+        which, one = documents(rank, tag)
+        return answers(plan, which, rank[one], tag[one], start)
 
-    by_bin = first.where(F.col("what") == VERDICT)
-    asked = stored(packed_docs(plan).unionAll(by_bin).groupBy("place").applyInArrow(ask, PACKED), "contexts")
-    second = asked.unionAll(first.where(F.col("what") == CONTEXT)).groupBy("place").applyInArrow(answer, PACKED)
-    return packed_docs(plan), by_bin.unionAll(second)
+    asked = stored(packed_docs(plan).unionAll(first).groupBy("place").applyInArrow(ask, PACKED), "contexts")
+    return packed_docs(plan), first.unionAll(asked.groupBy("place").applyInArrow(answer, PACKED))
 
 
 def covered(here: Bin, table: pa.Table, width: int) -> np.ndarray:
     """Which symbols of the bin a repeated window covers."""
-    tag, start, count, asked, _, _ = verdicts(table)
-    tag, start, count = tag[~asked], start[~asked], count[~asked]
-    record, doc = here.rows(tag)
+    doc, rank, tag, start, count, asked, _, _ = verdicts(table)
+    doc, start, count = doc[~asked], start[~asked], count[~asked]
+    record, doc = here.rows(rank[doc], tag[doc])
     begin = here.at[doc] + start[record]
     cover = np.zeros(len(here.symbols) + 1, np.int64)
     np.add.at(cover, begin, 1)

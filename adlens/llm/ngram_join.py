@@ -12,7 +12,7 @@
 4. A group over ``block`` sets is cut into blocks; each pair of blocks is a task. Tasks return a spanning forest of their links, so
    links that only repeat a connection are not sent.
 
-Equal sets are one class from the start. N-grams are compared by 64-bit hashes.
+Equal sets, by 128 bits of hash and their size, are one class from the start. N-grams are compared by 64-bit hashes, of which 48 find candidates.
 """
 from __future__ import annotations
 
@@ -32,6 +32,7 @@ _U = np.uint64
 CLASS, POSTING, SET = 10, 11, 12
 #: N-grams whose hash is below this, two fifths of all, decide which documents can have a partner.
 SAMPLE = _U(2**64 * 2 // 5)
+SECOND = 0x5851F42D4C957F2D
 
 
 class Shingles:
@@ -166,8 +167,8 @@ def spanning_links(sets: list[np.ndarray], ranks: int, percent: int) -> list[tup
     return links
 
 
-def _signature(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    sums = np.concatenate([np.zeros(1, _U), np.cumsum(mix(h), dtype=_U)])
+def _signature(h: np.ndarray, at: np.ndarray, salt: int = 0) -> np.ndarray:
+    sums = np.concatenate([np.zeros(1, _U), np.cumsum(mix(h ^ _U(salt)), dtype=_U)])
     return mix(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(_U)).view(np.int64)
 
 
@@ -188,21 +189,23 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 h, at = shingles(*R.flat(batch.column("text")))
                 tag = batch.column("tag")
                 size = np.diff(at)
-                sig = np.where(size > 0, _signature(h, at), mix(tag.to_numpy().view(_U)).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column("rank"), tag, pa.array(sig), pa.array(size)], ["rank", "tag", "sig", "n"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("rank"), tag, pa.array(_signature(h, at)), pa.array(_signature(h, at, SECOND)), pa.array(size)], ["rank", "tag", "sig", "sig2", "n"]
+                )
 
-    rows = stored(plan.base.mapInArrow(describe, "rank long, tag long, sig long, n long"), "shingled")
-    # The class of equal sets is known by the tag of its least document; only that one looks for partners.
-    classes = rows.where("n > 0").groupBy("sig", "n").agg(F.min(F.struct("rank", "tag")).alias("least"))
-    reps = stored(classes.select(F.col("least.tag").alias("tag"), "sig", "n"), "classes")
+    rows = stored(plan.base.mapInArrow(describe, "rank long, tag long, sig long, sig2 long, n long"), "shingled")
+    # Of a class of equal sets only the least document looks for partners. The class's number is fixed by being written.
+    classes = rows.where("n > 0").groupBy("sig", "sig2", "n").agg(F.min(F.struct("rank", "tag")).alias("least"))
+    reps = stored(classes.select(F.monotonically_increasing_id().alias("node"), "least.rank", "least.tag", "sig", "sig2", "n"), "classes")
 
     def flushed(held: list[list[np.ndarray]]) -> pa.RecordBatch:
-        h, tag, *more = (np.concatenate(x) for x in zip(*held, strict=True))
+        h, rank, tag, *more = (np.concatenate(x) for x in zip(*held, strict=True))
+        which, one = R.documents(rank, tag)
+        rank, tag = rank[one], tag[one]
         place, blobs = [], []
         for p, i in R._split(plan.owner(h), order=np.argsort(h)):
-            kept, which = np.unique(tag[i], return_inverse=True)
             place.append(p)
-            blobs.append(R.pack(np.diff(h[i], prepend=_U(0)), kept, which.astype(np.uint16 if len(kept) < 1 << 16 else np.uint32), *(x[i] for x in more)))
+            blobs.append(R.pack(np.diff(h[i], prepend=_U(0)), *R.listed(which[i], rank, tag), *(x[i] for x in more)))
         return R._rows(place, R.ANCHOR, blobs)
 
     def gathered(found: Iterator[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -216,81 +219,87 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             yield flushed(held)
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (owner, ANCHOR, blob of n-grams' differences, tags, which) of the n-grams whose hash is in the sample."""
+        """Rows (owner, ANCHOR, blob of n-grams' differences, documents) of the n-grams whose hash is in the sample."""
 
         def found() -> Iterator[list[np.ndarray]]:
             for big in batches:
                 for batch in R.parts(big, "text", R.PART_BYTES):
                     h, at = shingles(*R.flat(batch.column("text")))
-                    tag = batch.column("tag").to_numpy()
+                    rank, tag = batch.column("rank").to_numpy(), batch.column("tag").to_numpy()
                     # Of equal sets in a batch the one of the least document is counted: no other can represent them.
-                    by_rank = np.lexsort((tag, batch.column("rank").to_numpy()))
+                    by_rank = np.lexsort((tag, rank))
                     keep = np.zeros(batch.num_rows, bool)
                     keep[by_rank[np.unique(_signature(h, at)[by_rank], return_index=True)[1]]] = True
                     doc = owner(at)
                     use = keep[doc] & (h < SAMPLE)
-                    yield [mix(h[use]) & R.KEPT_ANCHOR, tag[doc[use]]]  # mixed: the sample is a range of hashes
+                    yield [mix(h[use]) & R.KEPT_ANCHOR, rank[doc[use]], tag[doc[use]]]  # mixed: the sample is a range of hashes
 
         return gathered(found())
 
     def shared_counts(table: pa.Table) -> pa.Table:
-        """Rows (bin, VERDICT, blob of tags and their numbers of sampled n-grams that more than one document has)."""
+        """Rows (bin, VERDICT, blob of ranks, tags and numbers of sampled n-grams that more than one document has)."""
         found = R._by_what(table, R.ANCHOR)
         h = np.concatenate([np.zeros(0, _U), *(np.cumsum(x[0], dtype=_U) for x in found)])
-        tag = np.concatenate([np.zeros(0, np.int64), *(x[1][x[2]] for x in found)])
+        doc, ranks, tags = R.unlisted(found, 1)
         order = np.argsort(h, kind="stable")
-        h, tag = h[order], tag[order]
+        h, doc = h[order], doc[order]
         same = h[1:] == h[:-1]
         many = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(h) else np.zeros(0, bool)
-        tags, count = np.unique(tag[many], return_counts=True)
+        count = np.bincount(doc[many], minlength=len(ranks))
+        some = np.flatnonzero(count)
         place, blobs = [], []
-        for p, i in R._split(plan.bin(tags)):
+        for p, i in R._split(plan.bin(tags[some])):
+            i = some[i]
             place.append(p)
-            blobs.append(R.pack(tags[i], count[i].astype(np.uint32)))
+            blobs.append(R.pack(np.diff(ranks[i], prepend=np.int64(0)), tags[i], count[i].astype(np.uint32)))
         return pa.table([pa.array(place, pa.int32()), pa.array([R.VERDICT] * len(place), pa.int32()), pa.array(blobs, pa.binary())], names=["place", "what", "blob"])
 
     def survivors(table: pa.Table) -> pa.Table:
-        """One packed row of the bin's class representatives that may have a partner.
+        """One packed row of the bin's class representatives that may have a partner, with their class numbers as ranks.
 
         A partner lacks at most size - ceil(size * percent / 100) of a set's n-grams, so of the sampled ones all but so many are
         in a second document.
         """
         here = R.Bin(table, plan)
         found = R._by_what(table, R.VERDICT)
-        tag = np.concatenate([np.zeros(0, np.int64), *(x[0] for x in found)])
-        count = np.concatenate([np.zeros(0, np.uint32), *(x[1] for x in found)])
+        rank = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(x[0]) for x in found)])
+        tag = np.concatenate([np.zeros(0, np.int64), *(x[1] for x in found)])
+        count = np.concatenate([np.zeros(0, np.uint32), *(x[2] for x in found)])
         shared = np.zeros(len(here.tag), np.int64)
-        record, doc = here.rows(tag)
+        record, doc = here.rows(rank, tag)
         np.add.at(shared, doc, count[record])
         size = np.diff(here.at)
         in_sample = np.bincount(owner(here.at), here.symbols < SAMPLE, len(size)).astype(np.int64) if len(size) else size
-        reps = np.concatenate([np.zeros(0, np.int64), *(x[0] for x in R._by_what(table, CLASS))])
+        rank, tag, number = (np.concatenate([np.zeros(0, np.int64), *(x[c] for x in R._by_what(table, CLASS))]) for c in range(3))
+        record, doc = here.rows(rank, tag)
+        node = np.full(len(size), -1)
+        node[doc] = number[record]
         first = np.zeros(len(size), bool)
-        first[np.unique(here.tag, return_index=True)[1]] = True
-        keep = np.flatnonzero(first & np.isin(here.tag, reps) & (size > 0) & (shared >= in_sample - (prefix_length(size, percent) - 1)))
+        first[R.documents(here.rank, here.tag)[1]] = True  # of rows that repeat id and text, one
+        keep = np.flatnonzero(first & (node >= 0) & (size > 0) & (shared >= in_sample - (prefix_length(size, percent) - 1)))
         texts = [here.data[here.offsets[d] : here.offsets[d + 1]] for d in keep.tolist()]
-        blob = R.pack(here.rank[keep], here.tag[keep], np.diff(here.offsets)[keep], np.concatenate([np.zeros(0, np.uint8), *texts]), level=3)
+        blob = R.pack(node[keep], here.tag[keep], np.diff(here.offsets)[keep], np.concatenate([np.zeros(0, np.uint8), *texts]), level=3)
         return R._rows_table([int(table.column("place")[0].as_py())] if len(keep) else [], R.DOCS, [blob] if len(keep) else [])
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (owner, ANCHOR, blob of n-grams' differences, tags, which, place in the set) of packed documents."""
+        """Rows (owner, ANCHOR, blob of n-grams' differences, documents, place in the set) of packed documents."""
 
         def found() -> Iterator[list[np.ndarray]]:
             for batch in batches:
                 for blob in batch.column("blob").to_pylist():
-                    _, tag, sizes, data = R.unpack(blob)
+                    node, tag, sizes, data = R.unpack(blob)
                     h, at = shingles(data, np.concatenate([[0], np.cumsum(sizes)]))
                     doc = owner(at)
-                    yield [h & R.KEPT_ANCHOR, tag[doc], (np.arange(len(h)) - at[doc]).astype(np.uint32)]
+                    yield [h & R.KEPT_ANCHOR, node[doc], tag[doc], (np.arange(len(h)) - at[doc]).astype(np.uint32)]
 
         return gathered(found())
 
     def frequencies(table: pa.Table) -> pa.Table:
-        """Rows (bin, VERDICT, blob of tags, which, place, frequency) of n-grams that more than one document has."""
+        """Rows (bin, VERDICT, blob of documents, place, frequency) of n-grams that more than one document has."""
         found = R._by_what(table, R.ANCHOR)
         h = np.concatenate([np.zeros(0, _U), *(np.cumsum(x[0], dtype=_U) for x in found)])
-        tag = np.concatenate([np.zeros(0, np.int64), *(x[1][x[2]] for x in found)])
-        where = np.concatenate([np.zeros(0, np.uint32), *(x[3] for x in found)])
+        doc, nodes, tags = R.unlisted(found, 1)
+        where = np.concatenate([np.zeros(0, np.uint32), *(x[4] for x in found)])
         order = np.argsort(h, kind="stable")
         new = np.ones(len(h), bool)
         new[1:] = h[order][1:] != h[order][:-1]
@@ -299,35 +308,34 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         df[order] = np.repeat(count, count)
         many = np.flatnonzero(df > 1)
         place, blobs = [], []
-        for p, i in R._split(plan.bin(tag[many]), (where[many], tag[many])):
+        for p, i in R._split(plan.bin(tags[doc[many]]), (where[many], doc[many])):
             i = many[i]
-            tags, which = np.unique(tag[i], return_inverse=True)
             place.append(p)
-            blobs.append(R.pack(tags, which.astype(np.uint32), where[i], df[i]))
+            blobs.append(R.pack(*R.listed(doc[i], nodes, tags), where[i], df[i]))
         return pa.table([pa.array(place, pa.int32()), pa.array([R.VERDICT] * len(place), pa.int32()), pa.array(blobs, pa.binary())], names=["place", "what", "blob"])
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tag = batch.column("tag").to_numpy()
+            rank, tag, node = (batch.column(c).to_numpy() for c in ("rank", "tag", "node"))
             place, blobs = [], []
             for p, i in R._split(plan.bin(tag)):
                 place.append(p)
-                blobs.append(R.pack(tag[i]))
+                blobs.append(R.pack(rank[i], tag[i], node[i]))
             yield R._rows(place, CLASS, blobs)
 
     def order_sets(table: pa.Table) -> pa.Table:
-        """Rows POSTING (owner: n-gram, size, tag) and SET (tag: n-grams in order, frequencies) of documents that may have partners."""
+        """Rows POSTING (owner: n-gram, size, node) and SET (node: n-grams in order, frequencies) of documents that may have partners."""
         here = R.Bin(table, plan)
         found = R._by_what(table, R.VERDICT)
-        tag = np.concatenate([np.zeros(0, np.int64), *(x[0][x[1]] for x in found)])
-        where = np.concatenate([np.zeros(0, np.int64), *(x[2] for x in found)]).astype(np.int64)
-        count = np.concatenate([np.zeros(0, np.int64), *(x[3] for x in found)])
+        of, nodes, tags = R.unlisted(found)
+        where = np.concatenate([np.zeros(0, np.int64), *(x[3] for x in found)]).astype(np.int64)
+        count = np.concatenate([np.zeros(0, np.int64), *(x[4] for x in found)])
         df = np.ones(len(here.symbols), np.int64)
-        record, doc = here.rows(tag)
+        record, doc = here.rows(nodes[of], tags[of])
         df[here.at[doc] + where[record]] = count[record]
         size = np.diff(here.at)
         shared = np.concatenate([[0], np.cumsum(df > 1)])
-        out = {"place": [], "what": [], "tag": [], "blob": []}
+        out = {"place": [], "what": [], "node": [], "blob": []}
         posts: list[list[np.ndarray]] = []
         for d in range(len(size)):
             a, b = int(here.at[d]), int(here.at[d + 1])
@@ -339,19 +347,19 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             o = np.lexsort((h, f))
             h, f = h[o], f[o]
             use = h[:p][f[:p] > 1]
-            posts.append([use, np.full(len(use), size[d]), np.full(len(use), here.tag[d])])
+            posts.append([use, np.full(len(use), size[d]), np.full(len(use), here.rank[d])])
             out["place"].append(0)
             out["what"].append(SET)
-            out["tag"].append(int(here.tag[d]))
+            out["node"].append(int(here.rank[d]))
             out["blob"].append(R.pack(h, f.astype(np.uint32)))
         if posts:
             h, s, t = (np.concatenate(x) for x in zip(*posts, strict=True))
             for p, i in R._split(plan.owner(h), (h,)):
                 out["place"].append(p)
                 out["what"].append(POSTING)
-                out["tag"].append(0)
+                out["node"].append(0)
                 out["blob"].append(R.pack(h[i], s[i].astype(np.uint32), t[i]))
-        return pa.table([pa.array(out["place"], pa.int32()), pa.array(out["what"], pa.int32()), pa.array(out["tag"], pa.int64()), pa.array(out["blob"], pa.binary())], names=["place", "what", "tag", "blob"])
+        return pa.table([pa.array(out["place"], pa.int32()), pa.array(out["what"], pa.int32()), pa.array(out["node"], pa.int64()), pa.array(out["blob"], pa.binary())], names=["place", "what", "node", "blob"])
 
     def neighbours(table: pa.Table) -> pa.Table:
         """Edges between neighbours by size in each n-gram's list, unless the larger is too large for any pair across them."""
@@ -364,28 +372,28 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         return pa.table([pa.array(pairs[0]), pa.array(pairs[1])], names=["src", "dst"])
 
     counted = plan.base.mapInArrow(sampled, R.PACKED).groupBy("place").applyInArrow(shared_counts, R.PACKED)
-    left = stored(R.packed_docs(plan).unionAll(counted).unionAll(reps.select("tag").mapInArrow(chosen, R.PACKED)).groupBy("place").applyInArrow(survivors, R.PACKED), "survivors")
+    left = stored(R.packed_docs(plan).unionAll(counted).unionAll(reps.select("rank", "tag", "node").mapInArrow(chosen, R.PACKED)).groupBy("place").applyInArrow(survivors, R.PACKED), "survivors")
     freq = left.unionAll(left.mapInArrow(tokens, R.PACKED).groupBy("place").applyInArrow(frequencies, R.PACKED))
-    ordered = stored(freq.groupBy("place").applyInArrow(order_sets, "place int, what int, tag long, blob binary"), "ordered")
+    ordered = stored(freq.groupBy("place").applyInArrow(order_sets, "place int, what int, node long, blob binary"), "ordered")
     edges = ordered.where(F.col("what") == POSTING).select("place", "blob").groupBy("place").applyInArrow(neighbours, "src long, dst long")
     groups = stored(components(edges), "groups")
 
     # Groups to tasks: small ones together, large ones as pairs of blocks.
     sizes = groups.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
     blocks = F.ceil(F.col("members") / block)
-    sets = ordered.where(F.col("what") == SET).select("tag", "blob")
-    member = sets.join(groups.withColumnRenamed("node", "tag"), "tag").join(sizes, "label")
-    mine = F.pmod(F.xxhash64("tag", F.lit(1)), blocks)
+    sets = ordered.where(F.col("what") == SET).select("node", "blob")
+    member = sets.join(groups, "node").join(sizes, "label")
+    mine = F.pmod(F.xxhash64("node", F.lit(1)), blocks)
     other = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
     spread = member.withColumn("mine", mine).withColumn("other", other)
-    spread = spread.select("tag", "blob", "label", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "members")
-    tasks = spread.withColumn("task", F.pmod(F.xxhash64("label", "i", "j"), F.lit(4 * plan.bins))).select("task", "label", "i", "j", "tag", "blob")
+    spread = spread.select("node", "blob", "label", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "members")
+    tasks = spread.withColumn("task", F.pmod(F.xxhash64("label", "i", "j"), F.lit(4 * plan.bins))).select("task", "label", "i", "j", "node", "blob")
 
     def join(table: pa.Table) -> pa.Table:
-        label, i, j, tag = (table.column(c).to_numpy() for c in ("label", "i", "j", "tag"))
+        label, i, j, node = (table.column(c).to_numpy() for c in ("label", "i", "j", "node"))
         blob = table.column("blob")
         src, dst = [], []
-        order = np.lexsort((tag, j, i, label))
+        order = np.lexsort((node, j, i, label))
         key = np.stack([label, i, j])[:, order]
         edge = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)]))
         for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(order)], strict=True):
@@ -401,15 +409,14 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             ends = np.cumsum([len(x[0]) for x in found])
             local = [np.sort(x) for x in np.split(ranks, ends[:-1])]
             for x, y in spanning_links(local, len(values), percent):
-                src.append(int(tag[rows_[x]]))
-                dst.append(int(tag[rows_[y]]))
+                src.append(int(node[rows_[x]]))
+                dst.append(int(node[rows_[y]]))
         return pa.table([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
 
     links = tasks.groupBy("task").applyInArrow(join, "src long, dst long")
     labels = components(links)
-    by_class = reps.join(labels.withColumnRenamed("node", "tag"), "tag", "left").select("sig", "n", F.coalesce("label", "tag").alias("label"))
-    all_rows = rows.join(by_class, ["sig", "n"], "left")
-    all_rows = all_rows.withColumn("label", F.coalesce("label", "tag"))
+    by_class = reps.join(labels, "node", "left").select("sig", "sig2", "n", F.coalesce("label", "node").alias("label"))
+    all_rows = rows.join(by_class, ["sig", "sig2", "n"], "left")
     least = all_rows.where("n > 0").groupBy("label").agg(F.min("rank").alias("least"))
     out = all_rows.join(least, "label", "left")
     kind = docs.schema[id_col].dataType

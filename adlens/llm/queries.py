@@ -19,6 +19,8 @@ URL_RULES = (
 #: Bounds of the training samples: texts a language, and texts a label.
 PER_LANG, PER_LABEL = 600, 1500
 WINDOW_WORDS = 13
+#: Ranges of ids in which the documents enter the fingerprint index.
+INDEX_BATCHES = 4
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,7 +89,7 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substring_dedup.dedup_batch(_table(spark, sf_dir, "documents"), width=50)
+    found = substring_dedup.dedup(_table(spark, sf_dir, "documents"), width=50, batches=INDEX_BATCHES)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 

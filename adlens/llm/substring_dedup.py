@@ -1,24 +1,33 @@
 """Substring deduplication by words over a log-structured fingerprint index.
 
-A batch's window fingerprints are sorted by hash range and merge-joined with the sorted immutable runs of earlier batches; matches
-are verified by a second 64-bit hash of the whole window or context. The batch then becomes a run of its own. ``compact`` merges
-runs, keeping the first document of each fingerprint. Windows are grouped by their anchors (see ``_repeats``), so a run has one
-record an anchor with the hashes of the windows that it names.
+Every window of ``width`` words has a fingerprint, a 64-bit rolling hash, and 32 bits of an independent second hash to verify
+it. The index is a folder of immutable runs, each sorted by fingerprint within ranges of fingerprints. For a batch of documents,
+the owner of a range sorts the batch's fingerprints, merge-joins them with the runs of earlier batches, and writes what is new
+as the next run. ``compact`` merges runs into one. A manifest names the runs; it is replaced as a whole, so an index can be
+opened again by any driver and what a lost job left behind is never read.
+
+Of a window that several documents of a task have, only the least document's record is sent to the owner. The others repeat
+already and are dealt over all owners on their way to their bins, so a passage in a large share of all documents costs its
+owner one record a task.
 """
 from __future__ import annotations
 
+import json
 import uuid
-from dataclasses import dataclass, field
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _repeats as R
-from ._bytes import NOT_SPACE, word_hashes, words
+from ._bytes import NOT_SPACE, flat, parts, prefix, slices, word_hashes, words
+from ._store import dropped, file_system, shared_dir
 
 _U = np.uint64
+#: Windows that a task gathers before it packs them.
+HELD_WINDOWS = 1 << 20
 
 
 def word_symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -26,89 +35,224 @@ def word_symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return word_hashes(data, starts, ends, lower=False), at
 
 
-@dataclass
+def _owner(f: np.ndarray, owners: int) -> np.ndarray:
+    return ((f >> _U(32)) * _U(owners) >> _U(32)).astype(np.int64)
+
+
+def _sorted(f: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by fingerprint, equal pairs together, and which of the ordered ones differ from the one before."""
+    order = np.argsort(f)
+    new, other = np.ones(len(f), bool), np.zeros(len(f), bool)
+    new[1:] = f[order][1:] != f[order][:-1]
+    other[1:] = v[order][1:] != v[order][:-1]
+    if (other & ~new).any():
+        order = np.lexsort((v, f))
+        new[1:] = f[order][1:] != f[order][:-1]
+        other[1:] = v[order][1:] != v[order][:-1]
+    return order, new | other
+
+
+def windows(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprint and second hash of each window of ``width`` words, its document and its first word's number in it."""
+    starts, ends, at = words(data, offsets, NOT_SPACE)
+    count = np.maximum(np.diff(at) - width + 1, 0)
+    doc = np.repeat(np.arange(len(count)), count)
+    inside = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+    begin = at[doc] + inside
+    f = slices(prefix(word_hashes(data, starts, ends, lower=False)), begin, begin + width)
+    v = slices(prefix(word_hashes(data, starts, ends, lower=False, seed=2), 2), begin, begin + width, 2)
+    return f, (v >> _U(32)).astype(np.uint32), doc, inside.astype(np.uint32)
+
+
 class FingerprintIndex:
-    """Immutable runs in a shared folder. ``owners`` is fixed by the first batch, so that runs are cut alike."""
-
-    path: str
-    runs: list[str] = field(default_factory=list)
-    owners: int = 0
-
-    def read(self, spark) -> DataFrame | None:
-        return spark.read.schema(R.PACKED).parquet(*self.runs) if self.runs else None
-
-    def add(self, rows: DataFrame) -> None:
-        run = f"{self.path}/run-{uuid.uuid4().hex}"
-        rows.write.parquet(run)
-        self.runs.append(run)
-
-    def compact(self, spark) -> None:
-        """Merge all runs into one."""
-        if len(self.runs) > 1:
-            merged = self.read(spark).groupBy("place").applyInArrow(_merge_runs, R.PACKED)
-            self.runs, old = [], self.runs
-            self.add(merged)
-            jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
-            for run in old:
-                where = jvm.Path(run)
-                where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def _merge_runs(table: pa.Table) -> pa.Table:
-    """One run record a (anchor, context): that of the least document."""
-    found = R._by_what(table, R.ANCHOR) + R._by_what(table, R.RUN)
-    lists = [
-        [np.cumsum(x[0], dtype=_U), x[1], x[3][x[4]], x[6], x[7], x[8]] if len(x) == 9 else x for x in found
-    ]
-    a, c, rank, off, count, hashes = (np.concatenate([x[i] for x in lists]) for i in range(6))
-    at = np.concatenate([[0], np.cumsum(count.astype(np.int64))])
-    order = np.lexsort((rank, c, a))
-    new = np.ones(len(order), bool)
-    new[1:] = (a[order][1:] != a[order][:-1]) | (c[order][1:] != c[order][:-1])
+    """The index in the folder ``path``, as its last manifest says; a folder without one is an empty index."""
+
+    def __init__(self, spark: SparkSession, path: str, width: int = 50):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.fs, where = file_system(spark, self.path)
+        found = [f.getPath().getName() for f in self.fs.listStatus(where)] if self.fs.exists(where) else []
+        versions = sorted(x for x in found if x.startswith("manifest-"))
+        if versions:
+            self.state = json.loads(spark.read.text(f"{self.path}/{versions[-1]}", wholetext=True).first()[0])
+            if self.state["width"] != width:
+                raise ValueError(f"the index has windows of {self.state['width']} words")
+        else:
+            self.state = {"version": 0, "width": width, "bytes": 0, "runs": [], "batches": {}}
+
+    def _commit(self, **changes) -> None:
+        state = {**self.state, **changes, "version": self.state["version"] + 1}
+        name = f"{self.path}/manifest-{state['version']:09d}.json"
+        made, final = (self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x) for x in (f"{self.path}/new-{uuid.uuid4().hex}", name))
+        out = self.fs.create(made)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        if not self.fs.rename(made, final):
+            raise RuntimeError(f"another writer has made {name}")
+        self.state = state
+
+    def _table(self, path: str, what: int) -> DataFrame:
+        rows = self.spark.read.schema("place int, blob binary").parquet(f"{self.path}/{path}")
+        return rows.select("place", F.lit(what).alias("what"), "blob")
+
+    def history(self, owners: int) -> DataFrame | None:
+        """All runs as rows (owner, RUN, blob of fingerprint differences and second hashes) for this many owners."""
+
+        def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for blob in batch.column("blob").to_pylist():
+                    f, v = R.unpack(blob)
+                    f = np.cumsum(f, dtype=_U)
+                    place, blobs = [], []
+                    for p, i in R._split(_owner(f, owners), order=np.arange(len(f))):
+                        place.append(p)
+                        blobs.append(R.pack(np.diff(f[i], prepend=_U(0)), v[i]))
+                    yield R._rows(place, R.RUN, blobs)
+
+        out = None
+        for run in self.state["runs"]:
+            rows = self._table(run["path"], R.RUN)
+            rows = rows if run["owners"] == owners else rows.mapInArrow(split, R.PACKED)
+            out = rows if out is None else out.unionAll(rows)
+        return out
+
+    def add(self, plan: R.Plan, size: int, batch: str) -> DataFrame:
+        """Judge the plan's documents against the index and add them to it as a run. Rows (bin, VERDICT, blob) of windows that repeat.
+
+        A batch that the index has under this name already gets the verdicts of then.
+        """
+        known = self.state["batches"].get(batch)
+        if known is None:
+            owners = 64
+            while owners * R.OWNER_BYTES < self.state["bytes"] + size:
+                owners *= 2
+            sent = _sent(plan, self.state["width"], owners)
+            history = self.history(owners)
+            judged = sent if history is None else sent.unionAll(history)
+            name = f"batch-{uuid.uuid4().hex}"
+            judged.groupBy("place").applyInArrow(_judge(plan), R.PACKED).write.partitionBy("what").parquet(f"{self.path}/{name}")
+            run, found = (f"{name}/what={k}" for k in (R.RUN, R.VERDICT))
+            has = lambda x: self.fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{x}"))
+            runs = self.state["runs"] + ([{"path": run, "owners": owners}] if has(run) else [])
+            known = {"verdicts": found if has(found) else "", "bins": plan.bins}
+            self._commit(runs=runs, bytes=self.state["bytes"] + size, batches={**self.state["batches"], batch: known})
+            self.spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the batch's shuffle files
+        if known["bins"] != plan.bins:
+            raise ValueError(f"batch {batch} was another one when it was added")
+        return self._table(known["verdicts"], R.VERDICT) if known["verdicts"] else self.spark.createDataFrame([], R.PACKED)
+
+    def compact(self, most_runs: int = 1) -> None:
+        """Merge the runs into one if there are more than ``most_runs``."""
+        runs = self.state["runs"]
+        if len(runs) <= most_runs:
+            return
+        owners = max(r["owners"] for r in runs)
+        name = f"run-{uuid.uuid4().hex}"
+        self.history(owners).groupBy("place").applyInArrow(_merged, R.PACKED).select("place", "blob").write.parquet(f"{self.path}/{name}")
+        self._commit(runs=[{"path": name, "owners": owners}])
+        for run in runs:
+            dropped(self.spark, f"{self.path}/{run['path']}")
+
+
+def _runs(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    found = R._by_what(table, R.RUN)
+    f = np.concatenate([np.zeros(0, _U), *(np.cumsum(x[0], dtype=_U) for x in found)])
+    return f, np.concatenate([np.zeros(0, np.uint32), *(x[1] for x in found)])
+
+
+def _merged(table: pa.Table) -> pa.Table:
+    f, v = _runs(table)
+    order, new = _sorted(f, v)
     i = order[new]
-    kept = hashes[np.concatenate([np.arange(at[j], at[j + 1]) for j in i.tolist()])] if len(i) else hashes[:0]
-    blob = R.pack(a[i], c[i], rank[i], off[i], count[i], kept)
-    return pa.table([pa.array([table.column("place")[0].as_py()], pa.int32()), pa.array([R.RUN], pa.int32()), pa.array([blob], pa.binary())], names=["place", "what", "blob"])
+    return R._rows_table([int(table.column("place")[0].as_py())], R.RUN, [R.pack(np.diff(f[i], prepend=_U(0)), v[i])])
 
 
-def _resolve(blobs: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    if not blobs:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint32)
-    a, offset, h, rank, tag, start = (np.concatenate(x) for x in zip(*blobs, strict=True))
-    group, least = R._first_of((a, h, offset), rank)
-    again = least[group] < rank
-    return tag[again], start[again]
+def _sent(plan: R.Plan, width: int, owners: int) -> DataFrame:
+    """Rows (owner, ANCHOR, blob of fingerprint differences, second hashes, documents, first words) and (any owner, DONE, documents, first words)."""
 
+    def flush(held: list[list[np.ndarray]], ids: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        f, v, d, at = (np.concatenate(x) for x in zip(*held, strict=True))
+        rank, tag = (np.concatenate(x) for x in zip(*ids, strict=True))
+        order, new = _sorted(f, v)
+        least = np.minimum.reduceat(rank[d[order]], np.flatnonzero(new))[np.cumsum(new) - 1]
+        again = rank[d[order]] > least
+        done, order = order[again], order[~again]
+        if len(done):
+            yield R._rows([int(f[done[0]] % _U(owners))], R.DONE, [R.pack(*R.listed(d[done], rank, tag), at[done])])
+        place, blobs = [], []
+        for p, i in R._split(_owner(f, owners), order=order):
+            place.append(p)
+            blobs.append(R.pack(np.diff(f[i], prepend=_U(0)), v[i], *R.listed(d[i], rank, tag), at[i]))
+        yield R._rows(place, R.ANCHOR, blobs)
 
-def dedup_batch(docs: DataFrame, index: FingerprintIndex | None = None, *, id_col: str = "doc_id", text_col: str = "text", width: int = 50, k: int = 12) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        ids: list[list[np.ndarray]] = []
+        size = docs = 0
+        for big in batches:
+            for batch in parts(big, "text", R.PART_BYTES):
+                f, v, doc, at = windows(*flat(batch.column("text")), width)
+                held.append([f, v, docs + doc, at])
+                ids.append([batch.column("rank").to_numpy(), batch.column("tag").to_numpy()])
+                size, docs = size + len(f), docs + batch.num_rows
+                if size >= HELD_WINDOWS:
+                    yield from flush(held, ids)
+                    held, ids, size, docs = [], [], 0, 0
+        if size:
+            yield from flush(held, ids)
+
+    return plan.base.mapInArrow(run, R.PACKED)
+
+
+def _judge(plan: R.Plan):
+    def run(table: pa.Table) -> pa.Table:
+        found, done = R._by_what(table, R.ANCHOR), R._by_what(table, R.DONE)
+        old_f, old_v = _runs(table)
+        f = np.concatenate([*(np.cumsum(x[0], dtype=_U) for x in found), old_f])
+        v = np.concatenate([*(x[1] for x in found), old_v])
+        doc, ranks, tags = R.unlisted([x[2:5] for x in found] + [x[:3] for x in done])
+        start = np.concatenate([np.zeros(0, np.uint32), *(x[5] for x in found), *(x[3] for x in done)])
+        n = len(f) - len(old_f)
+        # The index's documents come before any of the batch, whatever their ids.
+        order, new = _sorted(f, v)
+        edge, group = np.flatnonzero(new), np.cumsum(new) - 1
+        old = order >= n
+        known = np.logical_or.reduceat(old, edge) if len(edge) else old
+        rank = np.full(len(f), R.LAST)
+        rank[:n] = ranks[doc[:n]]
+        least = np.minimum.reduceat(rank[order], edge) if len(edge) else rank
+        again = order[~old & (known[group] | (rank[order] > least[group]))]
+        fresh = order[edge[~known]]
+        chosen = np.concatenate([again, np.arange(n, len(doc))])
+        out = R.answers(plan, doc[chosen], ranks, tags, start[chosen])
+        here = [int(table.column("place")[0].as_py())] if len(fresh) else []
+        return pa.concat_tables([out, R._rows_table(here, R.RUN, [R.pack(np.diff(f[fresh], prepend=_U(0)), v[fresh])] if here else [])])
+
+    return run
+
+
+def dedup(docs: DataFrame, index: FingerprintIndex | None = None, *, id_col: str = "doc_id", text_col: str = "text", width: int = 50, batches: int = 1, name: str = "", most_runs: int = 2) -> DataFrame:
     """One row per input row: id, n_words long, n_removed long, kept string.
 
     Words are ``[^\\x20\\x09-\\x0D]+``. A word goes if a window of ``width`` words covers it whose words also start in a document of
-    the index, or in one of this batch with a smaller id; windows are judged on the input. ``kept`` is what is left, joined by
+    the index, or in one of ``docs`` with a smaller id; windows are judged on the input. ``kept`` is what is left, joined by
     one space. Null and wordless texts keep nothing; null ids come last. Rows that repeat an id don't remove each other's
-    words. With an index, the batch is added to it as a run when this is called.
+    words. An empty table gives no rows and leaves the index as it was but for a batch; columns besides the two are ignored.
+
+    ``docs`` enters the index, in this call, in ``batches`` ranges of ids of about equal numbers of rows; runs are merged
+    when there are more than ``most_runs``. Under a ``name`` the call can be repeated after a failure: batches that were added
+    keep their verdicts. Without an index a new one in the shared folder is used.
     """
-    plan = R.Plan(docs, word_symbols, width=width, k=k, id_col=id_col, text_col=text_col)
     spark = docs.sparkSession
-    history, first_pass = None, None
-    if index is not None:
-        index.owners = index.owners or plan.owners
-        plan.owners = index.owners
-        history = index.read(spark)
-        run = R.packed_anchors(plan, with_windows=True).groupBy("place").applyInArrow(_merge_runs, R.PACKED)
-
-    def contexts(here: R.Bin, asked: tuple[np.ndarray, ...]) -> list[np.ndarray]:
-        tag, start, count, offset, a = asked
-        record, doc = here.rows(tag)
-        first = here.at[doc] + start[record]
-        last = first + count[record] - 1
-        hashes, n = R.window_hashes(R.prefix(here.symbols), first, last, width)
-        each = np.repeat(np.arange(len(record)), n)
-        step = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-        r = record[each]
-        return [a[r], (step - offset[r]).astype(np.int16), hashes, here.rank[doc[each]], tag[r], (start[r] + step).astype(np.uint32)]
-
-    packed, found = R.exchange(plan, contexts, _resolve, history, first_pass)
+    plan = R.Plan(docs, word_symbols, width=width, k=1, id_col=id_col, text_col=text_col)
+    index = index or FingerprintIndex(spark, f"{shared_dir(spark)}/fingerprints-{uuid.uuid4().hex}", width)
+    name = name or uuid.uuid4().hex
+    share = [i / batches for i in range(1, batches)]
+    cuts = sorted(set(plan.base.agg(F.percentile_approx("rank", share, 10_000)).first()[0] or [])) if share else []
+    found = None
+    for k, (low, high) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
+        mine = index.add(plan.between(low, high), plan.size // (len(cuts) + 1), f"{name}-{k}")
+        found = mine if found is None else found.unionAll(mine)
+        index.compact(most_runs)
 
     def finish(table: pa.Table) -> pa.Table:
         here = R.Bin(table, plan)
@@ -131,8 +275,5 @@ def dedup_batch(docs: DataFrame, index: FingerprintIndex | None = None, *, id_co
         return pa.table([ids, pa.array(np.diff(at), pa.int64()), pa.array(n_removed[at[1:]] - n_removed[at[:-1]], pa.int64()), pa.array(kept, pa.string())], names=["id", "n_words", "n_removed", "kept"])
 
     kind = docs.schema[id_col].dataType
-    out = packed.unionAll(found).groupBy("place").applyInArrow(finish, "id long, n_words long, n_removed long, kept string")
-    if index is not None:
-        out = R.stored(out, "substring")
-        index.add(run)
+    out = R.packed_docs(plan).unionAll(found).groupBy("place").applyInArrow(finish, "id long, n_words long, n_removed long, kept string")
     return out.select(F.col("id").cast(kind).alias(id_col), "n_words", "n_removed", "kept")

@@ -1,9 +1,10 @@
 """Removal of long byte strings that an earlier document has, with a run-length Burrows-Wheeler index.
 
 Candidate contexts come from ``_repeats``. Each owner of a hash range concatenates its contexts, sorts their suffixes and keeps the
-run-compressed Burrows-Wheeler transform with samples at run ends. Every context is then streamed through the index from its
-last byte to its first by LF steps; at each step the row's block of suffixes that agree in ``width`` bytes gives the
-least document that has those bytes, and a byte string goes if that document is an earlier one.
+Burrows-Wheeler transform as runs, with the text positions of the suffixes at both ends of each run. Contexts are then streamed
+from their last byte to their first: the index gives their matching statistics, the longest match at each byte and where it is. A
+byte that the row's run doesn't have moves the match to the nearest run that has it, whichever end shares more. Where a
+match is ``width`` long, the block of rows that agree in as many bytes gives the least document that has those bytes.
 """
 from __future__ import annotations
 
@@ -74,9 +75,10 @@ def suffix_order(text: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
 class RunLengthIndex:
     """Run-length BWT of contexts that each end in a 0; bytes are stored as 1 to 256.
 
-    heads, starts: symbol and first row of each run. before: for each run, earlier rows with its symbol; first: the rows before
-    the smallest suffix of each symbol. sample: text position of the suffix at each run's end. blocks, least: first row of
-    each block that agrees in ``width`` bytes, and the least rank of a document in it.
+    heads, starts, ends: symbol, first and last row of each run. before: for each run, earlier rows with its symbol; first: the
+    rows before the smallest suffix of each symbol. first_at, last_at: text positions of the suffixes at the run's ends. keys,
+    by_head: the runs by symbol and row. blocks, least: first row of each block that agrees in ``width`` bytes, and the least
+    rank of a document in it.
     """
 
     def __init__(self, text: np.ndarray, rank_of: np.ndarray, width: int):
@@ -84,66 +86,108 @@ class RunLengthIndex:
         bwt = text[order - 1]
         edge = np.ones(len(bwt), bool)
         edge[1:] = bwt[1:] != bwt[:-1]
-        self.size = len(text)
+        self.text, self.size, self.width = text.astype(np.int16), len(text), width
         self.starts = np.flatnonzero(edge)
+        self.ends = np.append(self.starts[1:], self.size) - 1
         self.heads = bwt[self.starts]
-        lengths = np.diff(np.append(self.starts, self.size))
-        self.sample = order[self.starts + lengths - 1]
+        self.first_at, self.last_at = order[self.starts], order[self.ends]
+        lengths = self.ends - self.starts + 1
         counts = np.bincount(self.heads, lengths, 258).astype(np.int64)
         self.first = np.concatenate([[0], np.cumsum(counts)])[:-1]
-        by_head = np.argsort(self.heads, kind="stable")
-        running = np.cumsum(lengths[by_head]) - lengths[by_head]
-        base = np.zeros(len(by_head), np.int64)
-        base[by_head] = running
+        self.by_head = np.argsort(self.heads, kind="stable")
+        self.keys = self.heads[self.by_head] * (self.size + 1) + self.starts[self.by_head]
+        base = np.zeros(len(self.by_head), np.int64)
+        base[self.by_head] = np.cumsum(lengths[self.by_head]) - lengths[self.by_head]
         self.before = base - self.first[self.heads]
         self.blocks = np.flatnonzero(new)
         self.least = np.minimum.reduceat(rank_of[order], self.blocks)
-        #: Rows of the contexts' ends, in text order: zeros come first, ordered by position.
-        self.ends = np.arange(int((text == 0).sum()))
-        #: Run and block of each row, spread out for streaming.
-        self.run_of = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
-        self.block_of = (np.cumsum(new) - 1).astype(np.int32)
-
-    def step(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """LF: the symbol before each row's suffix, and the row of the suffix that begins with it."""
-        run = self.run_of[row]
-        head = self.heads[run]
-        return head, self.first[head] + self.before[run] + row - self.starts[run]
 
-    def least_rank(self, row: np.ndarray) -> np.ndarray:
-        return self.least[self.block_of[row]]
-
-
-#: Bytes of contexts in one index. Contexts of different anchors never meet, so an owner's are indexed in parts.
-INDEX_BYTES = 1 << 19
-
-
-def _resolver(width: int):
-    def one(byte: np.ndarray, rank: np.ndarray, tag: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Tag and start of the strings of these contexts that an earlier document has."""
-        m = len(size)
-        text = np.zeros(len(byte) + m, np.int64)
-        text[np.arange(len(byte)) + np.repeat(np.arange(m), size)] = byte.astype(np.int64) + 1
-        index = RunLengthIndex(text, np.repeat(rank, size + 1), width)
-        row = index.ends.copy()
-        live, done = np.arange(m), np.zeros(m, np.int64)
-        tags, starts = [tag[:0]], [start[:0]]
+    def shared(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """How many bytes the text has in common from ``a`` and from ``b`` on, up to ``most``."""
+        out, live, steps = most.copy(), np.flatnonzero(most > 0), np.arange(16)
+        at = 0
         while len(live):
-            _, row = index.step(row)
-            done[live] += 1
-            far = done[live] >= width
-            hit = np.zeros(len(live), bool)
-            hit[far] = index.least_rank(row[far]) < rank[live[far]]
-            tags.append(tag[live[hit]])
-            starts.append(start[live[hit]] + size[live[hit]] - done[live[hit]])
-            more = done[live] < size[live]
-            live, row = live[more], row[more]
-        return np.concatenate(tags), np.concatenate(starts)
-
-    def resolve(blobs: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+            left = self.text[np.minimum(a[live, None] + at + steps, self.size - 1)]
+            differs = left != self.text[np.minimum(b[live, None] + at + steps, self.size - 1)]
+            some = differs.any(axis=1)
+            out[live[some]] = np.minimum(most[live[some]], at + differs[some].argmax(axis=1))
+            at += 16
+            live = live[~some & (most[live] > at)]
+        return out
+
+    def extend(self, symbol: np.ndarray, row: np.ndarray, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The longest match that begins with ``symbol`` and goes on as the match of ``length`` bytes at ``row``, text position ``at``.
+
+        Gives its row, text position and length; 0 where the text lacks the symbol.
+        """
+        run = np.searchsorted(self.starts, row, "right") - 1
+        other = np.flatnonzero(self.heads[run] != symbol)
+        row, at, length = row.copy(), at.copy(), length.copy()
+        if len(other):
+            want, here = symbol[other], row[other]
+            k = np.searchsorted(self.keys, want * (self.size + 1) + here)
+            up, down = self.by_head[np.maximum(k - 1, 0)], self.by_head[np.minimum(k, len(self.keys) - 1)]
+            has_up, has_down = (k > 0) & (self.heads[up] == want), (k < len(self.keys)) & (self.heads[down] == want)
+            one = np.where(has_up, self.shared(at[other], self.last_at[up], np.where(has_up, length[other], 0)), -1)
+            two = np.where(has_down, self.shared(at[other], self.first_at[down], np.where(has_down, length[other], 0)), -1)
+            above = one >= two
+            run[other] = np.where(above, up, down)
+            row[other] = np.where(above, self.ends[up], self.starts[down])
+            at[other] = np.where(above, self.last_at[up], self.first_at[down])
+            length[other] = np.maximum(one, two)
+        found = length >= 0
+        row = np.where(found, self.first[symbol] + self.before[run] + row - self.starts[run], self.ends[0])
+        return row, np.where(found, at - 1, self.last_at[0]), np.where(found, length + 1, 0)
+
+    def least_rank(self, row: np.ndarray) -> np.ndarray:
+        return self.least[np.searchsorted(self.blocks, row, "right") - 1]
+
+    def earlier(self, byte: np.ndarray, begin: np.ndarray, size: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pattern and offset of the strings of ``width`` bytes that a document of less than the pattern's rank has."""
+        live, done = np.arange(len(size)), 0
+        row, at, length = (np.zeros(len(size), np.int64) for _ in range(3))
+        at += self.last_at[0]
+        row += self.ends[0]
+        who, where = [live[:0]], [live[:0]]
+        while len(live := live[size[live] > done]):
+            done += 1
+            place = size[live] - done
+            row[live], at[live], length[live] = self.extend(byte[begin[live] + place].astype(np.int64) + 1, row[live], at[live], length[live])
+            far = length[live] >= self.width
+            hit = far.copy()
+            hit[far] = self.least_rank(row[live[far]]) < rank[live[far]]
+            who.append(live[hit])
+            where.append(place[hit])
+        return np.concatenate(who), np.concatenate(where)
+
+
+#: Bytes of contexts in one index. Contexts of different anchors never meet, so an owner's are indexed in parts; those of one
+#: anchor are one index up to the second bound, and beyond it several, in order of rank, through which later contexts are streamed.
+INDEX_BYTES, MOST_BYTES = 1 << 19, 4 << 20
+
+
+def _resolver(width: int, index_bytes: int = INDEX_BYTES, most_bytes: int = MOST_BYTES):
+    def found_in(byte: np.ndarray, begin: np.ndarray, size: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Context and offset of the strings of these contexts that an earlier document has."""
+        order = np.argsort(rank, kind="stable")
+        piece = (np.cumsum(size[order]) - size[order]) // most_bytes
+        who, where = [], []
+        for _, i in R._split(piece, order=np.arange(len(order))):
+            mine, later = order[i], order[i[0]:]
+            m, total = len(mine), int(size[mine].sum())
+            step = np.repeat(begin[mine] - (np.cumsum(size[mine]) - size[mine]), size[mine])
+            text = np.zeros(total + m, np.int64)
+            text[np.arange(total) + np.repeat(np.arange(m), size[mine])] = byte[np.arange(total) + step].astype(np.int64) + 1
+            index = RunLengthIndex(text, np.repeat(rank[mine], size[mine] + 1), width)
+            w, o = index.earlier(byte, begin[later], size[later], rank[later])
+            who.append(later[w])
+            where.append(o)
+        return np.concatenate(who), np.concatenate(where)
+
+    def resolve(blobs: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Blobs of anchor (once a byte), byte, and per context: rank, tag, start, size."""
         if not blobs:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint32)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
         byte = np.concatenate([x[1] for x in blobs])
         # A context's first byte carries its numbers; size is 0 elsewhere.
         heads = [np.flatnonzero(x[5]) for x in blobs]
@@ -154,19 +198,19 @@ def _resolver(width: int):
         order = np.argsort(anchor, kind="stable")
         upto = np.cumsum(size[order])
         edge = np.flatnonzero(np.diff(anchor[order], prepend=anchor[order[:1]] ^ _U(1 << 63)))
-        found, at = [], 0
+        found, at = [(order[:0], order[:0])], 0
         while at < len(order):  # whole anchors, at least one
-            want = np.searchsorted(upto, (upto[at - 1] if at else 0) + INDEX_BYTES, "right")
+            want = np.searchsorted(upto, (upto[at - 1] if at else 0) + index_bytes, "right")
             later = edge[edge > at]
             fits = later[later <= want]
             end = int(fits[-1]) if len(fits) else int(later[0]) if len(later) else len(order)
             end = len(order) if want >= len(order) else end
             i = order[at:end]
-            total = int(size[i].sum())
-            own = np.cumsum(size[i]) - size[i]
-            found.append(one(byte[np.arange(total) + np.repeat(begin[i] - own, size[i])], rank[i], tag[i], start[i], size[i]))
+            who, where = found_in(byte, begin[i], size[i], rank[i])
+            found.append((i[who], where))
             at = end
-        return np.concatenate([t for t, _ in found]), np.concatenate([s for _, s in found]).astype(np.uint32)
+        who, where = (np.concatenate(x) for x in zip(*found, strict=True))
+        return rank[who], tag[who], (start[who] + where).astype(np.uint32)
 
     return resolve
 
@@ -182,8 +226,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     plan = R.Plan(docs, byte_symbols, width=width, k=k, id_col=id_col, text_col=text_col)
 
     def contexts(here: R.Bin, asked: tuple[np.ndarray, ...]) -> list[np.ndarray]:
-        tag, start, count, _, a = asked
-        record, doc = here.rows(tag)
+        rank, tag, start, count, _, a = asked
+        record, doc = here.rows(rank, tag)
         size = count[record] - 1 + width
         total = int(size.sum())
         begin = np.cumsum(size) - size

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from adlens.llm import bpe, decontam, exact_dedup, langid, line_dedup, ngram_join, quality, substring_dedup, suffix_dedup, url_filter
+from adlens.llm import _repeats, bpe, decontam, exact_dedup, langid, line_dedup, ngram_join, quality, substring_dedup, suffix_dedup, url_filter
 from adlens.llm.exact_dedup import directory
 from adlens.llm.queries import URL_RULES, tokenizer_json
 
@@ -59,26 +59,90 @@ def test_suffix_dedup(spark, name):
     assert rows(got, "doc_id", "n_bytes", "n_removed", F.size("spans"), F.sha2("kept", 256)) == sorted(B.suffix_dedup(docs), key=str)
 
 
+def digests(df):
+    return rows(df, "doc_id", "n_words", "n_removed", F.sha2("kept", 256))
+
+
 @each
 def test_substring_dedup(spark, name):
     docs = CORPORA[name]
-    got = substring_dedup.dedup_batch(frame(spark, docs))
-    assert rows(got, "doc_id", "n_words", "n_removed", F.sha2("kept", 256)) == sorted(B.substring_dedup(docs), key=str)
+    for batches in (1, 4):
+        got = substring_dedup.dedup(frame(spark, docs), batches=batches)
+        assert digests(got) == sorted(B.substring_dedup(docs), key=str)
 
 
-def test_substring_batches_and_compaction(spark, tmp_path):
+def test_substring_index(spark, tmp_path):
+    """Three batches, each over the index as a new driver finds it; runs are merged, and a named batch can be repeated."""
     docs = sorted(corpus(5, 90), key=lambda d: d[0])
-    index = substring_dedup.FingerprintIndex(str(tmp_path / "index"))
-    got = []
+    path, got = str(tmp_path / "index"), []
+    open_ = lambda: substring_dedup.FingerprintIndex(spark, path)
     for k in range(3):
-        got += rows(substring_dedup.dedup_batch(frame(spark, docs[k * 34 : (k + 1) * 34]), index), "doc_id", "n_words", "n_removed", F.sha2("kept", 256))
+        batch = frame(spark, docs[k * 34 : (k + 1) * 34])
+        found = digests(substring_dedup.dedup(batch, open_(), name=f"b{k}", most_runs=9))
+        assert digests(substring_dedup.dedup(batch, open_(), name=f"b{k}", most_runs=9)) == found
+        assert open_().state["runs"] and len(open_().state["runs"]) <= k + 1
         if k == 1:
-            assert len(index.runs) == 2
-            index.compact(spark)
-            assert len(index.runs) == 1
+            open_().compact()
+            assert len(open_().state["runs"]) == 1
+        got += found
+    assert sorted(got, key=str) == sorted(B.substring_dedup(docs), key=str)
+    # All of it again, under another name and larger ids: every window of the index repeats.
+    again = substring_dedup.dedup(frame(spark, [(i + 5000, t) for i, t in docs]), open_())
+    assert {r.n_removed for r in again.where("n_words >= 50").select((F.col("n_words") - F.col("n_removed")).alias("n_removed")).collect()} == {0}
+    with pytest.raises(ValueError):
+        substring_dedup.FingerprintIndex(spark, path, width=40)
+
+
+def test_substring_index_owners(spark, tmp_path, monkeypatch):
+    """Runs of fewer owners are split for a later batch that needs more."""
+    monkeypatch.setattr(_repeats, "OWNER_BYTES", 400)
+    docs = sorted(corpus(6, 90), key=lambda d: d[0])
+    index, got = substring_dedup.FingerprintIndex(spark, str(tmp_path / "index")), []
+    for part in (docs[:8], docs[8:]):
+        got += digests(substring_dedup.dedup(frame(spark, part), index))
+    assert len({r["owners"] for r in index.state["runs"]}) == 2
     assert sorted(got, key=str) == sorted(B.substring_dedup(docs), key=str)
 
 
+def test_colliding_tags(spark, monkeypatch):
+    """Documents of different ids that share a tag stay apart."""
+    monkeypatch.setattr(_repeats, "tagged", lambda rank, text: F.lit(7).cast("long"))
+    docs = [(i * 2**31, t) for i, t in {i: t for i, t in corpus(8, 60)}.items()]
+    assert rows(suffix_dedup.remove_repeats(frame(spark, docs)), "doc_id", "n_bytes", "n_removed", F.size("spans"), F.sha2("kept", 256)) == sorted(B.suffix_dedup(docs), key=str)
+    assert digests(substring_dedup.dedup(frame(spark, docs), batches=2)) == sorted(B.substring_dedup(docs), key=str)
+    assert rows(ngram_join.ngram_components(frame(spark, docs)), "doc_id", "n_shingles", "component_id") == sorted(B.ngram_components(docs), key=str)
+
+
+@pytest.mark.parametrize("index_bytes, most_bytes", [(1 << 19, 1 << 22), (300, 200)])
+def test_run_length_index(index_bytes, most_bytes):
+    """Matching statistics of contexts, some of them in an index of others, against all their windows."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        width, m = int(rng.integers(7, 12)), int(rng.integers(1, 30))
+        base = bytes(rng.integers(97, 97 + int(rng.integers(1, 4)), 200).astype(np.uint8))
+        contexts = []
+        for _ in range(m):
+            at = int(rng.integers(0, 150))
+            c = bytearray(base[at : at + int(rng.integers(width, 40))])
+            if rng.random() < 0.5:
+                c[int(rng.integers(len(c)))] = int(rng.integers(0, 256))
+            contexts.append(bytes(c))
+        rank = rng.integers(0, 10, m)
+        first: dict = {}
+        for c, r in zip(contexts, rank, strict=True):
+            for i in range(len(c) - width + 1):
+                first[c[i : i + width]] = min(first.get(c[i : i + width], 99), r)
+        want = {(j, i) for j, (c, r) in enumerate(zip(contexts, rank, strict=True)) for i in range(len(c) - width + 1) if first[c[i : i + width]] < r}
+        byte, size = np.frombuffer(b"".join(contexts), np.uint8), np.array([len(c) for c in contexts])
+        begin = np.cumsum(size) - size
+        spread = lambda x, kind: suffix_dedup._at(len(byte), begin, x, kind)
+        blob = [np.zeros(len(byte), np.uint64), byte, spread(rank, np.int64), spread(np.arange(m), np.int64), spread(np.zeros(m), np.uint32), spread(size, np.uint16)]
+        _, tag, start = suffix_dedup._resolver(width, index_bytes, most_bytes)([blob])
+        assert set(zip(tag.tolist(), start.tolist(), strict=True)) == want
+
+
 @each
 def test_ngram_components(spark, name):
     docs = CORPORA[name]
