@@ -1,11 +1,13 @@
 """Benchmark decontamination with suffix arrays of the training words.
 
-Each Arrow batch of documents is a shard: its words become ranks, prefix doubling sorts its suffixes, and every suffix of the
-test items is looked up by binary search. That gives the longest verbatim match of each test suffix, and the places of every
-test window. Shards are bounded by bytes, whole documents each, and shuffle nothing. The test set is broadcast in blocks of
-at most ``block_bytes``; more blocks mean more passes over a batch in the same stage.
+Each Arrow batch of documents is a shard: its words become ranks, prefix doubling sorts its suffixes, and every test window, the
+head of a test suffix, is looked up by binary search; windows that several items have are looked up once. That gives the places
+of every test window. How far each of them goes on is found the other way round, in the suffix array of the test set: a place's
+neighbours there have its longest verbatim match with any test suffix. Shards are bounded by bytes, whole documents each, and
+shuffle nothing. The test set is broadcast in blocks of at most ``block_bytes``; more blocks mean more passes over a batch in the
+same stage.
 
-Words are compared by two independent 64-bit hashes: one orders them, the other confirms each match.
+Words are compared by two independent 64-bit hashes: one orders them, the other confirms each window.
 """
 from __future__ import annotations
 
@@ -25,19 +27,45 @@ SHARD_BYTES = 4 << 20
 
 @dataclass(frozen=True)
 class TestSet:
-    """The words of test items one after the other, as two hashes; ``at`` has the items' n + 1 offsets."""
+    """The words of test items one after the other, as two hashes; ``at`` has the items' n + 1 offsets.
+
+    known: the sorted hashes of all words. ranks: each word's place there plus 1, with a 0 after each item; place: a word's place among
+    these; order: the suffixes of ``ranks`` that begin with a word, sorted. heads: the first word of one window of each kind, and
+    need: its words; kinds: item of each window, in slices of ``kind_at`` by kind.
+    """
 
     names: tuple[str, ...]
     one: np.ndarray
     two: np.ndarray
     at: np.ndarray
     window: int
+    known: np.ndarray
+    ranks: np.ndarray
+    place: np.ndarray
+    order: np.ndarray
+    heads: np.ndarray
+    need: np.ndarray
+    kinds: np.ndarray
+    kind_at: np.ndarray
 
 
 def test_set(items: list[tuple[str, str]], window: int) -> TestSet:
     data, offsets = flat(pa.array([t or "" for _, t in items], pa.large_string()))
     starts, ends, at = words(data, offsets, ALNUM)
-    return TestSet(tuple(n for n, _ in items), word_hashes(data, starts, ends, lower=True), word_hashes(data, starts, ends, lower=True, seed=2), at, window)
+    one, two = word_hashes(data, starts, ends, lower=True), word_hashes(data, starts, ends, lower=True, seed=2)
+    known, size, item = np.unique(one), np.diff(at), owner(at)
+    place = np.arange(len(one)) + item
+    ranks = np.zeros(len(one) + len(size), np.int64)
+    ranks[place] = np.searchsorted(known, one) + 1
+    order = suffix_array(ranks, int(size.max()) if len(size) else 0)
+    need = np.minimum(window, size[item])
+    first = np.flatnonzero(at[item + 1] - np.arange(len(one)) >= need)  # windows begin here
+    need = need[first]
+    key = np.stack([slices(prefix(one), first, first + need), slices(prefix(two, 2), first, first + need, 2), need.astype(np.uint64)])
+    _, head, kind = np.unique(key, axis=1, return_index=True, return_inverse=True) if len(first) else (None, first, first)
+    by_kind = np.argsort(kind.reshape(-1), kind="stable")
+    kind_at = np.concatenate([[0], np.cumsum(np.bincount(kind.reshape(-1), minlength=len(head)))])
+    return TestSet(tuple(n for n, _ in items), one, two, at, window, known, ranks, place, order[ranks[order] > 0], first[head], need[head], item[first[by_kind]], kind_at)
 
 
 def suffix_array(ranks: np.ndarray, depth: int) -> np.ndarray:
@@ -89,8 +117,8 @@ class Shard:
         order = suffix_array(self.text, depth)
         self.order = order[self.text[order] > 0]
 
-    def _compare(self, queries: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sign of query less suffix over the query's length, and the length of their common prefix."""
+    def _compare(self, queries: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Sign of query less suffix over the query's length."""
         width = queries.shape[1]
         steps = np.arange(width)
         got = self.text[np.minimum(at[:, None] + steps, len(self.text) - 1)]
@@ -98,25 +126,58 @@ class Shard:
         first = np.where(differs.any(axis=1), differs.argmax(axis=1), lengths)
         rows = np.arange(len(at))
         col = np.minimum(first, width - 1)
-        sign = np.where(first >= lengths, 0, np.sign(queries[rows, col] - got[rows, col]))
-        return sign, first
+        return np.where(first >= lengths, 0, np.sign(queries[rows, col] - got[rows, col]))
 
-    def bounds(self, queries: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each query (a row of ranks): first and end of the suffixes that begin with it, and the longest match."""
+    def bounds(self, queries: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each query (a row of ranks): first and end of the suffixes that begin with it."""
         n, m = len(self.order), len(queries)
         ends = []
-        longest = np.zeros(m, np.int64)
         for upper in (False, True):
             lo, hi = np.zeros(m, np.int64), np.full(m, n, np.int64)
             while (live := np.flatnonzero(lo < hi)).size:
                 mid = (lo[live] + hi[live]) // 2
-                sign, first = self._compare(queries[live], lengths[live], self.order[mid])
-                np.maximum.at(longest, live, first)
+                sign = self._compare(queries[live], lengths[live], self.order[mid])
                 right = (sign > 0) | ((sign == 0) if upper else np.zeros(len(live), bool))
                 lo[live[right]] = mid[right] + 1
                 hi[live[~right]] = mid[~right]
             ends.append(lo)
-        return ends[0], ends[1], longest
+        return ends[0], ends[1]
+
+
+def _shared(sums: tuple[np.ndarray, np.ndarray], a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of two sequences from ``a`` and ``b`` on, at most ``most``, by halving on hashes of slices."""
+    lo, hi = np.zeros(len(a), np.int64), most.copy()
+    while (live := np.flatnonzero(lo < hi)).size:
+        mid = (lo[live] + hi[live] + 1) // 2
+        same = slices(sums[0], a[live], a[live] + mid) == slices(sums[1], b[live], b[live] + mid)
+        lo[live[same]] = mid[same]
+        hi[live[~same]] = mid[~same] - 1
+    return lo
+
+
+def longest_matches(tests: TestSet, text: np.ndarray, at: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Longest verbatim match of each of ``text``'s suffixes from ``at`` on, of ``room`` words, with any test suffix.
+
+    ``text`` has ranks as the test set does. The suffix's place among the sorted test suffixes is found by binary search; the
+    longest match is with a neighbour.
+    """
+    sums = prefix(text.astype(np.uint64)), prefix(tests.ranks.astype(np.uint64))
+    n = len(tests.order)
+    item = owner(tests.at)
+    left = np.zeros(len(tests.ranks), np.int64)
+    left[tests.place] = tests.at[item + 1] - np.arange(len(item))
+    best = np.zeros(len(at), np.int64)
+    lo, hi = np.zeros(len(at), np.int64), np.full(len(at), n, np.int64)
+    while (live := np.flatnonzero(lo < hi)).size:
+        mid = (lo[live] + hi[live]) // 2
+        other = tests.order[mid]
+        same = _shared(sums, at[live], other, np.minimum(room[live], left[other]))
+        best[live] = np.maximum(best[live], same)
+        mine = np.where(same < room[live], text[np.minimum(at[live] + same, len(text) - 1)], 0)
+        right = mine > tests.ranks[np.minimum(other + same, len(tests.ranks) - 1)]
+        lo[live[right]] = mid[right] + 1
+        hi[live[~right]] = mid[~right]
+    return best
 
 
 def find(batch: pa.RecordBatch, tests: TestSet) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[set[str]], np.ndarray]:
@@ -128,51 +189,34 @@ def find(batch: pa.RecordBatch, tests: TestSet) -> tuple[np.ndarray, list[list[t
     names: list[set[str]] = [set() for _ in range(docs)]
     longest_of = np.zeros(docs, np.int64)
     n_words = np.diff(at)
-    if not len(starts) or not len(tests.one):
+    if not len(starts) or not len(tests.heads):
         return n_words, spans, names, longest_of
     one = word_hashes(data, starts, ends, lower=True)
-    known = np.unique(tests.one)
-    item_len = np.diff(tests.at)
-    depth = int(max(tests.window, item_len.max()))
-    windows = np.minimum(tests.window, item_len[item_len > 0])
-    shard = Shard(one, at, known, int(windows.min()), depth)
-    ranks = np.searchsorted(known, tests.one) + 1
-    item = owner(tests.at)
-    left = tests.at[item + 1] - np.arange(len(ranks))  # words from here to the item's end
-    padded = np.concatenate([ranks, np.zeros(depth, np.int64)])
-    # Every test suffix: the longest match that any document of the shard has with it.
-    suffix = padded[np.arange(len(ranks))[:, None] + np.arange(depth)]
-    need = np.minimum(tests.window, item_len[item])
-    use = left >= need  # windows begin here
-    lo, hi, _ = shard.bounds(suffix[use], need[use])
+    shard = Shard(one, at, tests.known, int(tests.need.min()), int(tests.need.max()))
+    head = tests.place[tests.heads]
+    queries = tests.ranks[np.minimum(head[:, None] + np.arange(int(tests.need.max())), len(tests.ranks) - 1)]
+    lo, hi = shard.bounds(queries, tests.need)
     count = hi - lo
     if not count.sum():
         return n_words, spans, names, longest_of
-    q = np.repeat(np.flatnonzero(use), count)
-    inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    kind = np.repeat(np.arange(len(count)), count)
+    inside = np.arange(len(kind)) - np.repeat(np.cumsum(count) - count, count)
     text_at = shard.order[np.repeat(lo, count) + inside]
     word = shard.word[np.searchsorted(shard.place, text_at)]
-    length = need[q]
+    length, q = tests.need[kind], tests.heads[kind]
     two = word_hashes(data, starts, ends, lower=True, seed=2)
     same = slices(prefix(two, 2), word, word + length, 2) == slices(prefix(tests.two, 2), q, q + length, 2)
-    q, word, length = q[same], word[same], length[same]
+    kind, word, length, text_at = kind[same], word[same], length[same], text_at[same]
     doc = owner(at)[word]
     cover = np.zeros(len(one) + 1, np.int64)
     np.add.at(cover, word, 1)
     np.add.at(cover, word + length, -1)
     hit = np.cumsum(cover[:-1]) > 0
-    for d, i in np.unique(np.stack([doc, item[q]]), axis=1).T.tolist():
-        names[d].add(tests.names[i])
-    # Longest verbatim match of any test suffix with each document: how far each found window goes on.
-    run = length.copy()
-    grow = np.arange(len(q))
-    while len(grow):
-        w, t = word[grow] + run[grow], q[grow] + run[grow]
-        ok = (w < at[doc[grow] + 1]) & (run[grow] < left[q[grow]])
-        ok[ok] = one[w[ok]] == tests.one[t[ok]]
-        grow = grow[ok]
-        run[grow] += 1
-    np.maximum.at(longest_of, doc, run)
+    for d, k in np.unique(np.stack([doc, kind]), axis=1).T.tolist():
+        names[d].update(tests.names[i] for i in tests.kinds[tests.kind_at[k] : tests.kind_at[k + 1]].tolist())
+    ends_at = np.flatnonzero(shard.text == 0)  # each run of known words ends here, at its document's end at the latest
+    room = ends_at[np.searchsorted(ends_at, text_at)] - text_at
+    np.maximum.at(longest_of, doc, longest_matches(tests, shard.text, text_at, room))
     for d in np.unique(doc).tolist():
         h = np.flatnonzero(np.diff(np.concatenate([[0], hit[at[d] : at[d + 1]].astype(np.int8), [0]])))
         spans[d] = list(zip(h[::2].tolist(), h[1::2].tolist(), strict=True))
@@ -198,7 +242,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. ``items`` are the distinct ids, sorted as strings, of
     the items of which a window of ``window`` words (a shorter item: all of it) occurs; ``spans`` are the words inside such
     occurrences, ``longest`` the words of the longest match. Null or wordless texts have no words and items without words no
-    window. A null item id is written as an empty string; items that repeat an id count as one.
+    window. A null item id is written as an empty string; items that repeat an id count as one. Rows that repeat an id or a text are
+    judged each for itself; an empty table gives no rows, an empty test set no hits; other columns are ignored.
     """
     spark = docs.sparkSession
     bounded_batches(docs.sparkSession)
