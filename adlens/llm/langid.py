@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import LOWER, flat, mix, parts
+from ._bytes import LOWER, flat, mix, parts, per_text
 from ._store import bounded_batches
 
 _LETTER = regex.compile(r"\p{L}")
@@ -58,8 +58,7 @@ def _mean(table: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]], n: int)
     total, count = np.zeros((n, table.shape[1])), np.zeros(n)
     for grams, ends in found:
         for j in range(table.shape[1]):
-            sums = np.concatenate([[0.0], np.cumsum(table[:, j][grams])])
-            total[:, j] += sums[ends[1:]] - sums[ends[:-1]]
+            total[:, j] += per_text(table[:, j][grams], ends)
         count += np.diff(ends)
     return total / np.maximum(count, 1)[:, None]
 
@@ -119,7 +118,9 @@ def predict(docs: DataFrame, model: LangModel, *, id_col: str = "doc_id", text_c
     """One row per input row: id, lang_pred, score, rejected.
 
     ``und`` with score 0 for a null text, one without a letter, or an empty model. ``rejected`` says that the score is below
-    the calibrated threshold; ``lang_pred`` still has the best guess. Whole texts are read, however long.
+    the calibrated threshold; ``lang_pred`` still has the best guess. Whole texts are read, however long. A row's result depends on
+    its text and the model alone, so rows that repeat a text or an id get the same. An empty table gives no rows; columns
+    besides the two are ignored, whatever their names.
     """
     bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # buckets x labels numbers, whatever the input
@@ -149,19 +150,16 @@ def predict(docs: DataFrame, model: LangModel, *, id_col: str = "doc_id", text_c
 
 
 def labelled_sample(docs: DataFrame, *, per_lang: int, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_bytes: int = 20_000) -> tuple[list[str], list[str]]:
-    """About ``per_lang`` labelled texts of each language (all where there are fewer), picked by a hash of the id.
+    """About ``per_lang`` labelled texts of each language (all where there are fewer), picked by a hash of id and text.
 
-    Texts over ``max_bytes`` bytes aren't taken. This bounds what the driver holds: at most four times
-    ``per_lang`` texts a language. It is the training sample only. At most the 200 most frequent languages are learned.
+    Every language of a text that isn't null is learned. Texts over ``max_bytes`` bytes aren't taken: with ``per_lang`` this bounds what
+    the driver holds, at most four times ``per_lang`` texts a language. It bounds the sample, not what is scored.
     """
-    pool = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null")
-    counts = {r[0]: r[1] for r in pool.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()}
-    if not counts:
-        return [], []
-    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-    wanted = F.lit(False)
-    for lang, n in sorted(counts.items()):
-        wanted = F.when(F.col("lang") == lang, draw < int((1 << 30) * min(1.0, per_lang / n))).otherwise(wanted)
-    found = pool.where(wanted & F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes)).select("text", "lang", "id").limit(4 * per_lang * len(counts)).collect()
+    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    pool = named.where(F.col("lang").isNotNull() & (F.octet_length("text") <= max_bytes))
+    counts = pool.groupBy("lang").count()  # a row a language
+    draw = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30))
+    drawn = pool.join(counts, "lang").where(draw < (1 << 30) * F.least(F.lit(1.0), F.lit(per_lang) / F.col("count")))
+    found = drawn.select("text", "lang", "id").limit(4 * per_lang * max(1, counts.count())).collect()
     found = sorted(found, key=lambda r: (r[1], str(r[2]), r[0]))
     return [r[0] for r in found], [r[1] for r in found]

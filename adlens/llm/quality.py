@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import NOT_SPACE, flat, mix, owner, parts, word_hashes, words
+from ._bytes import NOT_SPACE, flat, mix, owner, parts, per_text, word_hashes, words
 from ._store import bounded_batches
 
 
@@ -100,12 +100,15 @@ def train(texts: list[str], labels: list[int], *, buckets: int = 1 << 18, epochs
 def scores(texts: pa.Array, model: QualityModel) -> np.ndarray:
     """The logistic of the weighted features; a text without words has the bias alone."""
     feature, value, at = rows(texts, len(model.weights))
-    sums = np.concatenate([[0.0], np.cumsum(model.weights[feature] * value)])
-    return 1 / (1 + np.exp(-np.clip(sums[at[1:]] - sums[at[:-1]] + model.bias, -35, 35)))
+    return 1 / (1 + np.exp(-np.clip(per_text(model.weights[feature] * value, at) + model.bias, -35, 35)))
 
 
 def score(docs: DataFrame, model: QualityModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, score. Null and empty texts get the model's bias. Whole texts are read."""
+    """One row per input row: id, score. Null and empty texts get the model's bias. Whole texts are read.
+
+    A score depends on the text and the model alone, so rows that repeat a text, or an id, score alike to the last bit. An empty
+    table gives no rows; columns besides the two are ignored, whatever their names.
+    """
     bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights, whatever the input
 
@@ -122,7 +125,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, per_label: int, id_co
     """About ``per_label`` texts of each label (all where there are fewer), picked by a hash of the id.
 
     Ids are drawn from ``labels`` and then looked up, so texts aren't shuffled; at most ``8 * per_label`` ids go to the driver and
-    are broadcast. Labels other than 0 and 1 are ignored; an id with both counts as 0. Texts over ``max_bytes`` bytes aren't taken.
+    are broadcast. Labels other than 0 and 1 are ignored; an id with both counts as 0. Texts over ``max_bytes`` bytes aren't taken: this
+    bounds the sample, not what is scored.
     """
     spark = docs.sparkSession
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where("label in (0, 1) and id is not null").groupBy("id").agg(F.min("label").alias("label"))

@@ -141,3 +141,105 @@ def dedup_lines(docs, edits=2, min_chars=24):
         if first[u.find(line)] != (rank(i), p):
             gone[i].add(p)
     return [(i, len(ls := (t or "").split("\n")), len(gone[i]), sha("\n".join(x for p, x in enumerate(ls) if p not in gone[i]))) for i, t in docs]
+
+
+def longest_matches(docs, items, known=None, window=13):
+    """Words of the longest match with any test suffix where a window begins, by document; ``known`` where items are only judged in blocks."""
+    if known is not None:
+        return known
+    tests = [ALNUM.findall((t or "").translate(LOWER)) for _, t in items]
+    windows = {tuple(item[q : q + min(window, len(item))]) for item in tests for q in range(max(0, len(item) - window) + 1) if item}
+    out = {}
+    for i, t in docs:
+        w, best = ALNUM.findall((t or "").translate(LOWER)), 0
+        for p in range(len(w)):
+            if not any(tuple(w[p : p + n]) in windows for n in range(1, window + 1)):
+                continue
+            for item in tests:
+                for q in range(len(item)):
+                    n = 0
+                    while p + n < len(w) and q + n < len(item) and w[p + n] == item[q + n]:
+                        n += 1
+                    best = max(best, n)
+        out[i] = best
+    return out
+
+
+M64 = (1 << 64) - 1
+
+
+def _mix(h):
+    for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        h = ((h ^ (h >> 33)) * m) & M64
+    return h ^ (h >> 33)
+
+
+def _word_hash(word: bytes):
+    from adlens.llm._bytes import _BASE, _BYTE
+
+    return _mix(sum(int(_BYTE[1][b]) * pow(_BASE[1], k, 1 << 64) for k, b in enumerate(word)) & M64)
+
+
+def quality_features(text, buckets):
+    """Share of each feature in the text's words, from the feature's description."""
+    kinds = {**dict.fromkeys(range(97, 123), 1), **dict.fromkeys(range(65, 91), 2), **dict.fromkeys(range(48, 58), 3), **dict.fromkeys(range(128, 256), 1)}
+    kinds |= dict.fromkeys([*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)], 4)
+    out: Counter = Counter()
+    found = [w.encode() for w in NOT_SPACE.findall(text)]
+    before = None
+    for w in found:
+        h = _word_hash(w.lower() if w.isascii() else w.decode().translate(LOWER).encode())
+        cls = [kinds.get(b, 0) for b in w]
+        shape = 2 * (25 * cls[0] + 5 * cls[max(len(w) - 2, 0)] + cls[-1]) + (h == before)
+        out[shape % 256] += 1 / len(found)
+        out[256 + min(len(w), 40)] += 1 / len(found)
+        out[512 + h % (buckets - 512)] += 0.5 / len(found)
+        if before is not None:
+            out[512 + _mix((before * 31 + h) & M64) % (buckets - 512)] += 0.5 / len(found)
+        before = h
+    return out
+
+
+def quality_score(text, model):
+    from math import exp
+
+    return 1 / (1 + exp(-(model.bias + sum(model.weights[k] * x for k, x in quality_features(text, len(model.weights)).items()))))
+
+
+def ftrl(texts, labels, buckets, epochs, alpha=1.0, beta=1.0, l1=0.02, l2=0.02, seed=11):
+    import numpy as np
+    from math import exp, sqrt
+
+    z, n = defaultdict(float), defaultdict(float)
+    rare = sum(labels) / len(labels)
+    share = {1: rare, 0: 1 - rare}
+
+    def weight(k):
+        sign = (z[k] > 0) - (z[k] < 0)
+        return 0.0 if abs(z[k]) <= l1 else -(z[k] - sign * l1) / ((beta + sqrt(n[k])) / alpha + l2)
+
+    rng = np.random.default_rng(seed)
+    for _ in range(epochs):
+        for i in rng.permutation(len(texts)):
+            x = {**quality_features(texts[i], buckets), buckets: 1.0}
+            w = {k: weight(k) for k in x}
+            p = 1 / (1 + exp(-sum(w[k] * x[k] for k in x)))
+            for k in x:
+                g = (p - labels[i]) * 0.5 / share[labels[i]] * x[k]
+                z[k] += g - (sqrt(n[k] + g * g) - sqrt(n[k])) / alpha * w[k]
+                n[k] += g * g
+    return np.array([weight(k) for k in range(buckets)]), weight(buckets)
+
+
+def mean_embedding(text, model):
+    import numpy as np
+
+    data, total, count = text.translate(LOWER).encode(), np.zeros(model.table.shape[1]), 0
+    for order in model.orders:
+        for i in range(len(data) - order + 1):
+            h = order
+            for b in data[i : i + order]:
+                h = (h * 257 + b) & M64
+            total += model.table[_mix(h) % len(model.table)]
+            count += 1
+    return total / max(count, 1)

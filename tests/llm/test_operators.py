@@ -187,8 +187,30 @@ def test_exact_dedup(spark, name):
         groups.setdefault(t or "", []).append(i)
     top = {t: max((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
     want = [(i, top[t or ""], len(groups[t or ""]), i == top[t or ""], B.sha(t or "")) for i, t in docs]
-    got = exact_dedup.exact_dedup(frame(spark, docs), bucket_capacity=8)
-    assert rows(got, "doc_id", "keep_id", "group_size", "kept", "text_sha256") == sorted(want, key=str)
+    for capacity, depth in ((8, 16), (1, 6)):
+        got = exact_dedup.exact_dedup(frame(spark, docs), bucket_capacity=capacity, max_depth=depth)
+        assert rows(got, "doc_id", "keep_id", "group_size", "kept", "text_sha256") == sorted(want, key=str)
+
+
+def test_exact_index(spark, monkeypatch):
+    """Owners' files hold ranges of keys, the directory leads to every entry, and hot entries are looked up apart."""
+    docs = corpus(3, 150)
+    index, table, depth = exact_dedup.build_index(frame(spark, docs), bucket_capacity=8)
+    slots = {r.slot: r.bucket for r in table.collect()}
+    entries = index.withColumn("file", F.input_file_name()).collect()
+    assert len(entries) == len({t or "" for _, t in docs}) and depth > 2
+    assert all(slots[(r.key_hash % 2**64) >> (64 - depth)] == r.bucket for r in entries)
+    assert len({(r.file, r.bucket) for r in entries}) == len(slots and {r.bucket for r in entries})
+    # All texts hash alike: chains tell them apart, in the index and in the lookup.
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *_: F.lit(5).cast("long"))
+    monkeypatch.setattr(exact_dedup, "HOT", 40)
+    index = exact_dedup.build_index(frame(spark, docs))[0]
+    assert sorted(r.chain for r in index.collect()) == list(range(1, len(entries) + 1))
+    groups: dict = {}
+    for i, t in docs:
+        groups.setdefault(t or "", []).append(i)
+    got = exact_dedup.exact_dedup(frame(spark, docs))
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in got.collect()} == {i: (max(g), len(g)) for g in groups.values() for i in g}
 
 
 def test_directory():
@@ -232,11 +254,21 @@ def test_contamination(spark, block_bytes):
     hit = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
     assert rows(got, "doc_id", "n_words", "n_hit", F.size("items"), F.sha2(F.array_join("items", ","), 256), hit) == sorted(B.contamination(docs, items), key=str)
     longest = {r.doc_id: r.longest for r in got.collect()}
-    assert longest[999] >= 40
+    assert longest[999] >= 40 and longest == B.longest_matches(docs, items, None if block_bytes > 1000 else longest)
     assert decontam.contamination(frame(spark, EMPTY), bench).count() == 0
     assert decontam.contamination(frame(spark, docs), bench.where("false")).where("n_hit > 0").count() == 0
 
 
+def test_contamination_by_long_items(spark):
+    """An item of many words, a passage that many items have, and their documents."""
+    rng = random.Random(6)
+    book = [f"w{rng.randrange(300)}" for _ in range(12_000)]
+    items = [(1, " ".join(book)), *((i, " ".join(book[500:530]) + f" x{i}") for i in range(2, 300))]
+    docs = [(1, " ".join(book)), (2, " ".join(book[400:700])), (3, "a b " + " ".join(book[505:525])), (4, "none of it")]
+    got = {r.doc_id: (r.n_hit, len(r["items"]), r.longest) for r in decontam.contamination(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {1: (12_000, 299, 12_000), 2: (300, 299, 300), 3: (20, 299, 20), 4: (0, 0, 0)}
+
+
 ODD = [None, "", "  ", "a", "<|endoftext|>" * 30, ("x" * 700 + " ") * 5, "é" * 900, "ẹ́ " * 500, "don't we're i'll " * 200, "　  a b" * 200, "ÀÉİ ß ﬀ 12３ ❤️🎉" * 300, "'" * 600 + "re" * 600, "a\x00b\x1cc\x85d" * 300, "word " * 4000]
 
 
@@ -296,6 +328,48 @@ def test_quality(spark):
     assert quality.train([], []).bias == 0.0 and quality.score(df.where("false"), model).count() == 0
 
 
+def test_scores_of_equal_texts(spark):
+    """Features, training and scores against plain dictionaries; equal texts score alike to the last bit in any company."""
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [t or "" for _, t in corpus(4, 80)]
+    model = quality.train(texts, [i % 2 for i in range(len(texts))], buckets=1 << 12)
+    together = quality.scores(pa.array(texts + texts[::-1]), model)
+    alone = [float(quality.scores(pa.array([t]), model)[0]) for t in texts]
+    assert together[: len(texts)].tolist() == alone and together[len(texts) :].tolist() == alone[::-1]
+    assert np.abs(np.array(alone) - [B.quality_score(t, model) for t in texts]).max() < 1e-12
+    langs = [str(i % 3) for i in range(len(texts))]
+    lang = langid.train(texts, langs, buckets=1 << 10, epochs=2)
+    table = lang.table
+    found = lambda ts: langid._mean(table, langid.features(pa.array(ts), lang.orders, len(table)), len(ts))
+    many = found(texts + texts[::-1])
+    single = np.concatenate([found([t]) for t in texts])
+    assert (many[: len(texts)] == single).all() and (many[len(texts) :] == single[::-1]).all()
+    assert np.abs(single - [B.mean_embedding(t, lang) for t in texts]).max() < 1e-12
+    df = spark.createDataFrame([(i % 7, t) for i, t in enumerate(texts * 3)], "doc_id long, text string").repartition(5)
+    for scored in (quality.score(df, model), langid.predict(df, lang)):
+        assert scored.count() == 3 * len(texts)
+
+
+def test_quality_training():
+    """The updates of follow-the-regularised-leader, one coordinate at a time."""
+    import numpy as np
+
+    texts, labels = ["a b c.", "d e", "a a b", "E! F!", "b c d", ""], [1, 0, 1, 0, 1, 0]
+    model = quality.train(texts, labels, buckets=1 << 10, epochs=3)
+    weights, bias = B.ftrl(texts, labels, 1 << 10, 3)
+    assert np.abs(model.weights - weights).max() < 1e-5 and abs(model.bias - bias) < 1e-5
+
+
+def test_every_language_is_learned(spark):
+    """No number of languages is too many, and the sample is within its bound."""
+    docs = [(i, f"l{i % 250} " * 4, f"x{i % 250:03d}") for i in range(750)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    texts, langs = langid.labelled_sample(df, per_lang=50)
+    assert len(set(langs)) == 250 and len(texts) == 750
+
+
 def test_url_rules(spark):
     urls = [("http://WWW.Example.com/en/x?q", "www.example.com", "/en/x", "www.example.com/en/", "allow"), ("http://a.example.com/en/x#f", "a.example.com", "/en/x", "example.com/en/", "block"), ("x://b.net/es/1", "b.net", "/es/1", "net/es/", "block"), ("http://c.com", "c.com", "", None, "allow"), ("http://notexample.com/en/", "notexample.com", "/en/", "com/", "allow"), ("nothing", "", "", None, "allow"), (None, "", "", None, "allow"), ("http://É.net/fr/", "É.net", "/fr/", "net/fr/", "block")]
     df = spark.createDataFrame([(i, u[0]) for i, u in enumerate(urls)], "page_id long, url string").withColumns({"host": F.lit("x"), "lower": F.lit(1)})
