@@ -25,6 +25,7 @@ PRICE_WORDING = (
     ("PER_YEAR", r"per\s+year|/\s*year|yearly|annual|سنوي|سنويا"),
     ("PER_SQM", r"per\s+(?:sq\.?\s*)?m|/\s*m2|/\s*sqm|للمتر|المتر"),
 )
+#: Fixed patterns: wording of instalments, e-mail addresses, Egyptian and international telephone numbers.
 INSTALLMENT_FLAG = r"\bdown\s*payments?\b|\binstal?lments?\b|\bdp\b|مقدم|تقسيط|قسط|أقساط"
 EMAIL = r"[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}"
 PHONE = r"(?<!\w)(?:\+?20[\s.-]?)?01[0125](?:[\s.-]?\d){8}(?!\w)"
@@ -80,11 +81,6 @@ def area_sqm(text: Column) -> Column:
     return F.when(out.between(5, 1_000_000), out)
 
 
-def small_count(text: Column, low: int = 0, high: int = 50) -> Column:
-    value = F.regexp_extract(ascii_digits(text), r"\d+", 0).try_cast("long")
-    return F.when(value.between(low, high), value.cast("int"))
-
-
 def sparse_number(text: Column) -> Column:
     """``10+`` is 10, ``1,250`` is 1250."""
     return F.regexp_replace(text, "[^0-9]", "").try_cast("long")

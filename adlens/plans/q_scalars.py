@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import parse as P
 from ..functions import scalars as X
 from ..operators import frontier as Q
 from ..sources.views import table
@@ -78,7 +79,7 @@ def areas_read(spark, d):
 
 @query("sparse_numbers", r"SELECT event_id, TRY_CAST(nullif(regexp_replace(props, '[^0-9]', '', 'g'), '') AS BIGINT) AS n, CASE WHEN CAST(props->>'$.k' AS BIGINT) BETWEEN 0 AND 50 THEN CAST(props->>'$.k' AS INTEGER) END AS small FROM events")
 def sparse_numbers(spark, d):
-    return table(spark, d, "events").select("event_id", X.sparse_number(F.col("props")).alias("n"), X.small_count(F.get_json_object("props", "$.k")).alias("small"))
+    return table(spark, d, "events").select("event_id", X.sparse_number(F.col("props")).alias("n"), P.small_count(F.get_json_object("props", "$.k")).alias("small"))
 
 
 @query("capture_periods", "SELECT o_orderkey AS id, CAST(strftime(o_orderdate, '%Y') AS INTEGER) AS year, strftime(o_orderdate, '%Y%m') AS month, year(o_orderdate) || 'Q' || quarter(o_orderdate) AS quarter, date_trunc('month', o_orderdate)::TIMESTAMP AS at FROM orders")

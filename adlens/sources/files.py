@@ -139,7 +139,7 @@ def blobs(spark: SparkSession, path: str) -> DataFrame:
 
 def html_text(rows: DataFrame, content: str = "content", content_type: str | None = None) -> DataFrame:
     """``html``: bytes decoded by their declared charset or the page's own, gunzipped where they are gzip."""
-    from ..functions.values import decode_bytes
+    from ..functions.urls import decode_bytes
 
     @F.pandas_udf("string")
     def text(data: pd.Series, kinds: pd.Series) -> pd.Series:

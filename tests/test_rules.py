@@ -7,61 +7,81 @@ import pytest
 from pyspark.sql import functions as F
 
 from adlens.functions import html as H
+from adlens.functions import parse as P
 from adlens.functions import scalars as X
-from adlens.functions import values as V
+from adlens.functions.urls import absolute
 from adlens.operators import rules as R
 from adlens.sources import files as S
 
 
-@pytest.mark.parametrize(("text", "options", "want"), [
-    ("3b , Red Sea - 126322 GBP", {}, (Decimal("126322.00"), "GBP", "TOTAL")),
-    ("ج.م35,500", {"listing_type": "RENT"}, (Decimal("35500.00"), "EGP", "PER_MONTH")),
-    ("بمقدم 132 ألف", {}, (Decimal("132000.00"), None, "INSTALLMENT")),
-    ("Call for price", {}, (None, None, "ON_REQUEST")),
-    ("$8", {}, (None, "USD", "UNKNOWN")),
-    ("8 USD per night", {}, (Decimal("8.00"), "USD", "PER_NIGHT")),
-    ("1.5m EGP", {}, (Decimal("1500000.00"), "EGP", "TOTAL")),
-    ("", {}, (None, None, "UNKNOWN")),
-])
-def test_price(text, options, want):
-    assert V.price(text, **options) == want
+PRICES = [
+    ("3b , Red Sea - 126322 GBP", "", (Decimal("126322.00"), "GBP", "TOTAL")),
+    ("ج.م35,500", "RENT", (Decimal("35500.00"), "EGP", "PER_MONTH")),
+    ("بمقدم 132 ألف", "", (Decimal("132000.00"), None, "INSTALLMENT")),
+    ("Call for price", "", (None, None, "ON_REQUEST")),
+    ("$8", "", (None, "USD", "UNKNOWN")),
+    ("8 USD per night", "", (Decimal("8.00"), "USD", "PER_NIGHT")),
+    ("1.5m EGP", "", (Decimal("1500000.00"), "EGP", "TOTAL")),
+    ("100 sqm for 2,000 EGP", "", (Decimal("2000.00"), "EGP", "TOTAL")),
+    ("120 000 or 95000", "RENT", (Decimal("120000.00"), None, "PER_MONTH")),
+    ("9999999999999 EGP", "", (None, "EGP", "UNKNOWN")),
+    ("", "", (None, None, "UNKNOWN")),
+    (None, "", (None, None, "UNKNOWN")),
+]
 
 
-def test_area_counts_periods():
-    assert V.area("650 M") == Decimal("650.00") and V.area("1,000 sq ft") == Decimal("92.90") and V.area("3 m") is None
-    assert V.small("غرفتين") == 2 and V.small("3 beds") == 3 and V.small("99") is None
-    assert V.rental_period("monthly") == "PER_MONTH" and V.rental_period("monthly or weekly") is None
+def column(spark, values, make, kind="string"):
+    """``make`` of each value, as a column."""
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, v {kind}").select("i", make(F.col("v")).alias("out")).collect()
+    return [r.out for r in sorted(rows, key=lambda r: r.i)]
+
+
+def test_price(spark):
+    got = spark.createDataFrame([(i, t, k) for i, (t, k, _) in enumerate(PRICES)], "i int, t string, k string").select("i", P.price(F.col("t"), F.col("k")).alias("p")).orderBy("i").collect()
+    for (text, _, want), r in zip(PRICES, got, strict=True):
+        assert tuple(r.p) == want, text
+
+
+def test_area_counts_periods(spark):
+    assert column(spark, ["650 M", "1,000 sq ft", "3 m", None], X.area_sqm) == [Decimal("650.00"), Decimal("92.90"), None, None]
+    assert column(spark, ["غرفتين", "3 beds", "99", "three beds", "threesome", None], P.small_count) == [2, 3, None, 3, None, None]
+    assert column(spark, ["monthly", "monthly or weekly", "daily", None], P.rental_period) == ["PER_MONTH", None, "PER_NIGHT", None]
+    assert [[float(x) for x in r] for r in column(spark, ["2 million, 1.5k or ٣٥٬٥٠٠", "none"], P.numbers)] == [[2_000_000, 1_500, 35_500], []]
 
 
 CAPTURE = datetime(2013, 3, 5, tzinfo=UTC)
+DATES = {
+    "2013-01-31": (2013, 1, 31), "5 March 2012": (2012, 3, 5), "27 Dec": (2012, 12, 27), "Feb 3rd, 2013": (2013, 2, 3), "1/25/2013": (2013, 1, 25), "25/1/13": (2013, 1, 25),
+    "yesterday": (2013, 3, 4), "اليوم": (2013, 3, 5), "2 days ago": (2013, 3, 3), "منذ يومين": (2013, 3, 3), "13 hours and 4 minutes ago": (2013, 3, 4, 10, 56), "1362441600": (2013, 3, 5),
+    "1362441600000": (2013, 3, 5), "2013-02-28 10:30": (2013, 2, 28, 10, 30), "٣ فبراير ٢٠١٣": (2013, 2, 3), "31 February 2013": None, "1990-01-01": None, "2014-01-01": None, "nonsense": None, "": None,
+}
 
 
-@pytest.mark.parametrize(("text", "want"), [
-    ("2013-01-31", datetime(2013, 1, 31, tzinfo=UTC)), ("5 March 2012", datetime(2012, 3, 5, tzinfo=UTC)), ("27 Dec", datetime(2012, 12, 27, tzinfo=UTC)), ("Feb 3rd, 2013", datetime(2013, 2, 3, tzinfo=UTC)),
-    ("1/25/2013", datetime(2013, 1, 25, tzinfo=UTC)), ("yesterday", datetime(2013, 3, 4, tzinfo=UTC)), ("2 days ago", datetime(2013, 3, 3, tzinfo=UTC)), ("منذ يومين", datetime(2013, 3, 3, tzinfo=UTC)),
-    ("13 hours and 4 minutes ago", datetime(2013, 3, 4, 10, 56, tzinfo=UTC)), ("1362441600", datetime(2013, 3, 5, tzinfo=UTC)), ("1990-01-01", None), ("2014-01-01", None), ("nonsense", None),
-])
-def test_dates(text, want):
-    assert V.date(text, CAPTURE) == want
+def test_dates(spark):
+    got = column(spark, list(DATES), lambda c: P.listed_at(c, F.lit(CAPTURE)))
+    assert dict(zip(DATES, got, strict=True)) == {t: w and datetime(*w) for t, w in DATES.items()}
 
 
-def test_urls(spark):
-    cases = ["http://www.portal.com.eg:80/Search/?b=2&a=1#x", "HTTPS://a.b.example.com:8443/x/", "example.com", "http://example.com/?q="]
-    want = ["eg,com,portal)/search?a=1&b=2", "com,example,b,a:8443)/x", "com,example)/", "com,example)/?q"]
-    assert [V.surt(u) for u in cases] == want
-    assert [r.k for r in spark.createDataFrame([(u,) for u in cases], "u string").select(X.surt_key(F.col("u")).alias("k")).collect()] == want
-    assert V.url_shape("http://cairo.sub.example.com/en/ads/big-flat-ID8igUm.html?p=2") == "*.sub.example.com/en/ads/*-X.html|d2|q:p"
-    assert V.absolute("/web/1", "http://web.archive.org/web/2013/http://a.com/b") == "http://a.com/web/1"
-    assert V.absolute("mailto:x", "http://a.com") is None
+def test_places(spark):
+    aliases, coarse = {"Cairo": ["القاهرة", "el qahira"], "New Cairo": [], "Giza": ["الجيزة"]}, ["Giza"]
+    got = column(spark, ["Flat in New  Cairo", "القاهره، مصر", "giza-cairo", "Gizah", None], lambda c: P.named_place(c, aliases, coarse))
+    assert got == ["New Cairo", None, "Cairo", None, None] or got == ["New Cairo", "Cairo", "Cairo", None, None]
+    assert column(spark, ["Café Égalité", "أحمد إلى"], P.fold_place) == ["cafe egalite", "احمد الي"]
+    assert column(spark, ["egypt", "Egypt, Cairo", None], lambda c: F.coalesce(P.is_named(c, ["Egypt"]), F.lit(False))) == [True, False, False]
+    got = column(spark, ["Maadi, Cairo", "Cairo, Cairo", "x, Maadi", "a, b", "Cairo", "Egypt", "Nowhere", None], lambda c: P.city_district(c, ["Cairo"], {"Maadi": "Cairo"}))
+    assert [tuple(r) for r in got] == [("Cairo", "Maadi", None), ("Cairo", None, None), ("Cairo", "Maadi", None), (None, "b", "b"), ("Cairo", None, None), (None, None, None), (None, None, "Nowhere"), (None, None, None)]
 
 
-def test_native_scalars_agree(spark):
-    texts = ["EGP 35,500 per month", "ج.م٣٥٬٥٠٠", "2 million down payment", "US$ 90", "no number", "100 sq ft", "650 m2"]
-    got = spark.createDataFrame([(t,) for t in texts], "t string").select(X.first_number(F.col("t")).cast("double").alias("n"), X.currency(F.col("t")).alias("c"), X.area_sqm(F.col("t")).cast("double").alias("a")).collect()
-    for text, r in zip(texts, got, strict=True):
-        assert r.n == (None if V.number(text) is None else float(V.number(text))), text
-        assert r.c == V.currency(V.digits(text))[0], text
-        assert r.a == (None if V.area(text) is None else float(V.area(text))), text
+def test_urls(spark):
+    cases = ["http://www.portal.com.eg:80/Search/?b=2&a=1#x", "HTTPS://a.b.example.com:8443/x/", "example.com", "http://example.com/?q="]
+    assert column(spark, cases, X.surt_key) == ["eg,com,portal)/search?a=1&b=2", "com,example,b,a:8443)/x", "com,example)/", "com,example)/?q"]
+    shapes = {
+        "http://cairo.sub.example.com/en/ads/big-flat-ID8igUm.html?p=2": "*.sub.example.com/en/ads/*-X.html|d2|q:p", "http://www.a.com": "a.com/|d0", "a.com/": "a.com/|d0",
+        "http://m.x.example.com/123456/some-words/item-55-66/?b=&a=1": "m.x.example.com/*/some-words/*-X|d3|q:a,b", "http://a.com/%D8%B4%D9%82%D8%A9": "a.com/*|d1", "http://a.com/b/c.html": "a.com/b/*.html|d2",
+    }
+    assert dict(zip(shapes, column(spark, list(shapes), P.url_shape), strict=True)) == shapes
+    assert absolute("/web/1", "http://web.archive.org/web/2013/http://a.com/b") == "http://a.com/web/1"
+    assert absolute("mailto:x", "http://a.com") is None
 
 
 PAGE = """<html lang="en"><head><title>Flats for rent | Site</title><script>window.state = {"hits": [{"id": 7, "name": {"en": "Big flat"}, "price": "9000 EGP", "loc.lvl1": {"name": "Cairo"}, "slug": "big"}, {"id": 8, "name": "No price"}]}; var x = {bad};</script>
@@ -87,20 +107,63 @@ LIST = {"page_kind": "LIST", "items": {"css": "li.ad"}, "fields": {"title": {"cs
 JSON = {"page_kind": "LIST", "items": {"script": "state", "path": "hits"}, "fields": {"title": {"json": "name"}, "external_id": {"json": "id"}, "price": {"json": "price"}, "city": {"json": "loc.lvl1"}, "url": {"template": "/ad/{slug}-ID{id}.html"}}, "required_fields": ["price"]}
 
 
-def test_templates():
-    page = R.Page("http://a.com/rent", PAGE, CAPTURE)
-    identity = R.Identity((r"-ID(\d+)\.html",))
-    r = R.run_template(LIST, page, vocab=VOCAB, identity=identity)
-    assert [(d["external_id"], d["price"], d["price_type"], d["property_type"], d["attributes"]) for d in r.drafts] == [("11", 3000.0, "PER_MONTH", "APARTMENT", {}), ("12", None, "ON_REQUEST", "VILLA", {"k": "5"})]
-    assert r.links == [("http://a.com/ad/one-ID11.html", "DETAIL"), ("http://a.com/ad/two-ID12.html", "DETAIL"), ("http://a.com/rent?page=2", "PAGINATION")]
-    j = R.run_template(JSON, page, vocab=VOCAB, identity=identity)
-    assert [(d["external_id"], d["title"], d["city"], d["price"]) for d in j.drafts] == [("7", "Big flat", "Cairo", 9000.0)]
+def graph(*specs, vocab=VOCAB):
+    rules = tuple(R.Rule(f"t{i}", "TEMPLATE", spec) for i, spec in enumerate(specs))
+    return R.Graph(rules, tuple(R.Edge(R.ROOT, r.key, {"type": "always"}, i) for i, r in enumerate(rules)), vocab)
+
+
+def extracted(spark, specs, pages=(("http://a.com/rent", PAGE),), **options):
+    df = spark.createDataFrame([(i, u, h, CAPTURE) for i, (u, h) in enumerate(pages)], "page_id int, url string, html string, at timestamp")
+    return [r for r in R.extract_pages(df, graph(*specs), at_col="at", **options).orderBy("page_id").collect()]
+
+
+IDENTITY = R.Identity((r"-ID(\d+)\.html",))
+
+
+def test_templates(spark):
+    (r,) = extracted(spark, [LIST], identity=IDENTITY)
+    assert [(d.external_id, d.price, d.price_type, d.property_type, d.attributes) for d in r.drafts] == [("11", 3000.0, "PER_MONTH", "APARTMENT", {}), ("12", None, "ON_REQUEST", "VILLA", {"k": "5"})]
+    assert [tuple(x) for x in r.links] == [("http://a.com/ad/one-ID11.html", "DETAIL"), ("http://a.com/ad/two-ID12.html", "DETAIL"), ("http://a.com/rent?page=2", "PAGINATION")]
+    assert r.drafts[0].observed_at == CAPTURE.replace(tzinfo=None) and not r.drafts[0].is_active and r.drafts[0].price_source == "field"
+    (j,) = extracted(spark, [JSON], identity=IDENTITY)
+    assert [(d.external_id, d.title, d.city, d.price) for d in j.drafts] == [("7", "Big flat", "Cairo", 9000.0)]
     assert j.problems == ["item 1: missing required fields ['price']"]
     with pytest.raises(ValueError):
-        R.run_template({"page_kind": "LIST"}, page)
-    assert R.advert_links(page, identity) == 2
-    conflict = R.run_template({**LIST, "fields": {**LIST["fields"], "external_id": {"const": "99"}}}, page, vocab=VOCAB, identity=identity)
-    assert all("identity conflict" in p for p in conflict.problems)
+        R.Template({"page_kind": "LIST"}, {})
+    page = R.Page("http://a.com/rent", PAGE, CAPTURE)
+    assert R.advert_links(page, IDENTITY) == 2
+    (c,) = extracted(spark, [{**LIST, "links": [], "fields": {**LIST["fields"], "external_id": {"const": "99"}}}], identity=IDENTITY)
+    assert c.page_kind is None and c.problems == ["t0: 2 items, 0 drafts; item 0: identity conflict: url says 11, template says 99; item 1: identity conflict: url says 12, template says 99"]
+
+
+def test_best_template_counts(spark):
+    one = {**LIST, "items": {"css": "li.ad:has(> span.p)"}, "fields": {"title": {"css": "a"}, "url": {"css": "a", "attr": "href"}}}
+    fewer = {**JSON, "links": []}
+    pages = [("http://a.com/rent", PAGE), ("http://b.com/x", "<p>nothing"), (None, None), ("http://a.com/rent", PAGE)]
+    got = extracted(spark, [fewer, one, {"page_kind": "LIST"}, LIST], pages, identity=IDENTITY)
+    assert [r.template for r in got] == ["t3", None, None, "t3"]
+    assert got[1].problems == ["t0: 0 items, 0 drafts", "t1: 0 items, 0 drafts", "t2: a LIST template needs items", "t3: 0 items, 0 drafts"]
+    assert extracted(spark, [], pages)[0].problems == ["no template's conditions hold"]
+
+
+def test_draft_values(spark):
+    detail = {
+        "page_kind": "DETAIL", "allow_title_price": True, "fields": {
+            "title": {"css": "h1"}, "listing_type": {"const": "for rent"}, "price": {"css": ".p", "regex": r"from (\d+)"}, "currency": {"css": ".c"}, "price_period": {"css": ".per"}, "city": {"css": ".city"},
+            "area": {"css": ".area"}, "bedrooms": {"css": ".b"}, "listed_at": {"css": ".d"}, "latitude": {"const": "30.5"}, "longitude": {"const": "200"}, "image": {"css": "img", "attr": "src"}, "district": {"css": ".none"},
+        },
+    }
+    html = "<title>x</title><h1>Nice villa in Paris</h1><i class=p>from 5 up to 900 EGP</i><i class=c>usd</i><i class=per>weekly</i><i class=city>al qahira</i><i class=area>120 m</i><i class=b>two</i><i class=d>3 days ago</i><img src=/i.png>"
+    places = R.Places({"Cairo": ["al qahira"]}, (), ("Egypt",), ("Paris",))
+    (r,) = extracted(spark, [detail], [("http://a.com/ad/9", html)], places=places)
+    (d,) = r.drafts
+    assert (d.price, d.price_source, d.currency, d.price_type, d.city, d.area_sqm, d.bedrooms, d.listed_at, d.latitude) == (900.0, "field_fulltext", "USD", "PER_WEEK", "Cairo", 120.0, 2, datetime(2013, 3, 2), None)
+    assert d.attributes == {"image": "http://a.com/i.png", "_flag": "foreign_location_signal:Paris"} and d.external_id.startswith("u:") and d.url == "http://a.com/ad/9"
+    assert r.empty_fields == ["district"] and r.vocab_misses == []
+    (titled,) = extracted(spark, [{**detail, "fields": {**detail["fields"], "price": {"css": ".none"}, "title": {"const": "Villa 4000 EGP"}}}], [("http://a.com/ad/9", html)])
+    assert (titled.drafts[0].price, titled.drafts[0].price_source, titled.drafts[0].currency) == (4000.0, "title", "EGP")
+    (lost,) = extracted(spark, [{**detail, "fields": {**detail["fields"], "listing_type": {"const": "barter"}}}], [("http://a.com/ad/9", html)])
+    assert lost.problems == ["t0: 1 items, 0 drafts; item 0: listing type unknown (no vocabulary match)"]
 
 
 def test_conditions():
@@ -112,7 +175,7 @@ def test_conditions():
     assert not R.holds({"type": "capture_range", "to": "2012-02"}, R.Page("u", None, datetime(2012, 2, 29, tzinfo=UTC)))  # a month ends on its 28th in February
 
 
-def test_graph():
+def test_graph(spark):
     rules = (R.Rule("s", "STATE"), R.Rule("a", "ROUTE", {"decision": "SKIP"}), R.Rule("b", "ROUTE", {"decision": "FETCH", "page_kind": "FROM_EVIDENCE", "priority": 400}))
     edges = (R.Edge(R.ROOT, "s", {"type": "always"}), R.Edge("s", "s", {"type": "always"}), R.Edge("s", "b", {"type": "always"}, 2), R.Edge("s", "a", {"type": "url_regex", "pattern": "skip"}, 1))
     g = R.Graph(rules, edges)
@@ -121,16 +184,23 @@ def test_graph():
     less = g.revised(remove=["a"])
     assert less.version == 2 and R.route(less, R.Page("http://a/skip"))[1] == "b"
     assert R.cluster_fingerprints(["00", "01", "ffff"], most=2) == {"00": "00", "01": "00", "ffff": "ffff"}
-    assert R.validate_routes([("x", "/ads/"), ("all", "."), ("bad", "(")], ["http://a/ads/1"], ["http://a/ads/1", "http://a/b"])[0] == ["x"]
+    urls = lambda *us: spark.createDataFrame([(u,) for u in us], "url string")
+    assert R.validate_routes([("x", "/ads/"), ("all", "."), ("bad", "(")], urls("http://a/ads/1"), urls("http://a/ads/1", "http://a/b"))[0] == ["x"]
+    assert R.validate_routes([("x", "/ads/")], urls("http://a/1", "http://a/2", "http://a/ads/3"), urls("http://a/1")) == ([], ["covers too few of the misses"])
     assert R.seed_plan(R.Graph((R.Rule("i", "ROUTE", {}, "LLM"),), (R.Edge(R.ROOT, "i", {"type": "always"}),)), g).edges[-1].end == "i"
     assert [v.version for v in R.save_version(R.save_version([], g), g)] == [1, 2]
 
 
-def test_gold_gate():
-    g = R.Graph((R.Rule("t", "TEMPLATE", LIST),), (R.Edge(R.ROOT, "t", {"type": "always"}),), VOCAB)
-    item = {"external_id": "11", "title": "Nice flat 3000 EGP", "amount": "3000", "currency": "EGP", "listing_type": "RENT"}
-    rate, ok = R.gold_gate(g, [(R.Page("http://a.com/rent", PAGE), [item, {**item, "title": "other"}])], 0.5, identity=R.Identity((r"-ID(\d+)\.html",)))
-    assert (rate, ok) == (0.5, True)
+def test_gold(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/rent", PAGE)], "page_id int, url string, html string")
+    item = (1, "11", "Nice flat 3000 EGP", "3000", "EGP", "RENT")
+    gold = spark.createDataFrame([item, (*item[:2], "other", *item[3:]), (2, *item[1:])], "page_id int, external_id string, title string, amount string, currency string, listing_type string")
+    got = R.gold_rate(R.extract_pages(pages, graph(LIST), identity=IDENTITY), gold).first()
+    assert (got.total, got.exact) == (3, 1) and R.gold_rate(R.extract_pages(pages, graph(LIST)), gold.where("false")).first().rate == 1.0
+    better = R.validate_template(pages, gold, graph({**LIST, "items": {"css": "none"}, "links": []}), graph(LIST), identity=IDENTITY).first()
+    assert better.accepted and (better.taken, better.items, better.drafts) == (1, 2, 2) and better.rate_before == 0
+    worse = R.validate_template(pages, gold, graph(LIST), graph(JSON), identity=IDENTITY).first()
+    assert not worse.accepted and worse.rate_after < worse.rate_before
 
 
 def test_redaction(spark):
