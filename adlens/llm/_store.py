@@ -36,12 +36,12 @@ def dropped(spark: SparkSession, path: str) -> None:
     fs.delete(where, True)
 
 
-def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """``stored``, and the path of the table."""
+def stored_at(df: DataFrame, name: str, kept: bool = False) -> tuple[DataFrame, str]:
+    """``stored``, and the path of the table, which outlives the ``scratch`` around it if ``kept``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _scopes:
+    if _scopes and not kept:
         _scopes[-1].append(path)
     spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files that the table replaces
     return spark.read.schema(df.schema).parquet(path), path
@@ -57,7 +57,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables that are stored inside are deleted at the end: what is to stay must be stored by then, outside of the folder's tables."""
+    """Tables that are stored inside are deleted at the end, but for those stored as ``kept``."""
     _scopes.append([])
     try:
         yield
