@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from adlens.llm import bpe, decontam, exact_dedup, ngram_join, quality
-from adlens.llm._store import stored
+from adlens.llm._store import dropped, scratch, stored_at
 from adlens.llm.queries import contaminated, quality_model, tokenizer_json
 
 #: A document whose score is below this is rejected.
@@ -24,18 +24,19 @@ def _key(sha: Column) -> Column:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn(_KEY, _key(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    """Key, id and text of each row, and the whole row as a struct, so that no column of ``docs`` can clash with the stages' own."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text", _key(F.sha2(F.coalesce("text", F.lit("")), 256)).alias(_KEY))
 
 
 def _keep(keyed: DataFrame, verdict: DataFrame) -> DataFrame:
     """The rows of ``keyed`` whose key ``verdict`` has."""
-    return keyed.join(verdict.select(_KEY).distinct(), _KEY, "left_semi").drop(_KEY)
+    return keyed.join(verdict.select(_KEY).distinct(), _KEY, "left_semi").select("row.*")
 
 
 def _keep_one(keyed: DataFrame, verdict: DataFrame) -> DataFrame:
     """Of the rows of each key that ``verdict`` has, one: number 1 among the key's repeats, which tasks tell before the shuffle."""
     number = F.row_number().over(Window.partitionBy(_KEY).orderBy("doc_id"))
-    return keyed.withColumn("_n", number).where("_n = 1").join(verdict.select(_KEY).distinct(), _KEY).drop(_KEY, "_n")
+    return keyed.withColumn("_n", number).where("_n = 1").join(verdict.select(_KEY).distinct(), _KEY).select("row.*")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +47,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row stays, of the largest id."""
-    return _keep_one(_keyed(docs), exact_dedup.exact_dedup(docs).where("kept").withColumn(_KEY, _key(F.col("text_sha256"))))
+    return _keep_one(_keyed(docs), exact_dedup.exact_dedup(docs.select("doc_id", "text")).where("kept").withColumn(_KEY, _key(F.col("text_sha256"))))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -85,7 +86,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's result. A stage's own tables, and what its predecessor kept, are deleted once its result is stored."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.split()[0].lower())
+        with scratch(spark):
+            docs, path = stored_at(stage(spark, docs, sf_dir), name.split()[0].lower(), kept=True)
+        if before:
+            dropped(spark, before)
+        before = path
     return docs
