@@ -20,7 +20,7 @@ URL_RULES = (
 PER_LANG, PER_LABEL = 600, 1500
 WINDOW_WORDS = 13
 #: Ranges of ids in which the documents enter the fingerprint index.
-INDEX_BATCHES = 4
+INDEX_BATCHES = 3
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

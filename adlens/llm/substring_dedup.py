@@ -3,7 +3,7 @@
 Every window of ``width`` words has a fingerprint, a 64-bit rolling hash, and 32 bits of an independent second hash to verify
 it. The index is a folder of immutable runs, each sorted by fingerprint within ranges of fingerprints. For a batch of documents,
 the owner of a range sorts the batch's fingerprints, merge-joins them with the runs of earlier batches, and writes what is new
-as the next run. ``compact`` merges runs into one. A manifest names the runs; it is replaced as a whole, so an index can be
+as the next run. Before a batch, ``compact`` merges runs of like sizes. A manifest names the runs; it is replaced as a whole, so an index can be
 opened again by any driver and what a lost job left behind is never read.
 
 Of a window that several documents of a task have, only the least document's record is sent to the owner. The others repeat
@@ -94,8 +94,8 @@ class FingerprintIndex:
         rows = self.spark.read.schema("place int, blob binary").parquet(f"{self.path}/{path}")
         return rows.select("place", F.lit(what).alias("what"), "blob")
 
-    def history(self, owners: int) -> DataFrame | None:
-        """All runs as rows (owner, RUN, blob of fingerprint differences and second hashes) for this many owners."""
+    def history(self, owners: int, runs: list[dict] | None = None) -> DataFrame | None:
+        """The runs, all if none are named, as rows (owner, RUN, blob of fingerprint differences and second hashes) for this many owners."""
 
         def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -109,19 +109,20 @@ class FingerprintIndex:
                     yield R._rows(place, R.RUN, blobs)
 
         out = None
-        for run in self.state["runs"]:
+        for run in self.state["runs"] if runs is None else runs:
             rows = self._table(run["path"], R.RUN)
             rows = rows if run["owners"] == owners else rows.mapInArrow(split, R.PACKED)
             out = rows if out is None else out.unionAll(rows)
         return out
 
     def add(self, plan: R.Plan, size: int, batch: str) -> DataFrame:
-        """Judge the plan's documents against the index and add them to it as a run. Rows (bin, VERDICT, blob) of windows that repeat.
+        """Judge the plan's documents against the index, compacted before, and add them to it as a run. Rows (bin, VERDICT, blob) of windows that repeat.
 
         A batch that the index has under this name already gets the verdicts of then.
         """
         known = self.state["batches"].get(batch)
         if known is None:
+            self.compact()
             owners = 64
             while owners * R.OWNER_BYTES < self.state["bytes"] + size:
                 owners *= 2
@@ -132,7 +133,7 @@ class FingerprintIndex:
             judged.groupBy("place").applyInArrow(_judge(plan), R.PACKED).write.partitionBy("what").parquet(f"{self.path}/{name}")
             run, found = (f"{name}/what={k}" for k in (R.RUN, R.VERDICT))
             has = lambda x: self.fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{x}"))
-            runs = self.state["runs"] + ([{"path": run, "owners": owners}] if has(run) else [])
+            runs = self.state["runs"] + ([{"path": run, "owners": owners, "batches": 1}] if has(run) else [])
             known = {"verdicts": found if has(found) else "", "bins": plan.bins}
             self._commit(runs=runs, bytes=self.state["bytes"] + size, batches={**self.state["batches"], batch: known})
             self.spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the batch's shuffle files
@@ -140,17 +141,19 @@ class FingerprintIndex:
             raise ValueError(f"batch {batch} was another one when it was added")
         return self._table(known["verdicts"], R.VERDICT) if known["verdicts"] else self.spark.createDataFrame([], R.PACKED)
 
-    def compact(self, most_runs: int = 1) -> None:
-        """Merge the runs into one if there are more than ``most_runs``."""
-        runs = self.state["runs"]
-        if len(runs) <= most_runs:
-            return
-        owners = max(r["owners"] for r in runs)
-        name = f"run-{uuid.uuid4().hex}"
-        self.history(owners).groupBy("place").applyInArrow(_merged, R.PACKED).select("place", "blob").write.parquet(f"{self.path}/{name}")
-        self._commit(runs=[{"path": name, "owners": owners}])
-        for run in runs:
-            dropped(self.spark, f"{self.path}/{run['path']}")
+    def compact(self, all_runs: bool = False) -> None:
+        """Merge the last two runs while the older has no more than twice the batches of the newer, or all runs into one.
+
+        So a window is rewritten about as often as the number of batches has binary digits, and few runs are left to join with.
+        """
+        while len(runs := self.state["runs"]) > 1 and (all_runs or runs[-2]["batches"] <= 2 * runs[-1]["batches"]):
+            kept, merged = ([], runs) if all_runs else (runs[:-2], runs[-2:])
+            owners, name = max(r["owners"] for r in merged), f"run-{uuid.uuid4().hex}"
+            self.history(owners, merged).groupBy("place").applyInArrow(_merged, R.PACKED).select("place", "blob").write.parquet(f"{self.path}/{name}")
+            self._commit(runs=[*kept, {"path": name, "owners": owners, "batches": sum(r["batches"] for r in merged)}])
+            for run in merged:
+                dropped(self.spark, f"{self.path}/{run['path']}")
+            self.spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files
 
 
 def _runs(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -230,7 +233,7 @@ def _judge(plan: R.Plan):
     return run
 
 
-def dedup(docs: DataFrame, index: FingerprintIndex | None = None, *, id_col: str = "doc_id", text_col: str = "text", width: int = 50, batches: int = 1, name: str = "", most_runs: int = 2) -> DataFrame:
+def dedup(docs: DataFrame, index: FingerprintIndex | None = None, *, id_col: str = "doc_id", text_col: str = "text", width: int = 50, batches: int = 1, name: str = "") -> DataFrame:
     """One row per input row: id, n_words long, n_removed long, kept string.
 
     Words are ``[^\\x20\\x09-\\x0D]+``. A word goes if a window of ``width`` words covers it whose words also start in a document of
@@ -238,8 +241,7 @@ def dedup(docs: DataFrame, index: FingerprintIndex | None = None, *, id_col: str
     one space. Null and wordless texts keep nothing; null ids come last. Rows that repeat an id don't remove each other's
     words. An empty table gives no rows and leaves the index as it was but for a batch; columns besides the two are ignored.
 
-    ``docs`` enters the index, in this call, in ``batches`` ranges of ids of about equal numbers of rows; runs are merged
-    when there are more than ``most_runs``. Under a ``name`` the call can be repeated after a failure: batches that were added
+    ``docs`` enters the index, in this call, in ``batches`` ranges of ids of about equal numbers of rows. Under a ``name`` the call can be repeated after a failure: batches that were added
     keep their verdicts. Without an index a new one in the shared folder is used.
     """
     spark = docs.sparkSession
@@ -252,7 +254,6 @@ def dedup(docs: DataFrame, index: FingerprintIndex | None = None, *, id_col: str
     for k, (low, high) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
         mine = index.add(plan.between(low, high), plan.size // (len(cuts) + 1), f"{name}-{k}")
         found = mine if found is None else found.unionAll(mine)
-        index.compact(most_runs)
 
     def finish(table: pa.Table) -> pa.Table:
         here = R.Bin(table, plan)

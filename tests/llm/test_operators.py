@@ -78,17 +78,19 @@ def test_substring_index(spark, tmp_path):
     open_ = lambda: substring_dedup.FingerprintIndex(spark, path)
     for k in range(3):
         batch = frame(spark, docs[k * 34 : (k + 1) * 34])
-        found = digests(substring_dedup.dedup(batch, open_(), name=f"b{k}", most_runs=9))
-        assert digests(substring_dedup.dedup(batch, open_(), name=f"b{k}", most_runs=9)) == found
-        assert open_().state["runs"] and len(open_().state["runs"]) <= k + 1
+        found = digests(substring_dedup.dedup(batch, open_(), name=f"b{k}"))
+        assert digests(substring_dedup.dedup(batch, open_(), name=f"b{k}")) == found
+        assert [r["batches"] for r in open_().state["runs"]] == [[1], [1, 1], [2, 1]][k]
         if k == 1:
             open_().compact()
-            assert len(open_().state["runs"]) == 1
+            assert [r["batches"] for r in open_().state["runs"]] == [2]
         got += found
     assert sorted(got, key=str) == sorted(B.substring_dedup(docs), key=str)
     # All of it again, under another name and larger ids: every window of the index repeats.
     again = substring_dedup.dedup(frame(spark, [(i + 5000, t) for i, t in docs]), open_())
     assert {r.n_removed for r in again.where("n_words >= 50").select((F.col("n_words") - F.col("n_removed")).alias("n_removed")).collect()} == {0}
+    open_().compact(all_runs=True)
+    assert len(open_().state["runs"]) == 1
     with pytest.raises(ValueError):
         substring_dedup.FingerprintIndex(spark, path, width=40)
 
