@@ -1,6 +1,6 @@
 """Substring deduplication by words over a log-structured fingerprint index.
 
-Every window of ``width`` words has a fingerprint, a 64-bit rolling hash, and 32 bits of an independent second hash to verify
+Every window of ``width`` words has a fingerprint, 48 bits of a rolling hash, and 32 bits of an independent second hash to verify
 it. The index is a folder of immutable runs, each sorted by fingerprint within ranges of fingerprints. For a batch of documents,
 the owner of a range sorts the batch's fingerprints, merge-joins them with the runs of earlier batches, and writes what is new
 as the next run. Before a batch, ``compact`` merges runs of like sizes. A manifest names the runs; it is replaced as a whole, so an index can be
@@ -36,7 +36,7 @@ def word_symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def _owner(f: np.ndarray, owners: int) -> np.ndarray:
-    return ((f >> _U(32)) * _U(owners) >> _U(32)).astype(np.int64)
+    return ((f >> _U(16)) * _U(owners) >> _U(32)).astype(np.int64)
 
 
 def _sorted(f: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,7 +61,7 @@ def windows(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarr
     begin = at[doc] + inside
     f = slices(prefix(word_hashes(data, starts, ends, lower=False)), begin, begin + width)
     v = slices(prefix(word_hashes(data, starts, ends, lower=False, seed=2), 2), begin, begin + width, 2)
-    return f, (v >> _U(32)).astype(np.uint32), doc, inside.astype(np.uint32)
+    return f >> _U(16), (v >> _U(32)).astype(np.uint32), doc, inside.astype(np.uint32)
 
 
 class FingerprintIndex:
@@ -90,6 +90,10 @@ class FingerprintIndex:
             raise RuntimeError(f"another writer has made {name}")
         self.state = state
 
+    def _release(self) -> None:
+        """Lets Spark's cleaner drop the shuffle files of steps that are done."""
+        self.spark.sparkContext._jvm.System.gc()
+
     def _table(self, path: str, what: int) -> DataFrame:
         rows = self.spark.read.schema("place int, blob binary").parquet(f"{self.path}/{path}")
         return rows.select("place", F.lit(what).alias("what"), "blob")
@@ -123,6 +127,7 @@ class FingerprintIndex:
         known = self.state["batches"].get(batch)
         if known is None:
             self.compact()
+            self._release()
             owners = 64
             while owners * R.OWNER_BYTES < self.state["bytes"] + size:
                 owners *= 2
@@ -136,7 +141,7 @@ class FingerprintIndex:
             runs = self.state["runs"] + ([{"path": run, "owners": owners, "batches": 1}] if has(run) else [])
             known = {"verdicts": found if has(found) else "", "bins": plan.bins}
             self._commit(runs=runs, bytes=self.state["bytes"] + size, batches={**self.state["batches"], batch: known})
-            self.spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the batch's shuffle files
+            del sent, history, judged
         if known["bins"] != plan.bins:
             raise ValueError(f"batch {batch} was another one when it was added")
         return self._table(known["verdicts"], R.VERDICT) if known["verdicts"] else self.spark.createDataFrame([], R.PACKED)
@@ -147,13 +152,13 @@ class FingerprintIndex:
         So a window is rewritten about as often as the number of batches has binary digits, and few runs are left to join with.
         """
         while len(runs := self.state["runs"]) > 1 and (all_runs or runs[-2]["batches"] <= 2 * runs[-1]["batches"]):
+            self._release()
             kept, merged = ([], runs) if all_runs else (runs[:-2], runs[-2:])
             owners, name = max(r["owners"] for r in merged), f"run-{uuid.uuid4().hex}"
             self.history(owners, merged).groupBy("place").applyInArrow(_merged, R.PACKED).select("place", "blob").write.parquet(f"{self.path}/{name}")
             self._commit(runs=[*kept, {"path": name, "owners": owners, "batches": sum(r["batches"] for r in merged)}])
             for run in merged:
                 dropped(self.spark, f"{self.path}/{run['path']}")
-            self.spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files
 
 
 def _runs(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
