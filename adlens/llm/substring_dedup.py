@@ -27,7 +27,7 @@ from ._store import dropped, file_system, shared_dir
 
 _U = np.uint64
 #: Windows that a task gathers before it packs them.
-HELD_WINDOWS = 1 << 20
+HELD_WINDOWS = 1 << 19
 
 
 def word_symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -259,6 +259,7 @@ def dedup(docs: DataFrame, index: FingerprintIndex | None = None, *, id_col: str
     for k, (low, high) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
         mine = index.add(plan.between(low, high), plan.size // (len(cuts) + 1), f"{name}-{k}")
         found = mine if found is None else found.unionAll(mine)
+    index._release()
 
     def finish(table: pa.Table) -> pa.Table:
         here = R.Bin(table, plan)
