@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import scalars as X
 
@@ -38,6 +39,9 @@ TIME_UNITS = {
 DUALS = "دقيقتين|ساعتين|يومين|أسبوعين|اسبوعين|شهرين|سنتين"
 TODAY, YESTERDAY, AGO = r"\btoday\b|اليوم|النهارده", r"\byesterday\b|أمس|امس|إمبارح|امبارح", r"\bago\b|منذ|قبل"
 
+#: Fixed pattern: keys of contact data and credentials.
+SENSITIVE_KEYS = r"(?i)phone|telephone|email|contact|whatsapp|password|secret|credential|token|session|cookie|authorization|apikey|applicationid|searchkey|runtimeconfig"
+
 _NUMBER = r"(?<![\d.])(\d{1,3}(?:[,\s]\d{3})+|\d+)(\.\d+)?"
 _SCALED = rf"(?iu){_NUMBER}(?:\s*({'|'.join(w for w in SCALE_WORDS if len(w.removesuffix(chr(92) + 'b')) > 1)})|(m\b|k\b))?"
 
@@ -272,3 +276,22 @@ def city_district(label: Column, cities: Sequence[str], city_of: Mapping[str, st
     district = F.when(~alone, F.when(is_city, F.nullif(place, parent)).otherwise(parent))
     lost = F.when(F.when(alone, ~is_city & (place != country)).otherwise(known.isNull()), parent)
     return F.struct(F.when(is_city | ~alone, known).alias("city"), district.alias("district"), lost.alias("unresolved"))
+
+
+def sensitive(key: Column) -> Column:
+    """Whether a key, by its letters alone, names contact data or credentials."""
+    return F.regexp_replace(key, "[^a-zA-Z]", "").rlike(SENSITIVE_KEYS)
+
+
+def redact_nested(value: Column, kind: T.DataType) -> Column:
+    """Texts redacted at any depth of a column of this type; fields and map entries with sensitive keys are left out."""
+    if isinstance(kind, T.StringType):
+        return X.redact(value)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: redact_nested(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(F.map_filter(value, lambda k, v: ~sensitive(k)), lambda k, v: redact_nested(v, kind.valueType))
+    if isinstance(kind, T.StructType):
+        kept = [f for f in kind.fields if not re.search(SENSITIVE_KEYS, re.sub("[^a-zA-Z]", "", f.name))]
+        return F.when(value.isNotNull(), F.struct(*(redact_nested(value[f.name], f.dataType).alias(f.name) for f in kept)))
+    return value

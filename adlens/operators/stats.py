@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import lru_cache
-from math import atan, cos, erfc, exp, log, pi, sin, sqrt
+from math import atan, cos, exp, log, pi, sin, sqrt
 
 import numpy as np
 import pandas as pd
@@ -75,15 +75,54 @@ def mann_whitney(rows: DataFrame, value: str, group: str, a: str, b: str) -> Dat
     u = F.col("r") - na * (na + 1) / 2
     var = na * nb / 12 * ((n + 1) - F.try_divide(F.col("t"), n * (n - 1)))
     z = F.try_divide(u - na * nb / 2, F.sqrt(var))
-    return out.select("n_a", "n_b", u.alias("u"), (2 * u / (na * nb) - 1).alias("delta"), z.alias("z"))
+    return out.select("n_a", "n_b", u.alias("u"), (2 * u / (na * nb) - 1).alias("delta"), z.alias("z")).withColumn("p", normal_p(F.col("z")))
 
 
-def normal_p(z: float | None) -> float | None:
-    return None if z is None else erfc(abs(z) / sqrt(2))
+#: The coefficients of a rational approximation of the error function whose error is below 1.5e-7.
+ERF_SCALE, ERF_TERMS = 0.3275911, (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+
+
+def erfc_column(x: Column) -> Column:
+    """Complementary error function of a number of 0 or more."""
+    t = 1 / (1 + ERF_SCALE * x)
+    series = F.lit(0.0)
+    for a in reversed(ERF_TERMS):
+        series = (series + a) * t
+    return series * F.exp(-x * x)
+
+
+def normal_p(z: Column) -> Column:
+    """Two-sided p of a standard normal value."""
+    return erfc_column(F.abs(z) / sqrt(2))
+
+
+def chi2_p(x: Column, df: Column) -> Column:
+    """Upper tail of chi squared: a finite sum for even ``df``, with the normal tail before it for odd."""
+    half = x / 2
+    odd = df % 2 == 1
+    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(df / 2).cast("int")))
+    # Terms half^i / i! from i = 0, or half^(i - 1/2) / gamma(i + 1/2) from i = 1; each is the one before times half / i, or half / (i - 1/2).
+    first = F.when(odd, F.sqrt(half) / (sqrt(pi) / 2)).otherwise(F.lit(1.0))
+    start = F.struct(F.lit(0.0).alias("sum"), first.alias("term"))
+    grown = F.aggregate(steps, start, lambda a, i: F.struct((a["sum"] + a["term"]).alias("sum"), (a["term"] * half / F.when(odd, i + 0.5).otherwise(i.cast("double"))).alias("term")))
+    tail = F.exp(-half) * F.when(df > 1, grown["sum"]).otherwise(0.0)
+    return F.when(odd, erfc_column(F.sqrt(half)) + tail).otherwise(tail)
+
+
+#: Residential types, and bounds of areas and of sale and monthly prices, that the market statistics take as plausible.
+RESIDENTIAL = ("APARTMENT", "VILLA", "TOWNHOUSE", "STUDIO")
+AREA_BOUNDS, SALE_BOUNDS, RENT_BOUNDS = (30, 2_000), (100_000, 2_000_000_000), (500, 1_000_000)
+
+
+def plausible(rows: DataFrame) -> DataFrame:
+    """Residential rows whose price is plausible for their listing type; an area out of bounds becomes null. Nulls aren't plausible."""
+    sale, rent = (F.col("listing_type") == kind for kind in ("SALE", "RENT"))
+    fair = (sale & F.col("price").between(*SALE_BOUNDS)) | (rent & F.col("price").between(*RENT_BOUNDS))
+    return rows.where(F.col("property_type").isin(*RESIDENTIAL) & fair).withColumn("area_sqm", F.when(F.col("area_sqm").between(*AREA_BOUNDS), F.col("area_sqm")))
 
 
 def kruskal(rows: DataFrame, value: str, group: str, keys: Sequence[str] = ()) -> DataFrame:
-    """H with the correction for ties, epsilon squared, groups and n of each key."""
+    """H with the correction for ties, epsilon squared, p by chi squared, groups and n of each key."""
     base = rows.where(F.col(value).isNotNull()).withColumn("_k", F.lit(0))
     keys = [*keys] or ["_k"]
     ranked = average_ranks(base, value, keys)
@@ -91,7 +130,7 @@ def kruskal(rows: DataFrame, value: str, group: str, keys: Sequence[str] = ()) -
     total = per.groupBy(*keys).agg(F.sum("n").cast("double").alias("n"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"), F.sum("t").cast("double").alias("t"), F.count(F.lit(1)).alias("groups"))
     n = F.col("n")
     h = F.try_divide(12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1), 1 - F.try_divide(F.col("t"), n * n * n - n))
-    return total.select(*(k for k in keys if k != "_k"), F.col("n").cast("long").alias("n"), "groups", h.alias("h"), F.try_divide(h, n - 1).alias("epsilon2"))
+    return total.select(*(k for k in keys if k != "_k"), F.col("n").cast("long").alias("n"), "groups", h.alias("h"), F.try_divide(h, n - 1).alias("epsilon2"), chi2_p(h, F.col("groups") - 1).alias("p"))
 
 
 def _range_of(value: Column, cuts: Sequence, first: int = 0) -> Column:
@@ -151,6 +190,13 @@ def growth(rows: DataFrame, value: str, key: str, year: Column, y0: int, y1: int
     return wide.where((F.col(f"n_{y0}") >= least) & (F.col(f"n_{y1}") >= least)).withColumns({"multiple": F.round(times, 6), "cagr": F.round(F.pow(times, F.lit(1 / (y1 - y0))) - 1, 6)})
 
 
+def movers(rows: DataFrame, value: str, key: str, year: Column, y0: int, y1: int, least: int = 40) -> DataFrame:
+    """Change of each key's median from one year to another, where both have ``least`` values, the largest first."""
+    side = lambda y: F.when(F.col("_y") == y, F.col(value))
+    wide = rows.withColumn("_y", year).where(F.col("_y").isin(y0, y1)).groupBy(key).agg(F.count(side(y0)).alias("n0"), F.count(side(y1)).alias("n1"), F.median(side(y0)).alias("m0"), F.median(side(y1)).alias("m1"))
+    return wide.where((F.col("n0") >= least) & (F.col("n1") >= least)).withColumn("change", F.col("m1") / F.col("m0") - 1).orderBy(F.desc("change"), key)
+
+
 def ranking(rows: DataFrame, value: str, key: str, least: int) -> DataFrame:
     """Keys with ``least`` values from the highest median."""
     m = medians(rows, value, [key], least)

@@ -90,10 +90,9 @@ def documents_unobserved(spark, d):
     return A.without_observation(docs, observation(spark, d).where("price_type = 'TOTAL'"))
 
 
-@query("documents_mixed", f"WITH {OBSERVATION_SQL}, {LISTING_SQL} SELECT document_id, count(DISTINCT regexp_extract(source_key, '#(\\d)', 1)) AS groups FROM observation JOIN listing ON listing.id = listing_id JOIN orders ON o_orderkey = document_id WHERE o_orderstatus = 'P' GROUP BY 1 HAVING groups > 1")
+@query("documents_mixed", f"WITH {OBSERVATION_SQL}, {LISTING_SQL} SELECT document_id, count(DISTINCT regexp_extract(source_key, '#(\\d)', 1)) AS groups FROM observation JOIN listing ON listing.id = listing_id GROUP BY 1 HAVING groups > 1")
 def documents_mixed(spark, d):
     rows = observation(spark, d).join(listing(spark, d).select(F.col("id").alias("listing_id"), "source_key"), "listing_id")
-    rows = rows.join(table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("document_id")), "document_id")
     return A.shared_documents(rows, F.regexp_extract("source_key", r"#(\d)", 1))
 
 
