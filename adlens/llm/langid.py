@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from ._bytes import LOWER, flat, mix, parts, per_text
 from ._store import bounded_batches
 
+#: Languages whose numbers of texts are broadcast to the rows.
+MOST_BROADCAST = 100_000
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -158,8 +160,11 @@ def labelled_sample(docs: DataFrame, *, per_lang: int, id_col: str = "doc_id", t
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     pool = named.where(F.col("lang").isNotNull() & (F.octet_length("text") <= max_bytes))
     counts = pool.groupBy("lang").count()  # a row a language
+    languages = counts.count()
+    if languages <= MOST_BROADCAST:  # else a join by language, with the same result
+        counts = F.broadcast(counts)
     draw = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30))
     drawn = pool.join(counts, "lang").where(draw < (1 << 30) * F.least(F.lit(1.0), F.lit(per_lang) / F.col("count")))
-    found = drawn.select("text", "lang", "id").limit(4 * per_lang * max(1, counts.count())).collect()
+    found = drawn.select("text", "lang", "id").limit(4 * per_lang * max(1, languages)).collect()
     found = sorted(found, key=lambda r: (r[1], str(r[2]), r[0]))
     return [r[0] for r in found], [r[1] for r in found]
