@@ -1,6 +1,7 @@
 """Shared-folder tables: how the operators of this package cut lineage."""
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -36,6 +37,12 @@ def dropped(spark: SparkSession, path: str) -> None:
     fs.delete(where, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of steps that are done: it does so once neither Python nor the JVM knows their frames."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored_at(df: DataFrame, name: str, kept: bool = False) -> tuple[DataFrame, str]:
     """``stored``, and the path of the table, which outlives the ``scratch`` around it if ``kept``."""
     spark = df.sparkSession
@@ -43,7 +50,7 @@ def stored_at(df: DataFrame, name: str, kept: bool = False) -> tuple[DataFrame,
     df.write.parquet(path)
     if _scopes and not kept:
         _scopes[-1].append(path)
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files that the table replaces
+    released(spark)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import _repeats as R
 from ._bytes import NOT_SPACE, flat, parts, prefix, slices, word_hashes, words
-from ._store import dropped, file_system, shared_dir
+from ._store import dropped, file_system, released, shared_dir
 
 _U = np.uint64
 #: Windows that a task gathers before it packs them.
@@ -90,10 +90,6 @@ class FingerprintIndex:
             raise RuntimeError(f"another writer has made {name}")
         self.state = state
 
-    def _release(self) -> None:
-        """Lets Spark's cleaner drop the shuffle files of steps that are done."""
-        self.spark.sparkContext._jvm.System.gc()
-
     def _table(self, path: str, what: int) -> DataFrame:
         rows = self.spark.read.schema("place int, blob binary").parquet(f"{self.path}/{path}")
         return rows.select("place", F.lit(what).alias("what"), "blob")
@@ -127,7 +123,7 @@ class FingerprintIndex:
         known = self.state["batches"].get(batch)
         if known is None:
             self.compact()
-            self._release()
+            released(self.spark)
             owners = 64
             while owners * R.OWNER_BYTES < self.state["bytes"] + size:
                 owners *= 2
@@ -152,7 +148,7 @@ class FingerprintIndex:
         So a window is rewritten about as often as the number of batches has binary digits, and few runs are left to join with.
         """
         while len(runs := self.state["runs"]) > 1 and (all_runs or runs[-2]["batches"] <= 2 * runs[-1]["batches"]):
-            self._release()
+            released(self.spark)
             kept, merged = ([], runs) if all_runs else (runs[:-2], runs[-2:])
             owners, name = max(r["owners"] for r in merged), f"run-{uuid.uuid4().hex}"
             self.history(owners, merged).groupBy("place").applyInArrow(_merged, R.PACKED).select("place", "blob").write.parquet(f"{self.path}/{name}")
@@ -259,7 +255,7 @@ def dedup(docs: DataFrame, index: FingerprintIndex | None = None, *, id_col: str
     for k, (low, high) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
         mine = index.add(plan.between(low, high), plan.size // (len(cuts) + 1), f"{name}-{k}")
         found = mine if found is None else found.unionAll(mine)
-    index._release()
+    released(spark)
 
     def finish(table: pa.Table) -> pa.Table:
         here = R.Bin(table, plan)
