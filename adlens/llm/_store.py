@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -38,9 +39,14 @@ def dropped(spark: SparkSession, path: str) -> None:
 
 
 def released(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of steps that are done: it does so once neither Python nor the JVM knows their frames."""
+    """Let Spark's cleaner drop the shuffle files of steps that are done: it does so once neither Python nor the JVM knows their frames.
+
+    The gateway between the two lets go of its own references only after a first collection.
+    """
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for pause in (0.3, 0):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)
 
 
 def stored_at(df: DataFrame, name: str, kept: bool = False) -> tuple[DataFrame, str]:
