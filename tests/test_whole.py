@@ -96,3 +96,12 @@ def test_boosted_tests_the_last_feature(spark):
     out = S.boosted(rows, ["a", "b"], "v", folds=3, iterations=2)
     assert len(out) == 3 and (out.r2 > out.r2_less).all() and (out.importance_b > 0).all()
     assert out.t.iloc[0] > 0 and 0 <= out.p.iloc[0] < 0.05
+
+
+def test_p_values(spark):
+    """Upper five per cent of chi squared with 1 to 5 degrees, and of the normal distribution."""
+    x = [(3.841459, 1), (5.991465, 2), (7.814728, 3), (9.487729, 4), (11.070498, 5)]
+    rows = spark.createDataFrame(x, "x double, k int").select(F.round(S.chi2_p(F.col("x"), F.col("k")), 5).alias("p")).collect()
+    assert [r.p for r in rows] == [0.05] * 5
+    z = spark.createDataFrame([(1.959964,), (-1.959964,), (0.0,), (None,)], "z double").select(F.round(S.normal_p(F.col("z")), 5).alias("p")).collect()
+    assert [r.p for r in z] == [0.05, 0.05, 1.0, None]
