@@ -30,6 +30,8 @@ WINDOW, DIVISOR = 16, 512
 MOST_WORDS, MOST_TOKENS, MOST_CHUNK_BYTES = 500_000, 5_000_000, 16 << 20
 PART_BYTES = 1 << 20
 LINE = 40
+#: Stretches that must be tokenized beside each other as they are alone.
+PROBE = ("Some", "words", "of", "a", "text,", "42", "don't", "été")
 _SPLIT = re.compile(r"[ \n\r\t]+")
 _SPACE = frozenset(b" \n\r\t")
 
@@ -64,6 +66,9 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        whole, *parts = (self.tokenizer.encode(t, add_special_tokens=False).ids for t in (" ".join(PROBE), *PROBE))
+        if whole != [i for ids in parts for i in ids]:
+            raise ValueError("a tokenizer whose tokens cross white space can't be encoded in stretches")
         self.hits = self.misses = self.repairs = 0
         self._clear()
 
@@ -216,7 +221,8 @@ def encode(docs: DataFrame, tokenizer_json: str, *, id_col: str = "doc_id", text
     """One row per input row: id, ids array<int>, and with ``decoded`` the string that ``decode`` makes of them.
 
     A null or empty text has no ids; whole texts are read, however long. ``tokenizer_json`` is the content of a ``tokenizers``
-    file whose tokens don't cross white space.
+    file; one whose tokens cross white space is refused in the tasks. Rows that repeat an id or a text are encoded each for itself, an
+    empty table gives no rows, and columns besides the two are ignored.
     """
     bounded_batches(docs.sparkSession)
     spec = docs.sparkSession.sparkContext.broadcast(tokenizer_json)  # a file of fixed size

@@ -286,6 +286,15 @@ def test_bpe_is_exact(spark):
     assert bpe.encode(frame(spark, EMPTY), spec).count() == 0
 
 
+def test_bpe_refuses_tokens_across_white_space():
+    from tokenizers import models, pre_tokenizers
+
+    spec = Tokenizer(models.BPE({"a": 0, "b": 1, "Ġ": 2, "Ġb": 3}, [("Ġ", "b")]))
+    spec.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    with pytest.raises(ValueError):
+        bpe.ChunkEncoder(spec.to_str())
+
+
 def test_bpe_caches(monkeypatch):
     import pyarrow as pa
 
