@@ -27,7 +27,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         joined = large.join(small, "u")
         after = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         before = path
-        now, path = stored_at(after, "stars")
+        now, path = stored_at(after, "stars", release=False)
         dropped(edges.sparkSession, before)
         sums = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if sums == seen:

@@ -49,14 +49,18 @@ def released(spark: SparkSession) -> None:
         time.sleep(pause)
 
 
-def stored_at(df: DataFrame, name: str, kept: bool = False) -> tuple[DataFrame, str]:
-    """``stored``, and the path of the table, which outlives the ``scratch`` around it if ``kept``."""
+def stored_at(df: DataFrame, name: str, kept: bool = False, release: bool = True) -> tuple[DataFrame, str]:
+    """``stored``, and the path of the table, which outlives the ``scratch`` around it if ``kept``.
+
+    Without ``release``, shuffle files of done steps wait for the next table's collection.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if _scopes and not kept:
         _scopes[-1].append(path)
-    released(spark)
+    if release:
+        released(spark)
     return spark.read.schema(df.schema).parquet(path), path
 
 
