@@ -162,6 +162,22 @@ def point_in_box(text: Column, lat: tuple[float, float], lon: tuple[float, float
     return F.when(y.between(*lat) & x.between(*lon), F.struct(y.alias("lat"), x.alias("lon")))
 
 
+def place_of_label(label: Column, cities: list[str], city_of: dict[str, str], whole: str) -> Column:
+    """``place, ..., parent`` as struct(name, city, district, unresolved); no place, or ``whole`` alone, is the whole country.
+
+    The last part is a city of ``cities``, or a district whose city ``city_of`` knows, or else unresolved.
+    """
+    parts = F.filter(F.transform(F.split(F.coalesce(label, F.lit("")), ","), lambda x: F.btrim(x, F.lit(" \t\r\n"))), lambda x: x != "")
+    first, last = F.get(parts, F.lit(0)), F.try_element_at(parts, F.lit(-1))
+    several, one = F.size(parts) >= 2, (F.size(parts) == 1) & (first != whole)
+    is_city = F.coalesce(last.isin(cities), F.lit(False))
+    above = F.try_element_at(F.create_map(*(F.lit(x) for pair in city_of.items() for x in pair)), last) if city_of else F.lit(None).cast("string")
+    city = F.when((several | one) & is_city, last).when(several, above)
+    district = F.when(several & is_city, F.nullif(first, last)).when(several, last)
+    unresolved = F.when((several & above.isNull() | one) & ~is_city, last)
+    return F.struct(F.when(several | one, first).otherwise(whole).alias("name"), city.alias("city"), district.alias("district"), unresolved.alias("unresolved"))
+
+
 def drop_reason(problem: Column) -> Column:
     """``item 3: identity conflict: ...`` is ``identity conflict``."""
     return F.trim(F.element_at(F.split(F.regexp_replace(problem, r"^item \d+:\s*", ""), ":"), 1))

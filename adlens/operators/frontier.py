@@ -9,6 +9,7 @@ STATUSES = ("DISCOVERED", "UNROUTED", "QUEUED", "FETCHING", "FETCHED", "FAILED",
 SERVED = ("FETCHED", "FETCHING", "FAILED")
 TAKEN = ("FETCHED", "FETCHING", "QUEUED")
 ROLES = ("DETAIL", "LIST", "PAGINATION", "CATEGORY")
+REQUEST_STATUSES = ("PENDING", "FOUND", "NONE", "FAILED")
 RETRY_BASE_MINUTES, MOST_ATTEMPTS, CLAIM_MINUTES, LOOKUP_DAYS, LOOKUP_LIMIT = 10, 3, 15, 183, 2
 _PAD = "00000101000000"
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.params import Place, TrendQuery, pool_places, region_id
+from .quantiles import exact_quantiles
 
 STEP = {"week": "7 days", "month": "1 month", "quarter": "3 months"}
 
@@ -61,7 +62,7 @@ def _points(rows: DataFrame, query: TrendQuery, keys: Sequence[str]) -> DataFram
     newest = [F.desc("observed_at"), F.desc("document_id"), F.desc("position")]
     once = latest(rows, [*keys, "listing_id", "bucket"], newest)
     value = F.col("price").cast("double") / F.col("area") if query.metric == "median_price_per_sqm" else F.col("price").cast("double")
-    out = once.withColumn("v", value).groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("n"), F.percentile("v", F.array(F.lit(0.5), F.lit(0.25), F.lit(0.75))).alias("q"))
+    out = exact_quantiles(once.withColumn("v", value), "v", [*keys, "bucket"], (0.5, 0.25, 0.75))
     enough = F.col("n") >= query.min_samples
     return out.select(*keys, F.col("bucket").alias("period_start"), "n", *(F.when(enough, money(F.col("q")[i])).alias(name) for i, name in enumerate(("p50", "p25", "p75"))))
 

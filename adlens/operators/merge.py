@@ -35,6 +35,33 @@ def content_hash(drafts: DataFrame, column: str = "content_hash", ignore: Sequen
     return drafts.withColumn(column, F.sha2(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}), 256))
 
 
+def snapshot(drafts: DataFrame, column: str = "snapshot") -> DataFrame:
+    """The advert as this capture showed it, as JSON, never merged with others; and graph_version and template_key of its reading.
+
+    Decimals are texts and times in ISO form; nulls are kept. A map ``attributes`` gives ``raw`` (its entry ``_raw``, a JSON object; {}
+    without) and the entry ``_extraction``; without the map both columns are null.
+    """
+    kinds = dict(drafts.dtypes)
+    parts = []
+    for name in HASHED:
+        if name not in kinds or name == "attributes":
+            continue
+        value = F.col(name)
+        if kinds[name].startswith("decimal"):
+            value = value.cast("string")
+        elif kinds[name].startswith("timestamp"):
+            whole = F.date_format(name, "yyyy-MM-dd'T'HH:mm:ss")
+            value = F.when(F.date_trunc("second", name) == F.col(name), whole).otherwise(F.date_format(name, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+        parts.append(value.alias(name))
+    entry = lambda k: F.try_element_at("attributes", F.lit(k)) if kinds.get("attributes", "").startswith("map") else F.lit(None).cast("string")
+    raw = F.coalesce(F.from_json(entry("_raw"), "map<string,string>"), F.create_map().cast("map<string,string>"))
+    said = lambda k: F.get_json_object(entry("_extraction"), f"$.{k}")
+    return drafts.withColumns({
+        column: F.to_json(F.struct(*parts, raw.alias("raw")), {"ignoreNullFields": "false"}),
+        "graph_version": said("graph_version").try_cast("int"), "template_key": F.nullif(F.substring(said("template"), 1, 128), F.lit("")),
+    })
+
+
 def collapse(drafts: DataFrame, now: Column | None = None) -> DataFrame:
     """The latest sighting of each advert in a batch; at the same moment the later position wins. Null times are now."""
     at = F.coalesce("observed_at", now if now is not None else F.current_timestamp().cast("timestamp_ntz"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .market import money
+from .quantiles import average_ranks, exact_quantiles
 
 
 def with_group(rows: DataFrame, keys: Sequence[str], **aggregates: Column) -> DataFrame:
@@ -54,14 +55,6 @@ def flag_mixture(rows: DataFrame, value: str, keys: Sequence[str], *, least: int
     return rows
 
 
-def average_ranks(rows: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
-    """``rank`` within keys, ties sharing their mean. Distinct values are ranked, not rows, so ties cost nothing."""
-    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_t"))
-    before = F.sum("_t").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    ranked = counts.withColumn("rank", F.coalesce(before, F.lit(0)) + (F.col("_t") + 1) / 2)
-    return rows.join(ranked.select(*keys, value, "rank", F.col("_t").alias("ties")), [*keys, value])
-
-
 def mann_whitney(rows: DataFrame, value: str, group: str, a: str, b: str) -> DataFrame:
     """n_a, n_b, u (of a), delta (Cliff's), z and p by the normal approximation with ties."""
     both = rows.where(F.col(group).isin(a, b)).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).where("v is not null")
@@ -178,22 +171,26 @@ def verdict(p: Column, effect: Column) -> Column:
 
 
 def medians(rows: DataFrame, value: str, keys: Sequence[str], least: int = 1) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.count(value).alias("n"), money(F.median(value)).alias("median")).where(F.col("n") >= least)
+    return exact_quantiles(rows, value, keys, (0.5,)).select(*keys, "n", money(F.col("q")[0]).alias("median")).where(F.col("n") >= least)
+
+
+def _two_years(rows: DataFrame, value: str, key: str, year: Column, y0: int, y1: int) -> DataFrame:
+    """key, n0, n1, m0, m1: values of two years and their medians; null where a year has none."""
+    of = exact_quantiles(rows.withColumn("_y", year).where(F.col("_y").isin(y0, y1)), value, [key, "_y"], (0.5,))
+    side = lambda y, what: F.max(F.when(F.col("_y") == y, what))
+    return of.groupBy(key).agg(side(y0, F.col("n")).alias("n0"), side(y1, F.col("n")).alias("n1"), side(y0, F.col("q")[0]).alias("m0"), side(y1, F.col("q")[0]).alias("m1"))
 
 
 def growth(rows: DataFrame, value: str, key: str, year: Column, y0: int, y1: int, least: int = 20) -> DataFrame:
     """Medians of two years side by side, multiple and yearly growth, where both have ``least`` values."""
-    wide = rows.withColumn("_y", year).where(F.col("_y").isin(y0, y1)).groupBy(key).agg(
-        *(f for y in (y0, y1) for f in (F.count(F.when(F.col("_y") == y, F.col(value))).alias(f"n_{y}"), money(F.median(F.when(F.col("_y") == y, F.col(value)))).alias(f"m_{y}")))
-    )
+    wide = _two_years(rows, value, key, year, y0, y1).select(key, *(c for i, y in enumerate((y0, y1)) for c in (F.col(f"n{i}").alias(f"n_{y}"), money(F.col(f"m{i}")).alias(f"m_{y}"))))
     times = F.col(f"m_{y1}") / F.col(f"m_{y0}")
     return wide.where((F.col(f"n_{y0}") >= least) & (F.col(f"n_{y1}") >= least)).withColumns({"multiple": F.round(times, 6), "cagr": F.round(F.pow(times, F.lit(1 / (y1 - y0))) - 1, 6)})
 
 
 def movers(rows: DataFrame, value: str, key: str, year: Column, y0: int, y1: int, least: int = 40) -> DataFrame:
     """Change of each key's median from one year to another, where both have ``least`` values, the largest first."""
-    side = lambda y: F.when(F.col("_y") == y, F.col(value))
-    wide = rows.withColumn("_y", year).where(F.col("_y").isin(y0, y1)).groupBy(key).agg(F.count(side(y0)).alias("n0"), F.count(side(y1)).alias("n1"), F.median(side(y0)).alias("m0"), F.median(side(y1)).alias("m1"))
+    wide = _two_years(rows, value, key, year, y0, y1)
     return wide.where((F.col("n0") >= least) & (F.col("n1") >= least)).withColumn("change", F.col("m1") / F.col("m0") - 1).orderBy(F.desc("change"), key)
 
 

@@ -16,13 +16,22 @@ def sightings_stream(spark: SparkSession, path: str, schema: str, per_batch: int
 
 
 def fold(spark: SparkSession, stream: DataFrame, target: str, checkpoint: str):
-    """Start the fold with all files that are there, then stop. Versions of the history alternate between two folders."""
+    """Start the fold with all files that are there, then stop. Versions of the history alternate between two folders.
+
+    A new checkpoint counts batches from 0 again, which would overwrite a history: a target that has one is refused with it.
+    """
+
+    def there(path: str) -> bool:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+    if not there(f"{checkpoint}/offsets") and any(there(f"{target}/history-{i}") for i in (0, 1)):
+        raise ValueError(f"{target} has a history that checkpoint {checkpoint} doesn't know")
 
     def step(batch: DataFrame, batch_id: int) -> None:
         at = f"{target}/history-{batch_id % 2}"
-        fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/history-{(batch_id + 1) % 2}")
-        known = fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs) and batch_id > 0
-        rows = upsert(spark.read.parquet(f"{target}/history-{(batch_id + 1) % 2}"), batch) if known else history(batch)
+        before = f"{target}/history-{(batch_id + 1) % 2}"
+        rows = upsert(spark.read.parquet(before), batch) if batch_id > 0 and there(before) else history(batch)
         rows.write.mode("overwrite").parquet(at)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
