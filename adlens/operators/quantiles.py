@@ -11,9 +11,9 @@ BANDS = 64
 
 
 def band(value: Column) -> Column:
-    """Number of a value's band. It never falls as values grow, so bands can be ranked before the values in them."""
+    """Number of a value's band, never null. It never falls as values grow, so bands can be ranked before the values in them."""
     size = F.floor(F.least(F.log(F.abs(value)), F.lit(1000.0)) * BANDS).cast("int") + 50_000
-    return F.when(value > 0, size).when(value < 0, -size).otherwise(0)
+    return F.coalesce(F.when(value > 0, size).when(value < 0, -size), F.lit(0))
 
 
 def before_bands(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
