@@ -169,12 +169,17 @@ def nearest_captures(requests: DataFrame, captures: DataFrame, days: int = LOOKU
     return once.withColumn("rank", rank.cast("long")).where(F.col("rank") <= limit).select("request_id", "id", "gap_s", "rank")
 
 
-def resolve_requests(requests: DataFrame, found: DataFrame) -> DataFrame:
-    """State after a lookup: RESOLVED with a capture, else another attempt, MISSING at the third."""
+def resolve_requests(requests: DataFrame, found: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """State after a lookup: FOUND with a capture, else NONE. One that ``failed`` (request_id) tries again, FAILED at the third attempt."""
     hits = found.groupBy("request_id").agg(F.count(F.lit(1)).alias("captures"))
+    out = requests.join(hits, "request_id", "left")
+    broken = F.lit(False)
+    if failed is not None:
+        out = out.join(failed.select("request_id").distinct().withColumn("_failed", F.lit(True)), "request_id", "left")
+        broken = F.coalesce("_failed", F.lit(False))
     attempts = F.col("attempts") + 1
-    state = F.when(F.col("captures") > 0, "RESOLVED").when(attempts >= MOST_ATTEMPTS, "MISSING").otherwise("PENDING")
-    return requests.join(hits, "request_id", "left").withColumns({"captures": F.coalesce("captures", F.lit(0).cast("long")), "status": state, "attempts": attempts})
+    state = F.when(broken, F.when(attempts >= MOST_ATTEMPTS, "FAILED").otherwise("PENDING")).when(F.col("captures") > 0, "FOUND").otherwise("NONE")
+    return out.withColumns({"captures": F.coalesce("captures", F.lit(0).cast("long")), "status": state, "attempts": attempts}).drop("_failed")
 
 
 def explore(rows: DataFrame, per_year: int, seed: int) -> DataFrame:

@@ -161,12 +161,13 @@ def reopen_frontier(spark, d):
     return out.groupBy(F.when(F.col("status") == "SKIPPED", "FAILED").otherwise(F.col("status")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("resolve_requests", f"{_V}, {_EV}, c AS (SELECT url_key, count(*) AS captures FROM frontier WHERE id % 5 = 0 GROUP BY 1) SELECT CASE WHEN captures > 0 THEN 'RESOLVED' WHEN event_id % 4 + 1 >= 3 THEN 'MISSING' ELSE 'PENDING' END AS status, count(*) AS n FROM ev LEFT JOIN c USING (url_key) GROUP BY 1")
+@query("resolve_requests", f"{_V}, {_EV}, c AS (SELECT url_key, count(*) AS captures FROM frontier WHERE id % 5 = 0 GROUP BY 1) SELECT CASE WHEN event_id % 6 = 1 THEN CASE WHEN event_id % 4 + 1 >= 3 THEN 'FAILED' ELSE 'PENDING' END WHEN captures > 0 THEN 'FOUND' ELSE 'NONE' END AS status, count(*) AS n FROM ev LEFT JOIN c USING (url_key) GROUP BY 1")
 def resolve_requests(spark, d):
     ev = _links(spark, d)
     requests = ev.select(F.col("event_id").alias("request_id"), "url_key", (F.col("event_id") % 4).cast("int").alias("attempts"))
     found = requests.join(frontier(spark, d).where("id % 5 = 0").select("url_key"), "url_key").select("request_id")
-    return Q.resolve_requests(requests, found).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    failed = requests.where("request_id % 6 = 1").select("request_id")
+    return Q.resolve_requests(requests, found, failed).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("spread_sample", f"{_V}, r AS (SELECT id, substr(timestamp, 1, 4) AS year, row_number() OVER (PARTITION BY substr(timestamp, 1, 4) ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY substr(timestamp, 1, 4)) AS n FROM frontier) SELECT id FROM r WHERE n <= 13 OR list_contains(list_transform(range(13), lambda k: (k * n) // 13), i)")
