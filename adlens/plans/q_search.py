@@ -102,3 +102,11 @@ def documents_rotation(spark, d):
     order = S.rotation(None, "graph_version")
     top = _docs(spark, d).orderBy(*order).limit(100)
     return top.select(F.row_number().over(Window.orderBy(*order)).cast("long").alias("rank"), "id")
+
+
+@query("documents_rotation_parsed", f"WITH {_DOCS_SQL}, p AS (SELECT *, CASE WHEN id % 4 <> 0 THEN TIMESTAMP '2024-01-01' + to_days(CAST(id % 100 AS INTEGER)) END AS parsed_at FROM docs) SELECT id FROM p WHERE status = 'PARSED' ORDER BY parsed_at ASC NULLS FIRST, fetched_at, id LIMIT 100")
+def documents_rotation_parsed(spark, d):
+    k = F.col("id")
+    parsed = F.when(k % 4 != 0, F.timestamp_add("DAY", (k % 100).cast("int"), F.lit("2024-01-01").cast("timestamp_ntz")))
+    docs = S.select_documents(_docs(spark, d), statuses=["PARSED"]).withColumn("parsed_at", parsed)
+    return docs.orderBy(*S.rotation(docs, "parsed_at")).limit(100).select("id")
