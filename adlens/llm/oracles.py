@@ -57,16 +57,21 @@ def _shrunk(child: str, parent: str, key: str, up: str) -> str:
   {name} AS (SELECT *, al / (al + be) AS rate, greatest(0.0, al / (al + be) - 1.645 * sqrt(al * be / ((al + be) * (al + be) * (al + be + 1)))) AS lower FROM q_{key})"""
 
 
-def url_filter(rules) -> str:
+def url_filter(rules, suffixes) -> str:
     whens = " ".join(
         f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'" for _, h, p in sorted(rules, key=lambda r: len(r[1] + r[2]), reverse=True)
     )
     blocks = ", ".join(f"'{h}{p}'" for v, h, p in rules if v == "block")
-    levels = "array_to_string(list_slice(string_split(host, '.'), greatest(len(string_split(host, '.')) - 1, 1), len(string_split(host, '.'))), '.') AS domain, string_split(host, '.')[-1] AS suffix"
+    two = ", ".join(f"'{x}'" for x in suffixes)
+    last = lambda k: f"array_to_string(labels[-{k}:], '.')"
+    address = r"regexp_matches(bare, '^(\[.*\]|\d+(\.\d+){3})\z')"
+    levels = f"""CASE WHEN {address} THEN bare WHEN {last(2)} IN ({two}) THEN {last(3)} ELSE {last(2)} END AS domain,
+    CASE WHEN {address} THEN bare WHEN {last(2)} IN ({two}) THEN {last(2)} ELSE labels[-1] END AS suffix"""
+    bare = r"regexp_replace(regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':\d*\z', ''), '\.+\z', '')"
     return f"""
 WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{ascii_uppercase}', '{ascii_lowercase}') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-  p AS (SELECT *, CASE {whens} END AS rule FROM u),
-  host AS (SELECT host, {levels}, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (rule IN ({blocks})) AS DOUBLE) AS bad FROM p WHERE rule IS NOT NULL GROUP BY host),
+  p AS (SELECT *, CASE {whens} END AS rule, {bare} AS bare, string_split(bare, '.') AS labels FROM u),
+  host AS (SELECT host, {levels}, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (rule IN ({blocks})) AS DOUBLE) AS bad FROM p WHERE rule IS NOT NULL GROUP BY host, bare, labels),
   domain AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM host GROUP BY ALL),
   suffix AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, '' AS corpus FROM domain GROUP BY suffix),
   corpus AS (SELECT corpus, (sum(bad) + 1) / (sum(n) + 2) AS rate FROM suffix GROUP BY 1),{_shrunk("suffix", "corpus", "suffix", "corpus")},{_shrunk("domain", "s_suffix", "domain", "suffix")},{_shrunk("(SELECT host, domain, n, bad FROM host)", "s_domain", "host", "domain")},

@@ -127,7 +127,7 @@ def oracle_sql() -> dict[str, str]:
     """SQL can't express the tokenizer, the classifiers, or bounded edits and byte windows in reasonable time; tests cover those."""
     return {
         "op4_exact_dedup": oracles.EXACT,
-        "op5_url_filter": oracles.url_filter(URL_RULES),
+        "op5_url_filter": oracles.url_filter(URL_RULES, url_filter.SUFFIXES),
         "op6_decontam": oracles.CONTAMINATION,
         "op8_ngram_join": oracles.COMPONENTS,
         "op10_substring_dedup": oracles.SUBSTRING,

@@ -4,6 +4,9 @@ Pages that a rule decides are the labelled outcomes (block = 1). Their counts ar
 rate is a beta-binomial posterior under the corpus-wide prior, the registered domain's under its suffix's rate, the host's
 under its domain's. The strength of each prior comes from the spread of the rates below it by the method of moments.
 A page that no rule decides is blocked when the lower bound of its host's posterior is over ``threshold``.
+
+Pages are counted once into a stored table of hosts, from which all levels are made: counts and the sums that the spread needs go up,
+rates and strengths come down. Keys that more than one row in ``HOT`` has are broadcast (fewer than ``HOT`` exist), the others are shuffled.
 """
 from __future__ import annotations
 
@@ -12,9 +15,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._store import stored_at
+
 #: verdict, host, path
 Rule = tuple[str, str, str]
 
+#: Keys of more than one row in so many are broadcast.
+HOT = 10_000
+#: Suffixes of two labels under which domains are registered. All others are the last label.
+SUFFIXES = (
+    "ac.jp", "ac.nz", "ac.uk", "ac.za", "co.id", "co.il", "co.in", "co.jp", "co.ke", "co.kr", "co.nz", "co.th", "co.uk", "co.za",
+    "com.ar", "com.au", "com.br", "com.cn", "com.co", "com.eg", "com.hk", "com.mx", "com.my", "com.ng", "com.pk", "com.sa", "com.sg", "com.tr", "com.tw", "com.ua", "com.vn",
+    "edu.au", "edu.cn", "gov.au", "gov.br", "gov.cn", "gov.in", "gov.uk", "ltd.uk", "ne.jp", "net.au", "net.br", "net.cn", "nhs.uk",
+    "or.jp", "or.kr", "org.au", "org.br", "org.cn", "org.uk", "org.za", "sch.uk",
+)
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -37,76 +52,130 @@ def rule_column(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return out
 
 
-def _levels(host: Column) -> tuple[Column, Column]:
-    """Registered domain (last two labels) and suffix (last label) of a host."""
-    parts = F.split(host, r"\.")
-    return F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), 2), "."), F.element_at(parts, -1)
+def levels(host: Column, suffixes: Sequence[str] = SUFFIXES) -> tuple[Column, Column]:
+    """Registered domain and suffix of a host, without user part, port and trailing dots.
 
+    The suffix is the last two labels if ``suffixes`` has them, else the last; the domain has one label more. Addresses (IPv4, or in
+    brackets) are their own domain and suffix. An empty host has empty levels.
+    """
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(host, r"(?s)^.*@", ""), r":\d*\z", ""), r"\.+\z", "")
+    parts = F.split(bare, r"\.")
+    last = lambda k: F.array_join(F.slice(parts, F.greatest(F.size(parts) - (k - 1), F.lit(1)), k), ".")
+    address = bare.rlike(r"^(\[.*\]|\d+(\.\d+){3})\z")
+    two = last(2).isin(list(suffixes)) if suffixes else F.lit(False)
+    return F.when(address, bare).when(two, last(3)).otherwise(last(2)), F.when(address, bare).when(two, last(2)).otherwise(last(1))
 
-def _shrunk(child: DataFrame, parent: DataFrame, key: str, up: str) -> DataFrame:
-    """Posterior alpha and beta of each ``key`` from its own n, bad and its parent's rate."""
-    joined = child.join(parent.select(up, F.col("rate").alias("prior")), up)
-    spread = joined.groupBy(up).agg(
-        F.sum("n").alias("n_all"), F.count(F.lit(1)).alias("k"),
-        F.sum(F.col("n") * F.pow(F.col("bad") / F.col("n") - F.col("prior"), 2)).alias("ss"),
-    )
-    # Method of moments: between-group variance over binomial variance; bounded so that a prior is worth 1 to 1000 pages.
-    var = F.col("prior") * (1 - F.col("prior"))
-    between = F.col("ss") / F.col("n_all")
-    mean_n = F.col("n_all") / F.col("k")
-    strength = F.when(var <= 0, F.lit(1000.0)).otherwise(
-        F.least(F.lit(1000.0), F.greatest(F.lit(1.0), (var - between) / F.greatest(between - var / mean_n, F.lit(1e-9))))
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    return stored_at(df, name, release=False)[0]
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, *, weight: str, many: int, own: Sequence[str], name: str) -> DataFrame:
+    """``rows`` with column ``name``: a struct of the other columns of ``table``, which has one row per ``key``; null without a match.
+
+    ``weight`` is the number of rows that a key of ``table`` has. Keys with more than ``many`` are broadcast; a row that has found its
+    own there, or has no key, takes part in the second lookup under a salt from the columns ``own``, so that it is not sent to its key's task.
+    """
+    value = F.struct(*[c for c in table.columns if c != key])
+    hot = table.where(F.col(weight) > many).select(key, value.alias("_hot"))
+    cold = table.where(F.col(weight) <= many).select(key, F.lit(0).cast("long").alias("_salt"), value.alias("_cold"))
+    salt = F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(*own))
+    found = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).join(cold, [key, "_salt"], "left")
+    return found.withColumn(name, F.coalesce("_hot", "_cold")).drop("_hot", "_cold", "_salt")
+
+
+def _share(table: DataFrame, weight: str) -> int:
+    """One in ``HOT`` of the rows that ``weight`` counts."""
+    return int(table.agg(F.sum(weight)).first()[0] or 0) // HOT + 1
+
+
+def _strength(prior: Column, n: Column, bad: Column, k: Column, squares: Column) -> Column:
+    """Pages that a prior is worth, 1 to 1000, by the method of moments: between-group variance over binomial variance.
+
+    ``squares`` sums bad * bad / n over the ``k`` groups below, so the spread about the prior needs no second pass over them.
+    """
+    var = prior * (1 - prior)
+    between = F.greatest(F.lit(0.0), squares - 2 * prior * bad + prior * prior * n) / n
+    bounded = F.least(F.lit(1000.0), F.greatest(F.lit(1.0), (var - between) / F.greatest(between - var * k / n, F.lit(1e-9))))
+    return F.when(var <= 0, F.lit(1000.0)).otherwise(bounded)
+
+
+def _posterior(rows: DataFrame, prior: Column, strength: Column, z: float) -> DataFrame:
+    """``rows`` with alpha, beta, rate and lower, from n and bad under a prior."""
+    out = rows.withColumn("alpha", F.col("bad") + strength * prior).withColumn("beta", F.col("n") - F.col("bad") + strength * (1 - prior))
+    total = F.col("alpha") + F.col("beta")
+    rate = F.col("alpha") / total
+    return out.withColumns({"rate": rate, "lower": F.greatest(F.lit(0.0), rate - z * F.sqrt(F.col("alpha") * F.col("beta") / (total * total * (total + 1))))})
+
+
+def _up(rows: DataFrame, *keys: str) -> DataFrame:
+    """Counts of a level from those of the level below."""
+    square = F.col("bad") * F.col("bad") / F.col("n")
+    return rows.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("k"), F.sum(square).alias("squares"))
+
+
+def _reputation(hosts: DataFrame, z: float) -> dict[str, DataFrame]:
+    """``host_reputation`` from a stored table of host, domain, suffix, n and bad; n is positive."""
+    domains = _kept(_up(hosts, "domain", "suffix"), "url-domains")
+    suffixes = _kept(_up(domains, "suffix"), "url-suffixes")
+    n, bad, k, squares = _up(suffixes).first()
+    prior = F.lit(((bad or 0) + 1) / ((n or 0) + 2))
+    suffixes = _posterior(suffixes, prior, _strength(prior, F.lit(n or 1), F.lit(bad or 0), F.lit(k), F.lit(squares or 0.0)), z)
+    strength = _strength(F.col("rate"), F.col("n"), F.col("bad"), F.col("k"), F.col("squares")).alias("strength")
+    above = lambda rows, key: rows.select(key, F.col("rate").alias("prior"), strength, "k")
+    known = looked_up(domains, above(suffixes, "suffix"), "suffix", weight="k", many=_share(suffixes, "k"), own=["domain"], name="up")
+    domains = _kept(_posterior(known, F.col("up.prior"), F.col("up.strength"), z).drop("up"), "url-domain-rates")
+    known = looked_up(hosts, above(domains, "domain"), "domain", weight="k", many=_share(domains, "k"), own=["host"], name="up")
+    hosts = _posterior(known, F.col("up.prior"), F.col("up.strength"), z).drop("up")
+    return {"suffix": suffixes, "domain": domains, "host": hosts}
+
+
+def _counted(rows: DataFrame, suffixes: Sequence[str]) -> DataFrame:
+    """Stored table of hosts: host, domain, suffix, n and bad of the rows with an outcome, number of open rows without."""
+    one = rows.groupBy("host").agg(
+        F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad"), F.count_if(F.col("bad").isNull()).alias("open")
     )
-    out = joined.join(spread, up).withColumn("strength", strength)
-    return out.select(
-        key, up, "n", "bad",
-        (F.col("bad") + F.col("strength") * F.col("prior")).alias("alpha"),
-        (F.col("n") - F.col("bad") + F.col("strength") * (1 - F.col("prior"))).alias("beta"),
-    ).withColumn("rate", F.col("alpha") / (F.col("alpha") + F.col("beta")))
+    domain, suffix = levels(F.col("host"), suffixes)
+    return _kept(one.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "bad", "open"), "url-hosts")
 
 
-def host_reputation(labelled: DataFrame, *, z: float = 1.645) -> dict[str, DataFrame]:
+def host_reputation(labelled: DataFrame, *, z: float = 1.645, suffixes: Sequence[str] = SUFFIXES) -> dict[str, DataFrame]:
     """Tables ``suffix``, ``domain``, ``host`` with n, bad, alpha, beta, rate, lower.
 
     ``labelled`` has host and bad (0 or 1); rows with a null are ignored. ``lower`` is the rate less ``z`` posterior
     standard deviations. An empty input gives empty tables.
     """
-    one = labelled.where("host is not null and bad is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
-    domain, suffix = _levels(F.col("host"))
-    host = one.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "bad")
-    by_domain = host.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    by_suffix = by_domain.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("corpus", F.lit(""))
-    whole = by_suffix.groupBy("corpus").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("rate", (F.col("bad") + 1) / (F.col("n") + 2))
-    suffixes = _shrunk(by_suffix, whole, "suffix", "corpus")
-    domains = _shrunk(by_domain, suffixes, "domain", "suffix")
-    hosts = _shrunk(host.select("host", "domain", "n", "bad"), domains, "host", "domain")
-    total = F.col("alpha") + F.col("beta")
-    lower = F.greatest(F.lit(0.0), F.col("rate") - z * F.sqrt(F.col("alpha") * F.col("beta") / (total * total * (total + 1))))
-    return {"suffix": suffixes.withColumn("lower", lower), "domain": domains.withColumn("lower", lower), "host": hosts.withColumn("lower", lower)}
+    return _reputation(_counted(labelled.select("host", "bad").where("host is not null and bad is not null"), suffixes), z)
 
 
-def filter_urls(pages: DataFrame, rules: Sequence[Rule], *, id_col: str = "page_id", url_col: str = "url", threshold: float = 0.5, z: float = 1.645) -> DataFrame:
+def filter_urls(
+    pages: DataFrame, rules: Sequence[Rule], *, id_col: str = "page_id", url_col: str = "url", threshold: float = 0.5, z: float = 1.645, suffixes: Sequence[str] = SUFFIXES
+) -> DataFrame:
     """One row per input row: id, host, path, rule, verdict, reputation.
 
     ``rule`` decides where one fits. Otherwise ``reputation``, the lower posterior bound of the most specific level with
     outcomes (host, registered domain, suffix), blocks when over ``threshold``; with no outcomes at any level it is 0 and
-    the page is allowed. Null or malformed urls have empty host and path, no rule, and are allowed. Repeated rows count as
-    often as they occur.
+    the page is allowed, as it is 0 for pages that a rule decides. Null or malformed urls have empty host and path, no rule, and are allowed. Repeated rows count as
+    often as they occur. An empty table gives no rows; other columns are ignored whatever their names.
     """
     url = F.col(url_col)
     base = pages.select(F.col(id_col).alias("id"), url_host(url).alias("host"), url_path(url).alias("path"))
     base = base.withColumn("rule", rule_column(F.col("host"), F.col("path"), rules))
     blocks = [h + p for v, h, p in rules if v == "block"]
     bad = F.when(F.col("rule").isNotNull(), F.col("rule").isin(blocks).cast("long") if blocks else F.lit(0).cast("long"))
-    rep = host_reputation(base.select("host", bad.alias("bad")), z=z)
-    # Verdicts are needed for distinct hosts only: the hierarchy is joined to those, then once to the pages.
-    hosts = base.where("rule is null and host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    domain, suffix = _levels(F.col("host"))
-    hosts = hosts.select("host", domain.alias("domain"), suffix.alias("suffix"))
-    for key in ("host", "domain", "suffix"):
-        hosts = hosts.join(rep[key].select(key, F.col("lower").alias(f"{key}_lower")), key, "left")
-    hosts = hosts.select("host", F.coalesce("host_lower", "domain_lower", "suffix_lower").alias("lower"))
-    reputation = F.coalesce(F.col("lower"), F.lit(0.0))
+    hosts = _counted(base.where("host <> ''").select("host", bad.alias("bad")), suffixes)
+    rep = _reputation(hosts.where("n > 0"), z)
+    # Hosts with an outcome have their own bound; the others look for their domain's, then their suffix's.
+    small = others = hosts.where("n = 0").select("host", "domain", "suffix", "open")
+    for key in ("domain", "suffix"):
+        table = _kept(rep[key].select(key, "lower").join(others.groupBy(key).agg(F.count(F.lit(1)).alias("w")), key), f"url-{key}-bounds")
+        small = looked_up(small, table, key, weight="w", many=_share(table, "w"), own=["host"], name=f"_{key}")
+    lower = F.coalesce("_domain.lower", "_suffix.lower", F.lit(0.0)).alias("lower")
+    bounds = _kept(rep["host"].where("open > 0").select("host", "lower", "open").unionAll(small.select("host", lower, "open")), "url-bounds")
+    keyed = base.withColumn("_host", F.when(F.col("rule").isNull() & (F.col("host") != ""), F.col("host")))
+    bounds = bounds.withColumnRenamed("host", "_host")
+    found = looked_up(keyed, bounds, "_host", weight="open", many=_share(bounds, "open"), own=["id", "path"], name="_bound")
+    reputation = F.coalesce("_bound.lower", F.lit(0.0))
     rule_verdict = F.when(F.col("rule").isin(blocks), "block").otherwise("allow") if blocks else F.lit("allow")
     verdict = F.when(F.col("rule").isNotNull(), rule_verdict).when(reputation > threshold, "block").otherwise("allow")
-    return base.join(hosts, "host", "left").select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), reputation.alias("reputation"))
+    return found.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), reputation.alias("reputation"))

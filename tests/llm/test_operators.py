@@ -398,3 +398,35 @@ def test_url_reputation(spark):
     # The shared prior moves with outcomes: few bad pages at a host of a clean domain are not enough.
     few = url_filter.host_reputation(spark.createDataFrame([("h.a.com", 1)] + [("g.a.com", 0)] * 50, "host string, bad int"))["host"]
     assert {r.host: r.lower > 0.5 for r in few.collect()} == {"h.a.com": False, "g.a.com": False}
+
+
+def test_url_levels(spark):
+    """Suffixes of two labels, ports, user parts and addresses; and no broadcast of hot hosts changes a verdict."""
+    want = {
+        "shop.co.uk": ("shop.co.uk", "co.uk"), "a.shop.co.uk": ("shop.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.a.net:8080": ("a.net", "net"), "u:p@a.net": ("a.net", "net"),
+        "1.2.3.4": ("1.2.3.4", "1.2.3.4"), "1.2.3.4:80": ("1.2.3.4", "1.2.3.4"), "[::1]:80": ("[::1]", "[::1]"), "a.com.": ("a.com", "com"), "localhost": ("localhost", "localhost"), "": ("", ""),
+    }
+    df = spark.createDataFrame([(h,) for h in want], "host string")
+    assert {r[0]: (r[1], r[2]) for r in df.select("host", *url_filter.levels(F.col("host"))).collect()} == want
+
+
+@pytest.mark.parametrize("hot", [1, 3, 10_000])
+def test_url_filter_matches_sql(spark, tmp_path, monkeypatch, hot):
+    """Every level decides some page; the same verdicts whichever keys are broadcast."""
+    import duckdb
+
+    from adlens.llm import oracles
+
+    monkeypatch.setattr(url_filter, "HOT", hot)
+    rng = random.Random(4)
+    hosts = ["a.x.net", "b.x.net", "y.net", "c.y.net", "shop.co.uk", "1.2.3.4", "a.com", "b.a.com", "example.com", "www.example.com", "q.example.com", "z.org", "h.net:80", "", "W.X.NET"]
+    rows = [(i, f"http://{rng.choice(hosts)}{rng.choice(['/es/1', '/fr/2', '/en/3', '/x', ''])}" if rng.random() < 0.9 else rng.choice([None, "", "x"])) for i in range(600)]
+    rows += [(700 + i, f"http://m{i % 7}.x.net/es/") for i in range(80)] + [(None, "http://a.x.net/p")]
+    path = str(tmp_path / "pages.parquet")
+    spark.createDataFrame(rows, "page_id long, url string").coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    got = url_filter.filter_urls(spark.read.parquet(path), URL_RULES)
+    wanted = con.sql(oracles.url_filter(URL_RULES, url_filter.SUFFIXES)).fetchall()
+    assert sorted(map(tuple, got.select("page_id", "host", "path", "rule", "verdict").collect()), key=str) == sorted(wanted, key=str)
+    assert got.where("verdict = 'block' and rule is null").count() > 0
