@@ -2,13 +2,15 @@
 
 Two lines within ``edits`` edits agree in at least one of ``edits`` + 1 segments of the shorter one. Distinct lines are indexed by (length,
 segment number, segment); each line probes the lengths that it may match with the substrings that can align with each segment
-(both the left and the right side must be able to spend their edits). A match is verified by the banded edit distance.
+(both the left and the right side must be able to spend their edits). A match is verified by the banded bit-parallel edit distance.
 
 Lines are cut as UTF-32, where a character's place is known without reading what is before it. An edit changes the counts of two
 characters at most by one, so lines whose counts in ``CLASSES`` classes of characters differ by more than twice the edits can't match:
 keys that more than ``most`` lines share pair only those that pass this test.
 
-Spark's ``levenshtein`` with a threshold fills a band of the distance table; it has no bit-parallel form.
+The edit distance keeps the vertical differences of one column of the distance table, 2 * ``edits`` + 1 rows about the diagonal, as the bits
+of two integers, and follows the diagonal that ends at both lines' ends. Values never fall along a diagonal, so the first and the
+last ``ENDS`` characters are tried before whole lines.
 """
 from __future__ import annotations
 
@@ -16,9 +18,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._store import stored
+from ._store import stored, stored_at
 
 CLASSES = 16
+#: Characters at either end that are tried before whole lines.
+ENDS = 32
 #: Ids up to this many are broadcast to find their lines; beyond it lines and ids are shuffled.
 MOST_BROADCAST = 400_000
 
@@ -67,6 +71,51 @@ def _apart(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
 
 
+def _spent(x: Column, y: Column, extra: Column, edits: int) -> Column:
+    """Value at the last column of ``y`` of the diagonal that starts ``extra`` rows down; exact up to ``edits``.
+
+    ``x`` and ``y`` are arrays of characters, ``x`` the longer by ``extra`` or, for the ends of lines, any that covers the band. Bit ``d`` of a
+    column ``j`` (from 0) is character ``j`` - ``edits`` + ``d`` of ``x``.
+    """
+    width = 2 * edits + 1
+    full = F.lit((1 << width) - 1)
+
+    def matches(c: Column, j: Column) -> Column:
+        bits = [F.when(F.get(x, j + (d - edits)) == c, 1 << d).otherwise(0) for d in range(width)]
+        return sum(bits[1:], bits[0])
+
+    def column(at: Column, match: Column) -> Column:
+        rises, falls = at["rises"], at["falls"]
+        same = (match.bitwiseAND(rises) + rises).bitwiseXOR(rises).bitwiseOR(match).bitwiseOR(falls)  # equal to the diagonal neighbour
+        right = falls.bitwiseOR(F.bitwise_not(same.bitwiseOR(rises)))
+        below = F.shiftright(same.bitwiseAND(full), 1)  # the band goes down by a row
+        return F.struct(
+            same.bitwiseAND(rises).bitwiseOR(F.bitwise_not(below.bitwiseOR(right))).bitwiseAND(full).alias("rises"), below.bitwiseAND(right).alias("falls"),
+            (at["spent"] + 1 - F.getbit(same, extra + edits)).cast("int").alias("spent"),
+        )
+
+    start = F.struct(F.lit((1 << width) - (1 << edits)).alias("rises"), F.lit(0).alias("falls"), extra.alias("spent"))
+    return F.aggregate(F.transform(y, matches), start, column, lambda at: at["spent"])
+
+
+def within(pairs: DataFrame, edits: int) -> DataFrame:
+    """(a, b, near boolean): whether lines a_s and b_s, neither empty, are within ``edits`` edits.
+
+    Store the result before filtering by ``near``: a filter would be pushed below the arrays, which were then cut anew for every character.
+    """
+    if not 0 <= edits <= 15:
+        raise ValueError("edits must be from 0 to 15")
+    swap = F.char_length("a_s") < F.char_length("b_s")
+    chars = pairs.select(
+        "a", "b", F.split(F.when(swap, F.col("b_s")).otherwise(F.col("a_s")), "").alias("x"), F.split(F.when(swap, F.col("a_s")).otherwise(F.col("b_s")), "").alias("y")
+    )
+    tail = lambda c, k: F.reverse(F.slice(c, F.greatest(F.size(c) - (k - 1), F.lit(1)), k))
+    ends = chars.select("*", (F.size("x") - F.size("y")).alias("extra"), tail("x", ENDS + 2 * edits).alias("x_end"), tail("y", ENDS).alias("y_end"), F.slice("y", 1, ENDS).alias("y_start"))
+    spent = lambda x, y: _spent(F.col(x), F.col(y), F.col("extra"), edits)
+    far = (F.col("extra") > edits) | (spent("x", "y_start") > edits) | (spent("x_end", "y_end") > edits)
+    return ends.select("a", "b", F.when(far, False).otherwise(spent("x", "y") <= edits).alias("near"))
+
+
 def _with_lines(ids: DataFrame, name: str, lines: DataFrame, few: bool) -> DataFrame:
     """``ids`` with the text of the line that column ``name`` has, as ``name``_s."""
     text = lines.select(F.col("id").alias(name), F.col("s").alias(f"{name}_s"))
@@ -99,7 +148,8 @@ def line_classes(lines: DataFrame, *, edits: int, min_chars: int, most: int) ->
     pairs = candidates(whole, edits, most=most)
     unique = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
     few = 2 * unique.count() <= MOST_BROADCAST
-    near = _with_lines(_with_lines(unique, "a", whole, few), "b", whole, few).where(F.levenshtein("a_s", "b_s", edits) >= 0)
+    judged = within(_with_lines(_with_lines(unique, "a", whole, few), "b", whole, few), edits)
+    near = stored_at(judged, "line-verdicts", release=False)[0].where("near")
     return components(near.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("node", "id")
 
 

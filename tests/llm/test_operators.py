@@ -400,6 +400,23 @@ def test_url_reputation(spark):
     assert {r.host: r.lower > 0.5 for r in few.collect()} == {"h.a.com": False, "g.a.com": False}
 
 
+@pytest.mark.parametrize("edits", [0, 1, 2, 5])
+def test_bit_parallel_distance(spark, edits):
+    """Against Spark's edit distance: lines shorter and longer than the tried ends, characters of one to four bytes."""
+    rng, pairs = random.Random(edits), []
+    for i in range(1500):
+        a = [rng.choice("abé漢😀") for _ in range(rng.randrange(1, 20 if i % 2 else 150))]
+        b = a[:]
+        for _ in range(rng.randrange(0, edits + 3)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = rng.choice(["", "a", "漢", "b😀"])
+        pairs.append((i, i, "".join(a), "".join(b) or "x"))
+    df = spark.createDataFrame(pairs, "a long, b long, a_s string, b_s string")
+    got = {r.a: r.near for r in line_dedup.within(df, edits).collect()}
+    want = {r.a: r.near for r in df.select("a", (F.levenshtein("a_s", "b_s") <= edits).alias("near")).collect()}
+    assert got == want and set(want.values()) == {True, False}
+
+
 def test_url_levels(spark):
     """Suffixes of two labels, ports, user parts and addresses; and no broadcast of hot hosts changes a verdict."""
     want = {
