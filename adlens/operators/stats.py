@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import lru_cache
-from math import atan, cos, exp, log, pi, sin, sqrt
+from math import atan, cos, erfc, exp, log, pi, sin, sqrt
 
 import numpy as np
 import pandas as pd
@@ -374,7 +374,7 @@ def ols(rows: DataFrame, x: Sequence[str], y: str, *, cluster: str | None = None
     cov = scale * inv @ meat @ inv
     se = np.sqrt(np.maximum(np.diag(cov), 0))
     z = np.divide(beta, se, out=np.full(k, np.nan), where=se > 0)
-    out = pd.DataFrame({"term": ["intercept", *x], "beta": beta, "se": se, "z": z, "p": [normal_p(v) for v in z]})
+    out = pd.DataFrame({"term": ["intercept", *x], "beta": beta, "se": se, "z": z, "p": [erfc(abs(v) / sqrt(2)) for v in z]})
     out.attrs |= {"cov": cov, "n": n}
     return out
 

@@ -105,3 +105,10 @@ def test_p_values(spark):
     assert [r.p for r in rows] == [0.05] * 5
     z = spark.createDataFrame([(1.959964,), (-1.959964,), (0.0,), (None,)], "z double").select(F.round(S.normal_p(F.col("z")), 5).alias("p")).collect()
     assert [r.p for r in z] == [0.05, 0.05, 1.0, None]
+
+
+def test_ols_has_p_values(spark):
+    rows = spark.createDataFrame([(float(i % 7), float(2 * (i % 7) + (i * 37 % 11) / 10)) for i in range(60)], "x double, y double")
+    fit = S.ols(rows, ["x"], "y")
+    z = fit.z.to_numpy()
+    assert fit.p.tolist() == pytest.approx([math.erfc(abs(v) / math.sqrt(2)) for v in z]) and fit.p[1] < 1e-6
