@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, exact_dedup, langid, line_dedup, ngram_join, oracles, quality, substring_dedup, suffix_dedup, url_filter
+from . import bpe, decontam, exact_dedup, langid, line_dedup, ngram_join, oracles, quality, simhash, substring_dedup, suffix_dedup, url_filter
 
 #: Fixed rules: verdict, host, path.
 URL_RULES = (
@@ -105,6 +105,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(_table(spark, sf_dir, "documents"), radius=4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
@@ -119,6 +123,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_join": op8_ngram_join,
         "op9_quality": op9_quality,
         "op10_substring_dedup": op10_substring_dedup,
+        "op11_simhash": op11_simhash,
         "pipeline": corpus_pipeline.run,
     }
 
