@@ -47,6 +47,22 @@ WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOW}, '{_SPACED}') AS w
 SELECT w.doc_id, CAST(coalesce(len(gs), 0) AS BIGINT) AS n_shingles, coalesce(root, w.doc_id) AS component_id FROM w LEFT JOIN g USING (doc_id) LEFT JOIN c ON c.node = w.doc_id"""
 
 
+COLLOCATIONS = f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOW}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+  w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
+  t AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY 1),
+  s AS (SELECT lang, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: ws[i:i + m - 1])) AS g FROM w, range(1, 6) r(m) WHERE len(ws) >= m),
+  f AS (SELECT lang, g, count(*) AS f FROM s GROUP BY ALL HAVING count(*) >= 100),
+  c AS (SELECT lang, g, f AS a FROM f WHERE len(g) > 1),
+  k AS (SELECT c.lang, c.g, c.a, cut, l.f AS l, r.f AS r, t.n, 1000::HUGEINT * c.a * t.n // (l.f::HUGEINT * r.f) AS score
+    FROM c JOIN t USING (lang), range(1, 5) x(cut), f l, f r WHERE cut < len(c.g) AND l.lang = c.lang AND l.g = c.g[:cut] AND r.lang = c.lang AND r.g = c.g[cut + 1:]),
+  b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+  q AS (SELECT lang, g[x:y] AS g, max(a) AS longer FROM c, range(1, 6) u(x), range(1, 6) v(y) WHERE x < y AND y <= len(g) AND y - x + 1 < len(g) GROUP BY ALL),
+  z AS (SELECT b.* FROM b LEFT JOIN q USING (lang, g) WHERE longer IS NULL OR 100 * longer < 100 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(array_to_string(g, ' '))) AS rank, array_to_string(g, ' ') AS phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM z QUALIFY rank <= 2000"""
+
+
 def _shrunk(child: str, parent: str, key: str, up: str) -> str:
     name = f"s_{key}"
     return f"""

@@ -133,16 +133,16 @@ def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             root[:] = up
 
 
-def compare(left: np.ndarray, right: np.ndarray | None, radius: int, root: np.ndarray) -> None:
+def compare(left: np.ndarray, right: np.ndarray | None, radius: int, root: np.ndarray, inner: int = INNER) -> None:
     """Merge in ``root`` (left's nodes, then right's) what is within ``radius``; without ``right``, within left itself."""
     other = left if right is None else right
     shift = 0 if right is None else len(left)
-    la, lb = np.arange(0, len(left), INNER), np.arange(0, len(other), INNER)
+    la, lb = np.arange(0, len(left), inner), np.arange(0, len(other), inner)
     near = _gap(_boxes(left, la), _boxes(other, lb)) <= radius
     if right is None:
         near = np.triu(near)
     for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
-        x, y = slice(la[i], la[i] + INNER), slice(lb[j], lb[j] + INNER)
+        x, y = slice(la[i], la[i] + inner), slice(lb[j], lb[j] + inner)
         rx, ry = root[: len(left)][x], root[shift:][y]
         if rx[0] == ry[0] and (rx == rx[0]).all() and (ry == ry[0]).all():
             continue  # all of them hang together already
@@ -154,7 +154,7 @@ def compare(left: np.ndarray, right: np.ndarray | None, radius: int, root: np.nd
             _join(root, a + la[i], b + lb[j] + shift)
 
 
-def _tiles(nodes: DataFrame, ranges: int, most: int, radius: int) -> DataFrame:
+def _tiles(nodes: DataFrame, ranges: int, most: int, radius: int, inner: int) -> DataFrame:
     """Sorted tiles: id, blob of fingerprints, blob of the first node each hangs together with inside the tile, and bounds of each part's counts."""
     order = [_count_column(F.col("fp"), a, b).alias(f"c{i}") for i, (a, b) in enumerate(_PARTS)]
     keys = [*(f"c{i}" for i in range(len(_PARTS))), "fp"]
@@ -167,7 +167,7 @@ def _tiles(nodes: DataFrame, ranges: int, most: int, radius: int) -> DataFrame:
 
         def packed(fp):
             root = np.arange(len(fp), dtype=np.int32)
-            compare(fp, None, radius, root)
+            compare(fp, None, radius, root, inner)
             box = _boxes(fp, np.zeros(1, np.int64))
             row = [(part << 32) + k, fp.tobytes(), root.tobytes(), int(box[0][0][0, 0]), int(box[0][1][0, 0]), [int(v) for low, high in box for v in (*low[0], *high[0])]]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.int32())), strict=True)], ["tile", "fps", "roots", "low", "high", "box"])
@@ -206,11 +206,11 @@ def _tile_gap(a: Column, b: Column) -> Column:
     return F.greatest(*levels)
 
 
-def links(nodes: DataFrame, *, radius: int) -> DataFrame:
+def links(nodes: DataFrame, *, radius: int, inner: int = INNER) -> DataFrame:
     """Links (src, dst) that span the sets of fingerprints ``fp`` (distinct) within ``radius`` bits of each other."""
     n = nodes.count()
     tile = min(MOST_TILE, max(LEAST_TILE, -(-n // TILES)))
-    tiles, path = stored_at(_tiles(nodes, max(1, -(-n // tile)), 2 * tile, radius), "tiles")
+    tiles, path = stored_at(_tiles(nodes, max(1, -(-n // tile)), 2 * tile, radius, inner), "tiles")
     # Tiles meet at each population count that the one has and the other has within the radius; a pair is kept at the least of these.
     seen = tiles.select("tile", "box", F.explode(F.sequence("low", "high")).alias("c"))
     wide = tiles.select(F.col("tile").alias("other"), F.col("box").alias("far"), F.explode(F.sequence(F.col("low") - radius, F.col("high") + radius)).alias("c"))
@@ -232,7 +232,7 @@ def links(nodes: DataFrame, *, radius: int) -> DataFrame:
                 a, ra, b, rb = (np.frombuffer(batch.column(c)[row].as_buffer(), t) for c, t in enumerate((_U, np.int32, _U, np.int32)))
                 before = np.concatenate([ra, rb + len(a)]).astype(np.int32)
                 root = before.copy()
-                compare(a, b, radius, root)
+                compare(a, b, radius, root, inner)
                 yield spans(np.concatenate([a, b]), before, root)
 
     def inside(batches):

@@ -70,10 +70,8 @@ def test_edges(spark):
 @pytest.mark.parametrize("parts", [(1, 64), (4, 30)])
 def test_links_of_chains_and_groups(spark, monkeypatch, parts):
     """Planted groups and chains of fingerprints over many small tiles hang together as by all pairs."""
-    inner, tiles = 16, parts[1]
-    monkeypatch.setattr(simhash, "INNER", inner)
     monkeypatch.setattr(simhash, "LEAST_TILE", 48)
-    monkeypatch.setattr(simhash, "TILES", tiles)
+    monkeypatch.setattr(simhash, "TILES", parts[1])
     rng = random.Random(parts[0])
     fps = {rng.getrandbits(64) for _ in range(300)} | {0, 2**64 - 1}
     for _ in range(12):
@@ -84,7 +82,7 @@ def test_links_of_chains_and_groups(spark, monkeypatch, parts):
                 at ^= 1 << b
     fps = sorted(fps)
     signed = np.array(fps, np.uint64).view(np.int64).tolist()
-    edges = simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), radius=4).collect()
+    edges = simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), radius=4, inner=16).collect()
     assert len(edges) < 40 * len(fps)
     want = plain_components(list(enumerate(fps)), 4)
     root = {f: f for f in signed}
