@@ -63,6 +63,51 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, e
 FROM z QUALIFY rank <= 2000"""
 
 
+def conversations() -> str:
+    """A recursion from each conversation's last row to its first carries, for each state, the least of cost, audit and repaired text as one string.
+
+    Costs have ten digits; the audit ends at a character 1. Null stands for no way. crc32 is worked out byte by byte.
+    """
+
+    def after(x: str, cost: str, label: str, piece: str = "''") -> str:
+        return f"lpad(CAST(CAST({x}[:10] AS BIGINT) + {cost} AS VARCHAR), 10, '0') || '{label}' || {x}[11:strpos({x}, chr(1))] || {piece} || {x}[strpos({x}, chr(1)) + 1:]"
+
+    def row(state: str) -> str:
+        to = "xa" if state == "xu" else "xu"
+        role = "assistant" if state == "xu" else "user"
+        keep = {"x0": {"s": "xs", "u": "xu"}, "xs": {"u": "xu"}, "xu": {"a": "xa"}, "xa": {"u": "xu"}}[state]
+        kept = " ".join(f"WHEN '{c}' THEN {after(x, 'extra', 'K', 'chr(10) || role || chr(58) || text')}" for c, x in keep.items())
+        free = f"CASE WHEN NOT must THEN least({after(to, '3 + extra', 'R', f"chr(10) || '{role}:' || text")}, CASE initial {kept} END) END"
+        return f"least({after(state, '4', 'D')}, {free})"
+
+    def insert(x: str, role: str) -> str:
+        return after(x, "3", "I", f"chr(10) || '{role}:'")
+
+    crc = "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(key, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, b: xor(h >> 8, tab[(xor(h, b) & 255) + 1])), 4294967295) % 20"
+    return rf"""
+WITH RECURSIVE tab AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+  base AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+  marked AS (SELECT *, {crc} AS k FROM base, tab),
+  damaged AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM marked, range(2) copies(i) WHERE k <> 0 AND (i = 0 OR k = 3)),
+  ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p FROM damaged),
+  placed AS (SELECT *, substr(role, 1, 1) AS initial, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) > 1 AS again,
+    NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS short, lag(substr(role, 1, 1)) OVER o AS before FROM ordered WINDOW o AS (PARTITION BY conv_id ORDER BY p)),
+  facts AS (SELECT *, blank OR again AS must, CASE WHEN short AND NOT blank AND NOT again THEN 3 ELSE 0 END AS extra FROM placed),
+  counts AS (SELECT conv_id, count(*) AS rows, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (extra > 0) AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM facts GROUP BY 1),
+  walk AS (
+    SELECT conv_id, rows + 1 AS p, '0000000000' || chr(1) AS x0, '0000000006II' || chr(1) || chr(10) || 'user:' || chr(10) || 'assistant:' AS xs, '0000000003I' || chr(1) || chr(10) || 'assistant:' AS xu, '0000000000' || chr(1) AS xa FROM counts
+    UNION ALL
+    SELECT conv_id, p, least(x0, {insert("nu", "user")}), least(xs, {insert("nu", "user")}), nu, least(xa, {insert("nu", "user")}) FROM (
+      SELECT *, least(xu, {insert("xa", "assistant")}) AS nu FROM (
+        SELECT w.conv_id, f.p, {row("x0")} AS x0, {row("xs")} AS xs, {row("xu")} AS xu, {row("xa")} AS xa FROM walk w JOIN facts f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.p = w.p - 1))),
+  found AS (SELECT conv_id, x0 FROM walk WHERE p = 1)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(CAST(x0[:10] AS BIGINT), 0) AS cost, coalesce(x0[11:strpos(x0, chr(1)) - 1], '') AS audit, sha256(coalesce(x0[strpos(x0, chr(1)) + 2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN counts n ON n.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN found f ON f.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
 def _shrunk(child: str, parent: str, key: str, up: str) -> str:
     name = f"s_{key}"
     return f"""

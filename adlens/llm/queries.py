@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, collocations, decontam, exact_dedup, langid, line_dedup, ngram_join, oracles, quality, simhash, substring_dedup, suffix_dedup, url_filter
+from . import bpe, collocations, conversations, decontam, exact_dedup, langid, line_dedup, ngram_join, oracles, quality, simhash, substring_dedup, suffix_dedup, url_filter
 
 #: Fixed rules: verdict, host, path.
 URL_RULES = (
@@ -109,6 +109,10 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"), radius=4)
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damage(_table(spark, sf_dir, "conversations"))).withColumnRenamed("id", "conv_id")
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"), longest=5, least=100, percent=100, top=2000)
 
@@ -128,6 +132,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality": op9_quality,
         "op10_substring_dedup": op10_substring_dedup,
         "op11_simhash": op11_simhash,
+        "op12_conversations": op12_conversations,
         "op13_collocations": op13_collocations,
         "pipeline": corpus_pipeline.run,
     }
@@ -141,5 +146,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_decontam": oracles.CONTAMINATION,
         "op8_ngram_join": oracles.COMPONENTS,
         "op10_substring_dedup": oracles.SUBSTRING,
+        "op12_conversations": oracles.conversations(),
         "op13_collocations": oracles.COLLOCATIONS,
     }
