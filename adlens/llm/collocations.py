@@ -35,7 +35,7 @@ ENDS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 WORD = ~ENDS
 WORD[[0x20, 0x09]] = False
 #: Bytes of all texts for each prefix partition.
-PARTITION_BYTES = 8 << 20
+PARTITION_BYTES = 4 << 20
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -63,37 +63,49 @@ class HatTrie:
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
         """Add to the counts of phrases, a row of ids each."""
-        raw, width = keys.astype(">u8").tobytes(), 8 * self.order
-        for at, n in zip(range(0, len(raw), width), counts.tolist(), strict=True):
-            parent, step, rest = self.root, raw[at : at + 8], raw[at + 8 : at + width]
-            child = parent.get(step)
-            while type(child) is _Node:
-                parent, step, rest = child, rest[:8], rest[8:]
-                child = parent.get(step)
-            if child is None:
-                parent[step] = {rest: n}
-                self.held += 1
-            elif (old := child.get(rest)) is not None:
-                child[rest] = old + n
+        order = np.argsort(keys[:, 0])
+        keys, counts = keys[order], counts[order].tolist()
+        rests = _bytes(keys[:, 1:])
+        at = np.flatnonzero(np.append(True, keys[1:, 0] != keys[:-1, 0])) if len(keys) else order
+        for step, a, b in zip(_bytes(keys[at, :1]), at.tolist(), [*at[1:].tolist(), len(keys)], strict=True):
+            child = self.root.setdefault(step, {})
+            if type(child) is dict:
+                self.held -= len(child)
+                for rest, n in zip(rests[a:b], counts[a:b]):
+                    child[rest] = child.get(rest, 0) + n
+                self.held += len(child)
+                self._grown(self.root, step, child, self.order - 1)
             else:
-                child[rest] = n
-                self.held += 1
-                if len(child) > self.burst and len(rest) > 8:
-                    parent[step] = self._burst(child)
-
-    @staticmethod
-    def _burst(container: dict) -> _Node:
-        node = _Node()
+                for rest, n in zip(rests[a:b], counts[a:b]):
+                    self._below(child, rest, n)
+
+    def _below(self, node: _Node, rest: bytes, n: int) -> None:
+        """Add below a node."""
+        step, rest = rest[:8], rest[8:]
+        child = node.setdefault(step, {})
+        while type(child) is _Node:
+            node, step, rest = child, rest[:8], rest[8:]
+            child = node.setdefault(step, {})
+        self.held += rest not in child
+        child[rest] = child.get(rest, 0) + n
+        self._grown(node, step, child, len(rest) // 8)
+
+    def _grown(self, parent: _Node, step: bytes, container: dict, words_left: int) -> None:
+        """Burst a container that has grown too large and whose phrases have more than one word left, and what comes of it likewise."""
+        if len(container) <= self.burst or words_left < 2:
+            return
+        node = parent[step] = _Node()
         for rest, n in container.items():
             node.setdefault(rest[:8], {})[rest[8:]] = n
-        return node
+        for below, child in list(node.items()):
+            self._grown(node, below, child, words_left - 1)
 
-    def _walk(self, before: bytes, child: dict) -> Iterator[tuple[bytes, int]]:
+    def _containers(self, before: bytes, child: dict) -> Iterator[tuple[bytes, dict]]:
         if type(child) is _Node:
             for step, below in child.items():
-                yield from self._walk(before + step, below)
+                yield from self._containers(before + step, below)
         else:
-            yield from ((before + rest, n) for rest, n in child.items())
+            yield before, child
 
     @classmethod
     def _size(cls, child: dict) -> int:
@@ -102,15 +114,26 @@ class HatTrie:
     def spill(self, most: int) -> tuple[np.ndarray, np.ndarray]:
         """Take the largest subtrees out, whole, until at most ``most`` phrases are left; their phrases and counts."""
         sizes = sorted(((self._size(child), step) for step, child in self.root.items()), reverse=True)
-        keys, counts = [], []
+        by_depth: dict[int, list[tuple[bytes, dict]]] = {}
         for size, step in sizes:
             if self.held <= most:
                 break
-            for key, n in self._walk(step, self.root.pop(step)):
-                keys.append(key)
-                counts.append(n)
+            for path, container in self._containers(step, self.root.pop(step)):
+                by_depth.setdefault(len(path) // 8, []).append((path, container))
             self.held -= size
-        return np.frombuffer(b"".join(keys), ">u8").astype(_U).reshape(-1, self.order), np.array(counts, np.int64)
+        keys, counts = [np.zeros((0, self.order), _U)], [np.zeros(0, np.int64)]
+        for depth, found in by_depth.items():
+            sizes = [len(c) for _, c in found]
+            paths = np.frombuffer(b"".join(path for path, _ in found), ">u8").reshape(-1, depth).astype(_U)
+            rests = np.frombuffer(b"".join(rest for _, c in found for rest in c), ">u8").reshape(-1, self.order - depth).astype(_U)
+            keys.append(np.hstack([np.repeat(paths, sizes, axis=0), rests]))
+            counts.append(np.fromiter((n for _, c in found for n in c.values()), np.int64, sum(sizes)))
+        return np.concatenate(keys), np.concatenate(counts)
+
+
+def _bytes(ids: np.ndarray) -> list[bytes]:
+    """Each row's ids as big-endian bytes."""
+    return np.ascontiguousarray(ids.astype(">u8")).view(f"V{8 * ids.shape[1]}").ravel().tolist()
 
 
 def combined(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -272,17 +295,21 @@ def _texts(docs: DataFrame, held, salt: int, limits: Limits) -> DataFrame:
     return docs.mapInArrow(run, "id long, lang string, word string").groupBy("id").agg(F.min("lang").alias("lang"), F.min("word").alias("word"))
 
 
-def _phrases(spark: SparkSession, docs: DataFrame, longest: int, least: int, limits: Limits) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
-    """Frequent phrases of all orders (ids, f), words (id, lang, word), languages (lang, n), and the stored tables' paths."""
-    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    partitions = int(max(64, size // PARTITION_BYTES))
-    paths = []
+def _hashed(ids: DataFrame) -> DataFrame:
+    """Rows of a word's id, and more, with its hash ``h`` as a phrase of one word."""
 
-    def kept(df, name):
-        out, path = stored_at(df, name)
-        paths.append(path)
-        return out
+    def run(batches):
+        for batch in batches:
+            h = phrase_hashes(batch.column("id").to_numpy(zero_copy_only=False).view(_U), 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(h.view(np.int64))], [*batch.schema.names, "h"])
 
+    return ids.mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in [*ids.dtypes, ("h", "long")]))
+
+
+def _phrases(spark: SparkSession, docs: DataFrame, longest: int, least: int, limits: Limits, kept) -> tuple[DataFrame, DataFrame, int]:
+    """Frequent phrases of all orders (ids, f), languages (lang, n), and the salt of the ids; ``kept`` stores a table."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    partitions = int(max(64, size // PARTITION_BYTES))
     for salt in range(8):
         vocabulary = kept(_vocabulary(docs, salt, limits).where(F.col("lang").isNotNull() | (F.col("f") >= least) | (F.col("low") != F.col("high"))), "vocabulary")
         if vocabulary.where("lang is null and low <> high").isEmpty():
@@ -291,21 +318,13 @@ def _phrases(spark: SparkSession, docs: DataFrame, longest: int, least: int, lim
         raise RuntimeError("words share an id with each of eight salts")
     languages = vocabulary.where("lang is not null").select("lang", F.col("f").alias("n"))
 
-    def hashed(batches):
-        for batch in batches:
-            ids = batch.column("id").to_numpy(zero_copy_only=False).view(_U)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("f"), pa.array(phrase_hashes(ids, 1).view(np.int64))], ["id", "f", "h"])
-
-    single = vocabulary.where("lang is null").select("id", "f").mapInArrow(hashed, "id long, f long, h long").select(F.array("id").alias("ids"), "f", "h")
+    single = _hashed(vocabulary.where("lang is null").select("id", "f")).select(F.array("id").alias("ids"), "f", "h")
     orders = [kept(single, "phrases-1")]
-    texts = None
     for order in range(2, longest + 1):
         held = spark.sparkContext.broadcast(_bitmap(orders[-1], limits.bits))
-        if texts is None:
-            texts = kept(_texts(docs, held, salt, limits), "words")
         orders.append(kept(_merged(_runs(docs, order, partitions, held, salt, limits), order, least), f"phrases-{order}"))
         held.destroy()
-    return reduce(DataFrame.unionAll, (o.select("ids", "f") for o in orders)), texts, languages, paths
+    return reduce(DataFrame.unionAll, (o.select("ids", "f") for o in orders)), languages, salt
 
 
 def collocations(docs: DataFrame, *, longest: int = 5, least: int = 100, percent: int = 100, top: int = 2000, text_col: str = "text", lang_col: str = "lang", limits: Limits = Limits()) -> DataFrame:
@@ -319,15 +338,25 @@ def collocations(docs: DataFrame, *, longest: int = 5, least: int = 100, percent
     spark = docs.sparkSession
     bounded_batches(spark)
     named = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
-    frequent, texts, languages, paths = _phrases(spark, named, longest, least, limits)
+    paths = []
+
+    def stored(df, name):
+        out, path = stored_at(df, name)
+        paths.append(path)
+        return out
+
+    frequent, languages, salt = _phrases(spark, named, longest, least, limits, stored)
     cands = frequent.where(F.size("ids") > 1).withColumnRenamed("f", "a")
-    cuts = cands.select("ids", "a", F.explode(F.sequence(F.lit(1), F.size("ids") - 1)).alias("k"))
-    cuts = cuts.select("ids", "a", "k", F.slice("ids", F.lit(1), F.col("k")).alias("left"), F.slice("ids", F.col("k") + 1, F.size("ids") - F.col("k")).alias("right"))
-    cuts = cuts.join(frequent.select(F.col("ids").alias("left"), F.col("f").alias("l")), "left").join(frequent.select(F.col("ids").alias("right"), F.col("f").alias("r")), "right")
     # Phrases inside longer ones: two of one word less cover the rest, as each of these lies in between.
     inside = cands.where(F.size("ids") > 2).select(F.explode(F.array(F.slice("ids", F.lit(1), F.size("ids") - 1), F.slice("ids", F.lit(2), F.size("ids") - 1))).alias("ids"), F.col("a").alias("longer"))
     inside = inside.groupBy("ids").agg(F.max("longer").alias("longer"))
-    kept = cands.join(inside, "ids", "left").where(F.col("longer").isNull() | (F.lit(100) * F.col("longer") < percent * F.col("a"))).select("ids")
+    kept = stored(cands.join(inside, "ids", "left").where(F.col("longer").isNull() | (F.lit(100) * F.col("longer") < percent * F.col("a"))).select("ids", "a"), "kept")
+    cuts = kept.select("ids", "a", F.explode(F.sequence(F.lit(1), F.size("ids") - 1)).alias("k"))
+    cuts = cuts.select("ids", "a", "k", F.slice("ids", F.lit(1), F.col("k")).alias("left"), F.slice("ids", F.col("k") + 1, F.size("ids") - F.col("k")).alias("right"))
+    cuts = cuts.join(frequent.select(F.col("ids").alias("left"), F.col("f").alias("l")), "left").join(frequent.select(F.col("ids").alias("right"), F.col("f").alias("r")), "right")
+    held = spark.sparkContext.broadcast(_bitmap(_hashed(kept.select(F.explode("ids").alias("id")).distinct()), limits.bits))
+    texts = stored(_texts(named, held, salt, limits), "words")
+    held.destroy()
     spelt = kept.select("ids", F.posexplode("ids").alias("at", "id")).join(texts, "id").groupBy("ids").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("phrase"), F.min("lang").alias("lang"))
     wide = lambda c: F.col(c).cast("decimal(18,0)")  # noqa: E731  their products have 38 digits at most, and more is an error
