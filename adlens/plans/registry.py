@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from . import q_audit, q_frontier, q_market, q_merge, q_rules, q_scalars, q_search, q_state, q_stats, q_values  # noqa: F401
+    from . import q_audit, q_frontier, q_induction, q_market, q_merge, q_rules, q_scalars, q_search, q_state, q_stats, q_values  # noqa: F401
 
 
 load()
