@@ -1,8 +1,13 @@
 """The capture queue: stratified order, capture choice, claims, retries, links, coverage."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
+
+from ..sources.versions import VersionedTable
 
 #: Fixed vocabularies of the queue.
 STATUSES = ("DISCOVERED", "UNROUTED", "QUEUED", "FETCHING", "FETCHED", "FAILED", "SKIPPED", "DEFERRED", "EXCLUDED")
@@ -43,13 +48,14 @@ def scramble(id_: Column) -> Column:
     return (id_.cast("decimal(18,0)") * F.lit("11400714819323198485").cast("decimal(20,0)")) % F.lit("18446744073709551616").cast("decimal(20,0)")
 
 
-def stratified_order(rows: DataFrame, past: DataFrame | None = None, per_quarter: int | None = None) -> DataFrame:
+def stratified_order(rows: DataFrame, past: DataFrame | None = None, per_quarter: int | None = None, first: int | None = None) -> DataFrame:
     """Queued (id, timestamp, priority) in fetch order: id, quarter, place in the quarter, rank from 1.
 
     A quarter's k-th pick ranks at what the quarter was served plus k; ties go to the higher priority, then the older quarter. In a
     quarter higher priorities go first, then months in turn from the least served, then the draw. ``past`` has the timestamp
     and status of captures already claimed; ``per_quarter`` caps a quarter with what was fetched or claimed. The last step sorts
-    the queue as a whole; all ranks before it are by quarter and month.
+    the queue as a whole; all ranks before it are by quarter and month. With ``first`` only the first so many of the order are worked out: of each priority and month, then of
+    each quarter, tasks keep that many before they shuffle, and the ranks of these heads are merged by heaps; no task sees the queue.
     """
     now = rows.select("id", "priority", capture_month(F.col("timestamp")).alias("month"), capture_quarter(F.col("timestamp")).alias("quarter"))
     if past is not None:
@@ -62,11 +68,21 @@ def stratified_order(rows: DataFrame, past: DataFrame | None = None, per_quarter
     now = now.fillna(0, ["month_served", "quarter_served", "quarter_taken"]).withColumn("draw", scramble(F.col("id")))
     turn = F.row_number().over(Window.partitionBy("priority", "month").orderBy("draw", "id")) - 1 + F.col("month_served")
     now = now.withColumn("turn", turn)
+    if first is not None:  # a quarter's first picks are among the first of each of its priorities and months
+        nth = F.row_number().over(Window.partitionBy("priority", "month").orderBy("draw", "id"))
+        now = now.withColumn("nth", nth).where(F.col("nth") <= first).drop("nth")
     place = F.row_number().over(Window.partitionBy("quarter").orderBy(F.desc("priority"), "turn", "month", "draw", "id")) - 1
     now = now.withColumn("place", place)
+    if first is not None:
+        now = now.where(F.col("place") < first)
     if per_quarter is not None:
         now = now.where(F.col("place") < F.greatest(F.lit(0), F.lit(per_quarter) - F.col("quarter_taken")))
-    rank = F.row_number().over(Window.orderBy(F.col("quarter_served") + F.col("place"), F.desc("priority"), "quarter", "id"))
+    order = [F.col("quarter_served") + F.col("place"), F.desc("priority"), F.col("quarter"), F.col("id")]
+    if first is not None:
+        heads = now.orderBy(*order).limit(first).select(F.struct((F.col("quarter_served") + F.col("place")).alias("at"), (-F.col("priority")).alias("p"), "quarter", "id", "place").alias("x"))
+        ranked = heads.agg(F.array_sort(F.collect_list("x")).alias("xs")).select(F.posexplode("xs").alias("i", "x"))  # ``first`` rows
+        return ranked.select("x.id", "x.quarter", F.col("x.place").cast("long").alias("place"), (F.col("i") + 1).cast("long").alias("rank"))
+    rank = F.row_number().over(Window.orderBy(*order))
     return now.select("id", "quarter", F.col("place").cast("long").alias("place"), rank.cast("long").alias("rank"))
 
 
@@ -101,9 +117,33 @@ def eligible(now: Column) -> Column:
 
 
 def claim(rows: DataFrame, now: Column, limit: int) -> DataFrame:
-    """The next rows to fetch, in order; writing their new state back is the caller's (one writer at a time)."""
+    """The next rows to fetch, in order; ``claim_from`` also writes their new state."""
     queued = rows.where((F.col("status") == "QUEUED") & eligible(now))
-    return stratified_order(queued, rows.where(F.col("status").isin(*SERVED))).orderBy("rank").limit(limit)
+    return stratified_order(queued, rows.where(F.col("status").isin(*SERVED)), first=limit).orderBy("rank")
+
+
+def claim_from(table: VersionedTable, now: Column, limit: int, worker: str) -> DataFrame:
+    """Claim the next ``limit`` rows of a stored queue for a worker; these rows, FETCHING, with their rank.
+
+    The queue (keyed by id) has id, timestamp, priority, status, next_retry_at, claimed_at and claimed_by. Workers may claim at once: of two that picked from the same buckets the later
+    one to commit picks anew, so a row is never held twice. Claims older than the timeout are the caller's to release (``release_stale``).
+    """
+    token = f"{worker}/{uuid.uuid4().hex}"
+    ranks = {}
+
+    def picked(queue: DataFrame) -> DataFrame | None:
+        rows = claim(queue, now, limit).select("id", "rank").collect()  # ``limit`` rows
+        ranks["now"] = rows
+        if not rows:
+            return None
+        ids = queue.sparkSession.createDataFrame([(r.id,) for r in rows], StructType([table.schema["id"]]))
+        taken = {"status": F.lit("FETCHING"), "claimed_at": now.cast(table.schema["claimed_at"].dataType), "claimed_by": F.lit(token)}
+        return queue.join(F.broadcast(ids), "id", "left_semi").withColumns(taken).select(*table.schema.names)
+
+    table.update(picked, lambda old, new: old.join(new.select("id"), "id", "left_anti").select(*table.schema.names).unionAll(new))
+    spark = table.spark
+    held = spark.createDataFrame([(r.id, r.rank) for r in ranks["now"]], StructType([table.schema["id"]]).add("rank", LongType()))
+    return table.read().where(F.col("claimed_by") == token).join(F.broadcast(held), "id").orderBy("rank")
 
 
 def after_failure(rows: DataFrame, now: Column) -> DataFrame:

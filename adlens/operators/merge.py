@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.versions import VersionedTable
+
 #: Fixed: columns that an archived capture may not show.
 CARRIED = ("url", "description", "area_sqm", "bedrooms", "bathrooms", "city", "district", "latitude", "longitude", "listed_at")
 UNKNOWN_LOCATION = "unknown"
@@ -133,6 +135,15 @@ def upsert(state: DataFrame, sightings: DataFrame) -> DataFrame:
     return history(state.unionByName(sightings, allowMissingColumns=True))
 
 
+def merge_batch(table: VersionedTable, sightings: DataFrame, writer: str | None = None, batch: int | None = None) -> int:
+    """Fold a batch of sightings into a stored history; the version that holds it.
+
+    Only the buckets that the batch's adverts fall in are read and rewritten. A writer's batch is folded once; writers may be several. Sightings of the batch at the same moment as
+    stored ones win if they were processed later, as in ``upsert``.
+    """
+    return table.update(lambda _: sightings.select(*table.schema.names), lambda old, new: upsert(old, new), writer=writer, batch=batch)
+
+
 def append_new(target: DataFrame, rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Insert that ignores conflicts: the first new row of each key that the target lacks."""
     fresh = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")

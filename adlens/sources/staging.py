@@ -31,9 +31,14 @@ class Stage:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
-    def store(self, df: DataFrame, name: str) -> DataFrame:
+    def folder(self, name: str) -> str:
+        """A new folder's path, which goes with the tables."""
         path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
         self.paths.append(path)
+        return path
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        path = self.folder(name)
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -51,3 +56,13 @@ def stage(spark: SparkSession) -> Iterator[Stage]:
         yield out
     finally:
         out.drop()
+
+
+_left: dict[str, Stage] = {}
+
+
+def fresh(spark: SparkSession, name: str) -> Stage:
+    """The stage of a registered query whose result reads stored tables: they stay until the query is called again, which deletes them first."""
+    if name in _left and _left[name].spark.sparkContext._jsc is not None:
+        _left.pop(name).drop()
+    return _left.setdefault(name, Stage(spark))
