@@ -4,13 +4,12 @@ Two lines within ``edits`` edits agree in at least one of ``edits`` + 1 segments
 segment number, segment); each line probes the lengths that it may match with the substrings that can align with each segment
 (both the left and the right side must be able to spend their edits). A match is verified by the banded bit-parallel edit distance.
 
-Lines are cut as UTF-32, where a character's place is known without reading what is before it. An edit changes the counts of two
-characters at most by one, so lines whose counts in ``CLASSES`` classes of characters differ by more than twice the edits can't match:
-keys that more than ``most`` lines share pair only those that pass this test.
+Lines are cut as UTF-32, where a character's place is known without reading what is before it. An edit takes at most two pairs of neighbouring
+characters away and brings two, so lines whose parities of 128 classes of such pairs differ in more than four times the edits can't match and aren't paired.
 
 The edit distance keeps the vertical differences of one column of the distance table, 2 * ``edits`` + 1 rows about the diagonal, as the bits
 of two integers, and follows the diagonal that ends at both lines' ends. Values never fall along a diagonal, so the first and the
-last ``ENDS`` characters are tried before whole lines.
+last ``ENDS`` characters that differ are tried before the rest.
 """
 from __future__ import annotations
 
@@ -20,9 +19,8 @@ from pyspark.sql import functions as F
 from ._graph import components
 from ._store import stored, stored_at
 
-CLASSES = 16
-#: Characters at either end that are tried before whole lines.
-ENDS = 32
+#: Characters at either end, where lines begin to differ, that are tried before all that differs.
+ENDS = 16
 #: Ids up to this many are broadcast to find their lines; beyond it lines and ids are shuffled.
 MOST_BROADCAST = 400_000
 
@@ -53,22 +51,24 @@ def _met(lines: DataFrame, edits: int) -> DataFrame:
     Segments and probes are made in one pass and shuffled once. A line always probes its own segments, so a key needs two probes.
     """
     wide = lines.select("id", F.char_length("s").cast("long").alias("n"), F.encode("s", "UTF-32").alias("u"))
-    entry = lambda keys, probe: F.transform(F.array_distinct(F.array_compact(F.array(*keys))), lambda k: F.struct(k.alias("key"), F.lit(probe).alias("probe")))
-    both = F.concat(entry(_entries(edits, False), False), entry(_entries(edits, True), True))
-    rows = wide.select("id", F.explode(both).alias("e")).select("e.key", "id", "e.probe")
+    entry = lambda keys, probe: [F.struct(k.alias("key"), F.lit(probe).alias("probe")) for k in keys]
+    # A line that has a key twice, as periodic ones do, has two rows there.
+    both = F.array(*entry(_entries(edits, False), False), *entry(_entries(edits, True), True))
+    rows = wide.select("id", F.explode(both).alias("e")).select("e.key", "id", "e.probe").where("key is not null")
     here = Window.partitionBy("key")
     rows = rows.withColumn("n", F.sum((~F.col("probe")).cast("int")).over(here)).withColumn("probes", F.sum(F.col("probe").cast("int")).over(here))
     return rows.where("n > 0 and probes > 1").select("key", "id", "probe", "n")
 
 
-def _counts(s: Column) -> Column:
-    """Characters of each class, a class being the hash of a character."""
-    chars = F.transform(F.split(s, ""), lambda c: F.pmod(F.hash(c), F.lit(CLASSES)))
-    return F.transform(F.sequence(F.lit(0), F.lit(CLASSES - 1)), lambda k: F.size(F.filter(chars, lambda c: c == k)))
-
-
-def _apart(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
+def _parities(s: Column) -> Column:
+    """Two longs: a bit for each of 128 classes of pairs of neighbouring characters, by their hash, whether the line has an odd number of them."""
+    chars = F.split(s, "")
+    pairs = F.zip_with(chars, F.slice(chars, 2, 1 << 30), lambda x, y: F.pmod(F.hash(x, y), F.lit(128)))
+    none, bit = F.lit(0).cast("long"), lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
+    return F.aggregate(
+        pairs, F.struct(none.alias("low"), none.alias("high")),
+        lambda bits, k: F.struct(bits["low"].bitwiseXOR(F.when(k < 64, bit(k)).otherwise(none)).alias("low"), bits["high"].bitwiseXOR(F.when(k >= 64, bit(k - 64)).otherwise(none)).alias("high")),
+    )
 
 
 def _spent(x: Column, y: Column, extra: Column, edits: int) -> Column:
@@ -98,22 +98,41 @@ def _spent(x: Column, y: Column, extra: Column, edits: int) -> Column:
     return F.aggregate(F.transform(y, matches), start, column, lambda at: at["spent"])
 
 
+def _common(x: str, y: str, most: Column, tail: bool) -> Column:
+    """Characters that two UTF-32 texts share at their start, or their end; at most ``most``. Pieces of halving sizes are compared whole."""
+    sizes = F.transform(F.sequence(F.lit(0), F.lit(30)), lambda k: F.call_function("shiftleft", F.lit(1), F.lit(30) - k))
+    sizes = F.filter(sizes, lambda k: k <= most)
+
+    def piece(u: Column, have: Column, k: Column) -> Column:
+        at = F.octet_length(u) - 4 * (have + k) + 1 if tail else 4 * have + 1
+        return F.substring(u, at, 4 * k)
+
+    return F.aggregate(sizes, F.lit(0), lambda have, k: have + F.when((have + k <= most) & (piece(F.col(x), have, k) == piece(F.col(y), have, k)), k).otherwise(0))
+
+
 def within(pairs: DataFrame, edits: int) -> DataFrame:
-    """(a, b, near boolean): whether lines a_s and b_s, neither empty, are within ``edits`` edits.
+    """(a, b, near boolean): whether lines a_s and b_s are within ``edits`` edits.
 
+    What both share at their ends doesn't count and is cut off first; of what is left the first and last ``ENDS`` characters are tried before the whole.
     Store the result before filtering by ``near``: a filter would be pushed below the arrays, which were then cut anew for every character.
     """
     if not 0 <= edits <= 15:
         raise ValueError("edits must be from 0 to 15")
     swap = F.char_length("a_s") < F.char_length("b_s")
-    chars = pairs.select(
-        "a", "b", F.split(F.when(swap, F.col("b_s")).otherwise(F.col("a_s")), "").alias("x"), F.split(F.when(swap, F.col("a_s")).otherwise(F.col("b_s")), "").alias("y")
-    )
-    tail = lambda c, k: F.reverse(F.slice(c, F.greatest(F.size(c) - (k - 1), F.lit(1)), k))
-    ends = chars.select("*", (F.size("x") - F.size("y")).alias("extra"), tail("x", ENDS + 2 * edits).alias("x_end"), tail("y", ENDS).alias("y_end"), F.slice("y", 1, ENDS).alias("y_start"))
-    spent = lambda x, y: _spent(F.col(x), F.col(y), F.col("extra"), edits)
-    far = (F.col("extra") > edits) | (spent("x", "y_start") > edits) | (spent("x_end", "y_end") > edits)
-    return ends.select("a", "b", F.when(far, False).otherwise(spent("x", "y") <= edits).alias("near"))
+    wide = pairs.select("a", "b", *(F.encode(F.when(swap, F.col(p)).otherwise(F.col(q)), "UTF-32").alias(n) for n, p, q in (("u", "b_s", "a_s"), ("v", "a_s", "b_s"))))
+    short = (F.octet_length("v") / 4).cast("int")
+    cut = wide.withColumn("start", _common("u", "v", short, False))
+    cut = cut.withColumn("end", _common("u", "v", short - F.col("start"), True))
+    middle = lambda c: F.substring(c, 4 * F.col("start") + 1, F.octet_length(c) - 4 * (F.col("start") + F.col("end")))
+    mid = cut.select("a", "b", middle("u").alias("u"), middle("v").alias("v"), ((F.octet_length("u") - F.octet_length("v")) / 4).cast("int").alias("extra"))
+    chars = lambda u: F.split(F.decode(u, "UTF-32"), "")
+    head = lambda c, k: chars(F.substring(c, 1, 4 * k))
+    tail = lambda c, k: F.reverse(chars(F.substring(c, F.greatest(F.octet_length(c) - (4 * k - 1), F.lit(1)), F.lit(4 * k))))
+    ends = mid.select("*", head("u", ENDS + 2 * edits).alias("x_start"), head("v", ENDS).alias("y_start"), tail("u", ENDS + 2 * edits).alias("x_end"), tail("v", ENDS).alias("y_end"))
+    spent = lambda x, y: _spent(x, y, F.col("extra"), edits)
+    far = (spent(F.col("x_start"), F.col("y_start")) > edits) | (spent(F.col("x_end"), F.col("y_end")) > edits)
+    near = F.when(F.col("extra") > edits, False).when(F.octet_length("v") == 0, True).when(far, False).when(F.octet_length("v") <= 4 * ENDS, True)
+    return ends.select("a", "b", near.otherwise(spent(chars(F.col("u")), chars(F.col("v"))) <= edits).alias("near"))
 
 
 def _with_lines(ids: DataFrame, name: str, lines: DataFrame, few: bool) -> DataFrame:
@@ -124,48 +143,45 @@ def _with_lines(ids: DataFrame, name: str, lines: DataFrame, few: bool) -> DataF
     return ids.join(text, name)
 
 
-def candidates(lines: DataFrame, edits: int, *, most: int) -> DataFrame:
-    """Pairs (a, b), a the indexed id, of lines that may be within ``edits`` edits."""
+def candidates(lines: DataFrame, edits: int, most: int = 1) -> DataFrame:
+    """Pairs (a, b) of lines that may be within ``edits`` edits.
+
+    Of the lines at a key that more than ``most`` lines have only those are paired whose parities differ in at most four times the edits.
+    """
     met = stored(_met(lines, edits), "met")
-    index = lambda rows: rows.where("not probe").select("key", F.col("id").alias("a"))
-    probes = lambda rows: rows.where("probe").select("key", F.col("id").alias("b"))
-    calm, busy = met.where(F.col("n") <= most), met.where(F.col("n") > most)
-    pairs = index(calm).join(probes(calm), "key").where("a <> b").select("a", "b")
-    if not busy.take(1):
-        return pairs.distinct()
-    ids = stored(busy.select("id").distinct(), "busy-ids")
+    ids = stored(met.where(F.col("n") > most).select("id").distinct(), "busy-ids")
     few = ids.count() <= MOST_BROADCAST
-    counted = stored(_with_lines(ids, "id", lines, few).select("id", _counts(F.col("id_s")).alias("c")), "busy-counts")
-    side = lambda rows, k: rows.join(counted.select(F.col("id").alias(k), F.col("c").alias(f"{k}_c")), k)
-    x, y = side(index(busy), "a"), side(probes(busy), "b")
-    near = x.join(y, (x["key"] == y["key"]) & (x["a"] != y["b"]) & (_apart("a_c", "b_c") <= 2 * edits)).select("a", "b")
-    return pairs.unionAll(near).distinct()
+    marked = stored(_with_lines(ids, "id", lines, few).select("id", _parities(F.col("id_s")).alias("bits")), "busy-parities")
+    rows = met.join(marked, "id", "left")
+    x = rows.where("not probe").select("key", "n", F.col("id").alias("a"), F.col("bits").alias("a_bits"))
+    y = rows.where("probe").select("key", F.col("id").alias("b"), F.col("bits").alias("b_bits"))
+    apart = F.bit_count(F.col("a_bits.low").bitwiseXOR(F.col("b_bits.low"))) + F.bit_count(F.col("a_bits.high").bitwiseXOR(F.col("b_bits.high")))
+    near = (F.col("n") <= most) | (apart <= 4 * edits)
+    return x.join(y, (x["key"] == y["key"]) & (x["a"] != y["b"]) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def line_classes(lines: DataFrame, *, edits: int, min_chars: int, most: int) -> DataFrame:
     """(id, label) of the lines that have a similar other; ``lines`` has distinct (id, s)."""
     whole = lines.where(F.char_length("s") >= min_chars).select("id", "s")
-    pairs = candidates(whole, edits, most=most)
-    unique = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
+    unique = stored(candidates(whole, edits, most), "line-pairs")
     few = 2 * unique.count() <= MOST_BROADCAST
     judged = within(_with_lines(_with_lines(unique, "a", whole, few), "b", whole, few), edits)
     near = stored_at(judged, "line-verdicts", release=False)[0].where("near")
     return components(near.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("node", "id")
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, min_chars: int = 24, most: int = 8) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, min_chars: int = 24, most: int = 1) -> DataFrame:
     """One row per input row: id, n_lines long, n_removed long, kept string.
 
     Lines are what lies between newlines. Two lines are linked if they are equal, or if both have at least ``min_chars`` characters
     and are within ``edits`` edits; links join lines into classes. The document with the least id that has a line of a
     class keeps its first such line, all others are removed. Blank lines (white space only) are never removed.
     ``kept`` is what is left, joined by newlines. Null texts count as empty (one blank line); null ids come last; rows that repeat an id
-    with the same text are one document, and each gets its result.
+    with the same text are one document, and each gets its result. Ids are of any type that has an order. An empty table gives no rows; columns
+    besides the two are ignored, whatever their names.
     """
-    kind = docs.schema[id_col].dataType
-    last = (1 << 63) - 1
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("rank"), text.alias("text")).withColumn("tag", F.xxhash64("rank", "text"))
+    base = docs.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id")).alias("rank"), text.alias("text")).withColumn("tag", F.xxhash64("rank", "text"))
     each = base.select("rank", "tag", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).where(F.col("line").rlike(r"\S"))
     lines = stored(
         each.groupBy("line").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n"))
@@ -187,7 +203,8 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     out = base.join(removed, "tag", "left")
     parts = F.split("text", "\n", -1)
     n_lines = F.size(parts).cast("long")
-    kept = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("removed", i)), "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "removed")
+    kept = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))
     return out.select(
-        F.nullif("rank", F.lit(last)).cast(kind).alias(id_col), n_lines.alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), kept.alias("kept")
+        F.col("rank.id").alias(id_col), n_lines.alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), kept.alias("kept")
     )
