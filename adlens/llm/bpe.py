@@ -73,7 +73,7 @@ class ChunkEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.words, self.chunks, self.chunk_bytes = _Words(), {}, 0
+        self.words, self.chunks, self.aged, self.chunk_bytes = _Words(), {}, {}, 0
         self.ids, self.starts, self.uses = [np.zeros(0, np.int32)], np.zeros(1, np.int64), np.zeros(0, np.int64)
 
     def _forget(self) -> None:
@@ -109,16 +109,22 @@ class ChunkEncoder:
     def _chunk(self, raw: bytes) -> tuple[np.ndarray, str, str, bool, bool]:
         """Numbers of its stretches, the first and last one's text, and whether white space opens and closes it."""
         got = self.chunks.get(raw)
+        if got is not None:
+            self.hits += 1
+            return got
+        got = self.aged.pop(raw, None)
         if got is None:
             self.misses += 1
             pieces = [x for x in _SPLIT.split(raw.decode("utf-8", "surrogatepass")) if x]
             numbers = np.fromiter(map(self.words.__getitem__, pieces), np.int64, len(pieces))
             got = numbers, pieces[0] if pieces else "", pieces[-1] if pieces else "", raw[0] in _SPACE, raw[-1] in _SPACE
-            if self.chunk_bytes < MOST_CHUNK_BYTES:
-                self.chunks[raw] = got
-                self.chunk_bytes += 2 * len(raw) + 8 * len(pieces) + 200
         else:
             self.hits += 1
+        # Two generations: when the younger has half of the room, the older's chunks that didn't come up since go.
+        self.chunks[raw] = got
+        self.chunk_bytes += 2 * len(raw) + 8 * len(got[0]) + 200
+        if 2 * self.chunk_bytes > MOST_CHUNK_BYTES:
+            self.chunks, self.aged, self.chunk_bytes = {}, self.chunks, 0
         return got
 
     def _document(self, raw: bytes, cuts: list[int]) -> list[np.ndarray]:
