@@ -1,4 +1,6 @@
 """Queries over whole tables, and operators where a cut would show."""
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
