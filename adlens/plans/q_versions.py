@@ -1,8 +1,9 @@
-"""Queries through versioned tables: batches that are merged, rows that workers claim, rules that are stored."""
+"""Queries through versioned tables: batches that are merged, rows that workers claim, rules that are stored; answers that are known."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import decisions as D
 from ..operators import frontier as Q
 from ..operators import graph_store as G
 from ..operators import merge as M
@@ -47,3 +48,21 @@ def stored_routes(spark, d):
     active = store.nodes().where("status = 'ACTIVE'").select(F.col("key").alias("node"), F.get_json_object("action", "$.decision").alias("decision"))
     taken = R.route_urls(table(spark, d, "pages"), store.load(), key="page_id").groupBy("node").agg(F.count(F.lit(1)).alias("pages"))
     return active.join(taken, "node", "left").select("node", "decision", F.coalesce("pages", F.lit(0).cast("long")).alias("pages"))
+
+
+_ASKED_SQL = """asked AS (SELECT p_partkey AS id, p_brand AS brand, sha256('{"messages": [["system", "' || p_brand || '"], ["user", "' || p_type || '"]], "model": "m", "schema": {"type": "object"}, "version": "v1"}') AS key FROM part)"""
+
+
+@query(
+    "decisions_known",
+    f"""WITH {_ASKED_SQL}, ledger AS (SELECT p_partkey AS decision_id, key, 'answer ' || p_partkey AS response, p_size % 2 = 0 AS valid, p_size AS created_at FROM part JOIN asked ON id = p_partkey WHERE p_partkey % 3 = 0),
+      newest AS (SELECT key, decision_id, response FROM ledger WHERE valid QUALIFY row_number() OVER (PARTITION BY key ORDER BY created_at DESC, decision_id DESC) = 1)
+      SELECT id, asked.key, decision_id, response FROM asked LEFT JOIN newest USING (key)""",
+)
+def decisions_known(spark, d):
+    """Requests of parts of one brand and type ask the same; a third of the parts have answers in the ledger, half of these valid."""
+    part = table(spark, d, "part")
+    messages = F.array(F.array(F.lit("system"), F.col("p_brand")), F.array(F.lit("user"), F.col("p_type")))
+    asked = D.with_key(part.select(F.col("p_partkey").alias("id"), "p_size", F.lit("route").alias("task"), F.lit("m").alias("model"), F.lit("v1").alias("version"), messages.alias("messages"), F.create_map(F.lit("type"), F.lit("object")).alias("schema")))
+    ledger = asked.where("id % 3 = 0").select(F.col("id").alias("decision_id"), "task", "key", "model", "version", F.concat(F.lit("answer "), F.col("id").cast("string")).alias("response"), (F.col("p_size") % 2 == 0).alias("valid"), F.col("p_size").alias("created_at"))
+    return D.answered(asked.select("id", "task", "model", "version", "key"), ledger).select("id", "key", "decision_id", "response")
