@@ -51,10 +51,9 @@ def _met(lines: DataFrame, edits: int) -> DataFrame:
     Segments and probes are made in one pass and shuffled once. A line always probes its own segments, so a key needs two probes.
     """
     wide = lines.select("id", F.char_length("s").cast("long").alias("n"), F.encode("s", "UTF-32").alias("u"))
-    entry = lambda keys, probe: [F.struct(k.alias("key"), F.lit(probe).alias("probe")) for k in keys]
-    # A line that has a key twice, as periodic ones do, has two rows there.
-    both = F.array(*entry(_entries(edits, False), False), *entry(_entries(edits, True), True))
-    rows = wide.select("id", F.explode(both).alias("e")).select("e.key", "id", "e.probe").where("key is not null")
+    # One array of plain numbers, segments first. A line that has a key twice, as periodic ones do, has two rows there.
+    keys = F.array(*_entries(edits, False), *_entries(edits, True))
+    rows = wide.select("id", F.posexplode(keys).alias("at", "key")).where("key is not null").select("key", "id", (F.col("at") > edits).alias("probe"))
     here = Window.partitionBy("key")
     rows = rows.withColumn("n", F.sum((~F.col("probe")).cast("int")).over(here)).withColumn("probes", F.sum(F.col("probe").cast("int")).over(here))
     return rows.where("n > 0 and probes > 1").select("key", "id", "probe", "n")
@@ -204,7 +203,9 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     parts = F.split("text", "\n", -1)
     n_lines = F.size(parts).cast("long")
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "removed")
-    kept = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))
+    # The parts are bound once: inside the inner function the text would be split for each line.
+    joined = F.get(F.transform(F.array(parts), lambda lines: F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")), F.lit(0))
+    kept = F.when(F.col("removed").isNull(), F.col("text")).otherwise(joined)
     return out.select(
         F.col("rank.id").alias(id_col), n_lines.alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), kept.alias("kept")
     )
