@@ -26,7 +26,7 @@ MOST_BROADCAST = 400_000
 
 
 def _entries(edits: int, probing: bool) -> list[Column]:
-    """Keys of a line's segments, or of the substrings with which it probes; null where one doesn't fit.
+    """Keys of a line's segments, or of the other substrings with which it probes; null where one doesn't fit.
 
     Segment ``i`` of a length is its even part, the longer segments last. Needs columns n (characters) and u (UTF-32 bytes).
     """
@@ -39,6 +39,8 @@ def _entries(edits: int, probing: bool) -> list[Column]:
             size = base + (F.lit(i - parts) + rest >= 0).cast("long")
             low, high = (max(-i, shorter - (edits - i)), min(i, shorter + (edits - i))) if probing else (0, 0)
             for shift in range(low, high + 1):
+                if probing and shorter == shift == 0:
+                    continue  # a line's own segment, which is indexed
                 at = start + shift
                 piece = F.substring("u", (4 * at + 1).cast("int"), (4 * size).cast("int"))
                 out.append(F.when((m >= parts) & (at >= 0) & (at + size <= F.col("n")), F.xxhash64(m, F.lit(i), piece)))
@@ -46,17 +48,17 @@ def _entries(edits: int, probing: bool) -> list[Column]:
 
 
 def _met(lines: DataFrame, edits: int) -> DataFrame:
-    """Rows (key, id, probe, n) of the keys at which a line's segment meets another line's probe; n: lines indexed there.
+    """Rows (key, id, probe, n) of the keys at which a line's segment meets another line's segment or probe; n: lines indexed there.
 
-    Segments and probes are made in one pass and shuffled once. A line always probes its own segments, so a key needs two probes.
+    Segments and probes are made in one pass and shuffled once. A line's segment is its probe for lines of its length too, so that one row stands for both (``probe`` false).
     """
     wide = lines.select("id", F.char_length("s").cast("long").alias("n"), F.encode("s", "UTF-32").alias("u"))
     # One array of plain numbers, segments first. A line that has a key twice, as periodic ones do, has two rows there.
     keys = F.array(*_entries(edits, False), *_entries(edits, True))
     rows = wide.select("id", F.posexplode(keys).alias("at", "key")).where("key is not null").select("key", "id", (F.col("at") > edits).alias("probe"))
     here = Window.partitionBy("key")
-    rows = rows.withColumn("n", F.sum((~F.col("probe")).cast("int")).over(here)).withColumn("probes", F.sum(F.col("probe").cast("int")).over(here))
-    return rows.where("n > 0 and probes > 1").select("key", "id", "probe", "n")
+    rows = rows.withColumn("n", F.sum((~F.col("probe")).cast("int")).over(here)).withColumn("both", F.count(F.lit(1)).over(here))
+    return rows.where("n > 0 and both > 1").select("key", "id", "probe", "n")
 
 
 def _parities(s: Column) -> Column:
@@ -153,7 +155,7 @@ def candidates(lines: DataFrame, edits: int, most: int = 1) -> DataFrame:
     marked = stored(_with_lines(ids, "id", lines, few).select("id", _parities(F.col("id_s")).alias("bits")), "busy-parities")
     rows = met.join(marked, "id", "left")
     x = rows.where("not probe").select("key", "n", F.col("id").alias("a"), F.col("bits").alias("a_bits"))
-    y = rows.where("probe").select("key", F.col("id").alias("b"), F.col("bits").alias("b_bits"))
+    y = rows.select("key", F.col("id").alias("b"), F.col("bits").alias("b_bits"))
     apart = F.bit_count(F.col("a_bits.low").bitwiseXOR(F.col("b_bits.low"))) + F.bit_count(F.col("a_bits.high").bitwiseXOR(F.col("b_bits.high")))
     near = (F.col("n") <= most) | (apart <= 4 * edits)
     return x.join(y, (x["key"] == y["key"]) & (x["a"] != y["b"]) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
