@@ -361,9 +361,13 @@ def ols(rows: DataFrame, x: Sequence[str], y: str, *, cluster: str | None = None
         groups = int(got[-1])
         scale = groups / max(1, groups - 1) * (n - 1) / max(1, n - k)
     else:
-        lever = sum((float(inv[i, j]) * cols[i] * cols[j] for i in range(k) for j in range(k)), F.lit(0.0))
-        w = F.pow(e / (1 - lever), 2)
-        got = list(rows.agg(*(F.sum(w * cols[i] * cols[j]) for i in range(k) for j in range(i, k))).first())
+        # Leverage is x inv x: the square of x times a root of inv. Values that many sums use are columns of their own, so that each is worked out once a row.
+        values, vectors = np.linalg.eigh(inv)
+        root = vectors * np.sqrt(np.maximum(values, 0))
+        turned = [sum((float(root[i, j]) * cols[i] for i in range(k)), F.lit(0.0)) for j in range(k)]
+        held = rows.select(*(c.alias(f"_c{i}") for i, c in enumerate(cols)), F.pow(e / (1 - sum((t * t for t in turned), F.lit(0.0))), 2).alias("_w"))
+        c = [F.col(f"_c{i}") for i in range(k)]
+        got = list(held.agg(*(F.sum(F.col("_w") * c[i] * c[j]) for i in range(k) for j in range(i, k))).first())
         scale = 1.0
     meat = np.zeros((k, k))
     at = 0
