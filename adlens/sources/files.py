@@ -133,7 +133,7 @@ def key_day(path: Column) -> Column:
 
 
 def blobs(spark: SparkSession, path: str) -> DataFrame:
-    """Raw files with their day and sha256; a path with a day's folder reads that day alone."""
+    """Raw files with their day and sha256; a path with a day's folder reads that day alone. Scans pass empty files over; ``blob_store.fetch`` reads these too."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "content", key_day(F.col("path")).alias("day"), F.sha2("content", 256).alias("sha256"))
 
 
