@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from . import q_audit, q_frontier, q_hedonic, q_induction, q_market, q_merge, q_rules, q_scalars, q_search, q_state, q_stats, q_values, q_versions  # noqa: F401
+    from . import q_audit, q_frontier, q_hedonic, q_induction, q_market, q_merge, q_rules, q_scalars, q_search, q_sources, q_state, q_stats, q_values, q_versions  # noqa: F401
 
 
 load()

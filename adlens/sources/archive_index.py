@@ -18,7 +18,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from ..operators import cursors as C
-from .blob_store import _opened
+from .blob_store import _opened, put
 from .files import captures
 from .versions import VersionedTable
 
@@ -156,3 +156,14 @@ def discover(root: str, source_key: str, found: VersionedTable, cursors: Version
     after = spark.createDataFrame(moved, CURSORS)
     cursors.update(lambda _: after, lambda old, new: C.save(old, new))
     return len(moved)
+
+
+def store_pages(rows: DataFrame, root: str) -> None:
+    """Write pages (domain, year, asked, content) where ``pages`` looks for them, each whole or not at all."""
+
+    def write(found: Iterator) -> None:
+        system, where = _opened(root.rstrip("/"))
+        for r in found:
+            put(system, where, f"{r.domain}/{r.year}/{r.name}", r.content.encode())
+
+    rows.select("domain", "year", page_name(F.col("asked")).alias("name"), "content").foreachPartition(write)
