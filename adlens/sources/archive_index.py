@@ -1,7 +1,7 @@
 """Stored pages of the archive's index as a data source that goes on where it stopped.
 
 A page lies at ``<root>/<domain>/<year>/<name>.json``, where the name is ``first`` or the sha256 of the resume key that it was asked with; so a page's end names the next page, as the
-archive's own answers do. Domains and years are independent: each is a partition, whose pages are followed one after another, and one page is held at a time.
+archive's own answers do. Domains and years are independent: they are dealt to tasks, which follow the pages of each one after another and hold one page at a time.
 """
 from __future__ import annotations
 
@@ -44,10 +44,10 @@ def next_key(rows: list) -> str | None:
 
 
 @dataclass
-class Scope(InputPartition):
-    domain: str
-    year: int
-    asked: str | None
+class Scopes(InputPartition):
+    """Domains and years, each with the resume key that it goes on from, which one task follows in turn."""
+
+    scopes: list[tuple[str, int, str | None]]
 
 
 class IndexReader(DataSourceReader):
@@ -57,9 +57,10 @@ class IndexReader(DataSourceReader):
         self.domain = options.get("domain")
         self.years = range(int(options.get("fromYear", 0)), int(options.get("toYear", 9999)) + 1)
         self.cursors = json.loads(options.get("cursors", "{}"))
+        self.tasks = int(options.get("tasks", 200))
 
-    def partitions(self) -> Sequence[Scope]:
-        """A partition for each domain and year that isn't done."""
+    def partitions(self) -> Sequence[Scopes]:
+        """The domains and years that aren't done, dealt to ``tasks`` partitions at most."""
         system, root = _opened(self.root)
         folders = lambda path: sorted(i.base_name for i in system.get_file_info(fs.FileSelector(path, allow_not_found=True)) if i.type == fs.FileType.Directory)
         out = []
@@ -69,16 +70,19 @@ class IndexReader(DataSourceReader):
                     continue
                 key, done = self.cursors.get(f"{domain}/{year}", (None, False))
                 if not done:
-                    out.append(Scope(domain, int(year), key))
-        return out
+                    out.append((domain, int(year), key))
+        n = min(len(out), self.tasks)
+        return [Scopes(out[i::n]) for i in range(n)]
+
+    def read(self, dealt: Scopes | None) -> Iterator[pa.RecordBatch]:
+        for scope in dealt.scopes if dealt is not None else []:  # nothing to read is one empty partition
+            yield from self.follow(*scope)
 
-    def read(self, scope: Scope | None) -> Iterator[pa.RecordBatch]:
-        if scope is None:  # nothing to read is one empty partition
-            return
+    def follow(self, domain: str, year: int, asked: str | None) -> Iterator[pa.RecordBatch]:
         system, root = _opened(self.root)
-        asked, page = scope.asked, 0
+        page = 0
         while not self.most or page < self.most:
-            path = f"{root}/{scope.domain}/{scope.year}/{_name(asked)}"
+            path = f"{root}/{domain}/{year}/{_name(asked)}"
             if system.get_file_info(path).type != fs.FileType.File:
                 return  # not stored yet: the cursor stays before it
             with system.open_input_stream(path) as stream:
@@ -88,14 +92,14 @@ class IndexReader(DataSourceReader):
             if key is not None and len(rows) == 3:
                 key = None  # a page without captures ends the listing
             page += 1
-            yield pa.RecordBatch.from_pydict({"domain": [scope.domain], "year": pa.array([scope.year], pa.int32()), "page": pa.array([page], pa.int32()), "asked": pa.array([asked], pa.string()), "content": [content or "[]"], "resume_key": pa.array([key], pa.string())})
+            yield pa.RecordBatch.from_pydict({"domain": [domain], "year": pa.array([year], pa.int32()), "page": pa.array([page], pa.int32()), "asked": pa.array([asked], pa.string()), "content": [content or "[]"], "resume_key": pa.array([key], pa.string())})
             if key is None:
                 return
             asked = key
 
 
 class ArchiveIndex(DataSource):
-    """Options: path; domain, fromYear, toYear choose scopes; maxPages bounds the pages of each; cursors is ``{"domain/year": [resume key, done]}``."""
+    """Options: path; domain, fromYear, toYear choose scopes; maxPages bounds the pages of each; tasks bounds the partitions; cursors is ``{"domain/year": [resume key, done]}``."""
 
     @classmethod
     def name(cls) -> str:
