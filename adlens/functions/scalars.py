@@ -46,13 +46,17 @@ def ascii_digits(text: Column) -> Column:
 
 
 def first_number(text: Column) -> Column:
-    """First number with its thousands separators and scale word applied, as decimal(30,6); null without one."""
+    """First number with its thousands separators and scale word applied, as decimal(30,6); null without one, or where it has over 24 digits before the point.
+
+    ``m`` and ``k`` count in either case where they follow a digit and no letter, digit or underscore follows them.
+    """
     raw = ascii_digits(text)
-    pattern = r"(?iu)(?<![\d.])(\d{1,3}(?:[,\s]\d{3})+|\d+)(\.\d+)?(\s*(?:مليون|million|mn\b)|m\b|\s*(?:ألف|الف|آلاف|الاف|thousand)|k\b)?"
+    end = r"(?![\p{L}\p{N}_])"
+    pattern = rf"(?iu)(?<![\d.])(\d{{1,3}}(?:[,\s]\d{{3}})+|\d+)(\.\d+)?(?:\s*(مليون|million|mn{end}|ألف|الف|آلاف|الاف|thousand)|(m{end}|k{end}))?"
     whole = F.regexp_replace(F.regexp_extract(raw, pattern, 1), r"[,\s]", "")
-    scale = F.lower(F.trim(F.regexp_extract(raw, pattern, 3)))
+    scale = F.lower(F.concat(F.regexp_extract(raw, pattern, 3), F.regexp_extract(raw, pattern, 4)))
     factor = F.when(scale.isin("مليون", "million", "mn", "m"), 1_000_000).when(scale == "", 1).otherwise(1_000)
-    return F.when(whole != "", (F.concat(whole, F.regexp_extract(raw, pattern, 2)).try_cast("decimal(24,6)") * factor).cast("decimal(30,6)"))
+    return F.when(whole != "", (F.concat(whole, F.regexp_extract(raw, pattern, 2)).try_cast("decimal(30,6)") * factor).try_cast("decimal(30,6)"))
 
 
 def currency(text: Column) -> Column:
