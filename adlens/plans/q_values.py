@@ -11,10 +11,12 @@ from ..sources.views import table
 from .registry import query
 
 
-@query("prices_parsed", """SELECT p_partkey AS id, CASE p_partkey % 8 WHEN 0 THEN p_partkey + 100.0 WHEN 1 THEN p_partkey * 1000.0 WHEN 2 THEN (p_partkey % 900 + 1) * 1000 + 500.0 WHEN 3 THEN p_partkey * 1000000.0 WHEN 5 THEN p_partkey + 100.0
-    WHEN 6 THEN CASE WHEN p_partkey % 10 >= 5 THEN p_partkey % 10 * 1.0 END WHEN 7 THEN p_partkey + 200.0 END::DOUBLE AS amount,
-  CASE p_partkey % 8 WHEN 0 THEN 'EGP' WHEN 1 THEN 'EGP' WHEN 2 THEN 'USD' WHEN 5 THEN 'GBP' WHEN 6 THEN 'USD' END AS currency,
-  CASE p_partkey % 8 WHEN 0 THEN 'PER_MONTH' WHEN 3 THEN 'INSTALLMENT' WHEN 4 THEN 'ON_REQUEST' WHEN 6 THEN CASE WHEN p_partkey % 10 >= 5 THEN 'PER_NIGHT' ELSE 'UNKNOWN' END ELSE 'TOTAL' END AS price_type FROM part WHERE p_partkey > 0""")
+@query("prices_parsed", """WITH t AS (SELECT p_partkey AS id, p_partkey % 8 AS form,
+    CASE p_partkey % 8 WHEN 0 THEN p_partkey + 100.0 WHEN 1 THEN p_partkey * 1000.0 WHEN 2 THEN (p_partkey % 900 + 1) * 1000 + 500.0 WHEN 3 THEN p_partkey * 1000000.0 WHEN 5 THEN p_partkey + 100.0 WHEN 6 THEN p_partkey % 10 * 1.0 WHEN 7 THEN p_partkey + 200.0 END::DOUBLE AS said,
+    CASE p_partkey % 8 WHEN 0 THEN 'EGP' WHEN 1 THEN 'EGP' WHEN 2 THEN 'USD' WHEN 5 THEN 'GBP' WHEN 6 THEN 'USD' END AS currency,
+    CASE p_partkey % 8 WHEN 0 THEN 'PER_MONTH' WHEN 3 THEN 'INSTALLMENT' WHEN 6 THEN 'PER_NIGHT' ELSE 'TOTAL' END AS kind FROM part WHERE p_partkey > 0),
+  b AS (SELECT *, CASE WHEN said BETWEEN CASE form WHEN 6 THEN 5 ELSE 100 END AND 999999999999 THEN said END AS amount FROM t)
+  SELECT id, amount, currency, CASE WHEN form = 4 THEN 'ON_REQUEST' WHEN amount IS NULL THEN 'UNKNOWN' ELSE kind END AS price_type FROM b""")
 def prices_parsed(spark, d):
     k = F.col("p_partkey")
     text = (

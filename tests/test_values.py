@@ -23,3 +23,9 @@ def test_first_numbers_scale_words(spark, tmp_path):
     got = {r.doc_id: r.v for r in matches(spark, tmp_path, "documents", "first_numbers").collect()}
     want = dict(enumerate(texts.values()))
     assert got == {i: want[i] for i in got} and len(got) == len(want) - 1  # "a7k_" is passed over
+
+
+def test_prices_parsed_beyond_the_bounds(spark, tmp_path):
+    spark.range(999_990, 1_000_040).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.id: (r.amount, r.price_type) for r in matches(spark, tmp_path, "part", "prices_parsed").collect()}
+    assert got[999_995] == (999_995e6, "INSTALLMENT") and got[1_000_003] == (None, "UNKNOWN")
