@@ -31,13 +31,22 @@ def _same(keys: Sequence[str]) -> Column:
     return out
 
 
+def value_counts(rows: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
+    """keys, _v, _t: each distinct value of a key as a double, and its rows. Null values don't count."""
+    return rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_t"))
+
+
 def exact_quantiles(rows: DataFrame, value: str, keys: Sequence[str], qs: Sequence[float]) -> DataFrame:
     """keys, n and ``q``, an array of the exact quantiles ``qs`` of each group, by linear interpolation.
 
     Null values don't count; a group without others is left out, and a null key is a group of its own. Equal values are combined before
     the shuffle; of each group only the bands in which a quantile falls are sorted.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_t"))
+    return quantiles_of(value_counts(rows, value, keys), keys, qs)
+
+
+def quantiles_of(counts: DataFrame, keys: Sequence[str], qs: Sequence[float]) -> DataFrame:
+    """``exact_quantiles`` of what ``value_counts`` gives."""
     counts = counts.withColumn("_b", band(F.col("_v")))
     at = lambda q: (F.col("_n") - 1) * F.lit(float(q))
     wanted = F.array_distinct(F.array(*(f(at(q)) for q in qs for f in (F.floor, F.ceil))))

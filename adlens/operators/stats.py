@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import lru_cache
+from functools import lru_cache, reduce
 from math import atan, cos, erfc, exp, log, pi, sin, sqrt
 
 import numpy as np
@@ -10,8 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import Stage, stage
 from .market import money
-from .quantiles import average_ranks, exact_quantiles
+from .quantiles import average_ranks, exact_quantiles, quantiles_of, value_counts
 
 
 def with_group(rows: DataFrame, keys: Sequence[str], **aggregates: Column) -> DataFrame:
@@ -34,25 +35,76 @@ def below_group_median(rows: DataFrame, value: str, keys: Sequence[str], *, shar
     return rows.withColumn("low", F.coalesce((F.col("_n") >= least) & (F.col(value) < share * F.col("_m")), F.lit(False))).drop("_n", "_m")
 
 
-def flag_mixture(rows: DataFrame, value: str, keys: Sequence[str], *, least: int = 30, passes: int = 2, seed: int = 1) -> DataFrame:
-    """``low``: the lower of two Gaussians on the log ratio to the group's upper quartile, refitted without what was flagged."""
-    from pyspark.ml.clustering import GaussianMixture
-    from pyspark.ml.feature import VectorAssembler
+def flag_mixture(rows: DataFrame, value: str, keys: Sequence[str], *, least: int = 30, passes: int = 2, work: Stage | None = None) -> DataFrame:
+    """``low``: the lower of two Gaussians on the log ratio to the group's upper quartile, refitted without what was flagged.
 
-    rows = rows.withColumn("low", F.lit(False))
-    for _ in range(passes):
-        part = with_group(rows, keys, _n=F.count(F.when(~F.col("low"), F.col(value))), _q=F.percentile(F.when(~F.col("low"), F.col(value)), 0.75))
-        part = part.withColumn("_r", F.when((F.col("_n") >= least) & (F.col(value) > 0) & (F.col("_q") > 0), F.log(F.col(value) / F.col("_q"))))
-        fit = part.where(~F.col("low") & F.col("_r").isNotNull())
-        if not fit.take(1):
-            return part.drop("_n", "_q", "_r")
-        vec = VectorAssembler(inputCols=["_r"], outputCol="_v")
-        model = GaussianMixture(k=2, featuresCol="_v", seed=seed, maxIter=50).fit(vec.transform(fit))
-        params = sorted((float(g.mean[0]), float(g.cov.toArray()[0, 0]), w) for g, w in zip(model.gaussians, model.weights, strict=True))
-        dens = [F.lit(w) * F.exp(-F.pow(F.col("_r") - m, 2) / (2 * max(v, 1e-9))) / sqrt(max(v, 1e-9)) for m, v, w in params]
-        lower = (dens[0] > dens[1]) & (F.col("_r") < params[1][0])
-        rows = part.withColumn("low", F.col("low") | F.coalesce(lower, F.lit(False))).drop("_n", "_q", "_r")
-    return rows
+    A flag follows from group and value, so fits see each group's distinct values with their counts, and the rows are read once for these and once
+    for the result. The quartiles, a row a group, are stored in ``work``, which the result reads. A null key is a group of its own.
+    """
+    work = work or Stage(rows.sparkSession)
+    r, low = F.log(F.when(F.col("_v") > 0, F.col("_v")) / F.col("_q")), F.col("low")
+
+    def beside(part: DataFrame, quartiles: DataFrame) -> DataFrame:
+        named = quartiles.select(F.col("_q"), *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)))
+        same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)), F.lit(True))
+        return part.join(named, same, "left").drop(*(f"_k{i}" for i in range(len(keys))))
+
+    with stage(rows.sparkSession) as held:
+        counts = held.store(value_counts(rows, value, keys), "counts")
+        seen, rows = counts.withColumn("low", F.lit(False)), rows.withColumns({"low": F.lit(False), "_v": F.col(value).cast("double")})
+        for _ in range(passes):
+            found = quantiles_of(seen.where(~low), keys, [0.75]).where(F.col("n") >= least).select(*keys, F.col("q")[0].alias("_q")).where("_q > 0")
+            quartiles = work.store(found, "quartiles")
+            params = two_normals(held.store(beside(seen, quartiles).where(~low).select(r.alias("r"), F.col("_t").alias("n")).where("r is not null"), "ratios"), "r", "n")
+            if not params:
+                break
+            score = lambda m, v, w: F.lit(log(w) - log(v) / 2) - F.pow(r - m, 2) / (2 * v)
+            lower = low | F.coalesce((score(*params[0]) > score(*params[1])) & (r < params[1][0]), F.lit(False))
+            seen, rows = (beside(part, quartiles).withColumn("low", lower).drop("_q") for part in (seen, rows))
+    return rows.drop("_v")
+
+
+#: Bins of the histogram on which a mixture is first fitted, for each unit.
+BINS = 1024
+
+
+def two_normals(rows: DataFrame, x: str, weight: str, *, rounds: int = 20, tolerance: float = 1e-6) -> list[tuple[float, float, float]]:
+    """(mean, variance, weight) of two Gaussians, the lower first, by expectation maximisation until it settles; none without rows.
+
+    It starts a deviation below and above the mean, and settles on a histogram's counts and means, which reach the driver (``BINS`` a unit). From there it goes on with
+    rounds over all rows, an aggregation each, until no parameter moves by ``tolerance``: one or two as a rule.
+    """
+    value, n = F.col(x), F.col(weight)
+    bins = rows.groupBy(F.floor(value * BINS)).agg(F.sum(n).cast("double").alias("n"), (F.sum(n * value) / F.sum(n)).alias("x")).select("n", "x").toPandas()
+    if not len(bins):
+        return []
+    at, held = bins.x.to_numpy(), bins.n.to_numpy()
+    total, mean = held.sum(), np.average(at, weights=held)
+    spread = max(float(np.average((at - mean) ** 2, weights=held)), 1e-9)
+    fit = np.array([(mean - sqrt(spread), spread, 0.5), (mean + sqrt(spread), spread, 0.5)])
+
+    def moved(sums: np.ndarray) -> np.ndarray:
+        """The next fit by each side's weight, and its sums of distances from the present mean and of their squares."""
+        s, d, q = np.maximum(sums[:, 0], 1e-300), sums[:, 1], sums[:, 2]
+        new = np.stack([fit[:, 0] + d / s, np.maximum(q / s - (d / s) ** 2, 1e-9), np.clip(s / total, 1e-9, 1)], 1)
+        return np.where((sums[:, 0] > 1e-9 * total)[:, None], new, fit)
+
+    for _ in range(20_000):
+        score = [log(w) - log(v) / 2 - (at - m) ** 2 / (2 * v) for m, v, w in fit]
+        lower = held / (1 + np.exp(np.minimum(score[1] - score[0], 700.0)))
+        new = moved(np.array([[c.sum(), (c * (at - m)).sum(), (c * (at - m) ** 2).sum()] for c, m in zip((lower, held - lower), fit[:, 0], strict=True)]))
+        done, fit = np.abs(new - fit).max() < tolerance / 1000, new
+        if done:
+            break
+    for _ in range(rounds):
+        a, b = (F.lit(log(w) - log(v) / 2) - F.pow(value - float(m), 2) / (2 * float(v)) for m, v, w in fit)
+        lower = n / (1 + F.exp(F.least(b - a, F.lit(700.0))))
+        sums = [F.sum(e) for c, m in zip((lower, n - lower), fit[:, 0].tolist(), strict=True) for e in (c, c * (value - m), c * F.pow(value - m, 2))]
+        new = moved(np.array(list(rows.agg(*(c.alias(f"s{i}") for i, c in enumerate(sums))).first())).reshape(2, 3))
+        done, fit = np.abs(new - fit).max() < tolerance, new
+        if done:
+            break
+    return sorted(tuple(map(float, row)) for row in fit)
 
 
 def mann_whitney(rows: DataFrame, value: str, group: str, a: str, b: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import market as M
 from ..operators import stats as S
+from ..sources.staging import fresh
 from ..sources.views import table
 from .registry import query
 
@@ -35,7 +36,7 @@ def below_median(spark, d):
 
 @query("mixture_flags")
 def mixture_flags(spark, d):
-    return S.flag_mixture(base(spark, d), "v", ["kind"]).groupBy("kind").agg(F.count_if("low").alias("low"), F.count(F.lit(1)).alias("n"))
+    return S.flag_mixture(base(spark, d), "v", ["kind"], work=fresh(spark, "mixture_flags")).groupBy("kind").agg(F.count_if("low").alias("low"), F.count(F.lit(1)).alias("n"))
 
 
 @query("median_by_group", f"WITH {_BASE} SELECT brand, y, count(v) AS n, {_MED} AS median FROM base GROUP BY ALL HAVING count(v) >= 20")
