@@ -483,48 +483,69 @@ def paired_t(a: Sequence[float], b: Sequence[float]) -> tuple[float, float]:
     return t, student_p(t, len(d) - 1)
 
 
-def positions(rows: DataFrame, order: Column, name: str) -> DataFrame:
-    """``name``: the rows numbered from 0 in the order of a hash, in ranges of it. The ranges' counts pass the driver."""
+def positions(rows: DataFrame, order: Column, name: str, within: Column | None = None, groups: int = 1) -> DataFrame:
+    """``name``: the rows numbered from 0 in the order of a hash, in ranges of it. The ranges' counts pass the driver.
+
+    ``within``, a number below ``groups``, comes before the hash: a group's rows are numbered in one run.
+    """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.withColumn("_h", order).withColumn("_b", F.floor((F.shiftrightunsigned("_h", 33) * parts) / (1 << 31)).cast("int"))
+    lead = within.cast("int") * parts if within is not None else F.lit(0)
+    rows = rows.withColumn("_h", order).withColumn("_b", lead + F.floor((F.shiftrightunsigned("_h", 33) * parts) / (1 << 31)).cast("int"))
     counts = dict(rows.groupBy("_b").count().collect())
-    begins = dict(zip(sorted(counts), np.cumsum([0, *(counts[b] for b in sorted(counts))]).tolist(), strict=False))
-    first = F.element_at(F.create_map(*(F.lit(x) for kv in begins.items() for x in kv)), F.col("_b")) if begins else F.lit(0)
+    begins = np.cumsum([0, *(counts.get(b, 0) for b in range(groups * parts - 1))]).tolist()
+    first = F.get(F.array(*map(F.lit, begins)), F.col("_b"))
     return rows.withColumn(name, first + F.row_number().over(Window.partitionBy("_b").orderBy("_h")) - 1).drop("_h", "_b")
 
 
+def dealt(rows: DataFrame, columns: Sequence[str], by: Sequence[str], seed: int, within: str | None = None, groups: int = 1) -> DataFrame:
+    """``rows`` with ``_s_c``, the values of each column c dealt out anew, inside the groups of ``within``: two orders by hash are joined at each place."""
+    lead = F.col(within) if within else None
+    a = positions(rows, F.xxhash64(*by, F.lit(seed)), "_i", lead, groups)
+    b = positions(rows.select(*by, *([within] if within else [])), F.xxhash64(*by, F.lit(seed + 1)), "_i", lead, groups)
+    return a.join(b.select("_i", *(F.col(c).alias(f"_s_{c}") for c in columns)), "_i").drop("_i")
+
+
 def shuffled(rows: DataFrame, column: str, by: Sequence[str], seed: int) -> DataFrame:
-    """``rows`` with the values of one column dealt out anew: two orders by hash are joined at each place."""
-    a = positions(rows, F.xxhash64(*by, F.lit(seed)), "_i")
-    b = positions(rows.select(*by), F.xxhash64(*by, F.lit(seed + 1)), "_i").select("_i", F.col(column).alias("_s"))
-    return a.join(b, "_i").withColumn(column, F.col("_s")).drop("_i", "_s")
+    """``rows`` with the values of one column dealt out anew."""
+    return dealt(rows, [column], by, seed).withColumn(column, F.col(f"_s_{column}")).drop(f"_s_{column}")
 
 
 def boosted(rows: DataFrame, x: Sequence[str], y: str, *, folds: int = 5, seed: int = 3, iterations: int = 20) -> pd.DataFrame:
     """Cross-validated R squared of gradient boosting, and the loss of it when one feature is shuffled.
 
     ``r2_less`` is the R squared without the last feature, ``t`` and ``p`` (the same in each row) the paired t test of the folds' two scores.
+    Rows of one fold and equal features are a cell: the trees' squared errors follow from its count and mean, R squared from its sums, so fits and scores see the cells. All folds are
+    shuffled at once, each within itself.
     """
-    from pyspark.ml.evaluation import RegressionEvaluator
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    rows = rows.select(*x, y).na.drop().withColumn("_fold", F.pmod(F.xxhash64(*x, y, F.lit(seed)), F.lit(folds))).persist()
-    r2 = RegressionEvaluator(labelCol=y, metricName="r2")
+    value = F.col("_y")
+    sums = (F.count(F.lit(1)).cast("double").alias("n"), F.sum(value).alias("s"), F.sum(value * value).alias("ss"))
+    features = [f"_x{i}" for i in range(len(x))]
+    loss = F.sum(F.col("ss") - 2 * F.col("prediction") * F.col("s") + F.col("n") * F.pow("prediction", 2))
+    r2 = (1 - loss / (F.sum("ss") - F.pow(F.sum("s"), 2) / F.sum("n"))).alias("r2")
     out = []
-    for fold in range(folds):
-        train, test = rows.where(F.col("_fold") != fold), rows.where(F.col("_fold") == fold)
-
-        def scorer(features: Sequence[str], train=train):
-            assemble = VectorAssembler(inputCols=list(features), outputCol="_x")
-            model = GBTRegressor(featuresCol="_x", labelCol=y, maxIter=iterations, seed=seed).fit(assemble.transform(train))
-            return lambda part: r2.evaluate(model.transform(assemble.transform(part)))
-
-        score = scorer(x)
-        base = score(test)
-        row = {"fold": fold, "r2": base, "r2_less": scorer(x[:-1])(test) if len(x) > 1 else 0.0}
-        row |= {f"importance_{c}": base - score(shuffled(test, c, [*x, y], seed)) for c in x}
-        out.append(row)
-    rows.unpersist()
+    with stage(rows.sparkSession) as work:
+        rows = rows.select(*x, y).na.drop().withColumn("_fold", F.pmod(F.xxhash64(*x, y, F.lit(seed)), F.lit(folds))).withColumn("_y", F.col(y).cast("double"))
+        rows = work.store(rows, "rows")
+        cells = work.store(rows.groupBy("_fold", *(F.col(c).cast("double").alias(f) for c, f in zip(x, features, strict=True))).agg(*sums), "cells")
+        # A row's features with one of them from another row, for each of them.
+        swaps = [F.struct(F.lit(c).alias("swapped"), *(F.col(f"_s_{o}" if o == c else o).cast("double").alias(f) for o, f in zip(x, features, strict=True))) for c in x]
+        swapped = dealt(rows, x, [*x, y], seed, "_fold", folds).select("_fold", "_y", F.explode(F.array(*swaps)).alias("to")).select("_fold", "_y", "to.*")
+        swapped = work.store(swapped.groupBy("_fold", "swapped", *features).agg(*sums), "swapped")
+        for fold in range(folds):
+
+            def model(used: Sequence[str], fold=fold):
+                train = cells.where(F.col("_fold") != fold).groupBy(*used).agg((F.sum("s") / F.sum("n")).alias("_mean"), F.sum("n").alias("n"))
+                assemble = VectorAssembler(inputCols=list(used), outputCol="_x")
+                fit = GBTRegressor(featuresCol="_x", labelCol="_mean", weightCol="n", maxIter=iterations, seed=seed).fit(assemble.transform(train))
+                return lambda part: fit.transform(assemble.transform(part.where(F.col("_fold") == fold)))
+
+            whole = model(features)
+            base = whole(cells).agg(r2).first().r2
+            row = {"fold": fold, "r2": base, "r2_less": model(features[:-1])(cells).agg(r2).first().r2 if len(x) > 1 else 0.0}
+            after = dict(whole(swapped).groupBy("swapped").agg(r2).collect())  # a row a feature
+            out.append(row | {f"importance_{c}": base - after[c] for c in x})
     t, p = paired_t([r["r2"] for r in out], [r["r2_less"] for r in out])
     return pd.DataFrame(out).assign(t=t, p=p)

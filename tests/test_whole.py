@@ -100,6 +100,23 @@ def test_boosted_tests_the_last_feature(spark):
     assert out.t.iloc[0] > 0 and 0 <= out.p.iloc[0] < 0.05
 
 
+def test_boosted_fits_cells(spark, monkeypatch):
+    """Trees see one weighted row for each combination of features, whose scores are those of all rows."""
+    import pyspark.ml.regression as ml
+
+    fit, seen = ml.GBTRegressor.fit, []
+    monkeypatch.setattr(ml.GBTRegressor, "fit", lambda self, data, *more: seen.append(data.count()) or fit(self, data, *more))
+    rows = spark.createDataFrame([(float(i % 10), float(i * 7 % 11), float(i % 10 + 3 * (i * 7 % 11)) + i % 3 * 0.1) for i in range(3300)], "a double, b double, v double")
+    out = S.boosted(rows, ["a", "b"], "v", folds=2, iterations=3)
+    assert min(seen) == 10 and max(seen) <= 110 and out.r2.between(0.8, 1).all()
+
+
+def test_dealt_stays_in_its_group(spark):
+    rows = spark.range(3000).select((F.col("id") % 3).alias("g"), "id", (F.col("id") * 10 + F.col("id") % 3).alias("v"))
+    got = S.dealt(rows, ["v"], ["id", "v"], 3, "g", 3).collect()
+    assert len(got) == 3000 and all(r._s_v % 10 == r.g for r in got) and {r._s_v for r in got} == {r.v for r in got} and sum(r.v == r._s_v for r in got) < 30
+
+
 def test_p_values(spark):
     """Upper five per cent of chi squared with 1 to 5 degrees, and of the normal distribution."""
     x = [(3.841459, 1), (5.991465, 2), (7.814728, 3), (9.487729, 4), (11.070498, 5)]
