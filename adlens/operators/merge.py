@@ -107,24 +107,25 @@ def rebuild(rows: DataFrame, carried: Sequence[str] = CARRIED) -> DataFrame:
     carried = [c for c in carried if c in kinds]
     order = Window.partitionBy(*KEY).orderBy("observed_at", "document_id", "position")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # Sightings since the last live one form an epoch; values are carried inside it.
+    # Sightings since the last live one form an epoch; values are carried inside it: what an earlier epoch showed last is none. One order, and so one sort, serves all.
     rows = rows.withColumn("_epoch", F.sum((~F.col("historical")).cast("int")).over(upto))
-    newest = Window.partitionBy(*KEY).orderBy(F.desc("observed_at"), F.desc("document_id"), F.desc("position"))
-    inside = Window.partitionBy(*KEY, "_epoch").orderBy("observed_at", "document_id", "position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = {c: F.last(F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), F.col("document_id").alias("d"))), ignorenulls=True).over(inside) for c in carried}
-    out = rows.withColumns({f"_c_{c}": v for c, v in last.items()})
-    if "location_name" in kinds:
-        known = F.when(F.col("location_name") != UNKNOWN_LOCATION, F.col("location_name"))
-        out = out.withColumn("location_name", F.coalesce(F.last(known, ignorenulls=True).over(inside), F.col("location_name")))
-    everything = Window.partitionBy(*KEY)
-    out = out.withColumns({
-        "first_observed_at": F.min("observed_at").over(everything), "last_observed_at": F.max("observed_at").over(everything),
-        "sightings": F.count(F.lit(1)).over(everything), "_n": F.row_number().over(newest),
-    }).where("_n = 1")
+
+    def shown(value: Column) -> Column:
+        return F.last(F.when(value.isNotNull(), F.struct(value.alias("v"), F.col("document_id").alias("d"), F.col("_epoch").alias("e"))), ignorenulls=True).over(upto)
+
+    known = F.when(F.col("location_name") != UNKNOWN_LOCATION, F.col("location_name")) if "location_name" in kinds else None
+    out = rows.withColumns(
+        {f"_c_{c}": shown(F.col(c)) for c in carried} | ({"_place": shown(known)} if known is not None else {})
+        | {"first_observed_at": F.min("observed_at").over(upto), "last_observed_at": F.max("observed_at").over(upto), "sightings": F.count(F.lit(1)).over(upto), "_more": F.lead(F.lit(1)).over(order)}
+    ).where("_more is null")
+    inside = lambda name: F.when(F.col(name)["e"].eqNullSafe(F.col("_epoch")), F.col(name))
+    out = out.withColumns({f"_c_{c}": inside(f"_c_{c}") for c in carried})
+    if known is not None:
+        out = out.withColumn("location_name", F.coalesce(inside("_place")["v"], F.col("location_name"))).drop("_place")
     pairs = [F.when(F.col(c).isNull() & F.col(f"_c_{c}").isNotNull(), F.concat(F.lit(c + "="), F.col(f"_c_{c}")["d"].cast("string"))) for c in carried]
     out = out.withColumn("provenance", F.array_join(F.array_sort(F.array_compact(F.array(*pairs))), ",") if pairs else F.lit(""))
     out = out.withColumns({c: F.col(f"_c_{c}")["v"] for c in carried})
-    return out.drop("_n", "_epoch", *(f"_c_{c}" for c in carried))
+    return out.drop("_more", "_epoch", *(f"_c_{c}" for c in carried))
 
 
 def upsert(state: DataFrame, sightings: DataFrame) -> DataFrame:

@@ -152,3 +152,16 @@ def test_timestamps(spark):
     row = spark.createDataFrame([("20131027",), ("2013",), ("20130305032637",)], "t string").select(Q.capture_quarter(F.col("t")).alias("q"), Q.captured_at(F.col("t")).alias("at")).collect()
     assert [r.q for r in row] == ["2013Q4", "2013Q1", "2013Q1"]
     assert [r.at for r in row] == [datetime(2013, 10, 27), datetime(2013, 1, 1), datetime(2013, 3, 5, 3, 26, 37)]
+
+
+def test_rebuild_sorts_once(spark):
+    rows = spark.createDataFrame(
+        [("s", "a", datetime(2020, 1, n), n, 0, b, w, h) for n, b, w, h in ((1, 2, "x", True), (2, None, "unknown", True), (3, None, "unknown", False), (4, None, "unknown", True))]
+        + [("s", "b", datetime(2020, 1, n), n, 0, b, w, True) for n, b, w in ((1, 2, "x"), (2, None, "unknown"))],
+        "source_key string, external_id string, observed_at timestamp_ntz, document_id long, position int, bedrooms long, location_name string, historical boolean",
+    )
+    out = G.rebuild(rows)
+    got = {r.external_id: (r.bedrooms, r.location_name, r.sightings, r.provenance, r.first_observed_at.day, r.last_observed_at.day) for r in out.collect()}
+    assert got == {"a": (None, "unknown", 4, "", 1, 4), "b": (2, "x", 2, "bedrooms=1", 1, 2)}
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count(" Sort [") <= 1, plan
