@@ -165,3 +165,12 @@ def test_rebuild_sorts_once(spark):
     assert got == {"a": (None, "unknown", 4, "", 1, 4), "b": (2, "x", 2, "bedrooms=1", 1, 2)}
     plan = out._jdf.queryExecution().sparkPlan().toString()
     assert out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count(" Sort [") <= 1, plan
+
+
+def test_a_released_tree_has_no_ties():
+    from adlens.functions import html as H
+
+    root = H.parse("<html><body><p>a</p></body></html>")
+    node = next(iter(H.select(root, "p")))
+    H.release(root)
+    assert node.parent is None and not root.children
