@@ -87,6 +87,10 @@ def decided(pattern: Column) -> Column:
     return F.struct(F.lit("FETCH").alias("decision"), F.when(F.regexp_replace(pattern, r"\(\?:\[\?#\]\|\$\)$", "").contains(r"\d+"), "DETAIL").otherwise("LIST").alias("page_kind"))
 
 
+def _missed(routed: DataFrame) -> DataFrame:
+    return routed.where("decision = 'UNROUTED'").select("url")
+
+
 def induce_routes(universe: DataFrame, graph: R.Graph, *, url: str = "url", limits: RouteLimits = RouteLimits(), rounds: int = 10) -> tuple[R.Graph, list[dict]]:
     """The graph with routes for the URLs that it misses, and these rules as dicts: round, key, pattern, width, gain, decision, page_kind.
 
@@ -97,8 +101,9 @@ def induce_routes(universe: DataFrame, graph: R.Graph, *, url: str = "url", limi
     made: list[dict] = []
     with stage(spark) as work:
         fair = work.store(pattern_reach(universe, url, limits), "fair")
+        # Stored, so that rules are tried on the misses in one pass of Python, not behind another; what a round's rules don't take is missed by the next graph.
+        missed = work.store(_missed(R.route_urls(universe.select(F.col(url).alias("url")), graph, key="url")), "missed")
         for turn in range(1, rounds + 1):
-            missed = R.route_urls(universe.select(F.col(url).alias("url")), graph, key="url").where("decision = 'UNROUTED'").select(F.col("url"))
             groups = work.store(missed.select(url_patterns(F.col("url")).alias("patterns")).where("patterns is not null").groupBy("patterns").agg(F.count(F.lit(1)).alias("n")), "misses")
             found = cover(groups, fair, work, limits.least_misses).select("pattern", "width", "gain", decided(F.col("pattern")).alias("d"))
             rows = found.orderBy(F.desc("gain"), "width", "pattern").limit(limits.rules).collect()
@@ -109,12 +114,14 @@ def induce_routes(universe: DataFrame, graph: R.Graph, *, url: str = "url", limi
             nodes = [R.Rule(k, "ROUTE", {"decision": r.d.decision, "page_kind": r.d.page_kind, "gain": r.gain}, "INDUCED") for k, r in zip(names, rows, strict=True)]
             edges = [R.Edge(R.ROOT, k, {"type": "url_regex", "pattern": r.pattern}, last + 1 + i) for i, (k, r) in enumerate(zip(names, rows, strict=True))]
             trial = graph.revised(add=nodes, link=edges)
-            winners = {r[0] for r in R.route_urls(missed, trial, key="url").select("node").distinct().collect()}  # rules, not URLs
+            tried = work.store(R.route_urls(missed, trial, key="url").select("url", "decision", "node"), "tried")
+            winners = {r[0] for r in tried.select("node").distinct().collect()}  # rules, not URLs
             idle = [k for k in names if k not in winners]
             graph = R.replace(trial.revised(remove=idle), version=trial.version) if idle else trial
             made += [{"round": turn, "key": k, "pattern": r.pattern, "width": WIDTHS[r.width], "gain": r.gain, "decision": r.d.decision, "page_kind": r.d.page_kind} for k, r in zip(names, rows, strict=True) if k in winners]
             if len(idle) == len(names):
                 break
+            missed = _missed(tried)
     return graph, made
 
 

@@ -66,6 +66,24 @@ def test_rules_that_reach_too_far_are_out(spark):
     assert I.induce_routes(urls(spark, []), EMPTY) == (EMPTY, [])
 
 
+def test_rules_are_tried_in_one_pass_of_python(spark, monkeypatch):
+    """No URL goes through two Python processes of a task, and none is held by pandas; keys pass as they are."""
+    plans, whole = [], R.route_urls
+
+    def watched(rows, graph, **columns):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return whole(rows, graph, **columns)
+
+    monkeypatch.setattr(R, "route_urls", watched)
+    assert I.induce_routes(urls(spark, site()), EMPTY)[1]
+    assert len(plans) > 1 and not any("MapIn" in p for p in plans)
+    monkeypatch.undo()
+    keys = spark.createDataFrame([(2**53 + 1, "http://a.com/x"), (None, None)], "k long, url string")
+    routed = R.route_urls(keys, EMPTY, key="k")
+    assert "MapInPandas" not in routed._jdf.queryExecution().executedPlan().toString()
+    assert sorted(routed.select("k", "decision").collect(), key=str) == [(2**53 + 1, "UNROUTED"), (None, "UNROUTED")]
+
+
 def fingerprints(n, group, spread, seed):
     rng, out = random.Random(seed), []
     for _ in range(n // group):
