@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.versions import VersionedTable
+from ..sources.versions import BUCKET, VersionedTable
 
 #: Fixed: columns that an archived capture may not show.
 CARRIED = ("url", "description", "area_sqm", "bedrooms", "bathrooms", "city", "district", "latitude", "longitude", "listed_at")
@@ -71,9 +71,10 @@ def collapse(drafts: DataFrame, now: Column | None = None) -> DataFrame:
     return drafts.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
-def history(sightings: DataFrame) -> DataFrame:
-    """One observation per (advert, moment): of several the one processed last (document_id, position)."""
-    order = Window.partitionBy(*KEY, "observed_at").orderBy(F.desc("document_id"), F.desc("position"))
+def history(sightings: DataFrame, *within: str) -> DataFrame:
+    """One observation per (advert, moment): of several the one processed last (document_id, position). ``within`` are columns by which adverts are dealt out already."""
+    # A hash leads, so that sorts compare numbers and few texts.
+    order = Window.partitionBy(F.xxhash64(*KEY, "observed_at"), *within, *KEY, "observed_at").orderBy(F.desc("document_id"), F.desc("position"))
     return sightings.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
@@ -142,7 +143,8 @@ def merge_batch(table: VersionedTable, sightings: DataFrame, writer: str | None
     Only the buckets that the batch's adverts fall in are read and rewritten. A writer's batch is folded once; writers may be several. Sightings of the batch at the same moment as
     stored ones win if they were processed later, as in ``upsert``.
     """
-    return table.update(lambda _: sightings.select(*table.schema.names), lambda old, new: upsert(old, new), writer=writer, batch=batch)
+    fold = lambda old, new: history(old.unionByName(new).repartition(BUCKET), BUCKET)  # noqa: E731  ``upsert``, where the rows will be stored
+    return table.update(lambda _: sightings.select(*table.schema.names), fold, writer=writer, batch=batch, dealt=True)
 
 
 def append_new(target: DataFrame, rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
