@@ -52,11 +52,18 @@ def first_number(text: Column) -> Column:
     """
     raw = ascii_digits(text)
     end = r"(?![\p{L}\p{N}_])"
-    pattern = rf"(?iu)(?<![\d.])(\d{{1,3}}(?:[,\s]\d{{3}})+|\d+)(\.\d+)?(?:\s*(مليون|million|mn{end}|ألف|الف|آلاف|الاف|thousand)|(m{end}|k{end}))?"
-    whole = F.regexp_replace(F.regexp_extract(raw, pattern, 1), r"[,\s]", "")
-    scale = F.lower(F.concat(F.regexp_extract(raw, pattern, 3), F.regexp_extract(raw, pattern, 4)))
-    factor = F.when(scale.isin("مليون", "million", "mn", "m"), 1_000_000).when(scale == "", 1).otherwise(1_000)
-    return F.when(whole != "", (F.concat(whole, F.regexp_extract(raw, pattern, 2)).try_cast("decimal(30,6)") * factor).try_cast("decimal(30,6)"))
+    # Case by hand: Java's folding would take dotted and dotless Turkish letters for i.
+    pattern = rf"(?i)(?<![\d.])(\d{{1,3}}(?:[,\s]\d{{3}})+|\d+)(\.\d+)?(?:\s*(مليون|million|mn{end}|ألف|الف|آلاف|الاف|thou[sſ]and)|(m{end}|[k\u212A]{end}))?"
+
+    def value(found: Column) -> Column:
+        part = lambda n: F.regexp_extract(found, pattern, n)
+        scale = F.lower(F.concat(part(3), part(4)))
+        factor = F.when(scale.isin("مليون", "million", "mn", "m"), 1_000_000).when(scale == "", 1).otherwise(1_000)
+        return (F.concat(F.regexp_replace(part(1), r"[,\s]", ""), part(2)).try_cast("decimal(30,6)") * factor).try_cast("decimal(30,6)")
+
+    # A text is searched once, one without a digit not even that.
+    once = F.transform(F.array(F.regexp_extract(raw, pattern, 0)), lambda found: F.when(found != "", value(found)))[0]
+    return F.when(text.rlike("[0-9٠-٩۰-۹]"), once)
 
 
 def currency(text: Column) -> Column:

@@ -64,12 +64,12 @@ _END = r"(?:[^\p{L}\p{N}_]|$)"
 @query(
     "first_numbers",
     rf"""WITH n AS (SELECT doc_id, regexp_extract({_DIGITS}, '(?i)(?:^|[^\d.])(\d{{1,3}}(?:[,\s\x0B]\d{{3}})+|\d+)(\.\d+)?(?:[\s\x0B]*(?:(مليون|million)|(mn){_END}|(ألف|الف|آلاف|الاف|thousand))|(?:(m)|(k)){_END})?', ['whole', 'part', 'million', 'mn', 'thousand', 'm', 'k']) AS x
-    FROM documents WHERE regexp_matches(text, '^[^\d]*\d+[^\d.,\s\x0Bmk]'))
+    FROM documents)
   SELECT doc_id, CAST(CAST(TRY_CAST(TRY_CAST(nullif(regexp_replace(x.whole, '[,\s\x0B]', '', 'g'), '') || x.part AS DECIMAL(30,6)) * CAST(CASE WHEN x.million || x.mn || x.m <> '' THEN 1000000 WHEN x.thousand || x.k <> '' THEN 1000 ELSE 1 END AS DECIMAL(7,0)) AS DECIMAL(30,6)) AS VARCHAR) AS DOUBLE) AS v FROM n""",
 )
 def first_numbers(spark, d):
-    docs = table(spark, d, "documents").where(F.col("text").rlike(r"^[^\d]*\d+[^\d.,\smk]"))
-    return docs.select("doc_id", X.first_number(F.col("text")).cast("double").alias("v"))
+    """The first number of every document; null where there is none."""
+    return table(spark, d, "documents").select("doc_id", X.first_number(F.col("text")).cast("double").alias("v"))
 
 
 @query("prices_read")

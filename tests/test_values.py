@@ -25,6 +25,17 @@ def test_first_numbers_scale_words(spark, tmp_path):
     assert got == {i: want[i] for i in got} and len(got) == len(want) - 1  # "a7k_" is passed over
 
 
+def test_first_numbers_has_a_row_for_each_document(spark, tmp_path):
+    """Texts without a number, and those where white space, a separator or a scale word follows it, aren't passed over."""
+    texts = {
+        None: None, "": None, "none": None, "a7k_": 7.0, "7": 7.0, "3k": 3000.0, "5 m of rope": 5.0, "2 million": 2e6, "1,250.5 EGP": 1250.5, ".5": None, "x 1 250\n": 1250.0, "٣ مليون": 3e6, "v1.25": 1.25,
+        "8 mıllion": 8.0, "8 MİLLİON": 8.0, "8\u212A": 8000.0, "8 thouſand": 8000.0,
+    }
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.v for r in matches(spark, tmp_path, "documents", "first_numbers").collect()}
+    assert got == dict(enumerate(texts.values()))
+
+
 def test_prices_parsed_beyond_the_bounds(spark, tmp_path):
     spark.range(999_990, 1_000_040).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
     got = {r.id: (r.amount, r.price_type) for r in matches(spark, tmp_path, "part", "prices_parsed").collect()}
