@@ -9,13 +9,15 @@ that follows works on misses grouped by their patterns, so its size is that of t
 """
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import count, islice
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions import parse as P
-from ..sources.staging import Stage, stage
+from ..sources.staging import Stage, delete, stage
 from . import rules as R
 
 #: Fixed: characters that a pattern escapes, segments that it takes as any text (from this length), and what may follow a path.
@@ -25,13 +27,17 @@ WIDTHS = ("host and path", "domain and path", "path", "domain and first segment"
 
 @dataclass(frozen=True)
 class RouteLimits:
-    """Most shares of URLs and of shapes (from ``least_shapes`` on) that a rule may take, fewest misses that are worth a rule, rules a call."""
+    """Most shares of URLs and of shapes (from ``least_shapes`` on) that a rule may take, fewest misses that are worth a rule, rules a round (None: all)."""
 
     share: float = 0.9
     reach: float = 0.25
     least_shapes: int = 20
     least_misses: int = 1
-    rules: int = 1000
+    rules: int | None = None
+
+
+#: Rules that are tried on the misses at once: what is broadcast is bounded, and all rules come to their turn.
+AT_ONCE = 5000
 
 
 def url_patterns(url: Column) -> Column:
@@ -91,11 +97,18 @@ def _missed(routed: DataFrame) -> DataFrame:
     return routed.where("decision = 'UNROUTED'").select("url")
 
 
-def induce_routes(universe: DataFrame, graph: R.Graph, *, url: str = "url", limits: RouteLimits = RouteLimits(), rounds: int = 10) -> tuple[R.Graph, list[dict]]:
+def _in_pieces(rows: Iterable[Row], n: int) -> Iterator[list[Row]]:
+    rows = iter(rows)
+    while piece := list(islice(rows, n)):
+        yield piece
+
+
+def induce_routes(universe: DataFrame, graph: R.Graph, *, url: str = "url", limits: RouteLimits = RouteLimits(), rounds: int | None = None) -> tuple[R.Graph, list[dict]]:
     """The graph with routes for the URLs that it misses, and these rules as dicts: round, key, pattern, width, gain, decision, page_kind.
 
-    Rules go behind the present ones, in the order of picking, as induced ones. A rule that is no miss's first match is dropped. It ends when no miss is left,
-    or when none of the misses' patterns is fair. At most ``limits.rules`` rules a round reach the driver, where graphs are. URLs without a host are never routed.
+    Rules go behind the present ones, in the order of picking, as induced ones. A rule that is no miss's first match is dropped, and not proposed again. It ends when
+    no miss is left, or when none of the misses' other patterns is fair, unless ``limits.rules`` or ``rounds`` end it before. Rules reach the driver, where graphs are, and are tried
+    ``AT_ONCE`` after the other on what those before them leave. URLs without a host are never routed.
     """
     spark = universe.sparkSession
     made: list[dict] = []
@@ -103,25 +116,28 @@ def induce_routes(universe: DataFrame, graph: R.Graph, *, url: str = "url", limi
         fair = work.store(pattern_reach(universe, url, limits), "fair")
         # Stored, so that rules are tried on the misses in one pass of Python, not behind another; what a round's rules don't take is missed by the next graph.
         missed = work.store(_missed(R.route_urls(universe.select(F.col(url).alias("url")), graph, key="url")), "missed")
-        for turn in range(1, rounds + 1):
+        for turn in count(1) if rounds is None else range(1, rounds + 1):
             groups = work.store(missed.select(url_patterns(F.col("url")).alias("patterns")).where("patterns is not null").groupBy("patterns").agg(F.count(F.lit(1)).alias("n")), "misses")
             found = cover(groups, fair, work, limits.least_misses).select("pattern", "width", "gain", decided(F.col("pattern")).alias("d"))
-            rows = found.orderBy(F.desc("gain"), "width", "pattern").limit(limits.rules).collect()
-            if not rows:
-                break
-            last = max((e.priority for e in graph.edges), default=0)
-            names = [f"nav.v{graph.version + 1}.{i + 1}" for i in range(len(rows))]
-            nodes = [R.Rule(k, "ROUTE", {"decision": r.d.decision, "page_kind": r.d.page_kind, "gain": r.gain}, "INDUCED") for k, r in zip(names, rows, strict=True)]
-            edges = [R.Edge(R.ROOT, k, {"type": "url_regex", "pattern": r.pattern}, last + 1 + i) for i, (k, r) in enumerate(zip(names, rows, strict=True))]
-            trial = graph.revised(add=nodes, link=edges)
-            tried = work.store(R.route_urls(missed, trial, key="url").select("url", "decision", "node"), "tried")
-            winners = {r[0] for r in tried.select("node").distinct().collect()}  # rules, not URLs
-            idle = [k for k in names if k not in winners]
-            graph = R.replace(trial.revised(remove=idle), version=trial.version) if idle else trial
-            made += [{"round": turn, "key": k, "pattern": r.pattern, "width": WIDTHS[r.width], "gain": r.gain, "decision": r.d.decision, "page_kind": r.d.page_kind} for k, r in zip(names, rows, strict=True) if k in winners]
-            if len(idle) == len(names):
+            found = work.store(found if limits.rules is None else found.orderBy(F.desc("gain"), "width", "pattern").limit(limits.rules), "rules")
+            last, i, nodes, edges = max((e.priority for e in graph.edges), default=0), 0, [], []
+            for nth, rows in enumerate(_in_pieces(found.orderBy(F.desc("gain"), "width", "pattern").toLocalIterator(), AT_ONCE)):
+                names = [f"nav.v{graph.version + 1}.{i + k + 1}" for k in range(len(rows))]
+                new = [R.Rule(k, "ROUTE", {"decision": r.d.decision, "page_kind": r.d.page_kind, "gain": r.gain}, "INDUCED") for k, r in zip(names, rows, strict=True)]
+                links = [R.Edge(R.ROOT, k, {"type": "url_regex", "pattern": r.pattern}, last + 1 + i + j) for j, (k, r) in enumerate(zip(names, rows, strict=True))]
+                tried = work.store(R.route_urls(missed, R.Graph(tuple(new), tuple(links)), key="url").select("url", "decision", "node"), "tried")  # no rule of the graph takes them
+                if nth:
+                    delete(spark, work.paths.pop(-2))  # what the rules before left, which isn't read any more
+                winners = {r[0] for r in tried.select("node").distinct().collect()}  # rules, not URLs
+                nodes += [x for x in new if x.key in winners]
+                edges += [x for x in links if x.end in winners]
+                made += [{"round": turn, "key": k, "pattern": r.pattern, "width": WIDTHS[r.width], "gain": r.gain, "decision": r.d.decision, "page_kind": r.d.page_kind} for k, r in zip(names, rows, strict=True) if k in winners]
+                missed, i = _missed(tried), i + len(rows)
+            if not i:
                 break
-            missed = _missed(tried)
+            if nodes:
+                graph = graph.revised(add=nodes, link=edges)
+            fair = work.store(fair.join(found.select("pattern"), "pattern", "left_anti"), "fair")
     return graph, made
 
 

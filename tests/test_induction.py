@@ -66,6 +66,45 @@ def test_rules_that_reach_too_far_are_out(spark):
     assert I.induce_routes(urls(spark, []), EMPTY) == (EMPTY, [])
 
 
+def test_no_rule_is_cut(spark, monkeypatch):
+    """Sites of more forms than a thousand, or than all rounds of a few rules, are routed whole; pieces give the rules that one trial gives."""
+    words = [f"https://a.com/{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}-x" for i in range(1050)]
+    graph, made = I.induce_routes(urls(spark, words), EMPTY)
+    assert len(made) == len(graph.nodes) == 1050 and {m["round"] for m in made} == {1}
+    monkeypatch.setattr(I, "AT_ONCE", 400)
+    assert I.induce_routes(urls(spark, words), EMPTY) == (graph, made)
+    monkeypatch.undo()
+    few = urls(spark, words[:24])
+    assert len(I.induce_routes(few, EMPTY, limits=I.RouteLimits(rules=2))[1]) == 24
+
+
+def test_a_pattern_that_takes_nothing_makes_room(spark):
+    """Of URLs with two slashes at the end only the pattern of their first segment takes any; it comes to its turn."""
+    rows = [f"https://a.com/shop/{w}//" for w in ("aa", "bb")] + [f"https://b{c}.org/{c}{c}" for c in "abcdefghijklmnopqrstu"]
+    graph, _ = I.induce_routes(urls(spark, rows), EMPTY)
+    assert all(R.route(graph, R.Page(u)) for u in rows)
+
+
+def test_index_tells_what_holds(spark):
+    """A graph of many rules routes as one looked through in order, odd URLs too."""
+    rng = random.Random(5)
+    hosts = ["a.com", "www.a.com", "x.y.a.com", "localhost", "b.org:80", "A.Com", "kſ.com", "k\u212a.com", ".com", "a.com.", "", "12.a.com", "٣.a.com"]
+    parts = ["ad", "AD", "ad12", "ad٣4", "w" * 20, "ad" + "1" * 20, "", "a.b", "a\\d", "x+y", "ß", "SS", "İi", "ıI", "é", "a\n", "[^", "(", "*"]
+    ends = ["", "/", "//", "?q=1", "?next=/ad/x", "#f", "/?x", "\n", "?"]
+    found = [f"{rng.choice(['http', 'HTTPS', 'ftp', 'x1'])}://{rng.choice(hosts)}{''.join('/' + rng.choice(parts) for _ in range(rng.randint(0, 4)))}{rng.choice(ends)}" for _ in range(1500)]
+    found += ["", "no host", "://", "http://"]
+    told = [p for r in urls(spark, found).select(I.url_patterns(I.F.col("url")).alias("p")).where("p is not null").collect() for p in r.p]
+    told += ["^[a-z]+://[^/]+/ad/", r"^[a-z]+://[^/?#]+\.com/ad/?(?:[?#]|$)", "ad", "(", r"^[a-z]+://a.com/", "^[a-z]+://[^/?#]+/x[^/]+/", "^[a-z]+://[^/?#]+com/"]
+    told = list(dict.fromkeys(told))
+    rng.shuffle(told)
+    edges = [R.Edge(R.ROOT, str(i), {"type": "url_regex", "pattern": p}, i) for i, p in enumerate(told)] + [R.Edge(R.ROOT, "last", {"type": "always"}, 10**6)]
+    index = R.UrlIndex(edges)
+    assert len(index.rest) < 20 < len(index.edges)
+    for u in rng.sample(found, 400) + found[-4:]:
+        page = R.Page(u)
+        assert [e.end for e in index(u) if R.holds(e.condition, page)] == [e.end for e in edges if R.holds(e.condition, page)], u
+
+
 def test_rules_are_tried_in_one_pass_of_python(spark, monkeypatch):
     """No URL goes through two Python processes of a task, and none is held by pandas; keys pass as they are."""
     plans, whole = [], R.route_urls
