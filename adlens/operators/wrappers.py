@@ -2,25 +2,26 @@
 
 Designs are clusters of the fingerprints of unread pages. One task for each design (a few sample pages) proposes a template with ranked alternatives
 for each of its recipes. All proposals are then tried at once, in a graph where each is bound to its design, by the same extraction that runs in
-production; what goes wrong with a design's samples repairs its proposal (the next alternative, a dropped field, added vocabulary), twice at most.
+production; what goes wrong with a design's samples repairs its proposal (the next alternative, a dropped field, added vocabulary, the next block), until nothing is left to try.
 """
 from __future__ import annotations
 
 import json
 import re
 from collections import Counter, defaultdict
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from itertools import islice
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions.scalars import CURRENCIES
 from ..functions.urls import absolute
-from ..sources.staging import stage
+from ..sources.staging import Stage, stage
 from . import rules as R
 from .frontier import spread
 from .induction import cluster_designs
@@ -28,17 +29,19 @@ from .induction import cluster_designs
 
 @dataclass(frozen=True)
 class TemplateLimits:
-    """Sample pages a design, designs a call (those of most pages first), bits of a design, repairs, and least shares of pages that are taken and of items that are valid."""
+    """Sample pages a design, designs a call (those of most pages first; None: all), bits of a design, repairs (None: until nothing is left to try), and least shares of pages that are taken and of items that are valid."""
 
     samples: int = 4
-    designs: int = 50
+    designs: int | None = None
     distance: int = 10
-    repairs: int = 2
+    repairs: int | None = None
     taken: float = 0.6
     valid: float = 0.6
     advert_links: int = 3
 
 
+#: Designs that are tried at once: the driver holds their templates and reports, proposals stay in tasks, and all designs come to their turn.
+AT_ONCE = 500
 _MONEY = re.compile("|".join(p for _, p in CURRENCIES), re.IGNORECASE)
 _DATE = re.compile(r"\b\d{1,2}\s+[A-Za-z]{3,9}\s+\d{4}\b|\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}/\d{1,2}/\d{4}\b")
 #: What a value of a field looks like, and words of its label or its element's class.
@@ -88,7 +91,7 @@ def _blocks(pages: Sequence[R.Page]) -> list[tuple[str, list[list[H.Node]]]]:
     """Selectors of elements that repeat on the sample pages and hold a link and several texts, the best first, with their elements on each page."""
     counts = [Counter(_steps(n, p.body) for n in _shown(p.body)) for p in pages]
     found = []
-    for path in counts[0]:
+    for path in dict.fromkeys(p for c in counts for p in c):
         if len(path) < 1 or path[-1].split(".")[0] in ("a", "b", "i", "p", "br", "span", "img", "option", "script", "input"):
             continue
         if sum(c[path] >= 2 for c in counts) < max(1, TemplateLimits.taken * len(pages)):
@@ -107,11 +110,34 @@ def _blocks(pages: Sequence[R.Page]) -> list[tuple[str, list[list[H.Node]]]]:
     return [(css, nodes) for *_, css, nodes in sorted(found, key=lambda x: x[:4])]
 
 
-def _recipe(path: tuple[str, ...], found: Sequence[tuple[H.Node, H.Node]]) -> dict[str, Any]:
+class _Selected:
+    """Elements that a selector finds below a scope, looked up once."""
+
+    def __init__(self) -> None:
+        self.nodes: dict[tuple[int, str], list[H.Node]] = {}
+        self.places: dict[tuple[int, str], dict[int, int]] = {}
+
+    def below(self, top: H.Node, css: str) -> list[H.Node]:
+        key = (id(top), css)
+        if key not in self.nodes:
+            self.nodes[key] = list(H.select(top, css))
+            self.places[key] = {id(x): i for i, x in enumerate(self.nodes[key])}
+        return self.nodes[key]
+
+    def place(self, top: H.Node, css: str, node: H.Node) -> int:
+        self.below(top, css)
+        return self.places[id(top), css].get(id(node), 0)
+
+    def filled(self, recipe: Mapping[str, Any], tops: Sequence[H.Node]) -> int:
+        """Scopes in which a plain recipe finds a text."""
+        at = recipe.get("index", 0)
+        return sum(any(H.clean(x.text()) for x in self.below(top, recipe["css"])[at:][:1]) for top in tops)
+
+
+def _recipe(path: tuple[str, ...], found: Sequence[tuple[H.Node, H.Node]], selected: _Selected) -> dict[str, Any]:
     """The tail of a path; with the usual place among what it selects where that isn't the first, for elements ``found`` with their scopes."""
     css = " > ".join(path[-2:])
-    places = Counter(next((i for i, x in enumerate(H.select(top, css)) if x is node), 0) for top, node in found[:40])
-    place = places.most_common(1)[0][0]
+    place = Counter(selected.place(top, css, node) for top, node in found).most_common(1)[0][0]
     return {"css": css} | ({"index": place} if place else {})
 
 
@@ -120,7 +146,7 @@ def _ranked(scores: Mapping[str, float], recipes: Mapping[str, dict]) -> list[di
 
 
 def _alternatives(tops: Sequence[H.Node], detail: bool, url_of: Sequence[str]) -> dict[str, list[dict]]:
-    """For each field, recipes from the best on: by how many of the items' texts look like it, or are labelled so."""
+    """For each field, recipes from the best on: by how many of the items' texts look like it, or are labelled so. Those of titles tell how many items they fill."""
     n = len(tops)
     leaves: dict[tuple, list[list[tuple[H.Node, str]]]] = defaultdict(lambda: [[] for _ in range(n)])
     for i, top in enumerate(tops):
@@ -129,6 +155,7 @@ def _alternatives(tops: Sequence[H.Node], detail: bool, url_of: Sequence[str]) -
     out: dict[str, list[dict]] = {}
     scores: dict[str, dict[str, float]] = defaultdict(dict)
     recipes: dict[str, dict[str, dict]] = defaultdict(dict)
+    selected = _Selected()
 
     def offer(field: str, recipe: dict, score: float) -> None:
         key = json.dumps(recipe, sort_keys=True)
@@ -137,10 +164,10 @@ def _alternatives(tops: Sequence[H.Node], detail: bool, url_of: Sequence[str]) -
 
     for path, per in leaves.items():
         tag, label = path[-1].split(".")[0], path[-1].partition(".")[2]
-        for j in range(min(8, max(map(len, per)))):
+        for j in range(max(map(len, per))):
             at = [i for i, x in enumerate(per) if len(x) > j]
             nodes, texts = zip(*(per[i][j] for i in at), strict=True)
-            recipe, share = _recipe(path, [(tops[i], node) for i, node in zip(at, nodes, strict=True)]), len(at) / n
+            recipe, share = _recipe(path, [(tops[i], node) for i, node in zip(at, nodes, strict=True)], selected), len(at) / n
             filled = [t for t in texts if t]
             varied = len(set(filled)) / max(1, len(filled)) if n > 1 else 1.0
             if tag == "a":
@@ -177,6 +204,7 @@ def _alternatives(tops: Sequence[H.Node], detail: bool, url_of: Sequence[str]) -
                     offer(field, {"css": recipe["css"], "regex": rf"{name}\s*[:：]\s*(.+)"}, 2.5 * len(hits) / n)
     for field, found in scores.items():
         out[field] = _ranked(found, recipes[field])
+    out["title"] = [r | {"filled": selected.filled(r, tops)} for r in out.get("title", [])]
     if detail:
         out["url"] = [{"document_url": True}]
     return out
@@ -185,7 +213,7 @@ def _alternatives(tops: Sequence[H.Node], detail: bool, url_of: Sequence[str]) -
 def propose(pages: Sequence[R.Page], advert_links: int = 3) -> dict[str, Any]:
     """A proposal for pages of one design: kind, ranked item selectors with ranked recipes of each, and ranked recipes of the whole page."""
     blocks = []
-    for css, nodes in _blocks(pages)[:3]:
+    for css, nodes in _blocks(pages):
         tops = [n for ns in nodes for n in ns]
         urls = [p.url for p, ns in zip(pages, nodes, strict=True) for _ in ns]
         fields = _alternatives(tops, False, urls)
@@ -203,7 +231,7 @@ def template(proposal: Mapping[str, Any], chosen: Mapping[str, Any]) -> dict[str
     block = proposal["blocks"][chosen.get("block", 0)] if proposal["kind"] == "LIST" else None
     fields = block["fields"] if block else proposal["whole"]
     places = chosen.get("places", {})
-    picked = {f: recipes[places.get(f, 0)] for f, recipes in fields.items() if recipes and places.get(f, 0) is not None and places.get(f, 0) < len(recipes)}
+    picked = {f: {k: v for k, v in recipes[places.get(f, 0)].items() if k != "filled"} for f, recipes in fields.items() if recipes and places.get(f, 0) is not None and places.get(f, 0) < len(recipes)}
     out: dict[str, Any] = {"page_kind": proposal["kind"], "fields": picked}
     if block:
         out["items"] = {"css": block["css"]}
@@ -221,15 +249,26 @@ def repaired(proposal: Mapping[str, Any], chosen: Mapping[str, Any], report: Map
     text = " ".join(report["problems"])
     changed = False
 
+    fields = proposal["blocks"][out["block"]]["fields"] if proposal["kind"] == "LIST" else proposal["whole"]
+
     def next_of(field: str) -> None:
+        """The next recipe; behind the last one the field is dropped, and then there is no next."""
         nonlocal changed
-        out["places"][field] = (out["places"].get(field) or 0) + 1
-        changed = True
+        at = out["places"].get(field) or 0
+        if at < len(fields.get(field, [])):
+            out["places"][field] = at + 1
+            changed = True
 
     if ("listing type unknown" in text or report["vocab_misses"]) and not out["vocab"]:
         out["vocab"] = changed = True
     if "no title" in text:
-        next_of("title")
+        # A title that no more items have would leave as many without one.
+        titles, at = fields.get("title", []), out["places"].get("title") or 0
+        have = titles[at].get("filled") if at < len(titles) else None
+        if have is None:
+            next_of("title")
+        elif (better := next((j for j in range(at + 1, len(titles)) if titles[j]["filled"] > have), None)) is not None:
+            out["places"]["title"], changed = better, True
     if "identity" in text or "no external id" in text:
         next_of("url")
     for field in report["empty_fields"]:
@@ -293,54 +332,85 @@ def _faults(kind: str, name: str, report: Mapping[str, Any] | None, limits: Temp
     return out + [f"{f} is always empty" for f in report["empty_fields"]]
 
 
+def _tried(proposals: DataFrame, told: Sequence[tuple[str, str, str | None]] | None) -> list[Row]:
+    """leader, kind, chosen and template (JSON; null where nothing is left to try) of designs: their first choices, or those after reports ``told`` (leader, chosen, report)."""
+    spark = proposals.sparkSession
+    asked = proposals.select("*", F.lit("{}").alias("chosen"), F.lit(None).cast("string").alias("report")) if told is None else proposals.join(spark.createDataFrame(told, "leader string, chosen string, report string"), "leader")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for leader, proposal, chosen, report in zip(batch["leader"], batch["proposal"], batch["chosen"], batch["report"], strict=True):
+                found, now = json.loads(proposal), json.loads(chosen)
+                now = repaired(found, now, json.loads(report)) if report else now
+                made = None if now is None else json.dumps(template(found, now), ensure_ascii=False)
+                out.append((leader, found["kind"], json.dumps(now), made))
+            yield pd.DataFrame(out, columns=["leader", "kind", "chosen", "template"])
+
+    return asked.select("leader", "proposal", "chosen", "report").mapInPandas(run, "leader string, kind string, chosen string, template string").collect()
+
+
 def induce_templates(pages: DataFrame, graph: R.Graph, *, gold: DataFrame | None = None, identity: R.Identity | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", limits: TemplateLimits = TemplateLimits(), **options: Any) -> tuple[R.Graph, list[dict[str, Any]]]:
-    """The graph with templates for the designs that it doesn't read, and a report on each design tried: leader, pages, kind, attempts, accepted, problems.
+    """The graph with templates for the designs that it doesn't read, and a report on each design: leader, pages, kind, attempts, accepted, problems.
 
-    Ids of pages must be unique. A page is read where a template takes it. With ``gold`` (as in ``rules.gold_rate``) no new template may lower the share of exact gold answers. At most
-    ``limits.designs`` proposals reach the driver, where graphs are; sample pages stay in tasks. An empty table, and one that is read whole, changes nothing.
+    Ids of pages must be unique. A page is read where a template takes it. With ``gold`` (as in ``rules.gold_rate``) no new template may lower the share of exact gold answers. Designs are
+    tried ``AT_ONCE`` after the other, those of most pages first, beside the templates accepted before them. Their templates and reports reach the driver, where graphs are; sample pages
+    and proposals stay in tasks. An empty table, and one that is read whole, changes nothing.
     """
     spark = pages.sparkSession
+    state: dict[str, dict[str, Any]] = {}
+
+    def with_templates(leaders: Sequence[str]) -> R.Graph:
+        last = max((e.priority for e in graph.edges), default=0)
+        nodes = [R.Rule(state[x]["name"], "TEMPLATE", state[x]["template"], "INDUCED") for x in leaders]
+        edges = [R.Edge(R.ROOT, state[x]["name"], {"type": "template_fp", "fingerprint": x, "max_distance": limits.distance}, last + 1 + i) for i, x in enumerate(leaders)]
+        return graph.revised(add=nodes, link=edges)
+
     with stage(spark) as work:
         unread = R.extract_pages(pages, graph, id_col=id_col, url_col=url_col, html_col=html_col, identity=identity, **options).where("page_kind is null").select(F.col(id_col).alias("id"), "fingerprint")
         unread = work.store(unread, "unread")
         leaders = cluster_designs(unread.withColumn("position", F.col("id")), most=limits.distance)
         designs = work.store(unread.join(leaders, "fingerprint").select(F.col("id").alias(id_col), "leader"), "designs")
-        sizes = designs.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "leader").limit(limits.designs)
-        sizes = work.store(sizes, "sizes")
+        sizes = designs.groupBy("leader").agg(F.count(F.lit(1)).alias("n"))
+        sizes = work.store(sizes if limits.designs is None else sizes.orderBy(F.desc("n"), "leader").limit(limits.designs), "sizes")
         samples = _samples(pages, designs.join(sizes.select("leader"), "leader"), limits.samples, id_col, url_col, html_col)
-        samples = work.store(samples.withColumn("key", F.concat_ws(":", "leader", F.col("id").cast("string"))).drop("id"), "samples")
+        samples = samples.withColumn("key", F.concat_ws(":", "leader", F.col("id").cast("string"))).drop("id").join(sizes, "leader")
+        samples = work.store(samples.repartitionByRange(F.desc("n"), "leader").sortWithinPartitions(F.desc("n"), "leader"), "samples")  # in order, so that a piece reads its own
 
         def proposed(group: pd.DataFrame) -> pd.DataFrame:
             group = group.sort_values("key")
             found = propose([R.Page(u or "", h or "") for u, h in zip(group["url"], group["html"], strict=True)], limits.advert_links)
             return pd.DataFrame([(group["leader"].iloc[0], json.dumps(found, ensure_ascii=False))], columns=["leader", "proposal"])
 
-        rows = samples.groupBy("leader").applyInPandas(proposed, "leader string, proposal string").join(sizes, "leader").orderBy(F.desc("n"), "leader").collect()
-        state = {r.leader: {"proposal": json.loads(r.proposal), "chosen": {}, "pages": r.n, "attempts": 0, "faults": ["not tried"]} for r in rows}
-        names = {leader: f"tpl.v{graph.version + 1}.{i + 1}" for i, leader in enumerate(state)}
-
-        def with_templates(leaders: Sequence[str]) -> R.Graph:
-            last = max((e.priority for e in graph.edges), default=0)
-            nodes = [R.Rule(names[x], "TEMPLATE", template(state[x]["proposal"], state[x]["chosen"]), "INDUCED") for x in leaders]
-            edges = [R.Edge(R.ROOT, names[x], {"type": "template_fp", "fingerprint": x, "max_distance": limits.distance}, last + 1 + i) for i, x in enumerate(leaders)]
-            return graph.revised(add=nodes, link=edges)
-
-        open_ = list(state)
-        for _ in range(1 + limits.repairs):
-            if not open_:
-                break
-            told = _reports(samples.join(spark.createDataFrame([(x,) for x in open_], "leader string"), "leader"), with_templates(open_), identity, options)
-            again = []
-            for x in open_:
-                own = state[x]
-                own["attempts"] += 1
-                own["faults"] = _faults(own["proposal"]["kind"], names[x], told.get(x), limits)
-                if own["faults"]:
-                    after = repaired(own["proposal"], own["chosen"], told[x]) if x in told else None
-                    if after:
-                        own["chosen"] = after
-                        again.append(x)
-            open_ = again
+        def try_designs(piece: Sequence[Row], work: Stage) -> None:
+            """State of the piece's designs, after all that can be tried."""
+            n, x = F.col("n"), F.col("leader")
+            first, last = piece[0], piece[-1]
+            within = (n < first.n) & (n > last.n) | (n == first.n) & (x >= first.leader) & ((n > last.n) | (x <= last.leader)) | (n == last.n) & (x <= last.leader) & ((n < first.n) | (x >= first.leader))
+            own_samples = samples.where(within)
+            proposals = work.store(own_samples.groupBy("leader").applyInPandas(proposed, "leader string, proposal string"), "proposals")
+            before = [x for x in state if not state[x]["faults"]]
+            for r in piece:
+                state[r.leader] = {"name": f"tpl.v{graph.version + 1}.{len(state) + 1}", "pages": r.n, "attempts": 0, "faults": ["not tried"]}
+            made = _tried(proposals, None)
+            while made:
+                for r in made:
+                    state[r.leader] |= {"kind": r.kind, "chosen": r.chosen, "template": json.loads(r.template)}
+                open_ = [r.leader for r in piece if r.leader in {m.leader for m in made}]
+                told = _reports(own_samples.join(F.broadcast(spark.createDataFrame([(x,) for x in open_], "leader string")), "leader"), with_templates([*before, *open_]), identity, options)
+                again = []
+                for x in open_:
+                    own = state[x]
+                    own["attempts"] += 1
+                    own["faults"] = _faults(own["kind"], own["name"], told.get(x), limits)
+                    if own["faults"] and x in told and (limits.repairs is None or own["attempts"] <= limits.repairs):
+                        again.append((x, own["chosen"], json.dumps(told[x], ensure_ascii=False)))
+                made = [r for r in _tried(proposals, again) if r.template is not None] if again else []
+
+        rows = iter(sizes.orderBy(F.desc("n"), "leader").toLocalIterator())
+        while piece := list(islice(rows, AT_ONCE)):
+            with stage(spark) as own:
+                try_designs(piece, own)
         good = [x for x in state if not state[x]["faults"]]
         if gold is not None and good:
             rate = lambda g: R.gold_rate(R.extract_pages(pages.join(gold.select(id_col).distinct(), id_col), g, id_col=id_col, url_col=url_col, html_col=html_col, identity=identity, **options), gold, id_col).first()["rate"]
@@ -355,5 +425,6 @@ def induce_templates(pages: DataFrame, graph: R.Graph, *, gold: DataFrame | None
                         state[x]["faults"] = ["the gold rate falls"]
                 good = kept
         out = with_templates(good) if good else graph
-    reports = [{"leader": x, "pages": s["pages"], "kind": s["proposal"]["kind"], "attempts": s["attempts"], "accepted": x in good, "problems": "; ".join(s["faults"])} for x, s in state.items()]
+    taken = set(good)
+    reports = [{"leader": x, "pages": s["pages"], "kind": s["kind"], "attempts": s["attempts"], "accepted": x in taken, "problems": "; ".join(s["faults"])} for x, s in state.items()]
     return out, reports

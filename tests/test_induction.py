@@ -241,6 +241,49 @@ def test_gold_keeps_worse_templates_out(spark):
     assert W.induce_templates(spark.createDataFrame([], "page_id long, url string, html string"), EMPTY) == (EMPTY, [])
 
 
+def other(i):
+    """A page of a layout of its own."""
+    rng = random.Random(i)
+    name = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    return "<html><body>" + "".join(f"<div class='{name()}'><p class='{name()}'>some words</p><ul><li class='{name()}'>more</li></ul></div>" for _ in range(12)) + "</body></html>"
+
+
+def test_no_design_is_cut(spark, monkeypatch):
+    """More designs than fifty are tried, those of most pages first; pieces give what one trial gives."""
+    rows = [(i, f"https://x.com/{i}", other(i % 54)) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    graph, reports = W.induce_templates(pages, EMPTY)
+    assert [r["pages"] for r in reports] == [2] * 6 + [1] * 48 and all(r["accepted"] for r in reports) and len(graph.nodes) == 54
+    monkeypatch.setattr(W, "AT_ONCE", 20)
+    assert W.induce_templates(pages, EMPTY) == (graph, reports)
+    assert W.induce_templates(pages, EMPTY, limits=W.TemplateLimits(designs=3))[1] == reports[:3]
+    page = R.Page("https://x.com/1", rows[1][2])
+    index = R.UrlIndex([*graph.edges, R.Edge(R.ROOT, "last", {"type": "always"}, 99)])
+    assert [e.end for e in index(page.url, page)] == [e.end for e in graph.edges if R.holds(e.condition, page)] + ["last"]
+
+
+def test_no_candidate_is_cut():
+    """Blocks behind the best three, and elements behind the eighth of a path, are candidates too."""
+    dull = lambda c: "".join(f'<div class="{c}"><a href="/x">12</a><i>1</i><b>2</b><em>3</em><u>4</u><s>5</s><q>6</q></div>' for _ in range(3))
+    adverts = "".join(f'<li class="ad"><a href="/ad-{i}">Sunny flat {i}</a><em>{i}0,000 EGP</em></li>' for i in (1, 2, 3))
+    found = W.propose([R.Page(f"https://x.com/{k}", f"<html><body>{''.join(map(dull, ('ka', 'kb', 'kc', 'kd')))}<ul>{adverts}</ul></body></html>") for k in range(2)])
+    assert found["kind"] == "LIST" and [b["css"] for b in found["blocks"]] == ["li.ad"]
+    facts = "".join(f'<p class="fact">{"12,000 EGP" if i == 10 else "plain words"}</p>' for i in range(12))
+    found = W.propose([R.Page(f"https://x.com/{k}", f"<html><body><h1>Sunny flat {k}</h1>{facts}</body></html>") for k in range(2)])
+    assert found["kind"] == "DETAIL" and found["whole"]["price"][0] == {"css": "p.fact", "index": 10}
+
+
+def test_repairs_end_when_nothing_is_left():
+    """Each recipe comes to its turn, titles that fill no more items are passed over, and there is an end."""
+    titles = [{"css": "h1", "filled": 2}, {"css": "h2", "filled": 2}, {"css": "h3", "filled": 4}]
+    proposal = {"kind": "DETAIL", "blocks": [], "whole": {"title": titles, "url": [{"document_url": True}], "price": [{"css": c} for c in "abcde"]}}
+    report = {"problems": ["item 0: no title"], "empty_fields": [], "vocab_misses": [], "price_elsewhere": True}
+    seen, chosen = [], {}
+    while (chosen := W.repaired(proposal, chosen, report)) is not None:
+        seen.append(W.template(proposal, chosen)["fields"])
+    assert [f["title"] for f in seen] == [{"css": "h3"}] * 5 and [f.get("price", {}).get("css") for f in seen] == ["b", "c", "d", "e", None]
+
+
 def test_repairs():
     proposal = {"kind": "LIST", "blocks": [{"css": "a", "fields": {"title": [{"css": "h2"}, {"css": "a"}], "url": [{"css": "a"}], "area": [{"css": "i"}]}}, {"css": "b", "fields": {}}], "whole": {}}
     clean = {"problems": [], "empty_fields": [], "vocab_misses": [], "price_elsewhere": False}
